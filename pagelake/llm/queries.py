@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_docs
+from .licenses import license_scan
 from .pieces import encode_pieces
+from .repetition import quality_rules
+from .secrets import secret_scan
 from .token_counts import count_tokens
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_docs(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_docs(spark, sf_dir, "doc_id", "text", "source")).drop("marks")
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -20,7 +35,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_counts, op9_pieces)}
+    return {f.__name__: f for f in (op3_quality_rules, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
