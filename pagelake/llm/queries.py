@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_docs
 from .licenses import license_scan
+from .near_dups import near_duplicates
 from .packing import pack
 from .pieces import encode_pieces
 from .repetition import quality_rules
@@ -16,6 +17,10 @@ from .token_counts import count_tokens
 from .token_files import token_index
 
 
+def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_docs(spark, sf_dir, "doc_id", "text"), size=3, percent=85)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -45,7 +50,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
