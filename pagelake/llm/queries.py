@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_docs
+from .fingerprints import edited_fingerprints
 from .licenses import license_scan
 from .near_dups import near_duplicates
 from .packing import pack
@@ -49,8 +50,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(read_docs(spark, sf_dir, "doc_id", "text"), digest=True)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
