@@ -16,6 +16,7 @@ from .repetition import quality_rules
 from .secrets import secret_scan
 from .token_counts import count_tokens
 from .token_files import token_index
+from .toxicity import toxicity
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_docs(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -55,7 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op8_token_counts, op9_pieces, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
