@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,29 +42,88 @@ FRAME_TOKENS = 65_536
 HEADER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(file: str):
-    """texts -> arrays of token ids, by the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Words whose ids one worker remembers; beyond it the table starts afresh.
+WORDS_KNOWN = 400_000
+#: Texts of these characters alone are encoded word by word: no piece of the library's
+#: splitter crosses their white space, and none of them composes with another.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*")
+
+
+#: A full stop or comma alone between a letter and white space is a piece of its own.
+STOP = re.compile(r"(?<=[a-z])([.,])(?!\S)")
+
+
+class WordEncoder:
+    """Token ids by the tokenizers library, which sees each distinct word once; other texts it gets whole."""
+
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer_path(file))
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: Which ids end a piece of the splitter.
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+
+
+    def raw(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Words of letters are one piece each and go to the library together; others one by one."""
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), 2000):
+            some = letters[at : at + 2000]
+            ids = self.raw(" ".join(some))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("a word of letters is not one piece of this vocabulary")
+            data = ids.tobytes()
+            edges = [0, *(4 * cuts).tolist()]
+            self.known.update(zip(some, (data[a:b] for a, b in zip(edges, edges[1:]))))
+        for w in words:
+            if not w.isalpha():
+                self.known[w] = self.raw(w).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        split = [None if not PLAIN.fullmatch(t) or any(x in t for x in self.special) else STOP.sub(r" \1", t.lower()).split() for t in texts]
+        words = set().union(*(w for w in split if w))
+        if len(self.known) > WORDS_KNOWN:  # the words before stay at hand while the new table fills
+            self.known, self.before = {}, self.known
+        new = []
+        for w in words:
+            if w not in self.known:
+                if (ids := self.before.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+        self.learn(new)
+        get = self.known.__getitem__
+        return [self.raw(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+
 
-    model = Tokenizer.from_file(tokenizer_path(file))
-    model.no_truncation()
-    model.no_padding()
-    return lambda texts: [np.array(e.ids, "<u4") for e in model.encode_batch(texts, add_special_tokens=False)]
+@functools.lru_cache(maxsize=2)
+def encoder(file: str) -> WordEncoder:
+    return WordEncoder(file)
 
 
 def encoded(texts: list[str], file: str, end_id: int) -> Iterator[np.ndarray]:
     """Token ids of each text and the end id, some texts at a time."""
-    encode, tail = encoder(file), np.array([end_id], "<u4")
+    encode, tail = encoder(file).encode, struct.pack("<I", end_id)
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and to - at < 64 and (to == at or size < 500_000):
+        while to < len(texts) and to - at < 128 and (to == at or size < 500_000):
             size += len(texts[to])
             to += 1
         for ids in encode(texts[at:to]):
-            yield np.concatenate((ids, tail))
+            yield np.frombuffer(ids + tail, "<u4")
         at = to
 
 
