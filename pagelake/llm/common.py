@@ -44,12 +44,13 @@ def read_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string) of a table with any other columns; null text is empty."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id long, text string) of a table with any other columns; null text is empty.
+
+    With ``carry`` the whole row comes along as the struct ``row``.
+    """
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    return docs.select(*columns, *[F.struct(*docs.columns).alias("row")] * carry)
 
 
 def map_texts(

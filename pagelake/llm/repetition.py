@@ -173,6 +173,7 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     spans: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """Measures and verdicts of every row.
 
@@ -180,12 +181,14 @@ def quality_rules(
     the words in repeated windows of 8), where repeats of ``min_words`` or more
     cover over ``max_covered_pct`` % of the words, or where the longest repeat has
     over ``max_repeat_words`` words and over ``max_repeat_pct`` % of the text.
+    With ``carry`` each input row is returned as the struct ``row``.
     With ``spans`` the union of repeats is returned, too (words, end exclusive).
     """
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long"
     if spans:
         names += ", spans array<struct<start:long,end:long>>"
-    out = map_texts(id_and_text(docs, id_col, text_col), lambda texts: measure(texts, min_words, spans), names)
+    rows = id_and_text(docs, id_col, text_col, carry)
+    out = map_texts(rows, lambda texts: measure(texts, min_words, spans), names, keep=("doc_id", *["row"] * carry))
     n = F.col("n_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     repetitive = (100 * F.col("n_covered") > max_covered_pct * n) | (

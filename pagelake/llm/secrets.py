@@ -101,16 +101,17 @@ def secret_scan(
 
     A value is live-looking with at most ``max_owners`` distinct owners. Columns:
     doc_id, n_assign, n_access, n_hex, base_sha256, spans (string), n_live,
-    n_examples, marks (array of kind, start, end, n_owners, n_repos, live).
+    n_examples, text_key (xxhash64 of the text), marks (array of kind, start, end,
+    n_owners, n_repos, live).
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.xxhash64(F.col(owner_col)).alias("owner"),
         (F.xxhash64(F.col(repo_col)) if repo_col else F.lit(None).cast("long")).alias("repo"),
-    )
+    ).withColumn("text_key", F.xxhash64("text"))
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,hash:binary>>"
-    scanned = map_texts(rows, scan, schema, keep=("doc_id", "owner", "repo"))
+    scanned = map_texts(rows, scan, schema, keep=("doc_id", "owner", "repo", "text_key"))
     scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = scanned.select("row", "owner", F.coalesce("repo", "row").alias("repo"), F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
     counted = lambda c: each.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(f"n_{c}s"))
@@ -139,6 +140,7 @@ def secret_scan(
         F.concat_ws(",", F.transform(kept, text_of)).alias("spans"),
         count(live).alias("n_live"),
         count(lambda m: ~live(m)).alias("n_examples"),
+        "text_key",
         full.alias("marks"),
     )
 
