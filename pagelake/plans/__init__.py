@@ -1,9 +1,24 @@
 """Registered queries over the operators, and their SQL."""
 
+from __future__ import annotations
+
+import importlib
+
+from .registry import QUERIES, SQL
+
+MODULES = ("geometry",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
