@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("geometry",)
+MODULES = ("geometry", "regions")
 
 
 def _load() -> None:
