@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, stored
 
-COORDINATES, TREES, LEAF, DEPTH = 128, 16, 96, 12
+COORDINATES, TREES, LEAF, DEPTH = 128, 16, 256, 11
 #: Trees whose leaves give spanning pairs first.
 FIRST_TREES = 4
 #: Rows of a large node that are compared at once with as many others.
@@ -253,6 +253,7 @@ def grow_trees(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         large = members.filter(F.col("n") > LEAF).select("node", "cls")
         if depth >= DEPTH or large.isEmpty():
             return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, leaves), large
+        levels = 3
         current = stored(branch(large.join(classes.select("cls", "sketch"), "cls"), threshold, levels, roots=False), "paths")
 
 
