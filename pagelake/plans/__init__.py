@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("geometry", "regions")
+MODULES = ("geometry", "regions", "analytics", "lines")
 
 
 def _load() -> None:
