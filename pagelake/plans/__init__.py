@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("geometry", "regions", "analytics", "lines")
+MODULES = ("geometry", "regions", "analytics", "lines", "texts", "manifests", "logs")
 
 
 def _load() -> None:
