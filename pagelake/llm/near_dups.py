@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, stored
 
-COORDINATES, TREES, LEAF, DEPTH = 128, 10, 512, 11
+COORDINATES, TREES, LEAF, DEPTH = 128, 12, 1024, 11
 #: Trees whose leaves give spanning pairs first.
 FIRST_TREES = 4
 #: Rows of a large node that are compared at once with as many others.
