@@ -49,8 +49,8 @@ WORDS_KNOWN = 400_000
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*")
 
 
-#: A full stop or comma alone between a letter and white space is a piece of its own.
-STOP = re.compile(r"(?<=[a-z])([.,])(?!\S)")
+#: A run of ASCII symbols between a letter and white space is a piece of its own.
+STOP = re.compile(r"(?<=[a-z])([!-/:-@\[-`{-~]+)(?!\S)")
 
 
 class WordEncoder:
@@ -130,7 +130,7 @@ def encoded(texts: list[str], file: str, end_id: int) -> Iterator[np.ndarray]:
 class FrameWriter:
     """Writes one file to an open binary stream."""
 
-    def __init__(self, stream: Any, level: int = 3):
+    def __init__(self, stream: Any, level: int = 1):
         import xxhash
         import zstandard
 
@@ -279,7 +279,8 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None, with_
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    files = manifest.select("file_no", "path").repartition("file_no")
+    # a stated number of partitions isn't coalesced, so files are read side by side
+    files = manifest.select("file_no", "path").repartition(max(1, manifest.count()), "file_no")
     return files.mapInArrow(read, schema)
 
 
