@@ -1,0 +1,44 @@
+"""Ordered work inside small groups: rows of a group travel as one array, many groups to an Arrow batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Output rows of one Arrow batch.
+BATCH = 20_000
+
+
+def map_groups(df: DataFrame, keys: list[str], body: Callable[[tuple, list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``body`` (key values, rows of the group as dicts) gives output tuples of ``schema``.
+
+    Groups are pages or blocks, which are small; one task holds one group's rows at a time
+    besides its batch. Unlike a grouped map there is no data frame per group.
+    """
+    others = [c for c in df.columns if c not in keys]
+    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("rows_"))
+    spark_schema = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(spark_schema)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for key, rows in zip(zip(*columns), batch.column("rows_")):
+                out += body(key, rows.as_py())
+                if len(out) >= BATCH:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
+
+    return packed.mapInArrow(run, spark_schema)

@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .groups import map_groups
 
 COLS = list(G.Box._fields)
 
@@ -98,35 +98,30 @@ def merge_scattered_lines(lines: DataFrame) -> DataFrame:
     """
     schema = "page_id long, vertical boolean, block int, n_lines int, x1 int, y1 int, x2 int, y2 int, font_size double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vertical = bool(pdf["vertical"].iloc[0])
-        across, along = (("x1", "x2"), ("y1", "y2")) if vertical else (("y1", "y2"), ("x1", "x2"))
-        middle = (pdf[across[0]] + pdf[across[1]]) / 2
-        rows = list(pdf.assign(_d=-middle if vertical else middle).sort_values(["_d", "line_no"]).itertuples())
-        free, out = [True] * len(rows), []
-        for i, first in enumerate(rows):
-            if not free[i]:
-                continue
-            box, n = {c: getattr(first, c) for c in COLS}, 1
-            font = float(getattr(first, across[1]) - getattr(first, across[0]))
-            for j in range(i + 1, len(rows)):
-                if not free[j]:
-                    continue
-                r = rows[j]
-                size = float(getattr(r, across[1]) - getattr(r, across[0]))
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
+        vertical = key[1]
+        a1, a2, l1 = ("x1", "x2", "y1") if vertical else ("y1", "y2", "x1")
+        rows.sort(key=lambda r: ((-1 if vertical else 1) * (r[a1] + r[a2]), r["line_no"]))
+        out = []
+        while rows:
+            box, n, rest = dict(rows[0]), 1, []
+            font = float(box[a2] - box[a1])
+            for r in rows[1:]:
+                size = float(r[a2] - r[a1])
                 ratio = max(font, size) / max(min(font, size), 1e-9)
-                gap = max(getattr(r, across[0]) - box[across[1]], box[across[0]] - getattr(r, across[1]), 0)
-                shift = abs(getattr(r, along[0]) - box[along[0]])
-                touching = r.x1 <= box["x2"] and box["x1"] <= r.x2 and r.y1 <= box["y2"] and box["y1"] <= r.y2
-                if touching or (ratio <= 1.3 and gap <= 2 * font and shift <= 2.5 * font):
-                    free[j] = False
-                    font = (font * n + size) / (n + 1)
-                    n += 1
-                    box = {"x1": min(box["x1"], r.x1), "y1": min(box["y1"], r.y1), "x2": max(box["x2"], r.x2), "y2": max(box["y2"], r.y2)}
-            out.append((pdf["page_id"].iloc[0], vertical, len(out) + 1, n, *(int(box[c]) for c in COLS), font))
-        return pd.DataFrame(out, columns=["page_id", "vertical", "block", "n_lines", *COLS, "font_size"])
+                gap = max(r[a1] - box[a2], box[a1] - r[a2], 0)
+                touching = r["x1"] <= box["x2"] and box["x1"] <= r["x2"] and r["y1"] <= box["y2"] and box["y1"] <= r["y2"]
+                if touching or (ratio <= 1.3 and gap <= 2 * font and abs(r[l1] - box[l1]) <= 2.5 * font):
+                    font, n = (font * n + size) / (n + 1), n + 1
+                    for c, f in zip(COLS, (min, min, max, max)):
+                        box[c] = f(box[c], r[c])
+                else:
+                    rest.append(r)
+            out.append((*key, len(out) + 1, n, *(box[c] for c in COLS), font))
+            rows = rest
+        return out
 
-    return lines.groupBy("page_id", "vertical").applyInPandas(run, schema)
+    return map_groups(lines.select("page_id", "line_no", *COLS, "vertical"), ["page_id", "vertical"], body, schema)
 
 
 def split_blocks(lines: DataFrame) -> DataFrame:
@@ -152,19 +147,16 @@ def split_blocks(lines: DataFrame) -> DataFrame:
             n, before = n + 1, r
         return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, blocks = [], {}
-        for r in pdf[["block_idx", "vertical", "font_size", "line_no", *COLS]].itertuples(index=False, name=None):
-            blocks.setdefault(r[:3], []).append(r[3:])
-        for (block, vertical, font), rows in blocks.items():
-            out += [(pdf["page_id"].iloc[0], block, line, part) for line, part in parts_of(rows, vertical, font)]
-        return pd.DataFrame(out, columns=["page_id", "block_idx", "line_no", "part"])
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
+        flat = [(r["line_no"], *(r[c] for c in COLS)) for r in rows]
+        return [(*key, line, part) for line, part in parts_of(flat, rows[0]["vertical"], rows[0]["font_size"])]
 
     # blocks of one line, and horizontal ones that aren't Japanese, stay whole and pass by the helper
     n = F.count("*").over(W.partitionBy("page_id", "block_idx"))
     flagged = lines.withColumn("_splits", (n > 1) & (F.col("vertical") | (F.col("lang") == "ja")))
     whole = flagged.filter(~F.coalesce("_splits", F.lit(False))).select("page_id", "block_idx", "line_no", F.lit(0).alias("part"))
-    return whole.unionByName(flagged.filter("_splits").groupBy("page_id").applyInPandas(run, schema))
+    rest = flagged.filter("_splits").select("page_id", "block_idx", "line_no", *COLS, "vertical", "font_size")
+    return whole.unionByName(map_groups(rest, ["page_id", "block_idx"], body, schema))
 
 
 def group_blocks(lines: DataFrame, blocks: DataFrame, w: int, h: int) -> DataFrame:
@@ -201,9 +193,11 @@ def top_confidence(dets: DataFrame, k: int) -> DataFrame:
 def suppress_overlaps(dets: DataFrame, conf: float = 0.4, iou: float = 0.35, most: int = 300) -> DataFrame:
     """Greedy non-maximum suppression per page and class, by confidence (ties by idx); then the ``most`` best of a page."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "idx"], ascending=[False, True])
-        b = pdf[COLS].to_numpy(np.int64)
+    names = dets.columns
+
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
+        rows.sort(key=lambda r: (-r["conf"], r["idx"]))
+        b = np.array([[r[c] for c in COLS] for r in rows], np.int64)
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         left, keep = np.ones(len(b), bool), []
         for i in range(len(b)):
@@ -213,10 +207,11 @@ def suppress_overlaps(dets: DataFrame, conf: float = 0.4, iou: float = 0.35, mos
             w = np.maximum(np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0]), 0)
             h = np.maximum(np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1]), 0)
             left &= w * h <= iou * (area[i] + area - w * h)
-        return pdf.iloc[keep]
+        at = dict(zip(("page_id", "cls"), key))
+        return [tuple(at[n] if n in at else rows[i][n] for n in names) for i in keep]
 
     good = top_confidence(dets.filter(F.col("conf") > conf), 30_000)
-    kept = good.groupBy("page_id", "cls").applyInPandas(run, dets.schema)
+    kept = map_groups(good, ["page_id", "cls"], body, ", ".join(f"{n} {t}" for n, t in dets.dtypes))
     return top_confidence(kept, most).withColumn("conf", F.round("conf", 3))
 
 
@@ -226,16 +221,16 @@ def match_detections(truth: DataFrame, dets: DataFrame, threshold: float = 0.5)
     near = truth.select("page_id", F.col("idx").alias("gt"), *COLS).join(b, "page_id")
     pairs = near.filter(G.iou(G.box(), G.box("b")) > threshold).select("page_id", "gt", "det")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
         taken_gt, taken, out = set(), set(), []
-        for r in pdf.sort_values(["gt", "det"]).itertuples():
-            if r.gt not in taken_gt and r.det not in taken:
-                taken_gt.add(r.gt)
-                taken.add(r.det)
-                out.append((r.page_id, r.gt, r.det))
-        return pd.DataFrame(out, columns=["page_id", "gt", "det"])
-
-    return pairs.groupBy("page_id").applyInPandas(run, "page_id long, gt int, det int")
+        for gt, det in sorted((r["gt"], r["det"]) for r in rows):
+            if gt not in taken_gt and det not in taken:
+                taken_gt.add(gt)
+                taken.add(det)
+                out.append((*key, gt, det))
+        return out
+
+    return map_groups(pairs, ["page_id"], body, "page_id long, gt int, det int")
 
 
 def detection_metrics(truth: DataFrame, dets: DataFrame, matches: DataFrame) -> DataFrame:

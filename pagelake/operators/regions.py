@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import rules as R
+from .groups import map_groups
 
 COLS = list(G.Box._fields)
 #: Regions of a page from which pairs are searched by grid cells instead of the page alone.
@@ -45,37 +46,30 @@ def overlap_pairs(boxes: DataFrame, mode: str = "area", threshold: float = 20) -
     return both.filter(~F.col("crowded") | corner).select("page_id", "i", "j")
 
 
-def _merge_page(pdf: pd.DataFrame, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
+def _greedy(rows: list[dict], overlap: Callable[[tuple, tuple], bool]) -> Iterator[dict]:
     """One greedy pass in row order; the first region of a union keeps its other columns."""
-    box, left, keep = pdf[COLS].to_numpy(np.int64).copy(), np.ones(len(pdf), bool), []
-    for i in range(len(box)):
-        if not left[i]:
-            continue
-        left[i] = False
-        hit = np.flatnonzero(left)
-        hit = hit[overlap(box[i], box[hit])]
-        left[hit] = False
-        if len(hit):
-            box[i, :2] = np.minimum(box[i, :2], box[hit, :2].min(0))
-            box[i, 2:] = np.maximum(box[i, 2:], box[hit, 2:].max(0))
-        keep.append(i)
-    out = pdf.iloc[keep].copy()
-    out[COLS] = box[keep].astype(np.int32)
-    return out
-
-
-def _centers(b: np.ndarray, o: np.ndarray) -> np.ndarray:
-    inside = lambda bx, x, y: (bx[..., 0] <= x) & (x <= bx[..., 2]) & (bx[..., 1] <= y) & (y <= bx[..., 3])
-    mid = lambda bx: ((bx[..., 0] + bx[..., 2]) // 2, (bx[..., 1] + bx[..., 3]) // 2)
-    return inside(b, *mid(o)) | inside(o, *mid(b))
-
-
-def _areas(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    def test(b: np.ndarray, o: np.ndarray) -> np.ndarray:
-        w = np.maximum(np.minimum(b[2], o[:, 2]) - np.maximum(b[0], o[:, 0]), 0)
-        h = np.maximum(np.minimum(b[3], o[:, 3]) - np.maximum(b[1], o[:, 1]), 0)
-        least = np.minimum((b[2] - b[0]) * (b[3] - b[1]), (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1]))
-        return 100 * w * h > threshold * np.where(least == 0, 1, least)
+    left = [(r, (r["x1"], r["y1"], r["x2"], r["y2"])) for r in rows]
+    while left:
+        first, box = left[0]
+        hits = [b for _, b in left[1:] if overlap(box, b)]
+        left = [x for x in left[1:] if not overlap(box, x[1])]
+        for b in hits:
+            first["x1"], first["y1"] = min(first["x1"], b[0]), min(first["y1"], b[1])
+            first["x2"], first["y2"] = max(first["x2"], b[2]), max(first["y2"], b[3])
+        yield first
+
+
+def _centers(a: tuple, b: tuple) -> bool:
+    ax, ay, bx, by = (a[0] + a[2]) // 2, (a[1] + a[3]) // 2, (b[0] + b[2]) // 2, (b[1] + b[3]) // 2
+    return (a[0] <= bx <= a[2] and a[1] <= by <= a[3]) or (b[0] <= ax <= b[2] and b[1] <= ay <= b[3])
+
+
+def _areas(threshold: float) -> Callable[[tuple, tuple], bool]:
+    def test(a: tuple, b: tuple) -> bool:
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        if w <= 0 or h <= 0:
+            return False
+        return 100 * w * h > threshold * (min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])) or 1)
 
     return test
 
@@ -85,8 +79,14 @@ def _merge(boxes: DataFrame, order: list[str], mode: str, threshold: float, over
     busy = overlap_pairs(boxes, mode, threshold).select("page_id").distinct()
     calm = boxes.join(busy, "page_id", "left_anti").select(*boxes.columns)
     rest = boxes.join(busy, "page_id", "left_semi").select(*boxes.columns)
-    merged = rest.groupBy("page_id").applyInPandas(lambda pdf: _merge_page(pdf.sort_values(order, kind="stable"), overlap), boxes.schema)
-    return calm.unionByName(merged)
+    names = boxes.columns
+
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
+        rows.sort(key=lambda r: tuple(r[c] for c in order))
+        return [tuple(key[0] if n == "page_id" else r[n] for n in names) for r in _greedy(rows, overlap)]
+
+    schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes)
+    return calm.unionByName(map_groups(rest, ["page_id"], body, schema))
 
 
 def merge_center_overlaps(boxes: DataFrame) -> DataFrame:
@@ -121,12 +121,11 @@ def _cluster(rows: list[tuple], axis: int, tol: int, depth: int) -> list[tuple]:
 def cluster_boxes(boxes: DataFrame, axis: str = "y", tol: int = 10, depth: int = 10) -> DataFrame:
     """(page_id, idx, position): recursive clustering by edges aligned within ``tol``, on alternate axes."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("idx")[["idx", "x1", "y1"]].itertuples(index=False, name=None))
-        order = [r[0] for r in _cluster(rows, int(axis == "y"), tol, depth)]
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "idx": order, "position": range(1, len(order) + 1)})
+    def body(key: tuple, rows: list[dict]) -> list[tuple]:
+        flat = sorted((r["idx"], r["x1"], r["y1"]) for r in rows)
+        return [(key[0], r[0], k) for k, r in enumerate(_cluster(flat, int(axis == "y"), tol, depth), 1)]
 
-    return boxes.select("page_id", "idx", "x1", "y1").groupBy("page_id").applyInPandas(run, "page_id long, idx int, position int")
+    return map_groups(boxes.select("page_id", "idx", "x1", "y1"), ["page_id"], body, "page_id long, idx int, position int")
 
 
 def page_language(boxes: DataFrame) -> DataFrame:

@@ -127,18 +127,5 @@ def a20_mask_xor_score(v: Views) -> DataFrame:
 
 @query("SELECT page_id, row_number() OVER (ORDER BY CAST(regexp_extract(path, 'vol(\\d+)', 1) AS INT), page_id) AS position FROM fx_pages WHERE page_id % 10 = 0", "fx_pages")
 def o1_natural_order(v: Views) -> DataFrame:
-    """Positions by the natural key; each is the count of smaller keys, from running counts over key ranges."""
     keyed = v("fx_pages").filter("page_id % 10 = 0").select("page_id", A.natural_key(F.col("path")).alias("key"))
-    return numbered(keyed, "key").select("page_id", "position")
-
-
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Adds ``position`` from 1 in the order of a key, without one task for all rows: ranges are sorted apart and shifted."""
-    from pyspark.sql import Window as W
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced, so both uses agree
-    dealt = rows.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
-    local = dealt.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy(key)))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return local.join(F.broadcast(before), "part").withColumn("position", F.col("k") + F.col("before"))
+    return A.numbered(keyed, "key").select("page_id", "position")

@@ -104,9 +104,9 @@ def f5_ocr_filter(v: Views) -> DataFrame:
 @query("""WITH b AS (SELECT page_id, idx, greatest(x1,0) x1, greatest(y1,0) y1, least(x2+1,560) x2, least(y2+1,760) y2 FROM fx_detections),
   xs AS (SELECT page_id, v, lead(v) OVER (PARTITION BY page_id ORDER BY v) nv FROM (SELECT page_id, x1 v FROM b UNION SELECT page_id, x2 FROM b)), ys AS (SELECT page_id, v, lead(v) OVER (PARTITION BY page_id ORDER BY v) nv FROM (SELECT page_id, y1 v FROM b UNION SELECT page_id, y2 FROM b)),
   cells AS (SELECT xs.page_id, xs.v x, ys.v y, max((xs.nv-xs.v)*(ys.nv-ys.v)) a FROM xs JOIN ys USING (page_id) JOIN b ON b.page_id = xs.page_id AND b.x1 <= xs.v AND xs.nv <= b.x2 AND b.y1 <= ys.v AND ys.nv <= b.y2 WHERE xs.nv IS NOT NULL AND ys.nv IS NOT NULL GROUP BY ALL)
-  SELECT page_id, CAST(sum(a) AS BIGINT) AS covered, round(sum(a)/CAST(425600 AS DOUBLE), 6) AS share FROM cells GROUP BY page_id""", D)
+  SELECT page_id, CAST(sum(a) AS BIGINT) AS covered, CAST(sum(a) AS BIGINT)*1000000//425600 AS share_ppm FROM cells GROUP BY page_id""", D)
 def a23_mask_coverage(v: Views) -> DataFrame:
-    return O.mask_coverage(v(D), 560, 760).withColumn("share", F.round("share", 6))
+    return O.mask_coverage(v(D), 560, 760).select("page_id", "covered", F.expr("covered * 1000000 div 425600").alias("share_ppm"))
 
 
 @query()

@@ -29,10 +29,15 @@ BLOCK = T.StructType(
         T.StructField("norm", T.DoubleType()),
     ]
 )
-RAW = "image_path string, mask_path string, original_path string, scale double"
-PAGE = T.StructType.fromDDL(
-    RAW + ", box_language array<string>, boxes array<array<int>>, extended_boxes array<array<int>>, merged_extended_boxes array<array<int>>, reference_boxes array<array<int>>"
+RAW = T.StructType([*(T.StructField(n, T.StringType()) for n in ("image_path", "mask_path", "original_path")), T.StructField("scale", T.DoubleType())])
+PAGE = T.StructType(
+    [
+        *RAW.fields,
+        T.StructField("box_language", T.ArrayType(T.StringType())),
+        *(T.StructField(n, T.ArrayType(T.ArrayType(T.IntegerType()))) for n in ("boxes", "extended_boxes", "merged_extended_boxes", "reference_boxes")),
+    ]
 )
+DETECTIONS = T.StructType([*RAW.fields, T.StructField("blk_list", T.ArrayType(BLOCK))])
 
 
 def has_suffix(path: Column, suffixes: tuple[str, ...] = IMAGES) -> Column:
@@ -73,8 +78,7 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, blocks, lines) of raw detection documents; blocks and lines carry their place from 0."""
-    schema = T.StructType.fromDDL(RAW).add("blk_list", T.ArrayType(BLOCK))
-    docs = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(path)
+    docs = spark.read.schema(DETECTIONS).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(path)
     blocks = docs.select("original_path", F.posexplode("blk_list").alias("idx", "b")).select(
         "original_path", "idx", *(F.get("b.xyxy", F.lit(i)).alias(n) for i, n in enumerate(X.COLS)), *(f"b.{n}" for n in BLOCK.names[1:])
     )

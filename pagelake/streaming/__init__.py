@@ -16,15 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.logs import window_counts
-from ..sources import BLOCK, RAW
+from ..sources import DETECTIONS
 
 
 def stream_new_detections(spark: SparkSession, folder: str, done_path: str, sink: str, checkpoint: str) -> StreamingQuery:
     """Pick up each new raw detection document once and append it to ``sink`` unless its page is already in ``done_path``."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType.fromDDL(RAW).add("blk_list", T.ArrayType(BLOCK))
-    docs = spark.readStream.schema(schema).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(folder)
+    docs = spark.readStream.schema(DETECTIONS).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(folder)
     fresh = docs.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 hour").dropDuplicatesWithinWatermark(["original_path"])
 
     def put(batch: DataFrame, _: int) -> None:
