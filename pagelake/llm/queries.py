@@ -63,5 +63,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints)}
 
 
+#: Shingle sets by brute force, all pairs that share a shingle, and all ids reachable over links.
+NEAR_DUPS_SQL = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, w[i:i+2] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT ways.b, reach.label FROM reach JOIN ways ON ways.a = reach.id),
+least_of AS (SELECT id, min(label) AS label FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, d.doc_id = label AS kept
+FROM documents d JOIN least_of ON id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_dups": NEAR_DUPS_SQL}
