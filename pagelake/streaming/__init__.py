@@ -31,9 +31,14 @@ def stream_new_detections(spark: SparkSession, folder: str, done_path: str, sink
     return fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time with a zone, as watermarks want it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def analytics_stream(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counters per event-time window; rows later than the watermark are dropped."""
-    return window_counts(events.withWatermark("ts", late), width, slide)
+    return window_counts(_timed(events).withWatermark("ts", late), width, slide)
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
@@ -88,7 +93,8 @@ def log_session_stream(events: DataFrame, idle: str = "1 hour", late: str = "0 s
         yield pd.DataFrame(rows, columns=["source_id", "session", "errors", "criticals", "n", "closed"])
 
     return (
-        events.withWatermark("ts", late)
+        _timed(events)
+        .withWatermark("ts", late)
         .groupBy("source_id")
         .applyInPandasWithState(run, out, "session long, errors long, criticals long, n long", "update", GroupStateTimeout.EventTimeTimeout)
     )
