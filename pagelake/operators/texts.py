@@ -6,12 +6,12 @@ expression; edits of a review are folded in their order.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .groups import map_groups
 
 COLS = list(G.Box._fields)
 INTEGER = r"^\s*[+-]?\d+(_\d+)*\s*$"
@@ -141,21 +141,20 @@ def apply_review_edits(results: DataFrame, edits: DataFrame, min_area: int = 400
         alive = s["alive"] & ~((e["op"] == "delete") & (s["status"] == "New"))
         return F.struct(text.alias("text"), status.alias("status"), alive.alias("alive"))
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = {int(x[4:]) for x in pdf["label"] if isinstance(x, str) and x.startswith("New ")}
-        new = pdf[pdf["is_new"]].sort_values("seq").copy()
-        labels = []
-        for _ in range(len(new)):
+    def number(key: tuple, rows: list[dict]) -> list[tuple]:
+        taken = {int(r["label"][4:]) for r in rows if r["label"] and r["label"].startswith("New ")}
+        out = []
+        for r in sorted((r for r in rows if r["is_new"]), key=lambda r: r["seq"]):
             k = next(i for i in range(1, len(taken) + 2) if i not in taken)
             taken.add(k)
-            labels.append(f"New {k}")
-        return new.assign(label=labels)[["page_id", "label", "text", *COLS]]
+            out.append((*key, f"New {k}", r["text"], *(r[c] for c in COLS)))
+        return out
 
     added = edits.filter("op = 'add'").filter(G.area(G.box()) >= min_area)
     pages = added.select("page_id").distinct()
     held = results.join(pages, "page_id", "left_semi").select("page_id", F.lit(False).alias("is_new"), F.lit(0).cast("long").alias("seq"), "label", "text", *COLS)
     asked = added.select("page_id", F.lit(True).alias("is_new"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("label"), "text", *COLS)
-    new = held.unionByName(asked).groupBy("page_id").applyInPandas(number, "page_id long, label string, text string, x1 int, y1 int, x2 int, y2 int")
+    new = map_groups(held.unionByName(asked), ["page_id"], number, "page_id long, label string, text string, x1 int, y1 int, x2 int, y2 int")
     every = results.select("page_id", "label", "text", *COLS, "status").unionByName(new.withColumn("status", F.lit("New")))
     folded = every.join(own, ["page_id", "label"], "left").withColumn("s", F.aggregate(F.coalesce("edits", F.array()), state, step))
     return folded.filter("s.alive").select("page_id", "label", F.col("s.text").alias("text"), *COLS, F.col("s.status").alias("status"))
