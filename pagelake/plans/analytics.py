@@ -129,3 +129,10 @@ def a20_mask_xor_score(v: Views) -> DataFrame:
 def o1_natural_order(v: Views) -> DataFrame:
     keyed = v("fx_pages").filter("page_id % 10 = 0").select("page_id", A.natural_key(F.col("path")).alias("key"))
     return A.numbered(keyed, "key").select("page_id", "position")
+
+
+@query()
+def o1_natural_order_whole(v: Views) -> DataFrame:
+    """Every page."""
+    keyed = v("fx_pages").select("page_id", A.natural_key(F.col("path")).alias("key"))
+    return A.numbered(keyed, "key").select("page_id", "position")

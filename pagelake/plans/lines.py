@@ -24,12 +24,21 @@ def j2_assign_lines(v: Views) -> DataFrame:
     return L.assign_lines(v("fx_lines"), v(D)).select("page_id", "block_idx", "line_no", "block")
 
 
+def predicted_components(v: Views) -> DataFrame:
+    return v("fx_predictions").select("page_id", F.col("idx").alias("k"), *L.COLS, ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
+
+
 @query(f"""WITH c AS (SELECT page_id, idx AS k, x1, y1, x2, y2, (x2-x1)*(y2-y1) AS area FROM fx_predictions), l AS (SELECT * FROM c WHERE area > 50),
   b AS (SELECT l.page_id, l.k, max({CUT}) m FROM l LEFT JOIN fx_detections d ON d.page_id=l.page_id AND d.idx % 3 = 0 GROUP BY ALL)
   SELECT l.page_id, l.k FROM l JOIN b USING (page_id, k) WHERE coalesce(m,0) < CAST(0.5 AS DOUBLE)*area""", D, "fx_predictions")
 def j3_uncovered_components(v: Views) -> DataFrame:
-    c = v("fx_predictions").select("page_id", F.col("idx").alias("k"), *L.COLS, ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
-    return L.uncovered_components(c, v(D).filter("idx % 3 = 0")).select("page_id", "k")
+    return L.uncovered_components(predicted_components(v), v(D).filter("idx % 3 = 0")).select("page_id", "k")
+
+
+@query()
+def j3_uncovered_components_whole(v: Views) -> DataFrame:
+    """Against every block of the page."""
+    return L.uncovered_components(predicted_components(v), v(D)).select("page_id", "k")
 
 
 @query("""WITH s AS (SELECT l.page_id, l.block_idx, sum(l.y2-l.y1)::DOUBLE v, sum(l.x2-l.x1)::DOUBLE h, count(*) n, max(lang_raw) lang FROM fx_lines l JOIN fx_detections d ON d.page_id=l.page_id AND d.idx=l.block_idx GROUP BY ALL), t AS (SELECT *, CASE WHEN lang='ja' THEN v>h ELSE v>2*h END AS vertical FROM s)
@@ -93,7 +102,7 @@ def a22_average_precision(v: Views) -> DataFrame:
 
 
 def loose_lines(v: Views) -> DataFrame:
-    return v("fx_lines").filter("block_idx % 2 = 1").select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS, (F.col("page_id") % 2 == 0).alias("vertical"))
+    return v("fx_lines").select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS, (F.col("page_id") % 2 == 0).alias("vertical"))
 
 
 @query()
@@ -111,5 +120,6 @@ def h7_split_blocks(v: Views) -> DataFrame:
 @query()
 def h9_group_blocks(v: Views) -> DataFrame:
     lines = v("fx_lines").select("page_id", "block_idx", "line_no", *L.COLS).withColumnRenamed("block_idx", "of")
-    blocks = v(D).filter("idx % 4 <> 0").withColumn("lang", F.col("lang_raw"))
+    # detected boxes moved off the true ones, and none for some: their lines stay unassigned
+    blocks = v("fx_predictions").join(v(D).select("page_id", "idx", F.col("lang_raw").alias("lang")), ["page_id", "idx"])
     return L.group_blocks(lines.select("page_id", "of", "line_no", *L.COLS).drop("line_no").distinct(), blocks, 560, 760)
