@@ -13,6 +13,7 @@ empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -57,7 +58,7 @@ def seeds_of(notice: str) -> list[tuple[str, int]]:
 
 @functools.lru_cache(maxsize=1)
 def searcher():
-    """(automaton of all seeds, compiled notice patterns)."""
+    """(automaton of all seeds, per notice: the pattern of any match and of the best)."""
     import ahocorasick
     import regex
 
@@ -68,7 +69,8 @@ def searcher():
     for seed, where in held.items():
         machine.add_word(seed, (len(seed), where))
     machine.make_automaton()
-    patterns = {n: regex.compile(rf"(?be)(?:{regex.escape(n)}){{e<={errors_of(n)}}}") for n in NOTICES}
+    bounded = {n: rf"(?:{regex.escape(n)}){{e<={errors_of(n)}}}" for n in NOTICES}
+    patterns = {n: (regex.compile(p), regex.compile(f"(?be){p}")) for n, p in bounded.items()}
     return machine, patterns
 
 
@@ -81,26 +83,47 @@ def fuzzy(line: str) -> list[tuple[int, int, int, str]]:
     """(start, end, errors, notice) in ``line``: the best of overlapping finds, fewest errors first, then longest."""
     machine, patterns = searcher()
     windows: dict[str, list[tuple[int, int]]] = {}
+    own: dict[str, set[tuple[int, int]]] = {}
     for end, (size, where) in machine.iter(line):
         for notice, at in where:
             k = errors_of(notice)
             begin = max(0, end + 1 - size - at - k)
             stop = min(len(line), end + 1 - size - at + len(notice) + k)
+            own.setdefault(notice, set()).add((begin, stop))
             spans = windows.setdefault(notice, [])
             if spans and begin <= spans[-1][1]:
                 spans[-1] = (min(spans[-1][0], begin), max(spans[-1][1], stop))
             else:
                 spans.append((begin, stop))
-    found = []
+    # a merged window without any match is done; in others each seed's own window gives its best match
+    open_: set[tuple[str, int, int]] = set()
     for notice, spans in windows.items():
         for begin, stop in spans:
-            for m in patterns[notice].finditer(line, begin, stop):
-                found.append((*m.span(), sum(m.fuzzy_counts), notice))
+            if patterns[notice][0].search(line, begin, stop):
+                open_.update((notice, x, y) for x, y in own[notice] if begin <= x and y <= stop)
     best: list[tuple[int, int, int, str]] = []
-    for f in sorted(found, key=lambda f: (f[2] / len(f[3]), -len(f[3]), f[0])):
-        if not any(f[0] < b and a < f[1] for a, b, *_ in best):
-            best.append(f)
-    return sorted(best)
+    while open_:
+        found = {}
+        for notice, begin, stop in open_:
+            if m := patterns[notice][1].search(line, begin, stop):
+                found[notice, begin, stop] = (*m.span(), sum(m.fuzzy_counts), notice)
+        for f in sorted(set(found.values()), key=lambda f: (f[2] / len(f[3]), -len(f[3]), f[0])):
+            at = bisect.bisect_left(best, (f[0], f[1]))
+            if (at == 0 or best[at - 1][1] <= f[0]) and (at == len(best) or f[1] <= best[at][0]):
+                best.insert(at, f)
+        # a find that lost to a better one hides others: what its window has outside the better ones is searched again
+        open_ = {(n, x, y) for n, begin, stop in found for x, y in gaps(best, begin, stop) if y - x >= len(n) - errors_of(n)}
+    return best
+
+
+def gaps(best: list[tuple[int, int, int, str]], begin: int, stop: int) -> list[tuple[int, int]]:
+    """Parts of begin to stop outside the sorted, disjoint spans of ``best``."""
+    out, at = [], bisect.bisect_left(best, (begin,))
+    at -= at > 0 and best[at - 1][1] > begin
+    while at < len(best) and best[at][0] < stop:
+        out.append((begin, best[at][0]))
+        begin, at = best[at][1], at + 1
+    return [*out, (begin, stop)]
 
 
 def places(line: str, phrase: str) -> list[int]:
