@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(read_docs(spark, sf_dir, "doc_id", "text", "source")).drop("marks", "text_key")
+    return secret_scan(read_docs(spark, sf_dir, "doc_id", "text", "source")).drop("text_key")
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

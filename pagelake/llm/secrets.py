@@ -3,11 +3,12 @@
 Every text is scanned once for candidates: the base kinds and further ones of
 this method. Each candidate's value is hashed, and the corpus is aggregated by
 hash: in how many distinct repositories and by how many distinct owners does it
-stand? A value that many owners have is a copied example; one that few have is
+stand? Near copies of a text count as one repository. A value that many owners or
+many repositories have is a copied example; one that few of both have is
 owner-specific and live-looking. Base spans always stay; spans of the further
 kinds are added where their value is live-looking.
 
-Null text has no spans; repeated rows keep one result row each (each row is a
+Null text has no spans; repeated rows keep one result row each (each text is a
 repository of its own unless ``repo_col`` says otherwise); null owners count as
 one owner; an empty table gives an empty result.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, stored
+from .near_dups import near_duplicates
 
 #: The base kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -89,6 +91,25 @@ def scan(texts: list[str]) -> dict[str, list]:
     return out
 
 
+def with_copies_once(scanned: DataFrame, each: DataFrame, usage: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """``usage`` with near copies of a text as one repository.
+
+    Only the texts whose values few owners but many repositories have are compared;
+    no other verdict depends on it.
+    """
+    wide = stored(usage.filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") > max_repos)).select("hash"), "wide")
+    if wide.isEmpty():
+        return usage
+    uses = each.join(wide, "hash").select("hash", "text_key").distinct()
+    keys = uses.select("text_key").distinct()
+    texts = scanned.filter("text is not null").select("text_key", "text").join(keys, "text_key").dropDuplicates(["text_key"])
+    groups = near_duplicates(stored(texts.select(F.col("text_key").alias("doc_id"), "text"), "texts"))
+    of_text = groups.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("of"))
+    n_texts = uses.join(of_text, "text_key").select("hash", "of").distinct().groupBy("hash").agg(F.count("*").alias("n_texts"))
+    once = usage.join(n_texts, "hash", "left")
+    return once.select("hash", "n_owners", F.least("n_repos", "n_texts").alias("n_repos"))
+
+
 def secret_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -96,10 +117,12 @@ def secret_scan(
     owner_col: str = "source",
     repo_col: str | None = None,
     max_owners: int = 2,
+    max_repos: int = 2,
 ) -> DataFrame:
     """Counts, digests and spans of every row, and which are live-looking.
 
-    A value is live-looking with at most ``max_owners`` distinct owners. Columns:
+    A value is live-looking with at most ``max_owners`` distinct owners and
+    ``max_repos`` distinct repositories. Columns:
     doc_id, n_assign, n_access, n_hex, base_sha256, spans (string), n_live,
     n_examples, text_key (xxhash64 of the text), marks (array of kind, start, end,
     n_owners, n_repos, live).
@@ -111,17 +134,19 @@ def secret_scan(
         (F.xxhash64(F.col(repo_col)) if repo_col else F.lit(None).cast("long")).alias("repo"),
     ).withColumn("text_key", F.xxhash64("text"))
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,hash:binary>>"
-    scanned = map_texts(rows, scan, schema, keep=("doc_id", "owner", "repo", "text_key"))
-    scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = scanned.select("row", "owner", F.coalesce("repo", "row").alias("repo"), F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    counted = lambda c: each.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(f"n_{c}s"))
-    usage = counted("owner").join(counted("repo"), "hash")
+    scanned = map_texts(rows, scan, schema, keep=("doc_id", "owner", "repo", "text_key", "text"))
+    scanned = scanned.withColumn("row", F.monotonically_increasing_id()).withColumn("text", F.when(F.size("found") > 0, F.col("text")))
+    scanned = stored(scanned, "secrets")
+    each = scanned.select("row", "owner", F.coalesce("repo", "text_key").alias("repo"), "text_key", F.explode("found").alias("f")).select("row", "owner", "repo", "text_key", "f.*")
+    counted = lambda rows, c, n: rows.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(n))
+    usage = counted(each, "owner", "n_owners").join(counted(each, "repo", "n_repos"), "hash")
+    usage = stored(with_copies_once(scanned, each, usage, max_owners, max_repos), "usage")
     marks = (
         each.join(usage, "hash")
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos"))).alias("marks"))
     )
-    live = lambda m: m["n_owners"] <= max_owners
+    live = lambda m: (m["n_owners"] <= max_owners) & (m["n_repos"] <= max_repos)
     name = F.array(*map(F.lit, KINDS))
     text_of = lambda m: F.concat_ws(":", F.get(name, m["kind"]), m["start"], m["end"])
     stays = lambda m: (m["kind"] < BASE) | live(m)
