@@ -24,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, stored
 
-COORDINATES, TREES, LEAF, DEPTH = 128, 12, 1024, 11
+COORDINATES, LEAF, DEPTH = 128, 1024, 11
+#: Chance that a pair exactly at the threshold shares a leaf of some tree at the last level, at least.
+RECALL = 0.997
+#: Bits of a node that name its tree.
+TREE_BITS = 6
 #: Trees whose leaves give spanning pairs first.
 FIRST_TREES = 4
 #: Rows of a large node that are compared at once with as many others.
@@ -53,6 +58,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 _FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
+def missed(threshold: float, trees: int, depth: int) -> float:
+    """Chance that a pair of this similarity shares no leaf at ``depth`` of any tree.
+
+    All trees see one sketch, in which a binomial number of coordinates is equal; given
+    that number, nodes choose coordinates independently.
+    """
+    equal = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in equal.tolist()])
+    share, meets = equal / COORDINATES, np.ones(COORDINATES + 1)
+    for _ in range(depth):
+        meets = 1 - (1 - share * meets) * (1 - (1 / threshold - 1) * share * meets)
+    return float((chance * (1 - meets) ** trees).sum())
+
+
+def trees_for(threshold: float, recall: float, depth: int | None = None) -> int:
+    """The smallest number of trees that misses at most 1 - ``recall``."""
+    most = 1 << TREE_BITS
+    for n in range(FIRST_TREES, most + 1):
+        if missed(threshold, n, DEPTH if depth is None else depth) <= 1 - recall:
+            return n
+    raise ValueError(f"recall {recall} at {threshold} takes more than {most} trees")
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KNOWN:
@@ -103,20 +131,21 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 def descend(path: np.ndarray, index: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Children of (path, row): each node chooses a coordinate, and a second with probability 1 / threshold - 1."""
-    tree = path & U(15)
+    own = U((1 << TREE_BITS) - 1)
+    tree = path & own
     chance = U(int((1 / threshold - 1) * 2**32))
     out = []
     for k in (1, 2):
         choice = mix(path + U((k * 0x9E3779B97F4A7C15) % 2**64))
         c = choice % U(COORDINATES)
-        child = (mix(path ^ mix((c << U(16)) | tokens[index, c.astype(np.int64)].astype(np.uint64))) & ~U(15)) | tree
+        child = (mix(path ^ mix((c << U(16)) | tokens[index, c.astype(np.int64)].astype(np.uint64))) & ~own) | tree
         taken = np.ones(len(path), bool) if k == 1 else (choice >> U(32)) < chance
         out.append((child[taken], index[taken]))
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def branch(members: DataFrame, threshold: float, levels: int, roots: bool) -> DataFrame:
-    """(node, cls) after more levels. members: (cls, sketch), with a node unless they start at the roots."""
+def branch(members: DataFrame, threshold: float, levels: int, trees: int = 0) -> DataFrame:
+    """(node, cls) after more levels. members: (cls, sketch), with a node unless they start at the roots of ``trees``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +153,8 @@ def branch(members: DataFrame, threshold: float, levels: int, roots: bool) -> Da
                 part = batch.slice(at, 4096)
                 n = part.num_rows
                 tokens = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(n, COORDINATES)
-                if roots:
-                    path, index = np.repeat(np.arange(TREES, dtype=np.uint64), n), np.tile(np.arange(n), TREES)
+                if trees:
+                    path, index = np.repeat(np.arange(trees, dtype=np.uint64), n), np.tile(np.arange(n), trees)
                 else:
                     path, index = part.column("node").to_numpy().view(np.uint64), np.arange(n)
                 for _ in range(levels):
@@ -240,10 +269,10 @@ def block_pairs(members: DataFrame, cut: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def grow_trees(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grow_trees(classes: DataFrame, threshold: float, trees: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of nodes of two, members of leaves of three and more, members of nodes that stay large)."""
     pairs, leaves, depth, levels = [], [], 0, 2
-    current = branch(classes.select("cls", "sketch"), threshold, levels, roots=True)
+    current = branch(classes.select("cls", "sketch"), threshold, levels, trees)
     while True:
         depth += levels
         sizes = stored(current.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("n > 1"), "nodes")
@@ -254,7 +283,7 @@ def grow_trees(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         if depth >= DEPTH or large.isEmpty():
             return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, leaves), large
         levels = 3
-        current = stored(branch(large.join(classes.select("cls", "sketch"), "cls"), threshold, levels, roots=False), "paths")
+        current = stored(branch(large.join(classes.select("cls", "sketch"), "cls"), threshold, levels), "paths")
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
@@ -326,22 +355,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (the id is the component's) of every row.
 
     Documents are linked with 100 * intersection >= percent * union of their sets of ``size``-word shingles.
+    ``recall`` sets the number of trees (``trees_for``).
     """
     threshold = percent / 100
     cut = threshold - 4 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
     docs = id_and_text(docs, id_col, text_col)
     rows = set_table(docs, size)
     classes = stored(rows.filter("key is not null and doc_id is not null").groupBy("key", "sketch").agg(F.min("doc_id").alias("cls")), "classes")
-    twos, leaves, large = grow_trees(classes, threshold)
+    twos, leaves, large = grow_trees(classes, threshold, trees_for(threshold, recall))
     sketches = classes.select("cls", "sketch")
     labelled = lambda members, labels: members.join(sketches, "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     none = classes.sparkSession.createDataFrame([], "cls long, label long")
 
-    first_leaves = leaves.filter(F.expr(f"node & 15 < {FIRST_TREES}"))
+    first_leaves = leaves.filter(F.expr(f"(node & {(1 << TREE_BITS) - 1}) < {FIRST_TREES}"))
     first_large = large.groupBy("node").agg(F.min("cls").alias("a"))
     stars = large.join(first_large, "node").filter("a <> cls").select("a", F.col("cls").alias("b"))
     few = near_pairs(twos.unionByName(stars), classes, cut)
