@@ -8,10 +8,14 @@ the part of them that falls in each of several random subsets of the lexicon.
 Subsets come in groups of decreasing density, so that short and long texts both
 find subsets with one or two of their terms.
 
+Copies count once: document frequencies are those over distinct term sets. A
+fingerprint also has subsets over all terms of the text, for texts of which the
+lexicon has too few terms (texts of a large group of near copies, small tables).
+
 Likeness of two fingerprints is the share of equal subset hashes among subsets
 that are not empty in both, in the sparsest group with at least ``MIN_FILLED``
-such subsets (else in the densest). Equal texts have equal fingerprints and likeness 1; texts
-without terms of the lexicon are alike only if all their terms are equal.
+such subsets (else in the densest); over all terms on both sides where the lexicon
+has too few of either side. Equal texts have equal fingerprints and likeness 1.
 
 Null text is empty; null ids come last in descending order; rows that repeat an
 id are ordered by text and each keeps its result row; with one row, it is its own
@@ -35,6 +39,10 @@ LOW, HIGH = 1e-4, 1e-2
 #: Each group has SUBSETS random subsets, one term in so many in each.
 SPARSITY, SUBSETS = (16, 128, 1024), 12
 MIN_FILLED = 6
+#: A text with fewer terms of the lexicon, or a smaller share of its terms, has too few.
+MIN_KNOWN, MIN_SHARE = 8, 1 / 8
+#: Places of a fingerprint: all terms, subsets over the lexicon, subsets over all terms, and 1 where the lexicon has enough terms.
+OVER_LEXICON, OVER_ALL, ENOUGH = 1, 1 + len(SPARSITY) * SUBSETS, 1 + 2 * len(SPARSITY) * SUBSETS
 
 
 def term_hashes(text: Column) -> Column:
@@ -47,11 +55,18 @@ def place(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
 
 
-def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row, one array: the bit table of places whose document frequency is within the band."""
-    places = F.array_distinct(F.transform(term_hashes(F.col("text")), place))
-    counts = texts.select(F.explode(places).alias("p")).groupBy("p").agg(F.count("*").alias("df"))
-    total = texts.select(F.count("*").alias("n"))
+def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH, once: bool = False) -> DataFrame:
+    """One row, one array: the bit table of places whose document frequency is within the band.
+
+    With ``once``, texts of equal term sets count as one document.
+    """
+    places = lambda terms: F.array_distinct(F.transform(terms, lambda h: place(h).cast("int")))
+    terms = texts.select(F.sort_array(F.array_distinct(term_hashes(F.col("text")))).alias("terms"))
+    sets = terms.select(F.xxhash64("terms").alias("of"), places(F.col("terms")).alias("places"))
+    if once:
+        sets = sets.dropDuplicates(["of"])
+    counts = sets.select(F.explode("places").alias("p")).groupBy("p").agg(F.count("*").alias("df"))
+    total = sets.select(F.count("*").alias("n"))
     band = counts.crossJoin(F.broadcast(total)).filter((F.col("df") >= F.col("n") * low) & (F.col("df") <= F.col("n") * high))  # total is one row
     words = band.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v"))
     every = texts.sparkSession.range(1 << (PLACE_BITS - 6)).select(F.col("id").alias("w"))
@@ -86,22 +101,28 @@ def subset_hashes(known: Column, group: int) -> Column:
 
 
 def fingerprint(text: Column, bits: Column) -> Column:
-    """Array of longs: the hash of all distinct terms, then of each subset (null where it has none)."""
+    """Array of longs: the hash of all distinct terms, then of each subset (null where it has none).
+
+    Subsets over the lexicon come first, then those over all terms, and last 1 or 0: has the lexicon enough terms of the text?
+    """
 
     def of(every: Column) -> Column:
+        groups = lambda terms: [subset_hashes(terms, g) for g in range(len(SPARSITY))]
+        enough = lambda k: ((F.size(k) >= MIN_KNOWN) & (F.size(k) >= F.size(every) * MIN_SHARE)).cast("long")
         known = F.filter(every, lambda h: in_lexicon(h, bits))
-        groups = let(known, lambda k: F.concat(*(subset_hashes(k, g) for g in range(len(SPARSITY)))))
-        return F.concat(F.array(F.xxhash64(every)), groups)
+        return let(known, lambda k: F.concat(F.array(F.xxhash64(every)), *groups(k), *groups(every), F.array(enough(k))))
 
     return let(F.sort_array(F.array_distinct(term_hashes(text))), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprint arrays."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+    enough = (F.get(a, F.lit(ENOUGH)) == 1) & (F.get(b, F.lit(ENOUGH)) == 1)
+    side = lambda fp: F.slice(fp, F.when(enough, OVER_LEXICON + 1).otherwise(OVER_ALL + 1), F.lit(OVER_ALL - OVER_LEXICON))
+    pairs = F.arrays_zip(side(a).alias("a"), side(b).alias("b"))
     steps = []
     for g in range(len(SPARSITY)):
-        part = F.slice(pairs, 2 + g * SUBSETS, SUBSETS)
+        part = F.slice(pairs, 1 + g * SUBSETS, SUBSETS)
         filled = F.size(F.filter(part, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
         equal = F.size(F.filter(part, lambda p: p["a"] == p["b"]))
         steps.append((filled, equal / F.greatest(filled, F.lit(1))))
@@ -119,7 +140,7 @@ def printed(fp: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row, against the lexicon of all rows."""
     texts = id_and_text(docs, id_col, text_col)
-    bits = F.broadcast(lexicon(texts))  # one row of fixed size
+    bits = F.broadcast(lexicon(texts, once=True))  # one row of fixed size
     return texts.crossJoin(bits).select("doc_id", printed(fingerprint(F.col("text"), F.col("bits"))).alias("fingerprint"))
 
 
@@ -154,7 +175,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of the next document in descending order of ids.
     """
     texts = id_and_text(docs, id_col, text_col)
-    bits = F.broadcast(lexicon(texts))  # one row of fixed size
+    bits = F.broadcast(lexicon(texts, once=True))  # one row of fixed size
     own = texts.crossJoin(bits).select("doc_id", "text", fingerprint(F.col("text"), F.col("bits")).alias("fp"))
     both = with_next(own, ("text", "fp"))
     n = F.length("text")
