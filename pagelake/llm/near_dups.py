@@ -9,16 +9,22 @@ there. Nodes of at most ``leaf`` classes are compared exhaustively on sketches;
 larger ones branch further. Pairs whose sketches come near the threshold are
 confirmed on the full sets, and confirmed links give connected components.
 
-Only components matter, so first each leaf of a few trees gives the strongest
-pairs that span it; then all leaves of all trees give every near pair that still
-joins two components. A node that stays large down to the last level (thousands of
-near copies) is compared in blocks: its members outside its main component, in
-chunks, against blocks of all its members. No pair is capped away.
+Only components matter, and no list of pairs ever leaves a task. In a first round
+the leaves of a few trees, in a second those of all others name the members that
+come near one of another component (of a pair, in the first node that both share);
+the sets of those members go to the leaf once each, and the leaf confirms what
+joins its components and gives at most one link less than it has members. A node
+that stays large down to the last level (thousands of near copies) goes through
+the first round in chunks with a few common guests, and through the second in
+blocks: its members outside its main component against all of its members. Leaves
+of very many shingles are split. No pair is capped away.
 
 Null and word-less texts have empty sets and are linked with nothing. Texts with
 fewer words than a shingle are one shingle of all their words. Rows that repeat
-an id are one document with several sets; each keeps its result row. An empty
-table gives an empty result.
+an id are one document with several sets; each keeps its result row. A row
+without an id cannot be named by a link and is a group of its own. A very long
+text is one set of its size (8 bytes a shingle) in a task. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,20 +36,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, stored
+from .common import drop_tables, id_and_text, map_texts, stored
 
 COORDINATES, LEAF, DEPTH = 128, 1024, 11
 #: Chance that a pair exactly at the threshold shares a leaf of some tree at the last level, at least.
 RECALL = 0.997
-#: Bits of a node that name its tree.
-TREE_BITS = 6
-#: Trees whose leaves give spanning pairs first.
-FIRST_TREES = 4
+#: At most so many trees; the first nodes of a tree and of the next are ONE_TREE apart.
+MOST_TREES, ONE_TREE = 64, 1 << 57
+#: Trees of the first round.
+FIRST_TREES = 1
+#: Members of a large node that every chunk of it meets.
+GUESTS = 4
 #: Rows of a large node that are compared at once with as many others.
 BLOCK = 1024
+#: Shingles of a cell whose full sets are compared at once; cells of more are split.
+CELL_SHINGLES = 2_000_000
 WORDS_KNOWN = 300_000
 U = np.uint64
 
@@ -74,11 +85,10 @@ def missed(threshold: float, trees: int, depth: int) -> float:
 
 def trees_for(threshold: float, recall: float, depth: int | None = None) -> int:
     """The smallest number of trees that misses at most 1 - ``recall``."""
-    most = 1 << TREE_BITS
-    for n in range(FIRST_TREES, most + 1):
+    for n in range(FIRST_TREES + 1, MOST_TREES + 1):
         if missed(threshold, n, DEPTH if depth is None else depth) <= 1 - recall:
             return n
-    raise ValueError(f"recall {recall} at {threshold} takes more than {most} trees")
+    raise ValueError(f"recall {recall} at {threshold} takes more than {MOST_TREES} trees")
 
 
 class _Words(dict):
@@ -106,12 +116,13 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The minwise token, 16 bits, at each coordinate."""
+    """The minwise token, 16 bits, at each coordinate: first the low bytes, then the high ones."""
     x = (hashes >> U(32)).astype(np.uint32)
     least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
         np.minimum(least, (_FACTORS * x[None, at : at + 512]).min(1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    token = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    return np.concatenate((token.astype(np.uint8), (token >> np.uint16(8)).astype(np.uint8)))
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
@@ -131,17 +142,18 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 def descend(path: np.ndarray, index: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Children of (path, row): each node chooses a coordinate, and a second with probability 1 / threshold - 1."""
-    own = U((1 << TREE_BITS) - 1)
-    tree = path & own
-    chance = U(int((1 / threshold - 1) * 2**32))
-    out = []
-    for k in (1, 2):
-        choice = mix(path + U((k * 0x9E3779B97F4A7C15) % 2**64))
-        c = choice % U(COORDINATES)
-        child = (mix(path ^ mix((c << U(16)) | tokens[index, c.astype(np.int64)].astype(np.uint64))) & ~own) | tree
-        taken = np.ones(len(path), bool) if k == 1 else (choice >> U(32)) < chance
-        out.append((child[taken], index[taken]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    tree = path & ~U(ONE_TREE - 1)
+    choice = mix(path + U(0x9E3779B97F4A7C15))
+    first = choice % U(COORDINATES)
+    second = (first + U(1) + (choice >> U(8)) % U(COORDINATES - 1)) % U(COORDINATES)
+    taken = (choice >> U(32)) < U(int((1 / threshold - 1) * 2**32))
+
+    def child(c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        token = tokens[index[at], c[at].astype(np.int64)].astype(np.uint64)
+        return (mix(path[at] ^ mix((c[at] << U(16)) | token)) & U(ONE_TREE - 1)) | tree[at]
+
+    every = np.ones(len(path), bool)
+    return np.concatenate([child(first, every), child(second, taken)]), np.concatenate([index, index[taken]])
 
 
 def branch(members: DataFrame, threshold: float, levels: int, trees: int = 0) -> DataFrame:
@@ -152,9 +164,10 @@ def branch(members: DataFrame, threshold: float, levels: int, trees: int = 0) ->
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 n = part.num_rows
-                tokens = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(n, COORDINATES)
+                both = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(n, 2 * COORDINATES)
+                tokens = both[:, :COORDINATES] | both[:, COORDINATES:].astype(np.uint16) << np.uint16(8)
                 if trees:
-                    path, index = np.repeat(np.arange(trees, dtype=np.uint64), n), np.tile(np.arange(n), trees)
+                    path, index = np.repeat(np.arange(trees, dtype=np.uint64) * U(ONE_TREE), n), np.tile(np.arange(n), trees)
                 else:
                     path, index = part.column("node").to_numpy().view(np.uint64), np.arange(n)
                 for _ in range(levels):
@@ -164,238 +177,294 @@ def branch(members: DataFrame, threshold: float, levels: int, trees: int = 0) ->
     return members.mapInArrow(run, "node long, cls long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray | list]]:
-    """Groups of equal key from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if held and held[-1].column(key)[0].as_py() != k[0]:
-            yield _columns(held)
-            held = []
-        for a, b in zip([0, *cuts], [*cuts, len(k)]):
-            held.append(batch.slice(a, b - a))
-            if b < len(k):
-                yield _columns(held)
-                held = []
-    if held:
-        yield _columns(held)
-
-
-def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray | list]:
-    table = pa.Table.from_batches(parts)
-    return {n: table.column(n).to_pylist() if pa.types.is_binary(table.schema.field(n).type) else table.column(n).to_numpy() for n in table.column_names}
-
-
-def _bytes(sketches: list[bytes]) -> np.ndarray:
-    """The low byte of each token."""
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)[:, ::2]
-
+def grow_trees(classes: DataFrame, threshold: float, trees: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node, cls, n) of the leaves, and of the nodes that stay large down to the last level; n counts a node's classes."""
+    leaves, depth, levels = [], 0, 2
+    current = branch(classes.select("cls", "sketch"), threshold, levels, trees)
+    while True:
+        depth += levels
+        sizes = stored(current.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "nodes", made)
+        members = stored(current.join(sizes, "node"), "members", made)
+        leaves.append(members.filter(F.col("n") <= LEAF))
+        large = members.filter(F.col("n") > LEAF)
+        if depth >= DEPTH or large.isEmpty():
+            return reduce(DataFrame.unionByName, leaves), large
+        levels = 3
+        current = stored(branch(large.select("node", "cls").join(classes.select("cls", "sketch"), "cls"), threshold, levels), "paths", made)
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each row of a to each of b."""
-    equal = np.stack([(row[None, :] == b).mean(1) for row in a])
-    return (equal - 1 / 256) / (1 - 1 / 256)
 
+def whole_cells(leaves: DataFrame) -> DataFrame:
+    """Cells (cell, node, side, cls) of leaves: all members compared with all."""
+    return leaves.select(F.col("node").alias("cell"), "node", F.lit(0).alias("side"), "cls")
 
-def spanning(est: np.ndarray, cut: float) -> list[tuple[int, int]]:
-    """Pairs of a maximum spanning forest over likenesses of at least ``cut``."""
-    n = len(est)
-    best, parent, out = np.full(n, -1.0), np.zeros(n, np.int64), []
-    left = np.ones(n, bool)
-    for _ in range(n):
-        v = int(np.argmax(np.where(left, best, -2.0)))
-        if best[v] >= cut:
-            out.append((int(parent[v]), v))
-        left[v] = False
-        closer = left & (est[v] > best)
-        best[closer], parent[closer] = est[v][closer], v
-    return out
 
+def chunk_cells(large: DataFrame) -> DataFrame:
+    """Large nodes in chunks, each compared within itself and with a few guests, the same in all chunks of a node."""
+    chunks = F.ceil(F.col("n") / LEAF).cast("int")
+    chunk = F.pmod(F.xxhash64("cls", "node"), chunks).cast("int")
+    own = large.select("node", "cls", chunk.alias("chunk"))
+    some = F.array(*[F.min_by("cls", F.xxhash64("cls", F.lit(k))) for k in range(GUESTS)])
+    guests = large.groupBy("node", "n").agg(F.array_distinct(some).alias("some"))
+    guests = guests.select("node", "n", F.explode("some").alias("cls"))
+    guests = guests.select("node", "cls", chunk.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).filter("own <> chunk")
+    every = own.unionByName(guests.drop("own"))
+    return every.select(F.xxhash64("node", "chunk").alias("cell"), "node", F.lit(0).alias("side"), "cls")
 
-def leaf_pairs(members: DataFrame, cut: float, span: bool) -> DataFrame:
-    """Pairs (a, b) of leaves' members (node, cls, label, sketch): spanning ones, or all near ones of two labels."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, "node"):
-            cls, label = group["cls"], group["label"]
-            if len(cls) < 2 or (label == label[0]).all():
-                continue
-            tokens = _bytes(group["sketch"])
-            est = likeness(tokens, tokens)
-            if span:
-                found = np.array(spanning(est, cut), np.int64).reshape(-1, 2)
-            else:
-                found = np.argwhere(np.triu(est >= cut, 1) & (label[:, None] != label[None, :]))
-            if len(found):
-                a, b = cls[found[:, 0]], cls[found[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    dealt = members.select("node", "cls", "label", "sketch").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b")
-
-
-def block_pairs(members: DataFrame, cut: float) -> DataFrame:
-    """Near pairs of two labels in large nodes: members outside a node's main label, in chunks, against blocks of all."""
-    sizes = members.groupBy("node", "label").agg(F.count("*").alias("n"))
+def block_cells(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Large nodes of several labels: members outside a node's main label, in chunks, against blocks of all."""
+    rows = large.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    sizes = rows.groupBy("node", "label").agg(F.count("*").alias("of_label"))
     main = sizes.groupBy("node").agg(
-        F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.max_by("label", F.struct("n", F.col("label") * -1)).alias("main")
+        F.sum("of_label").alias("n_all"), F.max("of_label").alias("n_main"), F.max_by("label", F.struct("of_label", F.col("label") * -1)).alias("main")
     ).filter("n_all > n_main")
-    rows = members.join(main, "node")
+    rows = rows.join(main, "node")
     blocks = F.ceil(F.col("n_all") / BLOCK).cast("int")
     chunks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
     place = lambda k: F.pmod(F.xxhash64("cls", "node"), k).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    base = rows.select("node", "cls", "label", "sketch", place(blocks).alias("block"), spread(chunks).alias("chunk"), F.lit(0).alias("side"))
-    others = rows.filter("label <> main").select("node", "cls", "label", "sketch", spread(blocks).alias("block"), place(chunks).alias("chunk"), F.lit(1).alias("side"))
-    cells = base.unionByName(others).withColumn("cell", F.xxhash64("node", "block", "chunk"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, "cell"):
-            side = group["side"] == 1
-            if not side.any() or side.all():
-                continue
-            tokens, cls, label = _bytes(group["sketch"]), group["cls"], group["label"]
-            b_tokens, b_cls, b_label = tokens[~side], cls[~side], label[~side]
-            for i in np.flatnonzero(side):
-                hit = (likeness(tokens[i : i + 1], b_tokens)[0] >= cut) & (b_label != label[i])
-                if hit.any():
-                    x, y = np.minimum(b_cls[hit], cls[i]), np.maximum(b_cls[hit], cls[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    dealt = cells.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "cls", "label", "sketch")
-    return dealt.mapInArrow(run, "a long, b long")
+    base = rows.select("node", "cls", place(blocks).alias("block"), spread(chunks).alias("chunk"), F.lit(1).alias("side"))
+    others = rows.filter("label <> main").select("node", "cls", spread(blocks).alias("block"), place(chunks).alias("chunk"), F.lit(2).alias("side"))
+    return base.unionByName(others).select(F.xxhash64("node", "block", "chunk").alias("cell"), "node", "side", "cls")
 
 
-def grow_trees(classes: DataFrame, threshold: float, trees: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs of nodes of two, members of leaves of three and more, members of nodes that stay large)."""
-    pairs, leaves, depth, levels = [], [], 0, 2
-    current = branch(classes.select("cls", "sketch"), threshold, levels, trees)
-    while True:
-        depth += levels
-        sizes = stored(current.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("n > 1"), "nodes")
-        pairs.append(sizes.filter("n = 2 and a <> b").select("a", "b"))
-        members = stored(current.join(sizes.filter("n > 2").select("node", "n"), "node"), "members")
-        leaves.append(members.filter(F.col("n") <= LEAF).select("node", "cls"))
-        large = members.filter(F.col("n") > LEAF).select("node", "cls")
-        if depth >= DEPTH or large.isEmpty():
-            return reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, leaves), large
-        levels = 3
-        current = stored(branch(large.join(classes.select("cls", "sketch"), "cls"), threshold, levels), "paths")
-
-
-def near_pairs(pairs: DataFrame, classes: DataFrame, cut: float) -> DataFrame:
-    """Distinct pairs whose sketches are near."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"))
+def cell_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if held and held[-1].column("cell")[0].as_py() != cell[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif not held and cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cells of a sorted array begin and end."""
+    cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cell)]))
+
+
+def rows_of_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+class Bags:
+    """Sets of ascending numbers, a row each: how many does one row share with others?"""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.known, self.flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.mark = np.zeros(len(self.known), bool)
+
+    def shared(self, i: int, others: np.ndarray, below: int | None = None) -> np.ndarray:
+        """How many numbers of row i (those under ``below``) each of the others has."""
+        mine = self.flat[self.starts[i] : self.ends[i]]
+        mine = mine if below is None else mine[: np.searchsorted(self.known[mine], below)]
+        self.mark[mine] = True
+        starts, sizes = self.starts[others], self.ends[others] - self.starts[others]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        hits = np.concatenate(([0], np.cumsum(self.mark[self.flat[at]])))
+        self.mark[mine] = False
+        return hits[ends] - hits[ends - sizes]
+
+
+def candidates(low: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, cut: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of a cell: pairs of two labels whose sketches and set sizes are near, rows of rare labels first."""
+    _, group, often = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((group, often[group]))
+    last = group[order[-1]]
+    for k, i in enumerate(order[:-1]):
+        if group[i] == last:
+            return
+        js = order[k + 1 :]
+        near = (group[js] != group[i]) & ((side[js] != side[i]) | (side[i] == 0))
+        near &= (100 * n[js] >= percent * n[i]) & (100 * n[i] >= percent * n[js])
+        js = js[near]
+        if len(js):
+            js = js[(low[js] == low[i]).sum(1) >= cut]
+            if len(js):
+                yield int(i), js
+
+
+def flagged(cells: DataFrame, info: DataFrame, cut: float, percent: int) -> DataFrame:
+    """Members of cells that are near a member of another label and meet it in no earlier node: cell, node, side, cls, n.
+
+    info: cls, n, low, label, nodes (all nodes of the class in order).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (_bytes(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-                near = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256) >= cut
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+        for table in cell_tables(batches):
+            n, label, side, node = (table.column(c).to_numpy() for c in ("n", "label", "side", "node"))
+            low = rows_of_bytes(table.column("low"))
+            keep = np.zeros(len(n), bool)
+            starts, ends = bounds(table.column("cell").to_numpy())
+            # nodes of two in one step; others with near pairs get their earlier nodes compared
+            a = starts[ends - starts == 2]
+            near = (label[a] != label[a + 1]) & (100 * np.minimum(n[a], n[a + 1]) >= percent * np.maximum(n[a], n[a + 1]))
+            a = a[near & ((side[a] == 0) | (side[a] != side[a + 1]))]
+            a = a[(low[a] == low[a + 1]).sum(1) >= cut]
+            pairs = [(k, k + 2, 0, np.array([1])) for k in a.tolist()]
+            more = ends - starts > 2
+            for s, e in zip(starts[more].tolist(), ends[more].tolist()):
+                if (label[s:e] != label[s]).any():
+                    pairs += [(s, e, i, js) for i, js in candidates(low[s:e], n[s:e], label[s:e], side[s:e], cut, percent)]
+            bags, of = None, -1
+            for s, e, i, js in pairs:
+                if s != of:
+                    bags, of = Bags(table.column("nodes").slice(s, e - s)), s
+                js = js[bags.shared(i, js, node[s]) == 0]
+                if len(js):
+                    keep[s + i] = True
+                    keep[s + js] = True
+            if keep.any():
+                yield from table.select(["cell", "node", "side", "cls", "n"]).filter(pa.array(keep)).to_batches()
+
+    dealt = cells.join(info, "cls").select("cell", "node", "side", "cls", "n", "low", "label", "nodes").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "cell long, node long, side int, cls long, n long")
+
+
+def split_cells(members: DataFrame) -> DataFrame:
+    """Cells of very many shingles in smaller ones, so that the sets of one fit in memory; every pair still meets."""
+    total = members.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("parts"))
+    rows = members.join(total, "cell")
+    own = F.pmod(F.xxhash64("cls", "cell"), F.col("parts")).cast("int")
+    rows = rows.select("cell", "side", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    first = F.when(F.col("side") == 0, F.least("own", "other")).when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))
+    second = F.when(F.col("side") == 0, F.greatest("own", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
+    side = F.when((F.col("side") > 0) | (F.col("own") == F.col("other")), F.col("side")).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
+    return rows.select(F.xxhash64("cell", first, second).alias("cell"), side.cast("int").alias("side"), "cls")
+
+
+def links_of(members: DataFrame, bodies: DataFrame, cut: float, percent: int) -> DataFrame:
+    """Links (a, b) that join the labels of each cell, confirmed on the full sets: 100 * intersection >= percent * union.
+
+    Candidates within one component need no look. bodies: cls, n, low, label, shingles.
+    """
 
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cell_tables(batches):
+            starts, ends = bounds(table.column("cell").to_numpy())
+            found: list[tuple[int, int]] = []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                part = table.slice(s, e - s)
+                cls, n, label, side = (part.column(c).to_numpy() for c in ("cls", "n", "label", "side"))
+                bags, root = None, np.unique(label, return_inverse=True)[1]
+                for i, js in candidates(rows_of_bytes(part.column("low")), n, label, side, cut, percent):
+                    js = js[root[js] != root[i]]
+                    if not len(js):
+                        continue
+                    bags = bags or Bags(part.column("shingles"))
+                    both = bags.shared(i, js)
+                    js = js[100 * both >= percent * (n[i] + n[js] - both)]
+                    _, first = np.unique(root[js], return_index=True)
+                    for j in js[first].tolist():
+                        found.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+                        root[root == root[j]] = root[i]
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = members.join(bodies, "cls").select("cell", "side", "cls", "n", "low", "label", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, bits: int = 20) -> DataFrame:
-    """Texts of the documents of ``ids`` (cls). A bit table of fixed size drops most others before the shuffle."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataFrame:
+    """(cls, shingles) of the documents of ``ids`` (cls). A bit table of fixed size drops most others before the shuffle."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     words = ids.select(place(F.col("cls")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     table = np.zeros(1 << (bits - 6), np.uint64)
     for w, v in words.collect():  # at most 2 ** (bits - 6) rows
         table[w] = U(v & 0xFFFFFFFFFFFFFFFF)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p").to_numpy()
             keep = (table[p >> 6] >> (p & 63).astype(np.uint64)) & U(1) == U(1)
             yield batch.select(["cls", "text"]).filter(pa.array(keep))
 
-    held = docs.select(F.col("doc_id").alias("cls"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(run, "cls long, text string")
-    return held.join(ids, "cls", "left_semi")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets."""
-    side = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            last, held = None, np.zeros(0, np.uint64)
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                if (a, ta) != last:
-                    last, held = (a, ta), shingle_set(ta, size)
-                other = shingle_set(tb, size)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                union = len(held) + len(other) - both
-                good.append(union > 0 and 100 * both >= percent * union)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, size).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    held = docs.select(F.col("doc_id").alias("cls"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "cls long, text string")
+    return held.join(ids, "cls", "left_semi").mapInArrow(shingled, "cls long, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list[str]) -> DataFrame:
     """(cls, label) of every end of an edge: label is the smallest id reachable.
 
     Labels spread to neighbours and jump to their label's label until none changes.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("cls")).alias("label")), "labels")
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", made)
+    labels = stored(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.col("cls")).alias("label")), "labels", made)
     while True:
         spread = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
         closer = labels.join(spread, "cls").select("cls", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("cls").alias("label"), F.col("label").alias("root"))
-        new = stored(closer.join(root, "label").select("cls", "was", F.least("label", "root").alias("label")), "labels")
+        new = stored(closer.join(root, "label").select("cls", "was", F.least("label", "root").alias("label")), "labels", made)
         labels = new.select("cls", "label")
         if new.filter("label <> was").isEmpty():
             return labels
 
 
+def joined_labels(labels: DataFrame, links: DataFrame, made: list[str]) -> DataFrame:
+    """``labels`` after further links between classes of different labels."""
+    label_of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), made)
+    renamed = joined.select(F.col("cls").alias("label"), F.col("label").alias("new"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels, "cls", "left_anti").withColumn("label", F.col("cls"))
+    return stored(labels.unionByName(fresh).join(renamed, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "labels", made)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (the id is the component's) of every row.
 
     Documents are linked with 100 * intersection >= percent * union of their sets of ``size``-word shingles.
-    ``recall`` sets the number of trees (``trees_for``).
+    ``recall`` sets the number of trees (``trees_for``). A row without an id is a group of its own: null component_id, kept.
     """
     threshold = percent / 100
     cut = threshold - 4 * (threshold * (1 - threshold) / COORDINATES) ** 0.5
+    cut = COORDINATES * (cut * (1 - 1 / 256) + 1 / 256)  # equal low bytes, some by chance
+    made: list[str] = []
     docs = id_and_text(docs, id_col, text_col)
     rows = set_table(docs, size)
-    classes = stored(rows.filter("key is not null and doc_id is not null").groupBy("key", "sketch").agg(F.min("doc_id").alias("cls")), "classes")
-    twos, leaves, large = grow_trees(classes, threshold, trees_for(threshold, recall))
-    sketches = classes.select("cls", "sketch")
-    labelled = lambda members, labels: members.join(sketches, "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    none = classes.sparkSession.createDataFrame([], "cls long, label long")
-
-    first_leaves = leaves.filter(F.expr(f"(node & {(1 << TREE_BITS) - 1}) < {FIRST_TREES}"))
-    first_large = large.groupBy("node").agg(F.min("cls").alias("a"))
-    stars = large.join(first_large, "node").filter("a <> cls").select("a", F.col("cls").alias("b"))
-    few = near_pairs(twos.unionByName(stars), classes, cut)
-    few = stored(few.unionByName(leaf_pairs(labelled(first_leaves, none), cut, span=True)).distinct(), "pairs")
-    ids = few.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    links = stored(confirmed(few, texts_of(docs, ids), size, percent), "links")
-    labels = components(links)
-
-    more = leaf_pairs(labelled(leaves, labels), cut, span=False)
-    more = more.unionByName(block_pairs(labelled(large, labels), cut)).distinct().join(few, ["a", "b"], "left_anti")
-    more = stored(more, "pairs")
-    ids = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    late = stored(confirmed(more, texts_of(docs, ids), size, percent), "links")
-    if not late.isEmpty():
-        label_of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
-        ends = late.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
-        joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        renamed = joined.select(F.col("cls").alias("label"), F.col("label").alias("new"))
-        every = labels.unionByName(late.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels, "cls", "left_anti").withColumn("label", F.col("cls")))
-        labels = stored(every.join(renamed, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "labels")
-
-    class_of = classes.select("key", "cls")
-    placed = rows.select("doc_id", "n_shingles", "key").join(class_of, "key", "left").join(labels, "cls", "left")
-    component = F.coalesce("label", "cls", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-
-
+    distinct = rows.filter("key is not null and doc_id is not null").groupBy("key", "sketch")
+    classes = stored(distinct.agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n")), "classes", made)
+    leaves, large = grow_trees(classes, threshold, trees_for(threshold, recall), made)
+    nodes = leaves.unionByName(large).groupBy("cls").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    known = stored(classes.select("cls", "n", F.substring("sketch", 1, COORDINATES).alias("low")).join(nodes, "cls"), "known", made)
+
+    first = F.col("node") < FIRST_TREES * ONE_TREE
+    labels = classes.sparkSession.createDataFrame([], "cls long, label long")
+    for cells in (
+        lambda: whole_cells(leaves.filter(first)).unionByName(chunk_cells(large.filter(first))),
+        lambda: whole_cells(leaves.filter(~first)).unionByName(block_cells(large, labels)),
+    ):
+        info = known.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        members = stored(flagged(cells(), info, cut, percent), "flagged", made)
+        bodies = sets_of(docs, members.select("cls").distinct(), size).join(info.drop("nodes"), "cls")
+        links = stored(links_of(split_cells(members), bodies, cut, percent).distinct(), "links", made)
+        if not links.isEmpty():
+            labels = joined_labels(labels, links, made)
+    named = stored(classes.select("key", "cls").join(labels, "cls", "left").select("key", F.coalesce("label", "cls").alias("component_id")), "named")
+    drop_tables(docs.sparkSession, made)
+
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    placed = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -23,7 +23,7 @@ def test_pairs_at_the_threshold_share_leaves(threshold):
         a = rng.integers(0, 65536, ND.COORDINATES).astype(np.uint16)
         b = np.where(rng.random(ND.COORDINATES) < threshold, a, a + np.uint16(1))
         tokens = np.stack([a, b])
-        path = np.repeat(rng.integers(0, 2**57, dtype=np.uint64) * np.uint64(64) + np.arange(trees, dtype=np.uint64), 2)
+        path = np.repeat(rng.integers(0, ND.ONE_TREE, dtype=np.uint64) + np.arange(trees, dtype=np.uint64) * np.uint64(ND.ONE_TREE), 2)
         index = np.tile(np.arange(2), trees)
         for _ in range(ND.DEPTH):
             path, index = ND.descend(path, index, tokens, threshold)
