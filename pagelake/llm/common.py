@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,13 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made once and stored in the session under that name.
+    Where a local session names none (tests on one machine) a temporary folder is
+    made once; on a cluster that is an error, since no other machine sees such a folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("pagelake.scratch", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("pagelake.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("pagelake.scratch", path)
     return path

@@ -17,13 +17,15 @@ that are not empty in both, in the sparsest group with at least ``MIN_FILLED``
 such subsets (else in the densest); over all terms on both sides where the lexicon
 has too few of either side. Equal texts have equal fingerprints and likeness 1.
 
-Null text is empty; null ids come last in descending order; rows that repeat an
-id are ordered by text and each keeps its result row; with one row, it is its own
+Null text is empty; null ids come last in descending order, in that of a hash of
+their texts; rows that repeat an id are ordered by text and each keeps its result
+row; very long texts are fingerprinted whole; with one row, it is its own
 next document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,8 @@ SPARSITY, SUBSETS = (16, 128, 1024), 12
 MIN_FILLED = 6
 #: A text with fewer terms of the lexicon, or a smaller share of its terms, has too few.
 MIN_KNOWN, MIN_SHARE = 8, 1 / 8
+#: Rows of a range of ids, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 1024, 1 << 16
 #: Places of a fingerprint: all terms, subsets over the lexicon, subsets over all terms, and 1 where the lexicon has enough terms.
 OVER_LEXICON, OVER_ALL, ENOUGH = 1, 1 + len(SPARSITY) * SUBSETS, 1 + 2 * len(SPARSITY) * SUBSETS
 
@@ -147,25 +151,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Adds ``next_<column>`` of the next row by descending doc_id; the first row is next to the last.
 
-    Rows are dealt by ranges of ids; the first row of a range also goes, as a guest,
-    to the range before, so one shuffle does.
+    Rows are dealt by ranges of ids, a range for so many rows; the first row of a range
+    also goes, as a guest, to the range before, so one shuffle does. Rows without an id
+    are spread over ranges by a hash of their text; those of one id stay together.
     """
     spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if parts > 1 else []
-    bounds = F.array(*map(F.lit, cuts)).cast("array<long>")
-    at = F.size(F.filter(bounds, lambda b: b < key))
-    tops = rows.groupBy(at.alias("part")).agg(F.max(key).alias("top")).orderBy(F.desc("part")).collect()  # a row a range
+    parts = min(MOST_RANGES, rows.count() // RANGE_ROWS + 1)
+    lowest = F.lit(-(2**63))
+    key = F.when(F.col("doc_id").isNull(), lowest + F.shiftrightunsigned(F.xxhash64("text"), 24)).otherwise(F.greatest("doc_id", F.lit(-(2**63) + 2**40)))
+    rows = rows.withColumn("key", key)
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0] or []
+    cuts = sorted(set(cuts)) if parts > 1 else []  # at most MOST_RANGES
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    table = spark.createDataFrame([([g[-1] for g in groups], groups)], "tops array<long>, groups array<array<long>>")
+    rows = rows.crossJoin(F.broadcast(table))  # one row
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("key")))
+    group = below(F.col("tops"))
+    at = F.when(group < len(groups), group * step + below(F.get("groups", group))).otherwise(len(cuts))
+    rows = rows.withColumn("part", at).drop("tops", "groups")
+    tops = rows.groupBy("part").agg(F.max("key").alias("top")).orderBy(F.desc("part")).collect()  # a row a range
     before = [tops[i - 1]["part"] for i in range(len(tops))]  # of the highest range: the lowest
     guests = spark.createDataFrame([(t["top"], p) for t, p in zip(tops, before)], "top long, guest_of int")
-    dealt = rows.withColumn("part", at).join(F.broadcast(guests), key == F.col("top"), "left").drop("top")
+    dealt = rows.join(F.broadcast(guests), F.col("key") == F.col("top"), "left").drop("top")
     places = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("guest_of").alias("part"), F.lit(1).alias("guest")))
     dealt = dealt.withColumn("at", F.explode(F.filter(places, lambda p: p["part"].isNotNull()))).drop("part", "guest_of")
-    order = W.partitionBy("at.part").orderBy("at.guest", F.desc_nulls_last("doc_id"), *columns)
+    order = W.partitionBy("at.part").orderBy("at.guest", F.desc("key"), F.desc_nulls_last("doc_id"), *columns)
     out = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return out.filter("at.guest = 0").drop("at")
+    return out.filter("at.guest = 0").drop("at", "key")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

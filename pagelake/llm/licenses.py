@@ -4,11 +4,12 @@ A text becomes its lower-case words joined by spaces. A notice found with up to
 k errors has one of any k + 1 parts of it unchanged, so each notice is split
 into k + 1 seeds; one automaton finds all seeds, and only around a seed the
 regex library's bounded-error matching verifies the notice and gives the span
-and its edits. Base phrases are found exactly.
+and its edits. No error may change a word that tells licenses apart (a version's
+number, nc or nd). Base phrases are found exactly.
 
 Null text has no words; texts without words get null positions, empty labels
-and score 0; repeated rows keep one result row each; an empty table gives an
-empty result.
+and score 0; repeated rows and rows without an id keep one result row each; very
+long texts are searched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +32,21 @@ NOTICES = {
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
+    "under the terms of the gnu general public license": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "subject to the terms of the mozilla public license": "mpl",
     "licensed under cc by 4 0": "cc-by",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
+#: Words that tell licenses apart; no error is spent on them, nor on numbers.
+EXACT = {"mit", "by", "sa", "nc", "nd", "lesser", "affero"}
 #: One error for so many characters of a notice.
 CHARS_PER_ERROR = 10
 NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,6 +82,27 @@ def searcher():
     return machine, patterns
 
 
+def exact_words(notice: str) -> list[str]:
+    return [w for w in notice.split() if w in EXACT or w.isdigit()]
+
+
+def holds(line: str, start: int, end: int, notice: str) -> bool:
+    """Do the words at start to end hold the notice's exact words, in order and no others of their kind before them?"""
+    begin, stop = line.rfind(" ", 0, start + 1) + 1, line.find(" ", end)
+    words = [w for w in line[begin : stop if stop >= 0 else len(line)].split() if w in EXACT or w.isdigit()]
+    wanted = exact_words(notice)
+    return words[: len(wanted)] == wanted
+
+
+def best_in(pattern, line: str, begin: int, stop: int, notice: str):
+    """The best match within begin to stop whose exact words hold."""
+    while m := pattern.search(line, begin, stop):
+        if holds(line, *m.span(), notice):
+            return m
+        begin = m.start() + 1
+    return None
+
+
 def normal(text: str) -> str:
     """Lower-case words, one space between them and at both ends."""
     return f" {NOT_WORD.sub(' ', text.translate(LOWER)).strip(' ')} "
@@ -105,7 +134,7 @@ def fuzzy(line: str) -> list[tuple[int, int, int, str]]:
     while open_:
         found = {}
         for notice, begin, stop in open_:
-            if m := patterns[notice][1].search(line, begin, stop):
+            if m := best_in(patterns[notice][1], line, begin, stop, notice):
                 found[notice, begin, stop] = (*m.span(), sum(m.fuzzy_counts), notice)
         for f in sorted(set(found.values()), key=lambda f: (f[2] / len(f[3]), -len(f[3]), f[0])):
             at = bisect.bisect_left(best, (f[0], f[1]))

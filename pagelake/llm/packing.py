@@ -32,6 +32,8 @@ from .common import id_and_text, stored
 from .token_files import encoded
 
 WINDOW = 2048
+#: Least-squares problems solved at most, each against what the ones before left of the histogram.
+SOLVES = 24
 
 
 def combinations(lengths: np.ndarray, window: int, depth: int = 3) -> np.ndarray:
@@ -80,13 +82,19 @@ def plan_sequences(histogram: np.ndarray, window: int = WINDOW, depth: int = 3)
             for x, k in need.items():
                 left[x] -= n * k
 
-    rows = combinations(np.flatnonzero(left), window, depth)
-    if len(rows):
-        x = np.rint(repeats(rows, left.astype(float))).astype(np.int64)
+    for _ in range(SOLVES):
+        # few combinations at a time, those that the histogram can repeat most, so that counts survive rounding
+        rows = combinations(np.flatnonzero(left), window, depth)
+        supply = np.where(rows > 0, left[rows], 1 << 62).min(1)
+        rows = rows[np.argsort(-supply, kind="stable")[: 2 * window]]
+        before = int(left.sum())
+        x = np.rint(repeats(rows, left.astype(float))).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
         for i in np.argsort(-x, kind="stable"):
             if x[i] <= 0:
                 break
             take([int(v) for v in rows[i] if v], int(x[i]))
+        if int(left.sum()) == before:
+            break
     # what is left: longest first, each room filled by the longest that fits
     open_lengths = np.flatnonzero(left).tolist()
     while open_lengths:

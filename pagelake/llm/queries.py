@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_docs
 from .fingerprints import edited_fingerprints
@@ -32,15 +33,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_docs(spark, sf_dir, "doc_id", "text"))
+    return quality_rules(read_docs(spark, sf_dir, "doc_id", "text")).drop("longest_repeat")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(read_docs(spark, sf_dir, "doc_id", "text", "source")).drop("text_key")
+    found = secret_scan(read_docs(spark, sf_dir, "doc_id", "text", "source")).drop("text_key")
+    return found.withColumn("marks", F.to_json("marks"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read_docs(spark, sf_dir, "doc_id", "text")).drop("spans")
+    return license_scan(read_docs(spark, sf_dir, "doc_id", "text")).withColumn("spans", F.to_json("spans"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +79,25 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, d.doc_id =
 FROM documents d JOIN least_of ON id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
 
 
+#: Windows of words by plain grouping: of 8 for the base rule, of 5 for the share covered, and for the longest repeat
+#: windows of the first length that is too long.
+QUALITY_SQL = r"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+sized AS (SELECT *, len(w) AS n, greatest(61, 15 * len(w) // 100 + 1) AS too_long FROM words),
+at8 AS (SELECT id, i, w[i:i+7] AS s FROM (SELECT id, w, unnest(range(1, n - 6)) AS i FROM sized WHERE n > 8)),
+at5 AS (SELECT id, i, w[i:i+4] AS s FROM (SELECT id, w, unnest(range(1, n - 3)) AS i FROM sized WHERE n > 5)),
+twice8 AS (SELECT id, unnest(range(i, i + 8)) AS i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, s) AS c FROM at8) WHERE c > 1),
+twice5 AS (SELECT id, unnest(range(i, i + 5)) AS i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, s) AS c FROM at5) WHERE c > 1),
+long_ AS (SELECT id FROM (SELECT id, md5(array_to_string(w[i:i+too_long-1], ' ')) AS s FROM (SELECT id, w, too_long, unnest(range(1, n - too_long + 2)) AS i FROM sized WHERE n > too_long)) GROUP BY id, s HAVING count(*) > 1),
+lines AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs),
+dup AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+r8 AS (SELECT id, count(DISTINCT i) AS n_repeat_words FROM twice8 GROUP BY id), r5 AS (SELECT id, count(DISTINCT i) AS n_covered FROM twice5 GROUP BY id),
+every AS (SELECT doc_id, n AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, id IN (SELECT id FROM long_) AS one_long
+  FROM sized LEFT JOIN dup USING (id) LEFT JOIN r8 USING (id) LEFT JOIN r5 USING (id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_covered > 30 * n_words OR one_long) AS kept FROM every"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dups": NEAR_DUPS_SQL}
+    return {"op1_near_dups": NEAR_DUPS_SQL, "op3_quality_rules": QUALITY_SQL}

@@ -10,15 +10,18 @@ kinds are added where their value is live-looking.
 
 Null text has no spans; repeated rows keep one result row each (each text is a
 repository of its own unless ``repo_col`` says otherwise); null owners count as
-one owner; an empty table gives an empty result.
+one owner; rows without an id are scanned and counted like others; very long texts
+are scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +67,35 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def further_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Candidates of the further kinds that no base span overlaps."""
     found: list[tuple[int, int, int, str]] = []
+    held = disjoint((a, b) for _, a, b, _ in taken)
     for i, (kind, pattern) in enumerate(FURTHER.items(), BASE):
+        fresh = []
+        starts = [a for a, _ in held]
         for m in pattern.finditer(text):
             value = m[pattern.groups]
             a, b = m.span()
             if kind == "random" and bits(value) < RANDOM_BITS:
                 continue
-            if not any(x < b and a < y for _, x, y, _ in taken) and not any(x < b and a < y for _, x, y, _ in found):
-                found.append((i, a, b, value))
+            at = bisect.bisect_left(starts, b) - 1  # the last held span that begins before b
+            if at < 0 or held[at][1] <= a:
+                fresh.append((i, a, b, value))
+        if fresh:
+            found += fresh
+            held = disjoint([*held, *((a, b) for _, a, b, _ in fresh)])
     return found
 
 
+def disjoint(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, sorted."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b, *_ in spans)
 

@@ -158,7 +158,9 @@ def test_plan_uses_the_histogram_exactly():
     assert sum(n * (2048 - sum(s)) for s, n in plan) < 0.005 * lengths.sum()
 
 
-def test_repetition_against_brute_force():
+@pytest.mark.parametrize("long_words", [RE.LONG_WORDS, 0])
+def test_repetition_against_brute_force(monkeypatch, long_words):
+    monkeypatch.setattr(RE, "LONG_WORDS", long_words)
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(["a ", "b ", "c\n", "a b c d e f g h ", "é\xa0x "]) for _ in range(rnd.randrange(0, 50))) for _ in range(150)]
     m = RE.measure(texts, 5, spans=True)
@@ -174,6 +176,13 @@ def test_repetition_against_brute_force():
             longest += 1
         assert (m["n_words"][k], m["n_repeat_words"][k], m["n_covered"][k], m["longest_repeat"][k]) == (len(w), len(cover(8)), len(cover(5)), longest)
         assert {i for s in m["spans"][k] for i in range(s["start"], s["end"])} == cover(5)
+        places = collections.defaultdict(list)
+        for i, j in itertools.combinations(range(len(w) + 1), 2):
+            if j - i >= 5:
+                places[tuple(w[i:j])].append(i)
+        wider = lambda x, at: len({w[i - 1] if i else None for i in at}) > 1 and len({w[i + len(x)] if i + len(x) < len(w) else (None, i) for i in at}) > 1
+        want = {(min(at), len(x), len(at)) for x, at in places.items() if len(at) > 1 and wider(x, at)}
+        assert {(r["start"], r["words"], r["count"]) for r in m["repeats"][k]} == want
 
 
 def test_quality_verdict(spark):
@@ -277,7 +286,8 @@ def test_fuzzy_search_finds_all_within_the_bound():
                 s[rnd.randrange(len(s))] = rnd.choice("abcxyz")
             line = f" lorem {''.join(s)} ipsum "
             assert regex.search(rf"(?:{regex.escape(notice)}){{e<={k}}}", line)
-            assert LI.fuzzy(line), (notice, line)
+            whole = LI.exact_words(notice) == [w for w in line.split() if w in LI.EXACT or w.isdigit()]
+            assert bool(LI.fuzzy(line)) == whole, (notice, line)
 
 
 def test_fingerprints_against_a_plain_model(spark, monkeypatch):
@@ -315,10 +325,16 @@ def test_edited_texts(docs, texts):
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
 
 
-def test_next_row_wraps_around(spark):
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_next_row_wraps_around(spark, monkeypatch, rows):
+    monkeypatch.setattr(FP, "RANGE_ROWS", rows)
     d = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["next_text"] for r in FP.with_next(d, ("text",)).collect()}
     assert got == {i: f"t{(i - 1) % 50}" for i in range(50)}
+    odd = d.unionByName(spark.createDataFrame([(None, f"n{i}") for i in range(9)] + [(3, "t3")], "doc_id long, text string"))
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in FP.with_next(odd, ("text",)).collect()}
+    assert after[49, "t49"] == "t48" and after[0, "t0"] in {f"n{i}" for i in range(9)}
+    assert sorted(after[None, f"n{i}"] for i in range(9)) == sorted([*({f"n{i}" for i in range(9)} - {after[0, "t0"]}), "t49"])
 
 
 def test_toxicity_on_held_out_rows(spark):
