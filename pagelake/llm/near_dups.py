@@ -39,6 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import drop_tables, id_and_text, map_texts, stored
 
@@ -55,7 +56,6 @@ GUESTS = 4
 BLOCK = 1024
 #: Shingles of a cell whose full sets are compared at once; cells of more are split.
 CELL_SHINGLES = 2_000_000
-WORDS_KNOWN = 300_000
 U = np.uint64
 
 
@@ -91,23 +91,12 @@ def trees_for(threshold: float, recall: float, depth: int | None = None) -> int:
     raise ValueError(f"recall {recall} at {threshold} takes more than {MOST_TREES} trees")
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        n = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return n
-
-
-_words = _Words()
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; A-Z are lower-cased, white space is that of ASCII."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
