@@ -184,6 +184,7 @@ def _measure(split: list[list[bytes]], min_words: int, out: dict[str, list], spa
     number.default_factory = number.__len__
     sizes = np.array([len(w) for w in split], np.int64)
     words = np.array([number[x] for w in split for x in w], np.int64)
+    number.default_factory = None  # no cycle keeps the table alive
     n, last = len(words), np.cumsum(sizes)
     text_of = np.repeat(np.arange(len(split)), sizes)
     total = lambda flags: np.bincount(text_of, weights=flags, minlength=len(split)).astype(np.int64).tolist()
