@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -37,6 +40,7 @@ def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     The folder's path is added to ``made``, for ``drop_tables``.
     """
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     if made is not None:
@@ -44,6 +48,13 @@ def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be very long: at most BATCH_ROWS of them in an Arrow batch, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def drop_tables(spark: SparkSession, made: list[str]) -> None:
     """Delete stored tables that no result reads any more."""
     for path in made:
@@ -73,6 +84,7 @@ def map_texts(
     unchanged, so the number and identity of rows never change.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     new = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     out = docs.select(*keep).schema
     for field in new:

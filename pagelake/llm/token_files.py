@@ -43,7 +43,7 @@ HEADER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
 #: Words whose ids one worker remembers; beyond it the table starts afresh.
-WORDS_KNOWN = 200_000
+WORDS_KNOWN = 100_000
 #: Texts of these characters alone are encoded word by word: no piece of the library's
 #: splitter crosses their white space, and none of them composes with another.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*")
