@@ -180,10 +180,10 @@ def mask_xor_score(mask: DataFrame, predicted: DataFrame, *keys: str) -> DataFra
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers: padded to 20 places, and marked before other text."""
+    """Sort key in which runs of digits of any length compare as numbers: each is led by its number of digits."""
     parts = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"))
     bare = lambda s: F.regexp_replace(s, r"^0+(?=\d)", "")
-    return F.concat_ws("", F.transform(parts, lambda s: F.when(s.rlike(r"^\d"), F.lpad(bare(s), 20, "0")).otherwise(s)))
+    return F.concat_ws("", F.transform(parts, lambda s: F.when(s.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(s)).cast("string"), 9, "0"), bare(s))).otherwise(s)))
 
 
 def common_parent(paths: DataFrame, column: str = "path") -> Column:

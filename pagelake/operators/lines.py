@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import pages as P
 from .groups import map_groups
 
 COLS = list(G.Box._fields)
@@ -190,29 +191,49 @@ def top_confidence(dets: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("_k") <= k).drop("_k")
 
 
-def suppress_overlaps(dets: DataFrame, conf: float = 0.4, iou: float = 0.35, most: int = 300) -> DataFrame:
-    """Greedy non-maximum suppression per page and class, by confidence (ties by idx); then the ``most`` best of a page."""
+def suppress_overlaps(dets: DataFrame, conf: float = 0.4, iou: float = 0.35, most: int = 300, before: int = 30_000) -> DataFrame:
+    """Greedy non-maximum suppression per page and class, by confidence (ties by idx): among the ``before`` best of a page, the ``most`` best that stay.
 
-    names = dets.columns
+    One exchange by page.
+    """
 
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        rows.sort(key=lambda r: (-r["conf"], r["idx"]))
-        b = np.array([[r[c] for c in COLS] for r in rows], np.int64)
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        left, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not left[i]:
-                continue
-            keep.append(i)
-            w = np.maximum(np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0]), 0)
-            h = np.maximum(np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1]), 0)
-            left &= w * h <= iou * (area[i] + area - w * h)
-        at = dict(zip(("page_id", "cls"), key))
-        return [tuple(at[n] if n in at else rows[i][n] for n in names) for i in keep]
-
-    good = top_confidence(dets.filter(F.col("conf") > conf), 30_000)
-    kept = map_groups(good, ["page_id", "cls"], body, ", ".join(f"{n} {t}" for n, t in dets.dtypes))
-    return top_confidence(kept, most).withColumn("conf", F.round("conf", 3))
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        common = P.common_area(a, b)
+        return common > iou * (P.area(a) + P.area(b) - common)
+
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        best = np.lexsort((c["idx"], -c["conf"], group))
+        rows = best[P.places(group[best]) <= before]
+        c, group = P.taken(c, rows), group[rows]
+        _, of_class = np.unique(np.stack((group, c["cls"]), 1), axis=0, return_inverse=True)
+        kept = P.suppressed(c, of_class.ravel(), np.arange(len(rows)), over)
+        kept = np.sort(kept)  # by page and confidence again
+        kept = kept[P.places(group[kept]) <= most]
+        return P.taken(c, kept)
+
+    good = dets.filter(F.col("conf") > conf)
+    kept = P.map_pages(good, ["page_id"], kernel, ", ".join(f"{n} {t}" for n, t in dets.dtypes))
+    return kept.withColumn("conf", F.round("conf", 3))
+
+
+def class_scores(raw: DataFrame, conf: float = 0.4) -> DataFrame:
+    """Raw detections (page_id, idx, cx, cy, bw, bh, objectness, scores) to (page_id, idx, x1, y1, x2, y2, conf, cls).
+
+    Objectness must be over ``conf``; conf is objectness times the best class's score and must be over it, too.
+    Coordinates stay real numbers; ``scaled_back`` truncates them.
+    """
+    best = F.array_max("scores")
+    x = (F.col("cx") - F.col("bw") / 2, F.col("cy") - F.col("bh") / 2, F.col("cx") + F.col("bw") / 2, F.col("cy") + F.col("bh") / 2)
+    rows = raw.filter(F.col("objectness") > conf).select(
+        "page_id", "idx", *(c.alias(n) for c, n in zip(x, COLS)), (F.col("objectness") * best).alias("conf"), (F.array_position("scores", best) - 1).cast("int").alias("cls")
+    )
+    return rows.filter(F.col("conf") > conf)
+
+
+def scaled_back(dets: DataFrame, x_ratio: Column, y_ratio: Column) -> DataFrame:
+    """Detections at the original image's size, truncated to whole pixels."""
+    ratios = (x_ratio, y_ratio, x_ratio, y_ratio)
+    return dets.withColumns({n: (F.col(n) * r).cast("int") for n, r in zip(COLS, ratios)})
 
 
 def match_detections(truth: DataFrame, dets: DataFrame, threshold: float = 0.5) -> DataFrame:

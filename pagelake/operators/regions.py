@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import rules as R
+from . import pages as P
 from .groups import map_groups
 
 COLS = list(G.Box._fields)
@@ -46,52 +48,23 @@ def overlap_pairs(boxes: DataFrame, mode: str = "area", threshold: float = 20) -
     return both.filter(~F.col("crowded") | corner).select("page_id", "i", "j")
 
 
-def _greedy(rows: list[dict], overlap: Callable[[tuple, tuple], bool]) -> Iterator[dict]:
-    """One greedy pass in row order; the first region of a union keeps its other columns."""
-    left = [(r, (r["x1"], r["y1"], r["x2"], r["y2"])) for r in rows]
-    while left:
-        first, box = left[0]
-        hits = [b for _, b in left[1:] if overlap(box, b)]
-        left = [x for x in left[1:] if not overlap(box, x[1])]
-        for b in hits:
-            first["x1"], first["y1"] = min(first["x1"], b[0]), min(first["y1"], b[1])
-            first["x2"], first["y2"] = max(first["x2"], b[2]), max(first["y2"], b[3])
-        yield first
+def _sortable(column: np.ndarray) -> np.ndarray:
+    """Numbers for ordering; nulls come first."""
+    return np.array([-(2**62) if v is None else v for v in column]) if column.dtype == object else column
 
 
-def _centers(a: tuple, b: tuple) -> bool:
-    ax, ay, bx, by = (a[0] + a[2]) // 2, (a[1] + a[3]) // 2, (b[0] + b[2]) // 2, (b[1] + b[3]) // 2
-    return (a[0] <= bx <= a[2] and a[1] <= by <= a[3]) or (b[0] <= ax <= b[2] and b[1] <= ay <= b[3])
+def _in_order(columns: P.Columns, group: np.ndarray, names: list[str]) -> np.ndarray:
+    return np.lexsort((*(_sortable(columns[n]) for n in reversed(names)), group))
 
 
-def _areas(threshold: float) -> Callable[[tuple, tuple], bool]:
-    def test(a: tuple, b: tuple) -> bool:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        if w <= 0 or h <= 0:
-            return False
-        return 100 * w * h > threshold * (min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])) or 1)
-
-    return test
-
-
-def _merge(boxes: DataFrame, order: list[str], mode: str, threshold: float, overlap: Callable) -> DataFrame:
-    """Pages without any overlapping pair pass by; the others go to the grouped helper."""
-    busy = overlap_pairs(boxes, mode, threshold).select("page_id").distinct()
-    calm = boxes.join(busy, "page_id", "left_anti").select(*boxes.columns)
-    rest = boxes.join(busy, "page_id", "left_semi").select(*boxes.columns)
-    names = boxes.columns
-
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        rows.sort(key=lambda r: tuple(r[c] for c in order))
-        return [tuple(key[0] if n == "page_id" else r[n] for n in names) for r in _greedy(rows, overlap)]
-
-    schema = ", ".join(f"{n} {t}" for n, t in boxes.dtypes)
-    return calm.unionByName(map_groups(rest, ["page_id"], body, schema))
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{n} {t}" for n, t in df.dtypes)
 
 
 def merge_center_overlaps(boxes: DataFrame) -> DataFrame:
     """Greedy union of regions one of whose centers lies in the other, in idx order."""
-    return _merge(boxes, ["idx"], "center", 0, _centers)
+    kernel = lambda c, group: P.merged(c, group, _in_order(c, group, ["idx"]), P.centers_meet)
+    return P.map_pages(boxes, ["page_id"], kernel, _schema(boxes))
 
 
 def distinct_boxes(boxes: DataFrame) -> DataFrame:
@@ -103,7 +76,17 @@ def distinct_boxes(boxes: DataFrame) -> DataFrame:
 
 def merge_overlaps(boxes: DataFrame, threshold: float = 20) -> DataFrame:
     """Greedy union of distinct regions that overlap by over ``threshold`` percent, in (y1, x1, y2, x2) order."""
-    return _merge(distinct_boxes(boxes), ["y1", "x1", "y2", "x2"], "area", threshold, _areas(threshold))
+    names = ["y1", "x1", "y2", "x2"]
+
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        order = _in_order(c, group, [*names, "idx"])
+        same = np.ones(max(0, len(order) - 1), bool)
+        for x in (group, *(c[n] for n in names)):
+            same &= x[order][1:] == x[order][:-1]
+        rows = order[np.concatenate(([True], ~same))]  # equal regions collapse to the one of smallest idx
+        return P.merged(P.taken(c, rows), group[rows], np.arange(len(rows)), P.areas_meet(threshold))
+
+    return P.map_pages(boxes, ["page_id"], kernel, _schema(boxes))
 
 
 def _cluster(rows: list[tuple], axis: int, tol: int, depth: int) -> list[tuple]:
@@ -159,7 +142,7 @@ def pack_boxes(boxes: DataFrame, order: str = "idx") -> DataFrame:
     return packed.select("page_id", F.transform("a", lambda s: s["box"]).alias("boxes"), F.transform("a", lambda s: s["lang"]).alias("box_language"))
 
 
-def apply_ocr_filter(boxes: DataFrame, texts: DataFrame, max_area: int = 3000, pattern: str = R.SYMBOLS, scale: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_ocr_filter(boxes: DataFrame, texts: DataFrame, max_area: int = 3000, pattern: str = R.SYMBOLS, scale: Column | None = None, *carry: str) -> tuple[DataFrame, DataFrame]:
     """(kept boxes, checked boxes): small boxes whose text is symbols alone are removed.
 
     Checked boxes carry text, area, ``removed``, and their coordinates over the scale.
@@ -170,7 +153,7 @@ def apply_ocr_filter(boxes: DataFrame, texts: DataFrame, max_area: int = 3000, p
     kept = both.filter(~(small & symbols)).drop("text")
     back = G.scale(G.box(), F.lit(1.0) / (scale if scale is not None else F.lit(1.0)))
     checked = both.filter(small).select(
-        "page_id", "idx", "text", G.area(G.box()).alias("area"), symbols.alias("removed"), *(c.alias(n) for c, n in zip(back, COLS))
+        "page_id", "idx", *carry, "text", G.area(G.box()).alias("area"), symbols.alias("removed"), *(c.alias(n) for c, n in zip(back, COLS))
     )
     return kept, checked
 
@@ -185,6 +168,12 @@ def mask_coverage(boxes: DataFrame, w: int, h: int) -> DataFrame:
                 b = np.array([list(r) for r in rows], np.int64)
                 b = np.column_stack((np.maximum(b[:, :2], 0), np.minimum(b[:, 2:] + 1, (w, h))))
                 b = b[(b[:, 2] > b[:, 0]) & (b[:, 3] > b[:, 1])]
+                if 4 * len(b) ** 2 > w * h:  # as many edges as pixels: count starts and ends of regions on the canvas
+                    edge = np.zeros((h + 1, w + 1), np.int64)
+                    for x, y, step in ((0, 1, 1), (2, 3, 1), (0, 3, -1), (2, 1, -1)):
+                        np.add.at(edge, (b[:, y], b[:, x]), step)
+                    covered.append(int((edge.cumsum(0).cumsum(1) > 0).sum()))
+                    continue
                 xs, ys = np.unique(b[:, [0, 2]]), np.unique(b[:, [1, 3]])
                 grid = np.zeros((max(len(ys) - 1, 0), max(len(xs) - 1, 0)), bool)
                 for x1, y1, x2, y2 in b:
@@ -196,10 +185,77 @@ def mask_coverage(boxes: DataFrame, w: int, h: int) -> DataFrame:
     return rects.mapInPandas(run, "page_id long, covered long").withColumn("share", F.col("covered") / F.lit(w * h))
 
 
-def clean_regions(detections: DataFrame, mode: str = "auto", padding: int = 5, w: int = 560, h: int = 760) -> DataFrame:
-    """Detections to ordered regions: languages, size filter, page language, center merging, padding, reading order."""
+def _page_languages(lang: np.ndarray, idx: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of every row's group: the most frequent known language, ties by first place; None if none is known."""
+    out = np.full(int(group.max(initial=-1)) + 1, None, object)
+    rows = np.flatnonzero([x is not None for x in lang])
+    if len(rows):
+        names, code = np.unique(lang[rows].astype(str), return_inverse=True)
+        key = group[rows].astype(np.int64) * len(names) + code
+        kinds, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        first = np.full(len(kinds), np.iinfo(np.int64).max)
+        np.minimum.at(first, at, idx[rows].astype(np.int64))
+        best = np.lexsort((first, -count, kinds // len(names)))
+        of = kinds[best] // len(names)
+        lead = best[np.concatenate(([True], of[1:] != of[:-1]))]
+        out[kinds[lead] // len(names)] = names[kinds[lead] % len(names)]
+    return out[group]
+
+
+def _cleaned(mode: str, padding: int, w: int, h: int) -> Callable[[P.Columns, np.ndarray], P.Columns]:
+    """Kernel of the steps after the size filter, pages in reading order: merging by centres, padding, language, order."""
+
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        c = c | {"page_lang": _page_languages(c["lang"], c["idx"], group)}
+        m = P.merged(c, group, _in_order(c, group, ["idx"]), P.centers_meet)
+        m["x1"], m["y1"] = np.maximum(m["x1"] - padding, 0), np.maximum(m["y1"] - padding, 0)
+        m["x2"], m["y2"] = np.minimum(m["x2"] + padding, w), np.minimum(m["y2"] + padding, h)
+        rtl = np.array([x in R.RTL for x in m["page_lang"]], bool)
+        ltr = mode == "comic" or (mode == "auto" and ~rtl)
+        key = m["y1"] + np.where(ltr, 0.4, -0.4) * m["x1"]
+        order = np.lexsort((m["idx"], key, m["_group"]))
+        m = P.taken(m, order)
+        return m | {"position": P.places(m["_group"])}
+
+    return kernel
+
+
+def _kept(detections: DataFrame, strict: bool = False) -> DataFrame:
     known = detections.withColumn("lang", R.map_languages(F.col("lang_raw")))
-    kept = known.filter(R.keeps_detection(G.area(G.box()), F.col("lang"))).select("page_id", "idx", *COLS, "lang")
-    merged = merge_center_overlaps(kept).join(page_language(kept), "page_id")
-    padded = merged.select("page_id", "idx", *(c.alias(n) for c, n in zip(G.pad(G.box(), padding, w, h), COLS)), "lang", "page_lang")
-    return reading_order(padded, mode)
+    kept = known.filter(R.keeps_detection(G.area(G.box()), F.col("lang")) & (F.col("lang").isNotNull() | F.lit(not strict)))
+    whole = [F.col(c).isNotNull() for c in COLS]
+    return kept.filter(whole[0] & whole[1] & whole[2] & whole[3]).select("page_id", "idx", *COLS, "lang")
+
+
+def clean_regions(detections: DataFrame, mode: str = "auto", padding: int = 5, w: int = 560, h: int = 760, strict: bool = False) -> DataFrame:
+    """Detections to ordered regions: languages, size filter, page language, center merging, padding, reading order.
+
+    One exchange by page. With ``strict`` regions of unknown language go; regions without coordinates always do.
+    """
+    schema = "page_id long, idx int, x1 int, y1 int, x2 int, y2 int, lang string, page_lang string, position int"
+    return P.map_pages(_kept(detections, strict), ["page_id"], _cleaned(mode, padding, w, h), schema)
+
+
+def clean_pages(detections: DataFrame, mode: str = "auto", padding: int = 5, w: int = 560, h: int = 760, strict: bool = False) -> DataFrame:
+    """One row a page of ``clean_regions``: boxes as arrays of four integers in reading order, and their languages."""
+    ordered = _cleaned(mode, padding, w, h)
+
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        m = ordered(c, group)
+        starts = np.flatnonzero(m["position"] == 1)
+        ends = pa.array(np.append(starts, len(m["position"])).astype(np.int32))
+        four = np.stack([m[n].astype(np.int32) for n in COLS], 1).ravel()
+        boxes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(four) + 1, 4, dtype=np.int32)), pa.array(four))
+        return {"page_id": m["page_id"][starts], "boxes": pa.ListArray.from_arrays(ends, boxes), "box_language": pa.ListArray.from_arrays(ends, pa.array(m["lang"].tolist(), pa.string()))}
+
+    return P.map_pages(_kept(detections, strict), ["page_id"], kernel, "page_id long, boxes array<array<int>>, box_language array<string>")
+
+
+def extract_texts(detections: DataFrame, texts: DataFrame, pages: DataFrame, mode: str = "auto", strict: bool = False) -> DataFrame:
+    """(page_id, idx in reading order, text, x1..y2) of every region, whatever its size or text, at the original image's scale.
+
+    texts: (page_id, idx, text); pages: (page_id, scale). With ``strict`` regions of unknown language go.
+    """
+    regions = clean_regions(detections, mode, strict=strict)
+    checked = apply_ocr_filter(regions.join(pages.select("page_id", "scale"), "page_id"), texts, 10**10, r".*", F.col("scale"), "position")[1]
+    return checked.select("page_id", F.col("position").alias("idx"), "text", *COLS)

@@ -74,8 +74,9 @@ def match_texts(images: DataFrame, texts: DataFrame, on_boundary: bool = False)
     The lengths of fragments are few; each image gives one suffix per length, and an equi-join does the rest.
     """
     frags = texts.select("fragment").distinct()
-    sizes = frags.select(F.length("fragment").alias("size")).distinct()
-    cut = images.select("image").join(F.broadcast(sizes), F.length("image") >= F.col("size")).withColumn("fragment", F.expr("right(image, size)"))
+    sizes = frags.agg(F.array_sort(F.collect_set(F.length("fragment")))).scalar()  # a number for each length
+    cut = images.select("image", sizes.alias("sizes")).select("image", F.explode("sizes").alias("size"))
+    cut = cut.filter(F.col("size") <= F.length("image")).withColumn("fragment", F.expr("right(image, size)"))
     hits = cut.join(frags, "fragment")
     if on_boundary:
         before = F.expr("substring(image, length(image) - size, 1)")
@@ -126,11 +127,12 @@ def apply_review_edits(results: DataFrame, edits: DataFrame, min_area: int = 400
     """Results after ordered edits (page_id, label, seq, op, text, x1..y2), op being delete, edit, reset or add.
 
     delete: Normal <-> Removed, Edited <-> EditedRemoved, New vanishes. edit: sets the text, Normal -> Edited,
-    Removed -> EditedRemoved. reset: original text, Normal. add: a new row "New k", k the lowest free number of its
-    page; areas under ``min_area`` add nothing.
+    Removed -> EditedRemoved. reset: original text, Normal. add: a new row "New k", k the lowest number of its page
+    that is free at that edit; areas under ``min_area`` add nothing.
     """
     item = F.struct("seq", "op", F.col("text").alias("new"))
-    own = edits.filter("op <> 'add'").groupBy("page_id", "label").agg(F.array_sort(F.collect_list(item)).alias("edits"))
+    is_new = F.coalesce(F.col("label").startswith("New "), F.lit(False))
+    own = edits.filter(~is_new & (F.col("op") != "add")).groupBy("page_id", "label").agg(F.array_sort(F.collect_list(item)).alias("edits"))
     state = F.struct(F.col("text").alias("text"), F.col("status").alias("status"), F.lit(True).alias("alive"))
 
     def step(s: Column, e: Column) -> Column:
@@ -141,23 +143,35 @@ def apply_review_edits(results: DataFrame, edits: DataFrame, min_area: int = 400
         alive = s["alive"] & ~((e["op"] == "delete") & (s["status"] == "New"))
         return F.struct(text.alias("text"), status.alias("status"), alive.alias("alive"))
 
-    def number(key: tuple, rows: list[dict]) -> list[tuple]:
-        taken = {int(r["label"][4:]) for r in rows if r["label"] and r["label"].startswith("New ")}
-        out = []
-        for r in sorted((r for r in rows if r["is_new"]), key=lambda r: r["seq"]):
-            k = next(i for i in range(1, len(taken) + 2) if i not in taken)
-            taken.add(k)
-            out.append((*key, f"New {k}", r["text"], *(r[c] for c in COLS)))
-        return out
-
-    added = edits.filter("op = 'add'").filter(G.area(G.box()) >= min_area)
-    pages = added.select("page_id").distinct()
-    held = results.join(pages, "page_id", "left_semi").select("page_id", F.lit(False).alias("is_new"), F.lit(0).cast("long").alias("seq"), "label", "text", *COLS)
-    asked = added.select("page_id", F.lit(True).alias("is_new"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("label"), "text", *COLS)
-    new = map_groups(held.unionByName(asked), ["page_id"], number, "page_id long, label string, text string, x1 int, y1 int, x2 int, y2 int")
-    every = results.select("page_id", "label", "text", *COLS, "status").unionByName(new.withColumn("status", F.lit("New")))
-    folded = every.join(own, ["page_id", "label"], "left").withColumn("s", F.aggregate(F.coalesce("edits", F.array()), state, step))
-    return folded.filter("s.alive").select("page_id", "label", F.col("s.text").alias("text"), *COLS, F.col("s.status").alias("status"))
+    def fold_new(key: tuple, rows: list[dict]) -> list[tuple]:
+        """The page's New rows through its edits in order: a number is free again once its row is gone."""
+        alive: dict[int, dict] = {}
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            if r["op"] == "add":
+                k = next(i for i in range(1, len(alive) + 2) if i not in alive)
+                alive[k] = {**r, "original": r["text"]}
+                continue
+            k = int(r["label"][4:])
+            if r["op"] == "held":
+                alive[k] = {**r, "original": r["text"]}
+            elif k in alive and r["op"] == "delete":
+                del alive[k]
+            elif k in alive:
+                alive[k]["text"] = r["text"] if r["op"] == "edit" else alive[k]["original"]
+        return [(*key, f"New {k}", r["text"], *(r[c] for c in COLS)) for k, r in alive.items()]
+
+    numbered = F.col("label").rlike(r"^New \d{1,9}$")
+    added = edits.filter("op = 'add'").filter(G.area(G.box()) >= min_area).withColumn("label", F.lit(None).cast("string"))
+    changed = edits.filter((F.col("op") != "add") & numbered)
+    seq = F.col("seq").cast("long").alias("seq")
+    wide = lambda df, *first: df.select("page_id", *first, "label", "text", *COLS)
+    held = wide(results.filter((F.col("status") == "New") & numbered), F.lit("held").alias("op"), F.lit(-(2**62)).cast("long").alias("seq"))
+    asked = held.unionByName(wide(added, "op", seq)).unionByName(wide(changed, "op", seq))
+    new = map_groups(asked, ["page_id"], fold_new, "page_id long, label string, text string, x1 int, y1 int, x2 int, y2 int").withColumn("status", F.lit("New"))
+    older = results.filter(~((F.col("status") == "New") & numbered)).select("page_id", "label", "text", *COLS, "status")
+    folded = older.join(own, ["page_id", "label"], "left").withColumn("s", F.aggregate(F.coalesce("edits", F.array()), state, step))
+    kept = folded.filter("s.alive").select("page_id", "label", F.col("s.text").alias("text"), *COLS, F.col("s.status").alias("status"))
+    return kept.unionByName(new)
 
 
 def review_finish(results: DataFrame, drop_edited_removed: bool = False) -> DataFrame:
@@ -171,9 +185,14 @@ def finalize_mapping(matches: DataFrame, selected: DataFrame) -> DataFrame:
     return selected.join(matches.filter("status = 'matched'").select("image", "fragment"), "image", "left").select("image", "fragment")
 
 
+def one_line(text: Column) -> Column:
+    """Line ends become a literal backslash n."""
+    return F.regexp_replace(text, "\r\n|\r|\n", r"\\n")
+
+
 def csv_rows(texts: DataFrame) -> DataFrame:
     """(path, idx, record): CSV records, quoted only where needed; line ends in texts become a literal backslash n."""
-    text = F.regexp_replace(F.regexp_replace("text", "\r\n|\r|\n", r"\\n"), '"', '""')
+    text = F.regexp_replace(one_line(F.col("text")), '"', '""')
     quoted = lambda c: F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
     return texts.select("path", "idx", F.concat_ws(",", quoted(F.col("path")), *(F.col(c).cast("string") for c in COLS), quoted(text)).alias("record"))
 

@@ -112,7 +112,7 @@ def a23_mask_coverage(v: Views) -> DataFrame:
 @query()
 def minimum_slice(v: Views) -> DataFrame:
     """Detections to packed pages in reading order."""
-    return O.pack_boxes(O.clean_regions(v(D)), "position")
+    return O.clean_pages(v(D))
 
 
 @query()

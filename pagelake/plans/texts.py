@@ -24,14 +24,11 @@ def s7_record_rows(v: Views) -> DataFrame:
     return T.validate_records(v(REC), strict=False)[0]
 
 
-@query("WITH r AS (SELECT file_no * 1000 + line % 200 AS file_no, line, filename, startx FROM fx_ocr_records) SELECT file_no, line, filename FROM r WHERE startx <> 'x1' AND file_no NOT IN (SELECT file_no FROM r WHERE startx = 'x1')", REC)
+@query(f"WITH r AS MATERIALIZED (SELECT file_no * 1000 + line % 200 AS file_no, line, filename, {CODE} AS error_code FROM fx_ocr_records), bad AS (SELECT DISTINCT file_no FROM r WHERE error_code IS NOT NULL) SELECT file_no, line, filename FROM r ANTI JOIN bad USING (file_no)", REC)
 def s9_strict_files(v: Views) -> DataFrame:
-    """Records of files without any error; rules other than that on integers are switched off by clean values."""
+    """Records of files without any error, the 40 files dealt into small ones."""
     small = v(REC).withColumn("file_no", F.col("file_no") * 1000 + F.col("line") % 200)
-    name = F.when(F.col("filename") == "", "page.png").otherwise(F.col("filename"))
-    first = F.when(F.col("startx") == "2147483648", "1").otherwise(F.col("startx"))
-    rows = T.validate_records(small.withColumn("filename", name).withColumn("startx", first))[0].select("file_no", "line")
-    return rows.join(small.select("file_no", "line", "filename"), ["file_no", "line"])
+    return T.validate_records(small)[0].select("file_no", "line", "filename")
 
 
 SECTIONS = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[\r\n\t]+', ' ', 'g') AS text, turn = max(turn) OVER (PARTITION BY conv_id) AND conv_id % 2 = 1 AS bad FROM conversations)"""
@@ -141,18 +138,26 @@ def edits(v: Views) -> DataFrame:
     """Edits of the first regions, by the region numbers of the page."""
     d = v(D)
     op = F.when(F.col("suppkey") % 5 == 0, "add").when(F.col("suppkey") % 3 == 0, "delete").when(F.col("suppkey") % 3 == 1, "edit").otherwise("reset")
-    label = F.when(op != "add", (F.col("idx") % 3 + 1).cast("string"))
+    # some edits change or delete rows that were added before
+    number = F.concat(F.when(F.col("partkey") % 4 == 0, F.concat(F.lit("New "), (F.col("partkey") % 3 + 1).cast("string"))).otherwise((F.col("idx") % 3 + 1).cast("string")))
+    label = F.when(op != "add", number)
     return d.select("page_id", label.alias("label"), F.col("idx").alias("seq"), op.alias("op"), F.concat(F.lit("new "), F.col("idx").cast("string")).alias("text"), *T.COLS)
 
 
-EDITS = """e AS (SELECT page_id, CASE WHEN suppkey%5=0 THEN NULL ELSE CAST(idx%3+1 AS STRING) END AS label, idx AS seq, CASE WHEN suppkey%5=0 THEN 'add' WHEN suppkey%3=0 THEN 'delete' WHEN suppkey%3=1 THEN 'edit' ELSE 'reset' END AS op, concat('new ', idx) AS text, x1, y1, x2, y2 FROM fx_detections),
+EDITS = """e AS (SELECT page_id, CASE WHEN suppkey%5=0 THEN NULL WHEN partkey%4=0 THEN concat('New ', partkey%3+1) ELSE CAST(idx%3+1 AS STRING) END AS label, idx AS seq, CASE WHEN suppkey%5=0 THEN 'add' WHEN suppkey%3=0 THEN 'delete' WHEN suppkey%3=1 THEN 'edit' ELSE 'reset' END AS op, concat('new ', idx) AS text, x1, y1, x2, y2 FROM fx_detections),
   r AS (SELECT t.page_id, CAST(row_number() OVER (PARTITION BY t.page_id ORDER BY t.idx) AS STRING) AS label, t.text, d.x1, d.y1, d.x2, d.y2 FROM fx_texts t JOIN fx_detections d ON d.page_id=t.page_id AND d.idx=t.idx),
   k AS (SELECT page_id, label, seq, op, text, row_number() OVER (PARTITION BY page_id, label ORDER BY seq) n FROM e WHERE op <> 'add'),
   go AS (SELECT page_id, label, text AS original, text, 'Normal' AS status, 0 AS n FROM r UNION ALL SELECT go.page_id, go.label, go.original, CASE k.op WHEN 'edit' THEN k.text WHEN 'reset' THEN go.original ELSE go.text END,
     CASE k.op WHEN 'reset' THEN 'Normal' WHEN 'edit' THEN CASE go.status WHEN 'Normal' THEN 'Edited' WHEN 'Removed' THEN 'EditedRemoved' ELSE go.status END ELSE CASE go.status WHEN 'Normal' THEN 'Removed' WHEN 'Removed' THEN 'Normal' WHEN 'Edited' THEN 'EditedRemoved' ELSE 'Edited' END END, go.n+1
     FROM go JOIN k ON k.page_id=go.page_id AND k.label=go.label AND k.n=go.n+1),
   l AS (SELECT page_id, label, arg_max(text, n) AS text, arg_max(status, n) AS status FROM go GROUP BY ALL),
-  every AS (SELECT page_id, label, text, status FROM l UNION ALL SELECT page_id, concat('New ', row_number() OVER (PARTITION BY page_id ORDER BY seq)), text, 'New' FROM e WHERE op='add' AND CAST(x2-x1 AS BIGINT)*(y2-y1) >= 400)"""
+  ne AS (SELECT page_id, op, text, CAST(substr(label, 5) AS INT) AS k, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS n FROM e WHERE (op='add' AND CAST(x2-x1 AS BIGINT)*(y2-y1) >= 400) OR label LIKE 'New %'),
+  nl AS (SELECT page_id, 0::BIGINT AS n, [struct_pack(k := 0, t := '', o := '')] AS l FROM (SELECT DISTINCT page_id FROM ne) UNION ALL SELECT nl.page_id, ne.n, CASE ne.op
+    WHEN 'add' THEN list_append(l, struct_pack(k := list_min(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(list_transform(l, lambda s: s.k), i)))::INT, t := ne.text, o := ne.text))
+    WHEN 'delete' THEN list_filter(l, lambda s: s.k <> ne.k) ELSE list_transform(l, lambda s: CASE WHEN s.k = ne.k THEN struct_pack(k := s.k, t := CASE ne.op WHEN 'edit' THEN ne.text ELSE s.o END, o := s.o) ELSE s END) END
+    FROM nl JOIN ne ON ne.page_id=nl.page_id AND ne.n=nl.n+1),
+  made AS (SELECT page_id, unnest(arg_max(l, n)) AS s FROM nl GROUP BY page_id),
+  every AS (SELECT page_id, label, text, status FROM l UNION ALL SELECT page_id, concat('New ', s.k), s.t, 'New' FROM made WHERE s.k > 0)"""
 
 
 @query(f"WITH RECURSIVE {EDITS} SELECT * FROM every", "fx_texts")
@@ -182,6 +187,4 @@ def s11_text_sections(v: Views) -> DataFrame:
 @query()
 def t6_extract_texts(v: Views) -> DataFrame:
     """Regions in reading order with their texts, moved onto their strips."""
-    regions = R.clean_regions(v(D)).select("page_id", F.col("position").alias("order"), "idx", *T.COLS)
-    texts = regions.join(v("fx_texts"), ["page_id", "idx"]).select("page_id", F.col("order").alias("idx"), "text", *T.COLS)
-    return T.merge_segment_texts(texts, v("fx_segments"))
+    return T.merge_segment_texts(R.extract_texts(v(D), v("fx_texts"), v("fx_pages")), v("fx_segments"))

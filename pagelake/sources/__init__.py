@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ..operators import texts as X
 
 #: Suffixes of images that can be read.
-IMAGES = (".png", ".jpg", ".jpeg", ".jpe", ".jp2", ".bmp", ".dib", ".webp", ".ppm", ".tif", ".tiff")
+IMAGES = (".jpeg", ".jpg", ".png", ".bmp", ".tiff", ".tif", ".jp2", ".dib", ".webp", ".ppm")
+#: Columns of a text table.
+TEXT_COLUMNS = ("filename", "startx", "starty", "endx", "endy", "text")
 #: TIFF files with so many samples a pixel are left out.
 BAD_SAMPLES = 5
 
@@ -76,6 +80,25 @@ def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(list(paths))
 
 
+def image_rasters(images: DataFrame) -> DataFrame:
+    """(image_id, h, w, data) of decoded images, as the raster operators take them: one grey byte a pixel.
+
+    Images of three and four channels (blue first) become integer luminance; alpha is left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = []
+            for h, w, n, raw in zip(pdf["h"], pdf["w"], pdf["n"], pdf["raw"]):
+                px = np.frombuffer(raw, np.uint8).reshape(h, w, n).astype(np.int64)
+                grey = px[:, :, 0] if n == 1 else (299 * px[:, :, 2] + 587 * px[:, :, 1] + 114 * px[:, :, 0]) // 1000
+                data.append(grey.astype(np.uint8).tobytes())
+            yield pd.DataFrame({"image_id": pdf["image_id"], "h": pdf["h"], "w": pdf["w"], "data": data})
+
+    flat = images.select(F.col("image.origin").alias("image_id"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("raw"))
+    return flat.mapInPandas(run, "image_id string, h int, w int, data binary")
+
+
 def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, blocks, lines) of raw detection documents; blocks and lines carry their place from 0."""
     docs = spark.read.schema(DETECTIONS).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(path)
@@ -167,13 +190,19 @@ def read_ocr_text(spark: SparkSession, path: str, strict: bool = True) -> tuple[
 
 
 def read_ocr(spark: SparkSession, *paths: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) by suffix: .csv, .txt, else an INVALID_FORMAT error row."""
+    """(rows, errors) by suffix: .csv, .txt, else an INVALID_FORMAT error row; a path that is not there gives an OS_ERROR row, one that Spark cannot open OTHER_ERROR."""
     kinds = {".csv": read_ocr_csv, ".txt": read_ocr_text}
-    made = [(kinds[p[-4:].lower()](spark, p, strict) if p[-4:].lower() in kinds else (None, p)) for p in paths]
     rows = errors = None
-    for r, e in made:
+    for p in paths:
+        kind, code, context = kinds.get(p[-4:].lower()), "INVALID_FORMAT", ""
+        r = None
+        if kind:
+            try:
+                r, e = kind(spark, p, strict)
+            except AnalysisException as x:  # raised while the path is listed, before any file is read
+                code, context = ("OS_ERROR" if "PATH_NOT_FOUND" in str(x) else "OTHER_ERROR"), str(x).split("\n")[0]
         if r is None:
-            e = spark.createDataFrame([(e, 0, "INVALID_FORMAT", "")], "file_no string, line long, error_code string, context string")
+            e = spark.createDataFrame([(p, -1, code, context)], "file_no string, line long, error_code string, context string")
         rows = rows if r is None else r if rows is None else rows.unionByName(r)
         errors = e if errors is None else errors.unionByName(e)
     if rows is None:
@@ -182,11 +211,17 @@ def read_ocr(spark: SparkSession, *paths: str, strict: bool = True) -> tuple[Dat
 
 
 def write_ocr_csv(rows: DataFrame, path: str) -> None:
-    """Records (path, idx, record) under a header in each part file, in range-partitioned natural path order."""
+    """Texts (path, idx, x1..y2, text) as CSV files in natural path order, dealt by ranges; each file begins with the header.
+
+    Cells are quoted only where needed; line ends in texts become a literal backslash n.
+    """
     from ..operators.analytics import natural_key
 
-    ordered = X.csv_rows(rows).withColumn("k", natural_key(F.col("path"))).repartitionByRange("k").sortWithinPartitions("k", "path", "idx")
-    ordered.select(F.col("record").alias("value")).write.option("header", False).text(path)
+    ordered = rows.withColumn("k", natural_key(F.col("path"))).repartitionByRange("k").sortWithinPartitions("k", "path", "idx")
+    cells = [F.col("path"), *(F.col(c) for c in X.COLS), X.one_line(F.col("text"))]
+    named = ordered.select(*(c.alias(n) for c, n in zip(cells, TEXT_COLUMNS)))
+    plain = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    named.write.options(**plain).csv(path)
 
 
 def write_ocr_text(rows: DataFrame, path: str) -> None:

@@ -7,7 +7,6 @@ form among the operators that gives the same result over all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +40,17 @@ def analytics_stream(events: DataFrame, width: str = "1 hour", slide: str | None
     return window_counts(_timed(events).withWatermark("ts", late), width, slide)
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    """(run_id, steps, current, last_type) after each batch of progress events, rows of a batch in event order."""
+def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
+    """(run_id, steps, current, last_type) after each batch of progress events, rows of a batch in event order.
+
+    The state of a run ends when nothing came for ``idle``.
+    """
     out = "run_id long, steps long, current long, last_type string"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         steps, current, last = state.get if state.exists else (0, 0, "")
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             last = r.type
@@ -56,15 +61,17 @@ def progress_stream(events: DataFrame) -> DataFrame:
             elif r.type == "incremental":
                 current += r.value
         state.update((int(steps), int(current), last))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame({"run_id": [key[0]], "steps": [steps], "current": [current], "last_type": [last]})
 
-    return events.groupBy("run_id").applyInPandasWithState(run, out, "steps long, current long, last string", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("run_id").applyInPandasWithState(run, out, "steps long, current long, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def log_session_stream(events: DataFrame, idle: str = "1 hour", late: str = "0 seconds") -> DataFrame:
     """(source_id, session, errors, criticals, n, closed): each START closes the session before it; an idle session closes by event time.
 
-    A session still open when the stream ends is given as far as it came with closed = false.
+    A session still open when the stream ends is given as far as it came with closed = false. The number of a source's
+    sessions stays in its state (five numbers a source), so numbers never repeat; events after an idle close and before the next START are ignored.
     """
     out = "source_id long, session long, errors long, criticals long, n long, closed boolean"
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -72,23 +79,24 @@ def log_session_stream(events: DataFrame, idle: str = "1 hour", late: str = "0 s
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         row = lambda s, closed: (key[0], *(int(x) for x in s), closed)
         if state.hasTimedOut:
-            rows = [row(state.get, True)]
-            state.remove()
+            *s, still_open = state.get
+            rows = [row(s, True)] if still_open else []
+            state.update((*(int(x) for x in s), False))
             yield pd.DataFrame(rows, columns=["source_id", "session", "errors", "criticals", "n", "closed"])
             return
-        s: list[Any] = list(state.get) if state.exists else [0, 0, 0, 0]
+        *s, is_open = state.get if state.exists else (0, 0, 0, 0, False)
         rows, newest = [], 0
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
             newest = max(newest, int(r.ts.timestamp() * 1000))
             if r.level == "START":
-                if s[0]:
+                if is_open:
                     rows.append(row(s, True))
-                s = [s[0] + 1, 0, 0, 1]
-            elif s[0]:
+                s, is_open = [s[0] + 1, 0, 0, 1], True
+            elif is_open:
                 s = [s[0], s[1] + (r.level == "ERROR"), s[2] + (r.level == "CRITICAL"), s[3] + 1]
-        state.update(tuple(int(x) for x in s))
-        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
-        if s[0]:
+        state.update((*(int(x) for x in s), is_open))
+        if is_open:
+            state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
             rows.append(row(s, False))
         yield pd.DataFrame(rows, columns=["source_id", "session", "errors", "criticals", "n", "closed"])
 
@@ -96,5 +104,5 @@ def log_session_stream(events: DataFrame, idle: str = "1 hour", late: str = "0 s
         _timed(events)
         .withWatermark("ts", late)
         .groupBy("source_id")
-        .applyInPandasWithState(run, out, "session long, errors long, criticals long, n long", "update", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(run, out, "session long, errors long, criticals long, n long, open boolean", "update", GroupStateTimeout.EventTimeTimeout)
     )

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def text(x) -> str:
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return "null"
     if isinstance(x, (bool, str)):
         return str(x)
