@@ -2,8 +2,9 @@
 
 ``map_pages`` gathers each page in one exchange and hands NumPy columns of many pages
 to a kernel. A kernel finds the overlapping pairs of all pages together and walks the
-pairs alone, so calm pages cost nothing. Crowded pages (over ``CROWDED`` regions) are
-swept by their left edges, in steps of bounded size.
+pairs alone, so calm pages cost nothing. On crowded pages (over ``CROWDED`` regions) the
+greedy pass looks along the left edges for what meets each region it takes, so memory
+grows with the regions of a page (some 100 bytes each), never with its pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Pairs that are tested at once.
 STEP = 1 << 20
+#: Rows of a group from which pairs are not listed.
+CROWDED = 2000
 Columns = dict[str, np.ndarray]
 
 
@@ -99,7 +102,8 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     box = np.zeros((len(group), 4), np.int64)
     box[known] = np.stack([columns[n][known].astype(np.int64) for n in names], 1)
     found: list[np.ndarray] = []
-    rows = np.flatnonzero(known)
+    crowded = np.bincount(group)[group] > CROWDED if len(group) else known
+    rows = np.flatnonzero(known & ~crowded)
     for a, b in meeting_pairs(group[rows], box[rows, 0], box[rows, 2]):
         a, b = rows[a], rows[b]
         hit = overlap(box[a], box[b])
@@ -114,6 +118,8 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     for a, b in pairs.tolist():
         if alive[a] and alive[b]:
             alive[b], into[b] = False, a
+    for g in np.unique(group[crowded & known]):
+        _walk(order[(group[order] == g) & known[order]], rank, box, overlap, alive, into)
     gone = np.flatnonzero(~alive)
     np.minimum.at(union[:, 0], into[gone], box[gone, 0])
     np.minimum.at(union[:, 1], into[gone], box[gone, 1])
@@ -121,10 +127,22 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     np.maximum.at(union[:, 3], into[gone], box[gone, 3])
     out = dict(columns)
     for k, n in enumerate(names):
-        out[n] = np.where(known, union[:, k], columns[n]) if columns[n].dtype == object else union[:, k]
+        out[n] = np.where(known, union[:, k], columns[n])
     return taken(out, order[alive[order]]) | {"_group": group[order[alive[order]]]}
 
 
+def _walk(rows: np.ndarray, rank: np.ndarray, box: np.ndarray, overlap: Callable, alive: np.ndarray, into: np.ndarray) -> None:
+    """The greedy pass over one crowded group, rows in order: each row taken is tested against the rows it can meet."""
+    by_edge = rows[np.argsort(box[rows, 0], kind="stable")]
+    edge, widest = box[by_edge, 0], int((box[rows, 2] - box[rows, 0]).max())
+    for i in rows.tolist():
+        if alive[i]:
+            near = by_edge[np.searchsorted(edge, box[i, 0] - widest) : np.searchsorted(edge, box[i, 2], "right")]
+            near = near[alive[near] & (rank[near] > rank[i])]
+            hit = near[overlap(np.broadcast_to(box[i], (len(near), 4)), box[near])]
+            alive[hit], into[hit] = False, i
+
+
 def suppressed(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Rows that a greedy pass in ``order`` keeps: a kept row removes what overlaps it."""
     keep = merged(columns | {"_row": np.arange(len(group))}, group, order, overlap)

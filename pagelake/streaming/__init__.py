@@ -46,6 +46,7 @@ def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
     The state of a run ends when nothing came for ``idle``.
     """
     out = "run_id long, steps long, current long, last_type string"
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,7 +62,7 @@ def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
             elif r.type == "incremental":
                 current += r.value
         state.update((int(steps), int(current), last))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"run_id": [key[0]], "steps": [steps], "current": [current], "last_type": [last]})
 
     return events.groupBy("run_id").applyInPandasWithState(run, out, "steps long, current long, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -8,6 +8,7 @@ from pagelake import sources as S
 from pagelake.functions import rules as R
 from pagelake.operators import analytics as A
 from pagelake.operators import lines as L
+from pagelake.operators import pages as PG
 from pagelake.operators import rasters as P
 from pagelake.operators import regions as O
 from pagelake.operators import texts as T
@@ -44,6 +45,70 @@ def test_crowded_pages_use_cells(spark, monkeypatch):
     assert plain and got(O.overlap_pairs(d)) == plain
 
 
+@pytest.mark.parametrize("crowded", [2000, 5])
+def test_merging_against_a_plain_loop(spark, monkeypatch, crowded):
+    monkeypatch.setattr(PG, "CROWDED", crowded)
+    rng = np.random.default_rng(4)
+    rows = []
+    for page in range(12):
+        for i in range(int(rng.integers(1, 40))):
+            x, y = int(rng.integers(0, 300)), int(rng.integers(0, 300))
+            rows.append((page, i, x, y, x + int(rng.integers(0, 90)), y + int(rng.integers(0, 90))))
+    inside = lambda c, b: b[0] <= c[0] <= b[2] and b[1] <= c[1] <= b[3]
+    center = lambda b: ((b[0] + b[2]) // 2, (b[1] + b[3]) // 2)
+    centers = lambda a, b: inside(center(a), b) or inside(center(b), a)
+
+    def areas(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        size = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        return w > 0 and h > 0 and 100 * w * h > 20 * (min(size(a), size(b)) or 1)
+
+    def plain(boxes_, test):
+        out, left = [], list(boxes_)
+        while left:
+            first, rest = left[0], left[1:]
+            hit = [b for b in rest if test(first, b)]
+            out.append(tuple(f(b[k] for b in [first, *hit]) for k, f in enumerate((min, min, max, max))))
+            left = [b for b in rest if not test(first, b)]
+        return out
+
+    want_c, want_a = [], []
+    for page in range(12):
+        own = [r[2:] for r in rows if r[0] == page]
+        want_c += [(page, *b) for b in plain(own, centers)]
+        want_a += [(page, *b) for b in plain(sorted(set(own), key=lambda b: (b[1], b[0], b[3], b[2])), areas)]
+    d = boxes(spark, rows).repartition(5)
+    assert got(O.merge_center_overlaps(d), "page_id", "x1", "y1", "x2", "y2") == sorted(want_c)
+    assert got(O.merge_overlaps(d), "page_id", "x1", "y1", "x2", "y2") == sorted(want_a)
+
+
+def test_coverage_of_a_crowded_page(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        x, y = int(rng.integers(-5, 40)), int(rng.integers(-5, 30))
+        rows.append((1, i, x, y, x + int(rng.integers(0, 9)), y + int(rng.integers(0, 9))))
+    canvas = np.zeros((30, 40), bool)
+    for _, _, x1, y1, x2, y2 in rows:
+        canvas[max(y1, 0) : max(y2 + 1, 0), max(x1, 0) : max(x2 + 1, 0)] = True
+    assert got(O.mask_coverage(boxes(spark, rows), 40, 30), "covered") == [(int(canvas.sum()),)]
+
+
+def test_regions_without_coordinates(spark):
+    d = boxes(spark, [(1, 1, 0, 0, 40, 40), (1, 2, None, 0, 5, 5), (1, 3, 10, 10, 30, 30)])
+    assert got(O.merge_center_overlaps(d), "idx", "x2") == [(1, 40), (2, 5)]
+    raw = d.withColumn("lang_raw", F.lit("ja"))
+    assert got(O.clean_regions(raw), "page_id", "idx", "x1", "x2", "page_lang") == [(1, 1, 0, 45, "jpn")]
+
+
+def test_detection_scores(spark):
+    rows = [(1, 1, 10.0, 10.0, 8.0, 6.0, 0.9, [0.2, 0.8]), (1, 2, 10.0, 10.0, 8.0, 6.0, 0.3, [0.9, 0.1]), (1, 3, 10.0, 10.0, 8.0, 6.0, 0.5, [0.7, 0.1])]
+    raw = spark.createDataFrame(rows, "page_id long, idx int, cx double, cy double, bw double, bh double, objectness double, scores array<double>")
+    d = L.class_scores(raw)
+    assert got(d.selectExpr("idx", "cls", "round(conf, 6) c", "x1", "y2")) == [(1, 1, 0.72, 6.0, 13.0)]
+    assert got(L.scaled_back(d, F.lit(1.5), F.lit(0.5)), "x1", "y1", "x2", "y2") == [(9, 3, 21, 6)]
+
+
 def test_overlap_threshold_is_strict_and_of_the_smaller(spark):
     d = boxes(spark, [(1, 1, 0, 0, 10, 10), (1, 2, 8, 0, 18, 10), (1, 3, 7, 0, 17, 10)])
     assert (1, 1, 2) not in got(O.overlap_pairs(d, "area", 20))
@@ -63,6 +128,9 @@ def test_symbols(spark):
 def test_natural_key(spark):
     d = spark.createDataFrame([("p10",), ("p9",), ("p09b",), ("p",)], "path string")
     assert [r[0] for r in d.orderBy(A.natural_key(F.col("path"))).collect()] == ["p", "p9", "p09b", "p10"]
+    long = [f"p{'1' * 25}", f"p{'1' * 24}2", f"p{'9' * 24}"]
+    d = spark.createDataFrame([(p,) for p in long], "path string").withColumn("k", A.natural_key(F.col("path")))
+    assert [r[0] for r in d.orderBy("k").collect()] == [long[2], long[0], long[1]]
 
 
 def test_integer_rules(spark):
@@ -92,6 +160,16 @@ def test_review(spark):
     assert got(T.review_finish(out), "label", "n_boxes") == [("1", 2), ("New 1", 2)]
 
 
+def test_a_number_is_free_again_once_its_new_row_is_gone(spark):
+    r = T.review_start(spark.createDataFrame([(1, 1, "a", 0, 0, 9, 9)], "page_id long, idx int, text string, x1 int, y1 int, x2 int, y2 int"))
+    ops = [(None, "add", "n1"), (None, "add", "n2"), ("New 1", "edit", "N1"), ("New 1", "delete", ""), (None, "add", "n3"), ("New 2", "edit", "N2"), ("New 2", "reset", ""), ("New 9", "edit", "x"), (None, "add", "n4")]
+    e = spark.createDataFrame([(1, label, k, op, text, 0, 0, 30, 30) for k, (label, op, text) in enumerate(ops)], "page_id long, label string, seq int, op string, text string, x1 int, y1 int, x2 int, y2 int")
+    out = T.apply_review_edits(r, e)
+    assert got(out, "label", "text", "status") == [("1", "a", "Normal"), ("New 1", "n3", "New"), ("New 2", "n2", "New"), ("New 3", "n4", "New")]
+    again = spark.createDataFrame([(1, "New 2", 1, "delete", "", 0, 0, 0, 0), (1, None, 2, "add", "n5", 0, 0, 30, 30)], e.schema)
+    assert got(T.apply_review_edits(out, again), "label", "text") == [("1", "a"), ("New 1", "n3"), ("New 2", "n5"), ("New 3", "n4")]
+
+
 def test_best_candidate_is_a_fold(spark):
     d = spark.createDataFrame([(1, 0, 4, 10.0), (1, 1, 6, 9.5), (1, 2, 8, 8.9), (1, 3, None, 0.0)], "id long, k int, thickness int, dev double")
     assert got(P.pick_best_candidate(d, "id"), "k", "dev", "failed") == [(3, 0.0, False)]
@@ -120,6 +198,28 @@ def test_csv_source(spark, tmp_path):
     assert got(S.read_ocr(spark, "x.doc")[1], "error_code") == [("INVALID_FORMAT",)]
 
 
+def test_csv_round_trip(spark, tmp_path):
+    rows = [("vol/p10.png", 1, 'say "no", twice', 1, 2, 30, 40), ("vol/p9.png", 2, " spaced ", 5, 6, 7, 8), ("vol/p9.png", 1, "two\nlines", 5, 6, 7, 8), ("vol/p9.png", 3, "", 5, 6, 7, 8)]
+    d = spark.createDataFrame(rows, "path string, idx int, text string, x1 int, y1 int, x2 int, y2 int")
+    S.write_ocr_csv(d, str(tmp_path / "out"))
+    back, errors = S.read_ocr_csv(spark, str(tmp_path / "out"))
+    assert errors.count() == 0
+    want = [(p, t.replace("\n", "\\n"), *b) for p, _, t, *b in rows]
+    assert sorted((r["filename"], r["text"] or "", *(r[c] for c in ("x1", "y1", "x2", "y2"))) for r in back.collect()) == sorted(want)
+
+
+def test_unreadable_files_give_error_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("filename,startx,starty,endx,endy,text\nimg1.jpg,1,1,3,2,x\n")
+    rows, errors = S.read_ocr(spark, str(tmp_path / "a.csv"), str(tmp_path / "none.csv"), "b.doc")
+    assert rows.count() == 1 and got(errors, "line", "error_code") == [(-1, "INVALID_FORMAT"), (-1, "OS_ERROR")]
+
+
+def test_decoded_images_become_rasters(spark):
+    px = bytes([10, 20, 30] * 4)
+    d = spark.createDataFrame([(("a.png", 2, 2, 3, 16, px),), (("b.png", 1, 3, 1, 0, b"\1\2\3"),)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    assert [(r[0], r[1], r[2], bytes(r[3])) for r in got(S.image_rasters(d))] == [("a.png", 2, 2, bytes([21] * 4)), ("b.png", 1, 3, b"\1\2\3")]
+
+
 def test_image_listing(spark, tmp_path):
     for n in ("a.PNG", "b.txt", "c.tif"):
         (tmp_path / n).write_bytes(b"II*\0\x08\0\0\0\x01\0\x15\x01\x03\0\x01\0\0\0\x05\0\0\0")

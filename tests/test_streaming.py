@@ -42,6 +42,23 @@ def test_log_sessions(spark, tmp_path):
     assert got_rows == sorted(map(tuple, L.event_sessions(events).collect()))
 
 
+def test_session_numbers_go_on_after_an_idle_close(spark, tmp_path):
+    schema = "source_id long, event_id long, ts timestamp, level string"
+    at = lambda h, m=0: f"2024-01-01 {h:02d}:{m:02d}:00"
+    parts = [[(1, 1, at(1), "START"), (1, 2, at(1, 5), "ERROR")], [(2, 3, at(9), "START")], [(1, 4, at(10), "INFO"), (1, 5, at(11), "START")], [(2, 6, at(12), "INFO")]]
+    folder = str(tmp_path / "in")
+    q = None
+    for k, rows in enumerate(parts):
+        d = spark.createDataFrame([(a, b, c, e) for a, b, c, e in rows], "source_id long, event_id long, t string, level string")
+        d.select("source_id", "event_id", F.col("t").cast("timestamp").alias("ts"), "level").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        q = X.log_session_stream(stream, idle="1 hour").writeStream.foreachBatch(lambda b, n, k=k: b.write.mode("append").parquet(str(tmp_path / "out")))
+        q.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).filter("source_id = 1").collect()}
+    assert (1, 1, 1, 0, 2, True) in rows and any(r[1] == 2 and r[4] == 1 for r in rows)
+    assert not any(r[1] == 1 and r[4] == 1 for r in rows if r[2] == 0 and r[5] is True)
+
+
 def test_new_detections(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
