@@ -40,10 +40,10 @@ def analytics_stream(events: DataFrame, width: str = "1 hour", slide: str | None
     return window_counts(_timed(events).withWatermark("ts", late), width, slide)
 
 
-def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
+def progress_stream(events: DataFrame, idle: str = "7 days", late: str = "1 day") -> DataFrame:
     """(run_id, steps, current, last_type) after each batch of progress events, rows of a batch in event order.
 
-    The state of a run ends when nothing came for ``idle``.
+    The state of a run ends when the watermark (``late`` behind the newest event) is ``idle`` past its last event.
     """
     out = "run_id long, steps long, current long, last_type string"
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -53,8 +53,9 @@ def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
             state.remove()
             return
         steps, current, last = state.get if state.exists else (0, 0, "")
+        newest = 0
         for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            last = r.type
+            last, newest = r.type, int(r.ts.timestamp() * 1000)
             if r.type == "begin_step":
                 steps, current = steps + 1, 0
             elif r.type == "absolute":
@@ -62,10 +63,11 @@ def progress_stream(events: DataFrame, idle: str = "7 days") -> DataFrame:
             elif r.type == "incremental":
                 current += r.value
         state.update((int(steps), int(current), last))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"run_id": [key[0]], "steps": [steps], "current": [current], "last_type": [last]})
 
-    return events.groupBy("run_id").applyInPandasWithState(run, out, "steps long, current long, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = _timed(events).withWatermark("ts", late).groupBy("run_id")
+    return timed.applyInPandasWithState(run, out, "steps long, current long, last string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def log_session_stream(events: DataFrame, idle: str = "1 hour", late: str = "0 seconds") -> DataFrame:
