@@ -22,21 +22,55 @@ COLS = list(G.Box._fields)
 
 def assign_lines(lines: DataFrame, blocks: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Adds ``block`` (idx of the block with the largest share of the line's area, first on ties) where the share is over the threshold."""
-    keys = [c for c in lines.columns if c not in COLS]
-    b = blocks.select("page_id", F.col("idx").alias("block"), *(F.col(c).alias(f"b{c}") for c in COLS))
-    share = G.intersection_area(G.box(), G.box("b")) / F.greatest(G.area(G.box()), F.lit(1))
-    hit = lines.join(b, "page_id").withColumn("share", share).filter(F.col("share") > threshold)
-    best = hit.groupBy(*keys).agg(F.max_by("block", F.struct("share", -F.col("block"))).alias("block"))
-    return lines.join(best, keys, "left")
+
+    def kernel(line: P.Columns, group: np.ndarray, block: P.Columns, of: np.ndarray) -> P.Columns:
+        (box, known), (other, _) = P.boxes_of(line), P.boxes_of(block)
+        size = np.maximum(P.area(box), 1)
+        top, best = np.full(len(group), float(threshold)), np.full(len(group), -1)
+        for a, b in P.pairs_between(group, box, of, other):
+            share = P.common_area(box[a], other[b]) / size[a]
+            a, b, share = (v[share > threshold] for v in (a, b, share))
+            order = np.lexsort((block["idx"][b], -share, a))
+            first = order[P.places(a[order]) == 1]
+            a, b, share = a[first], b[first], share[first]
+            tie = (share == top[a]) & (best[a] >= 0)
+            tie[tie] = block["idx"][b[tie]] < block["idx"][best[a[tie]]]
+            better = (share > top[a]) | tie
+            top[a[better]], best[a[better]] = share[better], b[better]
+        found = np.full(len(group), None, object)
+        hit = known & (best >= 0)
+        found[hit] = block["idx"][best[hit]]
+        return line | {"block": found}
+
+    rest = [c for c in lines.columns if c not in COLS]
+    kinds = dict(lines.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*rest, *COLS)), f"block {dict(blocks.dtypes)['idx']}"])
+    return P.map_sides(lines, placed(blocks).select("page_id", "idx", *COLS), ["page_id"], kernel, schema)
+
+
+def placed(boxes: DataFrame) -> DataFrame:
+    """Rows with all coordinates."""
+    return boxes.dropna(subset=COLS)
+
+
+def _largest_common(box: np.ndarray, group: np.ndarray, other: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of each box: the largest area in common with one of the others in its group."""
+    most = np.zeros(len(group), np.int64)
+    for a, b in P.pairs_between(group, box, of, other):
+        np.maximum.at(most, a, P.common_area(box[a], other[b]))
+    return most
 
 
 def uncovered_components(components: DataFrame, blocks: DataFrame, min_area: int = 50, threshold: float = 0.5) -> DataFrame:
     """Components over ``min_area`` pixels whose best overlap with a block covers less than the threshold of their rectangle."""
-    b = blocks.select("page_id", *(F.col(c).alias(f"b{c}") for c in COLS))
-    large = components.filter(F.col("area") > min_area)
-    keys = components.columns
-    best = large.join(b, "page_id", "left").groupBy(*keys).agg(F.max(G.intersection_area(G.box(), G.box("b"))).alias("common"))
-    return best.filter(F.coalesce("common", F.lit(-1)) / F.greatest(G.area(G.box()), F.lit(1)) < threshold).drop("common")
+
+    def kernel(part: P.Columns, group: np.ndarray, block: P.Columns, of: np.ndarray) -> P.Columns:
+        box, other = P.boxes_of(part)[0], P.boxes_of(block)[0]
+        return P.taken(part, _largest_common(box, group, other, of) / np.maximum(P.area(box), 1) < threshold)
+
+    large = placed(components).filter(F.col("area") > min_area)
+    schema = ", ".join(f"{n} {t}" for n, t in components.dtypes)
+    return P.map_sides(large, placed(blocks).select("page_id", *COLS), ["page_id"], kernel, schema)
 
 
 def line_shape(b: G.Box) -> tuple[Column, Column]:
@@ -165,8 +199,8 @@ def group_blocks(lines: DataFrame, blocks: DataFrame, w: int, h: int) -> DataFra
 
     Horizontal English blocks grow by max(int(0.1 font), 2) pixels.
     """
-    placed = assign_lines(lines, blocks.select("page_id", "idx", *COLS))
-    known = placed.filter("block IS NOT NULL").withColumn("block_idx", F.col("block")).join(blocks.select("page_id", F.col("idx").alias("block_idx"), "lang"), ["page_id", "block_idx"])
+    assigned = assign_lines(lines, blocks.select("page_id", "idx", *COLS))
+    known = assigned.filter("block IS NOT NULL").withColumn("block_idx", F.col("block")).join(blocks.select("page_id", F.col("idx").alias("block_idx"), "lang"), ["page_id", "block_idx"])
     known = known.withColumn("line_no", F.row_number().over(W.partitionBy("page_id", "block_idx").orderBy(*COLS)))
     shape = examine_blocks(known, "page_id", "block_idx")
     full = known.join(shape.select("page_id", "block_idx", "vertical", "font_size"), ["page_id", "block_idx"])
@@ -174,7 +208,7 @@ def group_blocks(lines: DataFrame, blocks: DataFrame, w: int, h: int) -> DataFra
     edges = (F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2"))
     boxes = [e.alias(c) for e, c in zip(edges, COLS)]
     made = parts.groupBy("page_id", "block_idx", "part").agg(*boxes, F.max("lang").alias("lang"), F.max("vertical").alias("vertical"), F.max("font_size").alias("font_size"))
-    loose = placed.filter("block IS NULL").withColumn("vertical", (F.col("y2") - F.col("y1")) > 2 * (F.col("x2") - F.col("x1")))
+    loose = assigned.filter("block IS NULL").withColumn("vertical", (F.col("y2") - F.col("y1")) > 2 * (F.col("x2") - F.col("x1")))
     loose = loose.withColumn("line_no", F.row_number().over(W.partitionBy("page_id").orderBy(*COLS)))
     merged = merge_scattered_lines(loose.select("page_id", "line_no", *COLS, "vertical")).select("page_id", *COLS, F.lit("unknown").alias("lang"), "vertical", "font_size")
     every = made.select("page_id", *COLS, "lang", "vertical", "font_size").unionByName(merged)
@@ -236,42 +270,75 @@ def scaled_back(dets: DataFrame, x_ratio: Column, y_ratio: Column) -> DataFrame:
     return dets.withColumns({n: (F.col(n) * r).cast("int") for n, r in zip(COLS, ratios)})
 
 
+def mark_ignored(truth: DataFrame, dets: DataFrame, share: float = 0.5) -> DataFrame:
+    """Adds ``ignore`` to detections: over ``share`` of their area lies in one ground truth that is marked ``ignore``."""
+
+    def kernel(det: P.Columns, group: np.ndarray, region: P.Columns, of: np.ndarray) -> P.Columns:
+        box, other = P.boxes_of(det)[0], P.boxes_of(region)[0]
+        return det | {"ignore": _largest_common(box, group, other, of) > share * P.area(box)}
+
+    schema = ", ".join([*(f"{n} {t}" for n, t in dets.dtypes), "ignore boolean"])
+    return P.map_sides(dets, placed(truth).filter("ignore").select("page_id", *COLS), ["page_id"], kernel, schema).select(*dets.columns, "ignore")
+
+
+def cared(rows: DataFrame) -> DataFrame:
+    """Rows that aren't marked ``ignore``; all of a table without that column."""
+    return rows.filter(~F.coalesce("ignore", F.lit(False))) if "ignore" in rows.columns else rows
+
+
 def match_detections(truth: DataFrame, dets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(page_id, gt, det): ground truth in idx order takes the first free detection with IoU over the threshold."""
-    b = dets.select("page_id", F.col("idx").alias("det"), *(F.col(c).alias(f"b{c}") for c in COLS))
-    near = truth.select("page_id", F.col("idx").alias("gt"), *COLS).join(b, "page_id")
-    pairs = near.filter(G.iou(G.box(), G.box("b")) > threshold).select("page_id", "gt", "det")
+    """(page_id, gt, det): ground truth in idx order takes the first free detection with IoU over the threshold.
 
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        taken_gt, taken, out = set(), set(), []
-        for gt, det in sorted((r["gt"], r["det"]) for r in rows):
-            if gt not in taken_gt and det not in taken:
-                taken_gt.add(gt)
+    Rows marked ``ignore`` on either side take no part (see ``mark_ignored``).
+    """
+
+    def kernel(a: P.Columns, group: np.ndarray, b: P.Columns, of: np.ndarray) -> P.Columns:
+        box, other = P.boxes_of(a)[0], P.boxes_of(b)[0]
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in P.pairs_between(group, box, of, other):
+            common = P.common_area(box[i], other[j])
+            whole = P.area(box[i]) + P.area(other[j]) - common
+            hit = (common > 0) & (common / np.maximum(whole, 1) > threshold)
+            found.append(np.stack((i[hit], j[hit]), 1))
+        i, j = np.concatenate(found).T
+        order = np.lexsort((j, b["idx"][j], i, a["idx"][i], group[i]))
+        used, taken, keep = set(), set(), []
+        for gt, det in zip(i[order].tolist(), j[order].tolist()):
+            if gt not in used and det not in taken:
+                used.add(gt)
                 taken.add(det)
-                out.append((*key, gt, det))
-        return out
+                keep.append((gt, det))
+        gt, det = np.array(keep, np.int64).reshape(-1, 2).T
+        return {"page_id": a["page_id"][gt], "gt": a["idx"][gt], "det": b["idx"][det]}
 
-    return map_groups(pairs, ["page_id"], body, "page_id long, gt int, det int")
+    sides = [placed(cared(df)).select("page_id", "idx", *COLS) for df in (truth, dets)]
+    return P.map_sides(*sides, ["page_id"], kernel, "page_id long, gt int, det int")
 
 
 def detection_metrics(truth: DataFrame, dets: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per page and over all (page_id null): precision, recall, their harmonic mean.
+    """Per page and over all (page_id null, from sums): precision, recall, their harmonic mean.
 
-    A page without ground truth has recall 1, and precision 1 only without detections.
+    Rows marked ``ignore`` aren't counted. A page without ground truth has recall 1, and precision 1
+    only without detections; over all, a share of nothing is 0.
     """
-    count = lambda df, n: df.groupBy("page_id").agg(F.count("*").alias(n))
-    c = count(truth, "n_gt").join(count(dets, "n_det"), "page_id", "full").join(count(matches, "hits"), "page_id", "left").na.fill(0)
-    every = c.unionByName(c.agg(F.lit(None).cast("long").alias("page_id"), *(F.sum(x).alias(x) for x in ("n_gt", "n_det", "hits"))))
-    empty = F.col("n_gt") == 0
-    recall = F.when(empty, 1.0).otherwise(F.col("hits") / F.col("n_gt"))
-    precision = F.when(empty, F.when(F.col("n_det") > 0, 0.0).otherwise(1.0)).when(F.col("n_det") == 0, 0.0).otherwise(F.col("hits") / F.col("n_det"))
+    seen = lambda df: F.count(F.when(~F.coalesce("ignore", F.lit(False)), 1)) if "ignore" in df.columns else F.count("*")
+    count = lambda df, n: df.groupBy("page_id").agg(seen(df).alias(n))
+    names = ("n_gt", "n_det", "hits")
+    c = count(truth, "n_gt").join(count(dets, "n_det"), "page_id", "full").join(count(matches, "hits"), "page_id", "left").na.fill(0, list(names))
+    total = c.agg(F.lit(None).cast("long").alias("page_id"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names), F.lit(True).alias("total"))
+    every = c.withColumn("total", F.lit(False)).unionByName(total)
+    empty = (F.col("n_gt") == 0) & ~F.col("total")
+    share = lambda n: F.when(F.col(n) == 0, 0.0).otherwise(F.col("hits") / F.col(n))
+    recall = F.when(empty, 1.0).otherwise(share("n_gt"))
+    precision = F.when(empty & (F.col("n_det") == 0), 1.0).otherwise(share("n_det"))
     out = every.select("page_id", "hits", precision.alias("precision"), recall.alias("recall"))
     total = F.col("precision") + F.col("recall")
     return out.withColumn("hmean", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
 def average_precision(dets: DataFrame, matches: DataFrame, truth: DataFrame) -> DataFrame:
-    """(page_id, ap): precision at every hit in order of confidence, summed over the number of ground truths."""
+    """(page_id, ap): precision at every hit in order of confidence, summed over the number of ground truths; ``ignore`` rows don't count."""
+    dets, truth = cared(dets), cared(truth)
     hit = dets.select("page_id", F.col("idx").alias("det"), "conf").join(matches.select("page_id", "det", F.lit(1).alias("hit")), ["page_id", "det"], "left")
     run = W.partitionBy("page_id").orderBy(F.desc("conf"), "det")
     p = F.sum(F.coalesce("hit", F.lit(0))).over(run) / F.row_number().over(run)

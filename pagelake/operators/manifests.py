@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.rules import id_from_path
+from ..functions.rules import id_from_path, parent
 
 
 def pair_documents(pages: DataFrame, masks: DataFrame) -> DataFrame:
@@ -39,11 +39,25 @@ def stale_outputs(wanted: DataFrame, outputs: DataFrame, params: DataFrame) -> D
     ``params`` has the current digest of each output's own parameters.
     """
     have = outputs.select("page_id", "output", F.col("params").alias("made_with"))
-    both = wanted.join(have, ["page_id", "output"], "left").join(F.broadcast(params), "output")  # a row an output kind
+    both = wanted.join(have, ["page_id", "output"], "left").join(params, "output")
     reason = F.when(F.col("made_with").isNull(), "missing").when(F.col("made_with") != F.col("params"), "changed")
     return both.select("page_id", "output", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+def stale_steps(wanted: DataFrame, outputs: DataFrame, params: DataFrame, steps: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(page_id, step): steps to run again on the pages of ``wanted``.
+
+    ``steps`` has the outputs of each step, the one that stands for it last. A step runs again if one of its wanted
+    outputs is stale; where none of its outputs is wanted, if its last one is.
+    """
+    each = [F.struct(F.lit(step).alias("step"), F.array(*map(F.lit, kinds)).alias("kinds")) for step, kinds in steps.items()]
+    pages = wanted.groupBy("page_id").agg(F.collect_set("output").alias("asked")).select("page_id", "asked", F.explode(F.array(*each)).alias("s"))
+    asked = F.array_intersect("s.kinds", "asked")
+    needed = pages.select("page_id", "s.step", F.explode(F.when(F.size(asked) > 0, asked).otherwise(F.slice("s.kinds", -1, 1))).alias("output"))
+    stale = stale_outputs(needed.select("page_id", "output").distinct(), outputs, params)
+    return needed.join(stale.select("page_id", "output"), ["page_id", "output"], "left_semi").select("page_id", "step").distinct()
+
+
 def params_digest(params: DataFrame, *names: str) -> DataFrame:
     """Adds ``params``: a digest of the named parameters."""
     return params.withColumn("params", F.sha2(F.to_json(F.struct(*names)), 256))
@@ -88,6 +102,25 @@ def merge_export_targets(targets: DataFrame, segments: DataFrame) -> DataFrame:
     return n.join(common, "split_from", "left").select("split_from", complete.alias("complete"), F.when(complete, F.coalesce("outputs", F.array().cast("array<string>"))).alias("outputs"))
 
 
+def grafted_targets(targets: DataFrame, segments: DataFrame) -> DataFrame:
+    """Targets (path, ...) with ``export_path``, where segments aren't merged: a segment's own name in its original's folder, else the path itself.
+
+    ``segments``: (split_from, segment_path), the paths of originals and segments.
+    """
+    origin = segments.select(F.col("segment_path").alias("path"), F.col("split_from").alias("_from")).dropDuplicates(["path"])
+    name = F.element_at(F.split("path", "/"), -1)
+    grafted = F.when(F.col("_from").isNotNull(), F.concat(parent(F.col("_from")), F.lit("/"), name)).otherwise(F.col("path"))
+    return targets.join(origin, "path", "left").withColumn("export_path", grafted).drop("_from")
+
+
+def engine_languages(*engines: DataFrame) -> DataFrame:
+    """(lang): every language that at least one of the engines' tables has."""
+    every = engines[0].select("lang")
+    for e in engines[1:]:
+        every = every.unionByName(e.select("lang"))
+    return every.filter("lang IS NOT NULL").distinct()
+
+
 def supported_languages(engines: DataFrame, requested: DataFrame) -> DataFrame:
     """(lang): requested languages that no engine has."""
     return requested.select("lang").distinct().join(engines.select("lang").distinct(), "lang", "left_anti")

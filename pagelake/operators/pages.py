@@ -30,7 +30,22 @@ def map_pages(df: DataFrame, keys: list[str], kernel: Callable[[Columns, np.ndar
     """
     names = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("rows_"))
-    out = df.sparkSession.createDataFrame([], schema).schema
+    return _mapped(packed, schema, lambda batch: kernel(*unpacked(batch, keys, "rows_", names)))
+
+
+def map_sides(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callable[[Columns, np.ndarray, Columns, np.ndarray], Columns], schema: str) -> DataFrame:
+    """``map_pages`` for two tables: the kernel gets the columns and group numbers of both.
+
+    Groups without a row of ``left`` are left out. Each table moves once, by the keys.
+    """
+    names = [[c for c in df.columns if c not in keys] for df in (left, right)]
+    packed = [df.groupBy(*keys).agg(F.collect_list(F.struct(*n)).alias(side)) for df, n, side in zip((left, right), names, ("left_", "right_"))]
+    both = packed[0].join(packed[1], keys, "left")
+    return _mapped(both, schema, lambda batch: kernel(*unpacked(batch, keys, "left_", names[0]), *unpacked(batch, keys, "right_", names[1])))
+
+
+def _mapped(packed: DataFrame, schema: str, body: Callable[[pa.RecordBatch], Columns]) -> DataFrame:
+    out = packed.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,19 +54,23 @@ def map_pages(df: DataFrame, keys: list[str], kernel: Callable[[Columns, np.ndar
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = batch.column("rows_")
-            flat, sizes = rows.flatten(), np.diff(rows.offsets.to_numpy())
-            group = np.repeat(np.arange(len(rows)), sizes)
-            at = pa.array(group)
-            columns = {k: numbers(batch.column(k).take(at)) for k in keys}
-            columns |= {n: numbers(flat.field(i)) for i, n in enumerate(names)}
-            made = kernel(columns, group)
+            made = body(batch)
             arrays = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type, from_pandas=True) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return packed.mapInArrow(run, out)
 
 
+def unpacked(batch: pa.RecordBatch, keys: list[str], packed: str, names: list[str]) -> tuple[Columns, np.ndarray]:
+    """Columns of the packed rows of a batch, and the number of each row's group."""
+    rows = batch.column(packed)
+    flat, sizes = rows.flatten(), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.repeat(np.arange(len(rows)), sizes)
+    at = pa.array(group)
+    columns = {k: numbers(batch.column(k).take(at)) for k in keys}
+    return columns | {n: numbers(flat.field(i)) for i, n in enumerate(names)}, group
+
+
 def numbers(column: pa.Array) -> np.ndarray:
     """Plain numbers where there are no nulls, else objects."""
     if column.null_count or not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
@@ -87,6 +106,28 @@ def meeting_pairs(group: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Iterator
         at = to
 
 
+def boxes_of(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates (rows, 4), and which rows have all of them; the others are zero."""
+    names = ("x1", "y1", "x2", "y2")
+    known = np.ones(len(columns["x1"]), bool)
+    for n in names:
+        if columns[n].dtype == object:
+            known &= np.array([v is not None for v in columns[n]], bool)
+    box = np.zeros((len(known), 4), np.int64)
+    box[known] = np.stack([columns[n][known].astype(np.int64) for n in names], 1)
+    return box, known
+
+
+def pairs_between(left: np.ndarray, box: np.ndarray, right: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left row, right row) of one group whose spans x1..x2 meet, some at a time; ``left`` and ``right`` are group numbers."""
+    n = len(left)
+    both = np.concatenate((box, other))
+    for a, b in meeting_pairs(np.concatenate((left, right)), both[:, 0], both[:, 2]):
+        mixed = (a < n) != (b < n)
+        a, b = a[mixed], b[mixed]
+        yield np.minimum(a, b), np.maximum(a, b) - n
+
+
 def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Columns:
     """One greedy pass in each group: a row is taken in ``order``, and what overlaps it as it came is merged into it.
 
@@ -95,12 +136,7 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     names = ("x1", "y1", "x2", "y2")
-    known = np.ones(len(group), bool)
-    for n in names:
-        if columns[n].dtype == object:
-            known &= np.array([v is not None for v in columns[n]], bool)
-    box = np.zeros((len(group), 4), np.int64)
-    box[known] = np.stack([columns[n][known].astype(np.int64) for n in names], 1)
+    box, known = boxes_of(columns)
     found: list[np.ndarray] = []
     crowded = np.bincount(group)[group] > CROWDED if len(group) else known
     rows = np.flatnonzero(known & ~crowded)

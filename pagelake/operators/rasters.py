@@ -1,6 +1,7 @@
 """Raster jobs: crops, bitmaps, growth, borders, overlays, strips, components.
 
-Images are rows (image_id, h, w, data): grey values, one byte a pixel, row by row.
+Images are rows (image_id, h, w, data): grey values, one byte a pixel, row by row. Colour images
+have three bytes a pixel (red, green, blue), overlays four (with alpha).
 Kernels are NumPy inside Arrow batches; only statistics leave where pixels aren't asked for.
 Rectangles are half open except where bitmaps are drawn, which include right and bottom edges.
 """
@@ -20,23 +21,27 @@ from ..functions import geometry as G
 IMAGE = "image_id long, h int, w int, data binary"
 
 
-def array_of(row: tuple | pd.Series) -> np.ndarray:
-    return np.frombuffer(bytes(row.data), np.uint8).reshape(row.h, row.w)
+def array_of(row: tuple | pd.Series, channels: int = 1) -> np.ndarray:
+    flat = np.frombuffer(bytes(row.data), np.uint8)
+    return flat.reshape(row.h, row.w) if channels == 1 else flat.reshape(row.h, row.w, channels)
 
 
-def images_from_pixels(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Images of pixel rows (key, y, x, px)."""
-    rows = F.array_sort(F.collect_list(F.struct("y", "x", "px")))
+def images_from_pixels(pixels: DataFrame, key: str = "vec_id", channels: tuple[str, ...] = ("px",)) -> DataFrame:
+    """Images of pixel rows (key, y, x, channels)."""
+    rows = F.array_sort(F.collect_list(F.struct("y", "x", *channels)))
     packed = pixels.groupBy(key).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), rows.alias("p"))
-    hexed = F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["px"]), 2, "0")), "")
+    hexed = F.array_join(F.transform("p", lambda s: F.concat(*(F.lpad(F.hex(s[c]), 2, "0") for c in channels))), "")
     return packed.select(F.col(key).cast("long").alias("image_id"), "h", "w", F.unhex(hexed).alias("data"))
 
 
-def pixels_of(images: DataFrame) -> DataFrame:
-    """(image_id, y, x, px) of images."""
-    value = F.conv(F.hex(F.substring("data", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
+def pixels_of(images: DataFrame, channels: tuple[str, ...] = ("px",)) -> DataFrame:
+    """(image_id, y, x, channels) of images."""
+    n = len(channels)
+    value = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * n + k, F.lit(1))), 16, 10).cast("int")
     each = images.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)))
-    return each.select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), value.alias("px"))
+    return each.select(
+        "image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), *(value(k).alias(c) for k, c in enumerate(channels, 1))
+    )
 
 
 def _mapped(df: DataFrame, schema: str, rows: Callable[[pd.Series], Iterator[tuple]]) -> DataFrame:
@@ -49,9 +54,14 @@ def _mapped(df: DataFrame, schema: str, rows: Callable[[pd.Series], Iterator[tup
     return df.mapInPandas(run, schema)
 
 
+#: Columns of a reference box, as ``pair_boxes`` names them.
+REFERENCE = tuple(f"ref_{c}" for c in G.Box._fields)
+
+
 def with_boxes(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Images with the array of their boxes: boxes are gathered per image, so pixels move once at most."""
-    packed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *G.Box._fields))).alias("boxes"))
+    """Images with the array of their boxes (and reference boxes): boxes are gathered per image, so pixels move once at most."""
+    more = [c for c in REFERENCE if c in boxes.columns]
+    packed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *G.Box._fields, *more))).alias("boxes"))
     return images.join(packed, "image_id")
 
 
@@ -95,18 +105,42 @@ def mask_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return _mapped(both, IMAGE, rows)
 
 
+def _layers(parts: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Parts of each image as an array in idx order."""
+    return parts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x1", "y1", "h", "w", "data", *more))).alias("parts"))
+
+
+def _paste(out: np.ndarray, part: dict, value: np.ndarray | None = None) -> None:
+    """Set pixels of a sub-mask, as they are or as ``value``, at its place; what lies outside is cut off."""
+    h, w = out.shape[:2]
+    x, y = part["x1"], part["y1"]
+    mask = np.frombuffer(bytes(part["data"]), np.uint8).reshape(part["h"], part["w"])[max(-y, 0) : max(h - y, 0), max(-x, 0) : max(w - x, 0)]
+    room = out[max(y, 0) : max(y, 0) + mask.shape[0], max(x, 0) : max(x, 0) + mask.shape[1]]
+    room[mask > 0] = mask[mask > 0] if value is None else value
+
+
 def compose_masks(parts: DataFrame, w: int, h: int) -> DataFrame:
     """Sub-masks (image_id, idx, x1, y1, h, w, data) pasted at their places, in idx order; set pixels only."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows(r: pd.Series) -> Iterator[tuple]:
         out = np.zeros((h, w), np.uint8)
-        for r in pdf.sort_values("idx").itertuples():
-            part = array_of(r)[: max(h - r.y1, 0), : max(w - r.x1, 0)]
-            room = out[r.y1 : r.y1 + part.shape[0], r.x1 : r.x1 + part.shape[1]]
-            room[part > 0] = part[part > 0]
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "h": [h], "w": [w], "data": [out.tobytes()]})
+        for part in r.parts:
+            _paste(out, part)
+        yield r.image_id, h, w, out.tobytes()
 
-    return parts.groupBy("image_id").applyInPandas(run, IMAGE)
+    return _mapped(_layers(parts), IMAGE, rows)
+
+
+def combine_masks(parts: DataFrame, w: int, h: int) -> DataFrame:
+    """Chosen masks (image_id, idx, x1, y1, h, w, data, r, g, b) as one overlay: opaque in its colour where a mask is set, later ones over earlier."""
+
+    def rows(r: pd.Series) -> Iterator[tuple]:
+        out = np.zeros((h, w, 4), np.uint8)
+        for part in r.parts:
+            _paste(out, part, np.array([part["r"], part["g"], part["b"], 255], np.uint8))
+        yield r.image_id, h, w, out.tobytes()
+
+    return _mapped(_layers(parts, ("r", "g", "b")), IMAGE, rows)
 
 
 def disc(n: int) -> list[tuple[int, int]]:
@@ -140,14 +174,14 @@ def border(mask: np.ndarray) -> np.ndarray:
     return mask & ~inner
 
 
-def candidates(mask: np.ndarray, first: int, step: int, steps: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """(k, thickness, mask): each grows from the one before; the box mask (all set, thickness None) comes last."""
+def candidates(mask: np.ndarray, first: int, step: int, steps: int, box: np.ndarray | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """(k, thickness, mask): each grows from the one before; the box mask (thickness None; without ``box`` all set) comes last."""
     grown, before = mask, 0
     for k in range(steps):
         grown = dilate(grown, first + k * step - before)
         before = first + k * step
         yield k, before, grown
-    yield steps, None, np.ones_like(mask)
+    yield steps, None, np.ones_like(mask) if box is None else box
 
 
 def mask_candidates(masks: DataFrame, first: int = 4, step: int = 2, steps: int = 11) -> DataFrame:
@@ -171,47 +205,96 @@ def border_pixels(images: DataFrame, masks: DataFrame) -> DataFrame:
     """(image_id, y, x, px): image pixels where the mask has a border."""
     both = images.join(masks.select("image_id", F.col("data").alias("mask")), "image_id")
 
-    def rows(r: pd.Series) -> Iterator[tuple]:
-        image, edge = array_of(r), border(np.frombuffer(bytes(r.mask), np.uint8).reshape(r.h, r.w) > 0)
-        for y, x in np.argwhere(edge):
-            yield r.image_id, int(y), int(x), int(image[y, x])
-
-    return _mapped(both, "image_id long, y int, x int, px int", rows)
-
-
-def fit_statistics(images: DataFrame, masks: DataFrame, boxes: DataFrame, first: int = 4, step: int = 2, steps: int = 11) -> DataFrame:
-    """(image_id, idx, k, thickness, dev, median) of every box and candidate: statistics alone, no pixels.
-
-    A box whose mask is empty, or one of whose candidates has no border, gives no rows.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [pd.DataFrame({"image_id": [], "y": [], "x": [], "px": []}, dtype=np.int64)]
+            for r in pdf.itertuples():
+                ys, xs = np.nonzero(border(np.frombuffer(bytes(r.mask), np.uint8).reshape(r.h, r.w) > 0))
+                found.append(pd.DataFrame({"image_id": np.full(len(ys), r.image_id), "y": ys, "x": xs, "px": array_of(r)[ys, xs]}))
+            yield pd.concat(found)
+
+    return both.mapInPandas(run, "image_id long, y int, x int, px int")
+
+
+def weiszfeld(points: np.ndarray, eps: float = 1e-5, most: int = 500) -> np.ndarray:
+    """Geometric median: Weiszfeld's iteration from the mean; points at distance 0 are left out of a step."""
+    at = points.mean(0)
+    for _ in range(most):
+        far = np.linalg.norm(points - at, axis=1)
+        use = far > 0
+        if not use.any():
+            break
+        new = (points[use] / far[use, None]).sum(0) / (1 / far[use]).sum()
+        done = np.linalg.norm(new - at) < eps
+        at = new
+        if done:
+            break
+    return at
+
+
+def border_statistics(px: np.ndarray, off_white: int) -> tuple[float, list[int]]:
+    """Deviation and colour of border pixels, grey (one axis) or in colour (two).
+
+    Grey: population deviation and median. Colour: sample deviation of the distances to the mean (0 for one pixel),
+    and the colour of more than half of the pixels, else their geometric median. Fractions are cut off; colours above
+    ``off_white`` in every channel become white.
+    """
+    if px.ndim == 1:
+        dev, color = float(px.std()), [int(np.median(px))] * 3
+    else:
+        points = px.astype(float)
+        dev = float(np.linalg.norm(points - points.mean(0), axis=1).std(ddof=1)) if len(px) > 1 else 0.0
+        kinds, count = np.unique(px, axis=0, return_counts=True)
+        most = int(count.argmax())
+        color = [int(c) for c in (kinds[most] if 2 * count[most] > len(px) else weiszfeld(points))]
+    return dev, [255] * 3 if min(color) > off_white else color
+
+
+def fit_statistics(
+    images: DataFrame, masks: DataFrame, boxes: DataFrame, first: int = 4, step: int = 2, steps: int = 11, color: bool = False, off_white: int = 240
+) -> DataFrame:
+    """(image_id, idx, k, thickness, dev, r, g, b) of every box and candidate: statistics alone, no pixels.
+
+    Boxes may carry reference boxes (``ref_x1`` ..): masks then grow beyond their box up to the reference box.
+    With ``color`` images have three bytes a pixel. A box whose mask is empty, or one of whose candidates has no
+    border, gives no rows.
     """
     both = with_boxes(images.join(masks.select("image_id", F.col("data").alias("mask")), "image_id"), boxes)
+    around = REFERENCE[0] in boxes.columns
 
     def rows(r: pd.Series) -> Iterator[tuple]:
-        image, mask = array_of(r), np.frombuffer(bytes(r.mask), np.uint8).reshape(r.h, r.w) > 0
+        image, mask = array_of(r, 3 if color else 1), np.frombuffer(bytes(r.mask), np.uint8).reshape(r.h, r.w) > 0
         for b in r.boxes:
-            cut = np.s_[max(b["y1"], 0) : b["y2"], max(b["x1"], 0) : b["x2"]]
-            if not mask[cut].any():
+            x1, y1, x2, y2 = max(b["x1"], 0), max(b["y1"], 0), max(min(b["x2"], r.w), 0), max(min(b["y2"], r.h), 0)
+            u1, v1, u2, v2 = (max(b[c], 0) for c in REFERENCE) if around else (x1, y1, x2, y2)
+            inside = np.zeros(mask.shape, bool)
+            inside[y1:y2, x1:x2] = True
+            cut = np.s_[v1:v2, u1:u2]
+            part = (mask & inside)[cut]
+            if not part.any():
                 continue
             found = []
-            for k, thickness, m in candidates(mask[cut], first, step, steps):
-                edge = border(np.pad(m, 1))[1:-1, 1:-1]
-                px = image[cut][edge]
+            for k, thickness, m in candidates(part, first, step, steps, inside[cut]):
+                px = image[cut][border(np.pad(m, 1))[1:-1, 1:-1]]
                 if not len(px):
                     found = []
                     break
-                found.append((r.image_id, b["idx"], k, thickness, float(px.std()), int(np.median(px))))
+                dev, rgb = border_statistics(px, off_white)
+                found.append((r.image_id, b["idx"], k, thickness, dev, *rgb))
             yield from found
 
-    return _mapped(both, "image_id long, idx int, k int, thickness double, dev double, median int", rows).withColumn("thickness", F.col("thickness").cast("int"))
+    schema = "image_id long, idx int, k int, thickness double, dev double, r int, g int, b int"
+    return _mapped(both, schema, rows).withColumn("thickness", F.col("thickness").cast("int"))
 
 
-def pick_best_candidate(cands: DataFrame, *keys: str, improvement: float = 0.1, max_dev: float = 15.0, fast: bool = False) -> DataFrame:
-    """(keys, k, thickness, dev, failed): a fold over candidates in order of k; the best is replaced only by dev <= best * (1 - improvement).
+def pick_best_candidate(cands: DataFrame, *keys: str, improvement: float = 0.1, max_dev: float = 15.0, fast: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, thickness, dev, failed, carried columns): a fold over candidates in order of k; the best is replaced only by dev <= best * (1 - improvement).
 
-    With ``fast`` the box mask (null thickness) comes first and a deviation of 0 ends the search.
+    With ``fast`` the box mask (null thickness) comes first and a deviation of 0 ends the search. ``carry`` names further
+    columns of the best candidate, such as its colour.
     """
     order = F.when(F.col("thickness").isNull(), -1).otherwise(F.col("k")) if fast else F.col("k")
-    item = F.struct(order.alias("o"), F.col("k").alias("k"), F.col("thickness").alias("thickness"), F.col("dev").alias("dev"))
+    item = F.struct(order.alias("o"), *(F.col(c).alias(c) for c in ("k", "thickness", "dev", *carry)))
     packed = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
 
     def step(best: Column, c: Column) -> Column:
@@ -219,12 +302,12 @@ def pick_best_candidate(cands: DataFrame, *keys: str, improvement: float = 0.1,
         return F.when(~stop & (c["dev"] <= best["dev"] * F.lit(1 - improvement)), c).otherwise(best)
 
     best = F.aggregate(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(0))), F.get("c", F.lit(0)), step)
-    return packed.withColumn("b", best).select(*keys, "b.k", "b.thickness", "b.dev", (F.col("b.dev") > max_dev).alias("failed"))
+    return packed.withColumn("best_", best).select(*keys, "best_.k", "best_.thickness", "best_.dev", (F.col("best_.dev") > max_dev).alias("failed"), *(f"best_.{c}" for c in carry))
 
 
-def fit_masks(images: DataFrame, masks: DataFrame, boxes: DataFrame, **options: float) -> DataFrame:
-    """The best candidate of every box, from border statistics."""
-    return pick_best_candidate(fit_statistics(images, masks, boxes), "image_id", "idx", **options)
+def fit_masks(images: DataFrame, masks: DataFrame, boxes: DataFrame, color: bool = False, off_white: int = 240, **options: float) -> DataFrame:
+    """The best candidate of every box with the colour to fill it, from border statistics."""
+    return pick_best_candidate(fit_statistics(images, masks, boxes, color=color, off_white=off_white), "image_id", "idx", carry=("r", "g", "b"), **options)
 
 
 def apply_overlay(images: DataFrame, overlays: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -324,33 +407,23 @@ def mask_components(masks: DataFrame, min_area: int = 1) -> DataFrame:
 
     def rows(r: pd.Series) -> Iterator[tuple]:
         mask = array_of(r) > 0
-        label = label_components(mask)
-        k = 0
-        for v in np.unique(label[mask]):
-            ys, xs = np.nonzero(label == v)
-            if len(ys) >= min_area:
-                k += 1
-                yield r.image_id, k, len(ys), int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1
+        ys, xs = np.nonzero(mask)
+        kinds, at, area = np.unique(label_components(mask)[mask], return_inverse=True, return_counts=True)
+        low, high = np.full((2, len(kinds)), max(mask.shape)), np.zeros((2, len(kinds)), np.int64)
+        for axis, v in enumerate((xs, ys)):
+            np.minimum.at(low[axis], at, v)
+            np.maximum.at(high[axis], at, v + 1)
+        large = np.flatnonzero(area >= min_area)
+        for k, c in enumerate(large.tolist(), 1):
+            yield r.image_id, k, int(area[c]), int(low[0, c]), int(low[1, c]), int(high[0, c]), int(high[1, c])
 
     return _mapped(masks, "image_id long, component int, area long, x1 int, y1 int, x2 int, y2 int", rows)
 
 
 def geometric_median(points: DataFrame, key: str, channels: tuple[str, ...] = ("r", "g", "b"), eps: float = 1e-5, most: int = 500) -> DataFrame:
-    """(key, channels as double): Weiszfeld's iteration from the mean; points at distance 0 are left out of a step."""
+    """(key, channels as double): see ``weiszfeld``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(channels)].to_numpy(float)
-        at = p.mean(0)
-        for _ in range(most):
-            far = np.linalg.norm(p - at, axis=1)
-            use = far > 0
-            if not use.any():
-                break
-            new = (p[use] / far[use, None]).sum(0) / (1 / far[use]).sum()
-            done = np.linalg.norm(new - at) < eps
-            at = new
-            if done:
-                break
-        return pd.DataFrame([[pdf[key].iloc[0], *at]], columns=[key, *channels])
+        return pd.DataFrame([[pdf[key].iloc[0], *weiszfeld(pdf[list(channels)].to_numpy(float), eps, most)]], columns=[key, *channels])
 
     return points.groupBy(key).applyInPandas(run, f"{key} long, " + ", ".join(f"{c} double" for c in channels))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("geometry", "regions", "analytics", "lines", "texts", "manifests", "logs", "rasters", "streams")
+MODULES = ("geometry", "regions", "analytics", "lines", "quads", "texts", "manifests", "logs", "rasters", "streams")
 
 
 def _load() -> None:

@@ -58,6 +58,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT d.page_id, d.idx AS block_idx, l.k AS line_no, d.x1 AS x1, d.y1 + l.k * 18 AS y1, d.x2 AS x2, d.y1 + l.k * 18 + 14 AS y2
           FROM fx_detections d CROSS JOIN (VALUES (0),(1),(2)) AS l(k) WHERE l.k <= d.lineno % 3""",
     ),
+    "fx_quads": (  # slanted lines: rows of a block, or columns in every third one; corners clockwise from the upper left
+        ("fx_detections",),
+        """SELECT page_id, block_idx, block_idx * 10 + line_no AS line_no, lang,
+            CASE WHEN down THEN x1 + line_no * 24 ELSE x1 END AS qx1, CASE WHEN down THEN y1 ELSE y1 + line_no * 18 END AS qy1,
+            CASE WHEN down THEN x1 + line_no * 24 + 18 ELSE x2 END AS qx2, CASE WHEN down THEN y1 + tilt ELSE y1 + line_no * 18 + tilt * 4 END AS qy2,
+            CASE WHEN down THEN x1 + line_no * 24 + 18 - tilt * 4 ELSE x2 - tilt END AS qx3, CASE WHEN down THEN y2 + 20 + tilt ELSE y1 + line_no * 18 + 14 + tilt * 4 END AS qy3,
+            CASE WHEN down THEN x1 + line_no * 24 - tilt * 4 ELSE x1 - tilt END AS qx4, CASE WHEN down THEN y2 + 20 ELSE y1 + line_no * 18 + 14 END AS qy4
+          FROM (SELECT d.page_id, d.idx AS block_idx, l.k AS line_no, d.lang_raw AS lang, d.x1, d.y1, d.x2, d.y2, CAST(d.partkey % 7 - 3 AS INT) AS tilt, d.suppkey % 3 = 0 AS down
+            FROM fx_detections d CROSS JOIN (VALUES (0),(1),(2)) AS l(k) WHERE l.k <= d.lineno % 3) t""",
+    ),
     "fx_predictions": (
         ("fx_detections",),
         """SELECT page_id, idx, x1 + CAST(partkey % 9 AS INT) AS x1, y1 + CAST(suppkey % 7 AS INT) AS y1, x2 + CAST(partkey % 9 AS INT) AS x2, y2 + CAST(suppkey % 7 AS INT) AS y2,

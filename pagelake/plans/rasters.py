@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import rasters as R
+from ..sources import image_rasters
 from .geometry import colours
 from .registry import Views, query
 
@@ -52,6 +53,43 @@ def r3_mask_intersection(v: Views) -> DataFrame:
     return R.pixels_of(R.mask_intersection(masks(v), low))
 
 
+def parts(v: Views) -> DataFrame:
+    """The bright pixels in the boxes of each image, with colours."""
+    n = F.col("image_id") % 200
+    cut = R.crop_boxes(masks(v), small_boxes(v)).join(small_boxes(v).select("image_id", "idx", "x1", "y1"), ["image_id", "idx"])
+    return cut.withColumns({"r": (F.col("idx") * 50).cast("int"), "g": n.cast("int"), "b": F.lit(7)})
+
+
+INSIDE = f"{BOXES}, s AS (SELECT p.vec_id, p.y, p.x, max(b.idx) AS idx FROM fx_pixels p JOIN b ON b.vec_id=p.vec_id AND p.x>=b.x1 AND p.x<b.x2 AND p.y>=b.y1 AND p.y<b.y2 WHERE p.px >= 128 GROUP BY ALL)"
+
+
+@query(f"WITH {INSIDE} SELECT p.vec_id AS image_id, p.y, p.x, CASE WHEN s.idx IS NULL THEN 0 ELSE 255 END AS px FROM fx_pixels p LEFT JOIN s USING (vec_id, y, x)", PX)
+def r3_compose_masks(v: Views) -> DataFrame:
+    return R.pixels_of(R.compose_masks(parts(v), 8, 8))
+
+
+@query(f"WITH {INSIDE} SELECT p.vec_id AS image_id, p.y, p.x, CAST(coalesce(s.idx*50,0) AS INT) AS r, CAST(CASE WHEN s.idx IS NULL THEN 0 ELSE p.vec_id % 200 END AS INT) AS g, CASE WHEN s.idx IS NULL THEN 0 ELSE 7 END AS b, CASE WHEN s.idx IS NULL THEN 0 ELSE 255 END AS a FROM fx_pixels p LEFT JOIN s USING (vec_id, y, x)", PX)
+def r3_combine_masks(v: Views) -> DataFrame:
+    return R.pixels_of(R.combine_masks(parts(v), 8, 8), ("r", "g", "b", "a"))
+
+
+@query("SELECT concat('img', vec_id) AS image_id, y, x, CAST((299*px + 587*(px*3%256) + 114*(255-px))//1000 AS INT) AS px FROM fx_pixels", PX)
+def s3_image_rasters(v: Views) -> DataFrame:
+    """Decoded colour images, blue first, as the image source gives them."""
+    blue_first = R.images_from_pixels(v(PX).withColumns({"b": 255 - F.col("px"), "g": F.col("px") * 3 % 256}), channels=("b", "g", "px"))
+    image = F.struct(F.concat(F.lit("img"), F.col("image_id").cast("string")).alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data")
+    return R.pixels_of(image_rasters(blue_first.select(image.alias("image"))))
+
+
+@query()
+def r6_fit_color_masks(v: Views) -> DataFrame:
+    """Colour images; masks grow up to two pixels beyond their boxes."""
+    colors = R.images_from_pixels(v(PX).withColumns({"g": F.col("px") * 3 % 256, "b": 255 - F.col("px")}), channels=("px", "g", "b"))
+    grown = [c.alias(n) for c, n in zip(G.pad(G.box(), F.lit(2), 8, 8), R.REFERENCE)]
+    fits = R.fit_masks(colors, masks(v, 150), small_boxes(v).select("*", *grown), color=True, max_dev=60.0)
+    return fits.withColumn("dev", F.round("dev", 6))
+
+
 @query()
 def r4_mask_candidates(v: Views) -> DataFrame:
     return R.mask_candidates(masks(v, 160), 1, 1, 3).drop("data")

@@ -101,7 +101,15 @@ def image_rasters(images: DataFrame) -> DataFrame:
 
 def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, blocks, lines) of raw detection documents; blocks and lines carry their place from 0."""
-    docs = spark.read.schema(DETECTIONS).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(path)
+    return detection_rows(spark.read.schema(DETECTIONS).option("multiLine", True).option("pathGlobFilter", "*#raw.json").json(path))
+
+
+def parse_detections(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of documents in a column ``value``."""
+    return detection_rows(texts.select(F.from_json("value", DETECTIONS).alias("d")).select("d.*"))
+
+
+def detection_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = docs.select("original_path", F.posexplode("blk_list").alias("idx", "b")).select(
         "original_path", "idx", *(F.get("b.xyxy", F.lit(i)).alias(n) for i, n in enumerate(X.COLS)), *(f"b.{n}" for n in BLOCK.names[1:])
     )
@@ -145,15 +153,24 @@ def parse_mask_stats(texts: DataFrame) -> DataFrame:
 
 def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(split_from, segment_no from 1, segment_path) of a map from originals to segments."""
-    text = spark.read.text(path, wholetext=True)
-    each = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("split_from", "s"))
+    return parse_split_manifest(spark.read.text(path, wholetext=True))
+
+
+def parse_split_manifest(texts: DataFrame) -> DataFrame:
+    """The same of documents in a column ``value``."""
+    each = texts.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("split_from", "s"))
     return each.select("split_from", F.posexplode("s").alias("n", "segment_path")).select("split_from", (F.col("n") + 1).alias("segment_no"), "segment_path")
 
 
-def write_split_manifest(segments: DataFrame, path: str) -> None:
+def split_manifest_json(segments: DataFrame) -> DataFrame:
+    """(value): one map from an original to its segments in order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "segment_path"))), lambda s: s["segment_path"])
     one = segments.groupBy("split_from").agg(rows.alias("s"))
-    one.select(F.to_json(F.create_map("split_from", "s")).alias("value")).write.text(path)
+    return one.select(F.to_json(F.create_map("split_from", "s")).alias("value"))
+
+
+def write_split_manifest(segments: DataFrame, path: str) -> None:
+    split_manifest_json(segments).write.text(path)
 
 
 def read_ocr_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:

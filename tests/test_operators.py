@@ -243,3 +243,83 @@ def test_reading_order_does_not_depend_on_partitions(spark, n):
     rows = [(p, i, (i * 71) % 97, (i * 31) % 53, 100, 100) for p in range(5) for i in range(20)]
     d = boxes(spark, rows).withColumn("page_lang", F.lit("jpn"))
     assert got(O.reading_order(d.repartition(n)), "page_id", "idx", "position") == got(O.reading_order(d), "page_id", "idx", "position")
+
+
+def test_ignored_regions_take_no_part(spark):
+    truth = spark.createDataFrame([(1, 1, 0, 0, 10, 10, False), (1, 2, 50, 50, 90, 90, True), (2, 1, 0, 0, 10, 10, True)], BOX + ", ignore boolean")
+    dets = boxes(spark, [(1, 1, 0, 0, 10, 9), (1, 2, 60, 60, 70, 70), (1, 3, 40, 40, 60, 60), (2, 1, 1, 1, 9, 9), (3, 1, 0, 0, 5, 5)])
+    marked = L.mark_ignored(truth, dets)
+    assert got(marked, "page_id", "idx", "ignore") == [(1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (3, 1, False)]
+    matches = L.match_detections(truth, marked)
+    assert got(matches) == [(1, 1, 1)]
+    m = {r["page_id"]: (r["precision"], r["recall"]) for r in L.detection_metrics(truth, marked, matches).collect()}
+    assert m == {1: (0.5, 1.0), 2: (1.0, 1.0), 3: (0.0, 1.0), None: (1 / 3, 1.0)}
+    none = L.detection_metrics(truth.limit(0), dets.limit(0), matches.limit(0))
+    assert got(none, "page_id", "precision", "recall", "hmean") == [(None, 0.0, 0.0, 0.0)]
+
+
+def test_lines_take_the_first_of_equal_blocks(spark):
+    lines = spark.createDataFrame([(1, 1, 0, 0, 10, 10), (1, 2, 0, 0, 10, 10), (1, 3, None, 0, 5, 5), (2, 4, 0, 0, 5, 5), (None, 5, 0, 0, 5, 5)], "page_id long, line_no int, x1 int, y1 int, x2 int, y2 int")
+    blocks = boxes(spark, [(1, 9, 0, 0, 10, 5), (1, 4, 0, 5, 10, 10), (1, 2, 0, 0, 10, 4), (1, 1, None, None, None, None), (None, 3, 0, 0, 5, 5)])
+    assert got(L.assign_lines(lines, blocks), "line_no", "block") == [(1, 4), (2, 4), (3, None), (4, None), (5, None)]
+    assert L.assign_lines(lines, blocks.limit(0)).filter("block IS NULL").count() == 5
+
+
+def test_colour_fits(spark):
+    # a white frame with one dark corner pixel around a mask of 4 x 4
+    image = np.full((12, 12, 3), 245, np.uint8)
+    image[0, 0] = 9
+    mask = np.zeros((12, 12), np.uint8)
+    mask[4:8, 4:8] = 255
+    i = spark.createDataFrame([(1, 12, 12, bytearray(image.tobytes()))], P.IMAGE)
+    m = spark.createDataFrame([(1, 12, 12, bytearray(mask.tobytes())), (2, 12, 12, bytearray(mask.tobytes()))], P.IMAGE)
+    b = spark.createDataFrame([(1, 1, 3, 3, 9, 9, 1, 1, 11, 11), (1, 2, 0, 0, 2, 2, 0, 0, 3, 3)], "image_id long, idx int, x1 int, y1 int, x2 int, y2 int, ref_x1 int, ref_y1 int, ref_x2 int, ref_y2 int")
+    fits = P.fit_masks(i, m, b, color=True)
+    assert got(fits) == [(1, 1, 12 - 1, None, 0.0, False, 255, 255, 255)]
+    fits = P.fit_statistics(i, m, b, first=1, step=1, steps=2, color=True, off_white=250)
+    assert got(fits.filter("k = 0"), "idx", "dev", "r") == [(1, 0.0, 245)]
+    dev, colour = P.border_statistics(np.array([[0, 0, 0], [0, 0, 0], [9, 9, 9]], np.uint8), 240)
+    assert colour == [0, 0, 0] and abs(dev - np.std([27**0.5, 27**0.5, 108**0.5], ddof=1)) < 1e-9
+    assert P.border_statistics(np.array([3, 4], np.uint8), 240) == (0.5, [3, 3, 3])
+
+
+def test_geometric_median_is_a_minimum():
+    p = np.random.default_rng(2).integers(0, 255, (60, 3)).astype(float)
+    at = P.weiszfeld(p)
+    cost = lambda c: np.linalg.norm(p - c, axis=1).sum()
+    assert all(cost(at) <= cost(at + d) + 1e-6 for d in np.vstack((np.eye(3), -np.eye(3))) * 0.5)
+    assert P.weiszfeld(np.full((4, 3), 7.0)).tolist() == [7, 7, 7]
+
+
+def test_clusters_of_aligned_boxes(spark):
+    # two rows, the left box of each first; tops within 10 of each other
+    d = boxes(spark, [(1, 1, 200, 104, 250, 120), (1, 2, 10, 100, 60, 120), (1, 3, 210, 8, 250, 20), (1, 4, 12, 0, 60, 20)])
+    assert [r["idx"] for r in O.cluster_boxes(d).orderBy("position").collect()] == [4, 3, 2, 1]
+
+
+def test_parts_outside_the_canvas_are_cut(spark):
+    px = bytearray(b"\xff" * 4)
+    d = spark.createDataFrame([(1, 1, -1, -1, 2, 2, px, 1, 2, 3), (1, 2, 0, 1, 2, 2, px, 4, 5, 6), (1, 3, 9, 9, 2, 2, px, 7, 8, 9)], "image_id long, idx int, x1 int, y1 int, h int, w int, data binary, r int, g int, b int")
+    out = np.frombuffer(bytes(P.combine_masks(d, 3, 2).first()["data"]), np.uint8).reshape(2, 3, 4)
+    assert out[:, :, 0].tolist() == [[1, 0, 0], [4, 4, 0]] and out[:, :, 3].tolist() == [[255, 0, 0], [255, 255, 0]]
+
+
+def test_log_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "b.log").write_text("")
+    assert sorted(r["value"] for r in S.read_logs(spark, str(tmp_path)).collect())[-1] == "one\ntwo\n"
+
+
+def test_side_files(spark, tmp_path):
+    (tmp_path / "x#raw.json").write_text('{"image_path": "i", "original_path": "o", "scale": 0.5, "blk_list": [{"xyxy": [1, 2, 3, 4], "lines": [[[1, 2], [3, 2], [3, 4], [1, 4]]], "language": "ja", "vertical": true}]}')
+    pages, blocks, lines = S.read_detections(spark, str(tmp_path))
+    assert got(pages, "original_path", "scale") == [("o", 0.5)] and got(blocks, "idx", "x1", "y2", "language") == [(0, 1, 4, "ja")] and lines.count() == 1
+    (tmp_path / "x#clean.json").write_text('{"original_path": "o", "boxes": [[1, 2, 3, 4]], "box_language": [null]}')
+    p = S.read_page_boxes(spark, str(tmp_path)).first()
+    assert p["boxes"] == [[1, 2, 3, 4]] and p["box_language"] == [None]
+
+
+def test_components_of_pages_without_blocks_are_uncovered(spark):
+    parts = spark.createDataFrame([(1, 1, 0, 0, 10, 10, 100), (1, 2, 0, 0, 10, 10, 50), (2, 1, 0, 0, 10, 10, 100), (3, 1, 0, 0, 20, 10, 200)], BOX + ", area int")
+    blocks = boxes(spark, [(2, 1, 5, 0, 30, 30), (3, 1, 11, 0, 30, 30)])
+    assert got(L.uncovered_components(parts, blocks), "page_id", "idx") == [(1, 1), (3, 1)]
