@@ -125,14 +125,7 @@ def a20_mask_xor_score(v: Views) -> DataFrame:
     return A.mask_xor_score(on, on.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", "y", "x")
 
 
-@query("SELECT page_id, row_number() OVER (ORDER BY CAST(regexp_extract(path, 'vol(\\d+)', 1) AS INT), page_id) AS position FROM fx_pages WHERE page_id % 10 = 0", "fx_pages")
+@query("SELECT page_id, row_number() OVER (ORDER BY CAST(regexp_extract(path, 'vol(\\d+)', 1) AS INT), page_id) AS position FROM fx_pages", "fx_pages")
 def o1_natural_order(v: Views) -> DataFrame:
-    keyed = v("fx_pages").filter("page_id % 10 = 0").select("page_id", A.natural_key(F.col("path")).alias("key"))
-    return A.numbered(keyed, "key").select("page_id", "position")
-
-
-@query()
-def o1_natural_order_whole(v: Views) -> DataFrame:
-    """Every page."""
     keyed = v("fx_pages").select("page_id", A.natural_key(F.col("path")).alias("key"))
     return A.numbered(keyed, "key").select("page_id", "position")

@@ -29,16 +29,9 @@ def predicted_components(v: Views) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT page_id, idx AS k, x1, y1, x2, y2, (x2-x1)*(y2-y1) AS area FROM fx_predictions), l AS (SELECT * FROM c WHERE area > 50),
-  b AS (SELECT l.page_id, l.k, max({CUT}) m FROM l LEFT JOIN fx_detections d ON d.page_id=l.page_id AND d.idx % 3 = 0 GROUP BY ALL)
-  SELECT l.page_id, l.k FROM l JOIN b USING (page_id, k) WHERE coalesce(m,0) < CAST(0.5 AS DOUBLE)*area""", D, "fx_predictions")
+  b AS (SELECT l.page_id, l.k, max({CUT}) m FROM l JOIN fx_detections d USING (page_id) GROUP BY ALL)
+  SELECT l.page_id, l.k FROM l LEFT JOIN b USING (page_id, k) WHERE coalesce(m,0) < CAST(0.5 AS DOUBLE)*area""", D, "fx_predictions")
 def j3_uncovered_components(v: Views) -> DataFrame:
-    """Against every third block, on pages that have one: the SQL takes components of other pages as covered, the operator as uncovered."""
-    blocks = v(D).filter("idx % 3 = 0")
-    return L.uncovered_components(predicted_components(v).join(blocks.select("page_id").distinct(), "page_id", "left_semi"), blocks).select("page_id", "k")
-
-
-@query()
-def j3_uncovered_components_whole(v: Views) -> DataFrame:
     """Against every block of the page."""
     return L.uncovered_components(predicted_components(v), v(D)).select("page_id", "k")
 

@@ -56,25 +56,21 @@ def s8_section_errors(v: Views) -> DataFrame:
     return errors.groupBy("file_no", "error_code").agg(F.count("*").alias("n"))
 
 
-FRAG = "f AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN concat('missing', page_id, '.png') WHEN page_id % 5 = 0 THEN concat('/page', page_id, '.png') ELSE concat(page_id, '.png') END AS fragment FROM fx_pages WHERE page_id % 3 = 0 AND page_id > 1000)"
+FRAG = "f AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN concat('missing', page_id, '.png') WHEN page_id % 5 = 0 THEN concat('/page', page_id, '.png') ELSE concat(page_id, '.png') END AS fragment FROM fx_pages)"
 
 
-def all_match_input(v: Views) -> tuple[DataFrame, DataFrame]:
+def match_input(v: Views) -> tuple[DataFrame, DataFrame]:
     """Every page as an image and as a text; short fragments end many paths."""
     return v("fx_pages").select(F.col("path").alias("image")), v("fx_pages").select(fragment_of_page().alias("fragment"))
 
 
-def match_input(v: Views) -> tuple[DataFrame, DataFrame]:
-    images = v("fx_pages").filter("page_id % 2 = 0 AND page_id > 1000").select(F.col("path").alias("image"))
-    return images, v("fx_pages").filter("page_id % 3 = 0 AND page_id > 1000").select(fragment_of_page().alias("fragment"))
-
-
 def fragment_of_page() -> Column:
     page = F.col("page_id").cast("string")
     return F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("missing"), page, F.lit(".png"))).when(F.col("page_id") % 5 == 0, F.concat(F.lit("/page"), page, F.lit(".png"))).otherwise(F.concat(page, F.lit(".png")))
 
 
-MATCH = f"""WITH {FRAG}, i AS (SELECT path AS image FROM fx_pages WHERE page_id % 2 = 0 AND page_id > 1000), h AS (SELECT image, fragment, count(*) OVER (PARTITION BY image) ni, count(*) OVER (PARTITION BY fragment) nf FROM i JOIN (SELECT DISTINCT fragment FROM f) ON suffix(image, fragment)),
+MATCH = f"""WITH {FRAG}, i AS (SELECT path AS image FROM fx_pages), z AS (SELECT DISTINCT length(fragment) AS size FROM f), e AS (SELECT image, right(image, size) AS fragment FROM i, z WHERE size <= length(image)),
+  h AS (SELECT image, fragment, count(*) OVER (PARTITION BY image) ni, count(*) OVER (PARTITION BY fragment) nf FROM e JOIN (SELECT DISTINCT fragment FROM f) USING (fragment)),
   m AS (SELECT image, fragment, CASE WHEN ni>1 OR nf>1 THEN 'ambiguous' ELSE 'matched' END AS status FROM h)"""
 
 
@@ -83,20 +79,9 @@ def j4_match_texts(v: Views) -> DataFrame:
     return T.match_texts(*match_input(v))
 
 
-@query()
-def j4_match_texts_whole(v: Views) -> DataFrame:
-    return T.match_texts(*all_match_input(v))
-
-
-@query(MATCH + ", s AS (SELECT image FROM i WHERE length(image) % 2 = 0) SELECT s.image, m.fragment FROM s LEFT JOIN m ON m.image = s.image AND m.status = 'matched'", "fx_pages")
+@query(MATCH + " SELECT i.image, m.fragment FROM i LEFT JOIN m ON m.image = i.image AND m.status = 'matched'", "fx_pages")
 def t5_finalize_mapping(v: Views) -> DataFrame:
     images, texts = match_input(v)
-    return T.finalize_mapping(T.match_texts(images, texts), images.filter(F.length("image") % 2 == 0))
-
-
-@query()
-def t5_finalize_mapping_whole(v: Views) -> DataFrame:
-    images, texts = all_match_input(v)
     return T.finalize_mapping(T.match_texts(images, texts), images)
 
 

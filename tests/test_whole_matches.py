@@ -17,7 +17,7 @@ def test_short_fragments_match_all_their_images(spark):
     want = Counter((*h, s) for h, s in status.items())
     want += Counter((i, None, "no_text") for i in images if not of_image[i]) + Counter((None, f, "no_image") for f in fragments if not of_fragment[f])
     assert max(of_fragment.values()) > len(images) / 20  # a fragment such as 9.png ends about a tenth of the paths
-    assert Counter(map(tuple, plans.queries()["j4_match_texts_whole"](spark, SF).select("image", "fragment", "status").collect())) == want
+    assert Counter(map(tuple, plans.queries()["j4_match_texts"](spark, SF).select("image", "fragment", "status").collect())) == want
     good = {i: f for (i, f), s in status.items() if s == "matched"}
-    got = plans.queries()["t5_finalize_mapping_whole"](spark, SF).select("image", "fragment").collect()
+    got = plans.queries()["t5_finalize_mapping"](spark, SF).select("image", "fragment").collect()
     assert Counter(map(tuple, got)) == Counter((i, good.get(i)) for i in images)

@@ -24,7 +24,7 @@ def box(r):
 def test_natural_order_numbers_every_page(spark):
     pages = view(spark, SF, "fx_pages").collect()
     order = sorted(pages, key=lambda r: (int(re.search(r"vol(\d+)", r["path"])[1]), r["page_id"]))
-    assert sorted(run(spark, "o1_natural_order_whole")) == sorted((r["page_id"], k) for k, r in enumerate(order, 1))
+    assert sorted(run(spark, "o1_natural_order")) == sorted((r["page_id"], k) for k, r in enumerate(order, 1))
 
 
 def test_components_meet_every_block(spark):
@@ -36,7 +36,7 @@ def test_components_meet_every_block(spark):
         area = (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
         if area > 50 and max((overlap(box(r), b) for b in blocks[r["page_id"]]), default=0) < 0.5 * area:
             want.append((r["page_id"], r["idx"]))
-    assert sorted(run(spark, "j3_uncovered_components_whole")) == sorted(want)
+    assert sorted(run(spark, "j3_uncovered_components")) == sorted(want)
 
 
 def test_scattered_lines_of_all_blocks_merge(spark):
