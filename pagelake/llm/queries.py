@@ -18,6 +18,7 @@ from .secrets import secret_scan
 from .token_counts import count_tokens
 from .token_files import token_index
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +62,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints, op13_whitening)}
 
 
 #: Shingle sets by brute force, all pairs that share a shingle, and all ids reachable over links.
