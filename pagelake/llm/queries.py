@@ -13,6 +13,7 @@ from .licenses import license_scan
 from .near_dups import near_duplicates
 from .packing import pack
 from .pieces import encode_pieces
+from .pii import pii_scan
 from .repetition import quality_rules
 from .secrets import secret_scan
 from .token_counts import count_tokens
@@ -62,12 +63,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(read_docs(spark, sf_dir, "doc_id", "text")).withColumn("found", F.to_json("found"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints, op13_whitening)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints, op11_pii, op13_whitening)}
 
 
 #: Shingle sets by brute force, all pairs that share a shingle, and all ids reachable over links.
