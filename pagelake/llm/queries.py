@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_docs
 from .fingerprints import edited_fingerprints
 from .licenses import license_scan
+from .negatives import hard_negatives
 from .near_dups import near_duplicates
 from .packing import pack
 from .pieces import encode_pieces
@@ -19,7 +20,7 @@ from .secrets import secret_scan
 from .token_counts import count_tokens
 from .token_files import token_index
 from .toxicity import toxicity
-from .whitening import whiten
+from .whitening import finite, grid, whiten
 
 
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +68,24 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(read_docs(spark, sf_dir, "doc_id", "text")).withColumn("found", F.to_json("found"))
 
 
+def embedding_rows(embeddings: DataFrame) -> DataFrame:
+    """What mining takes: labels moved on for every seventh id, entries as floor(256 * entry), anchors at every hundredth id."""
+    fine = embeddings.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")))
+    vec_id, label = F.col("vec_id").cast("long"), F.col("label").cast("long")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return fine.select(vec_id.alias("vec_id"), moved.alias("label"), (vec_id % 100 == 0).alias("anchor"), grid(F.col("embedding"), 256).alias("x"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(embedding_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints, op11_pii, op13_whitening)}
+    return {f.__name__: f for f in (op1_near_dups, op2_packing, op3_quality_rules, op4_token_files, op5_secret_scans, op6_license_scans, op7_toxicity, op8_token_counts, op9_pieces, op10_fingerprints, op11_pii, op12_hard_negatives, op13_whitening)}
 
 
 #: Shingle sets by brute force, all pairs that share a shingle, and all ids reachable over links.
@@ -109,5 +122,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_covered > 30 * n_words OR one_long) AS kept FROM every"""
 
 
+#: All pairs of an anchor and a row.
+NEGATIVES_SQL = r"""WITH fine AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.row, b.vec_id, CAST(list_inner_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+positives AS (SELECT anchor, row, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM scored JOIN positives USING (anchor) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor, positives.row ORDER BY score DESC, vec_id, scored.row) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dups": NEAR_DUPS_SQL, "op3_quality_rules": QUALITY_SQL}
+    return {"op1_near_dups": NEAR_DUPS_SQL, "op3_quality_rules": QUALITY_SQL, "op12_hard_negatives": NEGATIVES_SQL}
