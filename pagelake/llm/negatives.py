@@ -15,8 +15,8 @@ one leaf (and of one label, where it has many there) are cut into parts of about
 ``part_rows``, each with a last level of split points and ranges of its own. Anchors
 travel in blocks to the parts of the cells they cannot drop; a part and a block meet
 in one row of a join, and at most the best few of each anchor leave. Three passes:
-positives in an anchor's own leaf, positives elsewhere (with the score to beat),
-negatives in the windows of the positives.
+positives in the leaves of an anchor's block, positives elsewhere (with the score to
+beat), negatives in the windows of the positives.
 
 The driver holds the split points, a range for each split point and child, and the
 cells: a few thousand small rows at any size of the table. A vector that a third of
@@ -268,20 +268,33 @@ def learn_ranges(tree: Tree, parts: DataFrame) -> None:
 Chosen = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def block_ranges(counts: dict[int, int], block_rows: int) -> list[tuple[int, int, int]]:
+    """(leaf, first block, blocks): a leaf of many anchors has blocks of its own, neighbouring leaves of few share one."""
+    out, block, held = [], 0, 0
+    for leaf, n in sorted(counts.items()):
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        many = -(-n // block_rows)
+        out.append((leaf, block, many))
+        block, held = (block, held + n) if many == 1 else (block + many, 0)
+    return out
+
+
 def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: bool | None, same: bool, block_rows: int) -> DataFrame:
     """(cell, slice, block): blocks of anchors, once for each cell that their windows reach.
 
     anchors: row, vec_id, label, x, leaf and ``windows`` (array of key, lo, hi). ``own``: only cells of
-    their own leaf, only others, or all (null). ``same``: rows of the anchor's label are searched, or those of others.
+    the leaves of their block, only others, or all (null). ``same``: rows of the anchor's label are searched, or those of others.
     """
-    counts = anchors.groupBy("leaf").agg(F.count("*").alias("n")).collect()  # a row a leaf
-    blocks = anchors.sparkSession.createDataFrame([(r["leaf"], -(-r["n"] // block_rows)) for r in counts], "leaf int, blocks int")
-    no = F.pmod(F.xxhash64("row"), "blocks").cast("int")
-    dealt = anchors.join(F.broadcast(blocks), "leaf").withColumn("no", no).repartition("leaf", "no").sortWithinPartitions("leaf", "no")
+    counts = {r["leaf"]: r["n"] for r in anchors.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+    blocks = anchors.sparkSession.createDataFrame(block_ranges(counts, block_rows), "leaf int, first int, blocks int")
+    no = F.col("first") + F.pmod(F.xxhash64("row"), "blocks").cast("int")
+    dealt = anchors.join(F.broadcast(blocks), "leaf").withColumn("no", no).repartition("no").sortWithinPartitions("no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (leaf, _), table in whole_groups(batches, ["leaf", "no"]):
+        for _, table in whole_groups(batches, ["no"]):
             table = table.combine_chunks()
+            leaves = np.unique(table.column("leaf").to_numpy())
             whole = as_matrix(table.column("x").combine_chunks(), width)
             x = whole.astype(np.float64)
             windows = table.column("windows").to_pylist()
@@ -295,9 +308,9 @@ def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: b
             reached = np.zeros(len(tree.paths), bool)
             if own is None or not own:
                 reached = tree.reached(x, lo.astype(np.float64), hi.astype(np.float64))
-                reached[leaf] &= own is None
+                reached[leaves] &= own is None
             else:
-                reached[leaf] = True
+                reached[leaves] = True
             held = set(labels.tolist())
             alone = next(iter(held)) if len(held) == 1 else None
             payload = pack(x=small(whole), labels=labels, rows=table.column("row").to_numpy(), ids=table.column("vec_id").to_numpy(), key=key, lo=lo, hi=hi)
@@ -307,7 +320,7 @@ def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: b
                 n = -(-cell.parts // SLICE)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([payload] * n)], names=["cell", "slice", "block"])
 
-    return dealt.select("leaf", "no", "row", "vec_id", "label", "x", "windows").mapInArrow(run, "cell int, slice int, block binary")
+    return dealt.select("no", "leaf", "row", "vec_id", "label", "x", "windows").mapInArrow(run, "cell int, slice int, block binary")
 
 
 def best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
