@@ -1,7 +1,7 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-Every document is a set of word shingles, and every distinct set one class (its
-copies only add members). A class gets a sketch of minwise tokens. Each of
+Every document is a set of word shingles, and every distinct set one class with a
+number of its own (its copies only add members). A class gets a sketch of minwise tokens. Each of
 several independent trees starts with all classes; a node chooses one coordinate
 of the sketch (now and then a second, so that similar pairs are expected to
 survive any number of levels), and a class goes to the child named by its token
@@ -21,7 +21,8 @@ of very many shingles are split. No pair is capped away.
 
 Null and word-less texts have empty sets and are linked with nothing. Texts with
 fewer words than a shingle are one shingle of all their words. Rows that repeat
-an id are one document with several sets; each keeps its result row. A row
+an id are one document with several sets, all in one component, linked with whatever
+any of the sets is linked with; each row keeps its result row. A row
 without an id cannot be named by a link and is a group of its own. A very long
 text is one set of its size (8 bytes a shingle) in a task. An empty table gives
 an empty result.
@@ -104,6 +105,11 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def key_of(s: np.ndarray) -> bytes | None:
+    """What equal sets have in common; null for the empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The minwise token, 16 bits, at each coordinate: first the low bytes, then the high ones."""
     x = (hashes >> U(32)).astype(np.uint32)
@@ -114,7 +120,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate((token.astype(np.uint8), (token >> np.uint16(8)).astype(np.uint8)))
 
 
-def set_table(docs: DataFrame, size: int) -> DataFrame:
+def set_table(docs: DataFrame, size: int, made: list[str]) -> DataFrame:
     """doc_id, n_shingles, key (of the set; null if empty) and sketch of every row, stored."""
 
     def rows(texts: list[str]) -> dict[str, list]:
@@ -122,11 +128,11 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
         for text in texts:
             s = shingle_set(text, size)
             out["n_shingles"].append(len(s))
-            out["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            out["key"].append(key_of(s))
             out["sketch"].append(sketch(s).tobytes() if len(s) else None)
         return out
 
-    return stored(map_texts(docs, rows, "n_shingles long, key binary, sketch binary"), "sets")
+    return stored(map_texts(docs, rows, "n_shingles long, key binary, sketch binary"), "sets", made)
 
 
 def descend(path: np.ndarray, index: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -370,9 +376,12 @@ def links_of(members: DataFrame, bodies: DataFrame, cut: float, percent: int) ->
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataFrame:
-    """(cls, shingles) of the documents of ``ids`` (cls). A bit table of fixed size drops most others before the shuffle."""
+    """(cls, shingles) of ``ids`` (cls, rep, key). A bit table of fixed size drops most other documents before the shuffle.
+
+    A document that repeats the id ``rep`` with another text has another key, so it is never taken for the class.
+    """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = ids.select(place(F.col("cls")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
+    words = ids.select(place(F.col("rep")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     table = np.zeros(1 << (bits - 6), np.uint64)
     for w, v in words.collect():  # at most 2 ** (bits - 6) rows
         table[w] = U(v & 0xFFFFFFFFFFFFFFFF)
@@ -381,21 +390,30 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataF
         for batch in batches:
             p = batch.column("p").to_numpy()
             keep = (table[p >> 6] >> (p & 63).astype(np.uint64)) & U(1) == U(1)
-            yield batch.select(["cls", "text"]).filter(pa.array(keep))
+            yield batch.select(["rep", "text"]).filter(pa.array(keep))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t, size).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
+                sets = [shingle_set(t, size) for t in batch.column("text").slice(at, 256).to_pylist()]
+                keys, lists = [key_of(s) for s in sets], [s.view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    held = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "rep long, text string")
+    sets = held.join(ids.select("rep").distinct(), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
+    return sets.join(ids.select("key", "cls"), "key").dropDuplicates(["key"]).select("cls", "shingles")
+
 
-    held = docs.select(F.col("doc_id").alias("cls"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "cls long, text string")
-    return held.join(ids, "cls", "left_semi").mapInArrow(shingled, "cls long, shingles array<long>")
+def several_sets(rows: DataFrame, classes: DataFrame, made: list[str]) -> DataFrame:
+    """(doc_id, cls) of ids whose rows have different sets, and one of them is not empty."""
+    keys = rows.filter("doc_id is not null").groupBy("doc_id")
+    ids = keys.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n"), F.count("key").alias("m")).filter("a <> b or (m > 0 and m < n)").select("doc_id")
+    known = rows.filter("key is not null").join(ids, "doc_id").select("doc_id", "key").distinct()
+    return stored(known.join(classes.select("key", "cls"), "key").select("doc_id", "cls"), "several", made)
 
 
 def components(edges: DataFrame, made: list[str]) -> DataFrame:
-    """(cls, label) of every end of an edge: label is the smallest id reachable.
+    """(cls, label) of every end of an edge: label is the smallest class reachable.
 
     Labels spread to neighbours and jump to their label's label until none changes.
     """
@@ -432,28 +450,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     cut = COORDINATES * (cut * (1 - 1 / 256) + 1 / 256)  # equal low bytes, some by chance
     made: list[str] = []
     docs = id_and_text(docs, id_col, text_col)
-    rows = set_table(docs, size)
+    rows = set_table(docs, size, made)
     distinct = rows.filter("key is not null and doc_id is not null").groupBy("key", "sketch")
-    classes = stored(distinct.agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n")), "classes", made)
+    numbered = distinct.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")).withColumn("cls", F.monotonically_increasing_id())
+    classes = stored(numbered, "classes", made)
     leaves, large = grow_trees(classes, threshold, trees_for(threshold, recall), made)
     nodes = leaves.unionByName(large).groupBy("cls").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     known = stored(classes.select("cls", "n", F.substring("sketch", 1, COORDINATES).alias("low")).join(nodes, "cls"), "known", made)
 
-    first = F.col("node") < FIRST_TREES * ONE_TREE
     labels = classes.sparkSession.createDataFrame([], "cls long, label long")
+    several = several_sets(rows, classes, made)
+    repeated = not several.isEmpty()
+    if repeated:  # the classes of one id, all linked with the first
+        hub = several.groupBy("doc_id").agg(F.min("cls").alias("a"))
+        own = several.join(hub, "doc_id").select("a", F.col("cls").alias("b")).filter("a <> b").distinct()
+        labels = joined_labels(labels, own, made)
+    first = F.col("node") < FIRST_TREES * ONE_TREE
     for cells in (
         lambda: whole_cells(leaves.filter(first)).unionByName(chunk_cells(large.filter(first))),
         lambda: whole_cells(leaves.filter(~first)).unionByName(block_cells(large, labels)),
     ):
         info = known.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         members = stored(flagged(cells(), info, cut, percent), "flagged", made)
-        bodies = sets_of(docs, members.select("cls").distinct(), size).join(info.drop("nodes"), "cls")
+        wanted = classes.select("cls", "rep", "key").join(members.select("cls").distinct(), "cls", "left_semi")
+        bodies = sets_of(docs, wanted, size).join(info.drop("nodes"), "cls")
         links = stored(links_of(split_cells(members), bodies, cut, percent).distinct(), "links", made)
         if not links.isEmpty():
             labels = joined_labels(labels, links, made)
-    named = stored(classes.select("key", "cls").join(labels, "cls", "left").select("key", F.coalesce("label", "cls").alias("component_id")), "named")
-    drop_tables(docs.sparkSession, made)
-
+    # a component is named by its smallest id; most classes are alone and name themselves
+    named = classes.select("key", "cls", "rep").join(labels, "cls", "left")
+    smallest = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
+    named = named.join(smallest, "label", "left").select("key", "cls", F.coalesce("least", "rep").alias("component_id"))
+
+    placed = rows.select("doc_id", "n_shingles", "key").join(named.select("key", "component_id"), "key", "left")
+    if repeated:  # rows without words follow the others of their id
+        of_id = several.join(named.select("cls", "component_id"), "cls").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        placed = placed.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    placed = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    out = stored(placed.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "near_dups")
+    drop_tables(docs.sparkSession, made)
+    return out
