@@ -37,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 FURTHER = {
     "forge": re.compile(r"gh[pousr]_[A-Za-z0-9]{20,}"),
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "signed": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "signed": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "key": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     "bearer": re.compile(r"[Bb]earer ([A-Za-z0-9+/_.=-]{16,})"),
     "random": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])"),
