@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import drop_tables, map_texts, stored
 from .near_dups import near_duplicates
 
 #: The base kinds in their order.
@@ -112,23 +112,35 @@ def scan(texts: list[str]) -> dict[str, list]:
     return out
 
 
-def with_copies_once(scanned: DataFrame, each: DataFrame, usage: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+#: A value with this share of all uses is looked up in a broadcast of at most so many values.
+WIDE_SHARE = 1000
+
+
+def with_usage(each: DataFrame, usage: DataFrame) -> DataFrame:
+    """``each`` use with the counts of its value; the values that hold a thousandth of all uses or more are broadcast, not dealt."""
+    total = usage.agg(F.coalesce(F.sum("n_uses"), F.lit(0))).first()[0]
+    often = F.col("n_uses") * WIDE_SHARE >= total
+    hot, rest = F.broadcast(usage.filter(often)), usage.filter(~often)
+    return each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(rest, "hash"))
+
+
+def with_copies_once(scanned: DataFrame, each: DataFrame, usage: DataFrame, max_owners: int, max_repos: int, made: list[str]) -> DataFrame:
     """``usage`` with near copies of a text as one repository.
 
     Only the texts whose values few owners but many repositories have are compared;
     no other verdict depends on it.
     """
-    wide = stored(usage.filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") > max_repos)).select("hash"), "wide")
+    wide = stored(usage.filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") > max_repos)).select("hash"), "wide", made)
     if wide.isEmpty():
         return usage
     uses = each.join(wide, "hash").select("hash", "text_key").distinct()
     keys = uses.select("text_key").distinct()
     texts = scanned.filter("text is not null").select("text_key", "text").join(keys, "text_key").dropDuplicates(["text_key"])
-    groups = near_duplicates(stored(texts.select(F.col("text_key").alias("doc_id"), "text"), "texts"))
+    groups = near_duplicates(stored(texts.select(F.col("text_key").alias("doc_id"), "text"), "texts", made))
     of_text = groups.select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("of"))
     n_texts = uses.join(of_text, "text_key").select("hash", "of").distinct().groupBy("hash").agg(F.count("*").alias("n_texts"))
     once = usage.join(n_texts, "hash", "left")
-    return once.select("hash", "n_owners", F.least("n_repos", "n_texts").alias("n_repos"))
+    return once.select("hash", "n_owners", F.least("n_repos", "n_texts").alias("n_repos"), "n_uses")
 
 
 def secret_scan(
@@ -157,13 +169,14 @@ def secret_scan(
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:long,end:long,hash:binary>>"
     scanned = map_texts(rows, scan, schema, keep=("doc_id", "owner", "repo", "text_key", "text"))
     scanned = scanned.withColumn("row", F.monotonically_increasing_id()).withColumn("text", F.when(F.size("found") > 0, F.col("text")))
-    scanned = stored(scanned, "secrets")
+    made: list[str] = []
+    scanned = stored(scanned, "secrets", made)
     each = scanned.select("row", "owner", F.coalesce("repo", "text_key").alias("repo"), "text_key", F.explode("found").alias("f")).select("row", "owner", "repo", "text_key", "f.*")
     counted = lambda rows, c, n: rows.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(n))
-    usage = counted(each, "owner", "n_owners").join(counted(each, "repo", "n_repos"), "hash")
-    usage = stored(with_copies_once(scanned, each, usage, max_owners, max_repos), "usage")
+    usage = counted(each, "owner", "n_owners").join(counted(each, "repo", "n_repos"), "hash").join(each.groupBy("hash").agg(F.count("*").alias("n_uses")), "hash")
+    usage = stored(with_copies_once(scanned, each, usage, max_owners, max_repos, made), "usage", made)
     marks = (
-        each.join(usage, "hash")
+        with_usage(each, usage)
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos"))).alias("marks"))
     )
@@ -177,7 +190,7 @@ def secret_scan(
         lambda m: F.struct(F.get(name, m["kind"]).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["n_owners"].alias("n_owners"), m["n_repos"].alias("n_repos"), live(m).alias("live")),
     )
     count = lambda test: F.size(F.filter(F.coalesce("marks", F.array()), test)).cast("long")
-    return scanned.join(marks, "row", "left").select(
+    out = scanned.join(marks, "row", "left").select(
         "doc_id",
         "n_assign",
         "n_access",
@@ -189,6 +202,9 @@ def secret_scan(
         "text_key",
         full.alias("marks"),
     )
+    out = stored(out, "secret_spans")
+    drop_tables(docs.sparkSession, made)
+    return out
 
 
 def redacted(text: Column, marks: Column, cover: str = "[secret]") -> Column:
