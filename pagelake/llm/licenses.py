@@ -2,9 +2,10 @@
 
 A text becomes its lower-case words joined by spaces. A notice found with up to
 k errors has one of any k + 1 parts of it unchanged, so each notice is split
-into k + 1 seeds; one automaton finds all seeds, and only around a seed the
-regex library's bounded-error matching verifies the notice and gives the span
-and its edits. No error may change a word that tells licenses apart (a version's
+into k + 1 seeds; one automaton finds all seeds. Halves of seeds are parts, too: k
+errors leave k + 2 of the 2k + 2 halves unchanged, each within k places of where the
+seed puts it, and a seed without them is dropped. Only around the others the regex
+library's bounded-error matching verifies the notice and gives the span and its edits. No error may change a word that tells licenses apart (a version's
 number, nc or nd). Base phrases are found exactly.
 
 Null text has no words; texts without words get null positions, empty labels
@@ -33,6 +34,10 @@ NOTICES = {
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
     "under the terms of the gnu general public license": "gpl",
+    "under the terms of the gnu general public license version 2": "gpl-2",
+    "under the terms of the gnu general public license version 3": "gpl-3",
+    "either version 2 of the license or at your option any later version": "gpl-2-or-later",
+    "either version 3 of the license or at your option any later version": "gpl-3-or-later",
     "under the terms of the gnu lesser general public license": "lgpl",
     "under the terms of the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification": "bsd",
@@ -41,6 +46,8 @@ NOTICES = {
     "licensed under cc by sa 4 0": "cc-by-sa",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
@@ -64,24 +71,46 @@ def seeds_of(notice: str) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
-@functools.lru_cache(maxsize=1)
-def searcher():
+@functools.lru_cache(maxsize=4)
+def searcher(notices: tuple[str, ...]):
     """(automaton of all seeds, per notice: the pattern of any match and of the best)."""
     import ahocorasick
     import regex
 
     machine, held = ahocorasick.Automaton(), {}
-    for notice in NOTICES:
+    for notice in notices:
         for seed, at in seeds_of(notice):
             held.setdefault(seed, []).append((notice, at))
     for seed, where in held.items():
         machine.add_word(seed, (len(seed), where))
     machine.make_automaton()
-    bounded = {n: rf"(?:{regex.escape(n)}){{e<={errors_of(n)}}}" for n in NOTICES}
+    bounded = {n: rf"(?:{regex.escape(n)}){{e<={errors_of(n)}}}" for n in notices}
     patterns = {n: (regex.compile(p), regex.compile(f"(?be){p}")) for n, p in bounded.items()}
     return machine, patterns
 
 
+@functools.lru_cache(maxsize=None)
+def halves_of(notice: str) -> list[tuple[str, int]]:
+    """The seeds' halves and where each begins."""
+    return [h for seed, at in seeds_of(notice) for h in ((seed[: len(seed) // 2], at), (seed[len(seed) // 2 :], at + len(seed) // 2))]
+
+
+def enough_halves(line: str, start: int, notice: str) -> bool:
+    """Whether a notice that begins at ``start``, give or take its errors, keeps the halves that so many errors must leave."""
+    k, halves = errors_of(notice), halves_of(notice)
+    for w in exact_words(notice):  # as ``holds`` asks, in words that the match at least touches
+        if line.find(w, max(0, start - k - len(w)), start + len(notice) + k + len(w)) < 0:
+            return False
+    missing = len(halves) - (k + 2)
+    for half, at in halves:
+        if line.find(half, max(0, start + at - k), max(0, start + at + len(half) + k)) < 0:
+            missing -= 1
+            if missing < 0:
+                return False
+    return True
+
+
+@functools.lru_cache(maxsize=None)
 def exact_words(notice: str) -> list[str]:
     return [w for w in notice.split() if w in EXACT or w.isdigit()]
 
@@ -108,14 +137,16 @@ def normal(text: str) -> str:
     return f" {NOT_WORD.sub(' ', text.translate(LOWER)).strip(' ')} "
 
 
-def fuzzy(line: str) -> list[tuple[int, int, int, str]]:
+def fuzzy(line: str, notices: tuple[str, ...] = tuple(NOTICES)) -> list[tuple[int, int, int, str]]:
     """(start, end, errors, notice) in ``line``: the best of overlapping finds, fewest errors first, then longest."""
-    machine, patterns = searcher()
+    machine, patterns = searcher(notices)
     windows: dict[str, list[tuple[int, int]]] = {}
     own: dict[str, set[tuple[int, int]]] = {}
     for end, (size, where) in machine.iter(line):
         for notice, at in where:
             k = errors_of(notice)
+            if not enough_halves(line, end + 1 - size - at, notice):
+                continue
             begin = max(0, end + 1 - size - at - k)
             stop = min(len(line), end + 1 - size - at + len(notice) + k)
             own.setdefault(notice, set()).add((begin, stop))
@@ -166,7 +197,7 @@ def places(line: str, phrase: str) -> list[int]:
     return out
 
 
-def scan(texts: list[str]) -> dict[str, list]:
+def scan(texts: list[str], notices: dict[str, str] = NOTICES) -> dict[str, list]:
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
     out: dict[str, list] = {k: [] for k in names}
     for text in texts:
@@ -175,7 +206,7 @@ def scan(texts: list[str]) -> dict[str, list]:
         base = {p: places(line, p) for p in PHRASES if p in line}
         starts = [x for xs in base.values() for x in xs]
         labels = {PHRASES[p] for p, xs in base.items() if xs}
-        spans = fuzzy(line) if body else []
+        spans = fuzzy(line, tuple(notices)) if body else []
         score = max([1.0] * bool(labels) + [1 - e / len(n) for _, _, e, n in spans], default=0.0)
         row = (
             body.count(" ") + 1 if body else 0,
@@ -183,19 +214,22 @@ def scan(texts: list[str]) -> dict[str, list]:
             min(starts, default=None),
             max(starts, default=None),
             ",".join(sorted(labels)),
-            ",".join(sorted(labels | {NOTICES[n] for *_, n in spans})),
+            ",".join(sorted(labels | {notices[n] for *_, n in spans})),
             score,
-            [{"label": NOTICES[n], "first_word": line.count(" ", 0, a + (line[a] == " ")) - 1, "words": line[a:b].strip(), "errors": e} for a, b, e, n in spans],
+            [{"label": notices[n], "first_word": line.count(" ", 0, a + (line[a] == " ")) - 1, "words": line[a:b].strip(), "errors": e} for a, b, e, n in spans],
         )
         for k, v in zip(names, row):
             out[k].append(v)
     return out
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the fuzzy spans of every row."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the fuzzy spans of every row.
+
+    ``notices``: lower-case words of each notice, one space between them, and its label.
+    """
     schema = (
         "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<label:string,first_word:long,words:string,errors:int>>"
     )
-    return map_texts(id_and_text(docs, id_col, text_col), scan, schema)
+    return map_texts(id_and_text(docs, id_col, text_col), lambda texts: scan(texts, notices), schema)
