@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import stored
+from pagelake.llm.common import drop_tables, stored
 from pagelake.llm.near_dups import near_duplicates
 from pagelake.llm.packing import pack
 from pagelake.llm.repetition import quality_rules
@@ -54,13 +54,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", without_toxic), ("near_duplicates", one_of_each), ("secrets", without_secrets), ("packing", packed)]
 
-#: SQL has no form of a trained classifier or of the tokenizer; tests compare stages with brute force.
+#: SQL has no form of a trained classifier or of the tokenizer; tests compare the other stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name, made)
+        drop_tables(spark, made[:-1])
+        made = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
