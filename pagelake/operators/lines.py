@@ -6,8 +6,6 @@ clockwise from the upper left. Lines without a matching block are scattered.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,28 +13,33 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import pages as P
-from .groups import map_groups
 
 COLS = list(G.Box._fields)
 
 
+def best_block(group: np.ndarray, box: np.ndarray, of: np.ndarray, other: np.ndarray, idx: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each line the row of the block with the largest share of the line's area (the smallest ``idx`` on ties), or -1."""
+    size = np.maximum(P.area(box), 1)
+    top, best = np.full(len(group), float(threshold)), np.full(len(group), -1)
+    for a, b in P.pairs_between(group, box, of, other):
+        share = P.common_area(box[a], other[b]) / size[a]
+        a, b, share = (v[share > threshold] for v in (a, b, share))
+        order = np.lexsort((idx[b], -share, a))
+        first = order[P.places(a[order]) == 1]
+        a, b, share = a[first], b[first], share[first]
+        tie = (share == top[a]) & (best[a] >= 0)
+        tie[tie] = idx[b[tie]] < idx[best[a[tie]]]
+        better = (share > top[a]) | tie
+        top[a[better]], best[a[better]] = share[better], b[better]
+    return best
+
+
 def assign_lines(lines: DataFrame, blocks: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Adds ``block`` (idx of the block with the largest share of the line's area, first on ties) where the share is over the threshold."""
 
     def kernel(line: P.Columns, group: np.ndarray, block: P.Columns, of: np.ndarray) -> P.Columns:
         (box, known), (other, _) = P.boxes_of(line), P.boxes_of(block)
-        size = np.maximum(P.area(box), 1)
-        top, best = np.full(len(group), float(threshold)), np.full(len(group), -1)
-        for a, b in P.pairs_between(group, box, of, other):
-            share = P.common_area(box[a], other[b]) / size[a]
-            a, b, share = (v[share > threshold] for v in (a, b, share))
-            order = np.lexsort((block["idx"][b], -share, a))
-            first = order[P.places(a[order]) == 1]
-            a, b, share = a[first], b[first], share[first]
-            tie = (share == top[a]) & (best[a] >= 0)
-            tie[tie] = block["idx"][b[tie]] < block["idx"][best[a[tie]]]
-            better = (share > top[a]) | tie
-            top[a[better]], best[a[better]] = share[better], b[better]
+        best = best_block(group, box, of, other, block["idx"], threshold)
         found = np.full(len(group), None, object)
         hit = known & (best >= 0)
         found[hit] = block["idx"][best[hit]]
@@ -55,7 +58,7 @@ def placed(boxes: DataFrame) -> DataFrame:
 
 def _largest_common(box: np.ndarray, group: np.ndarray, other: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Of each box: the largest area in common with one of the others in its group."""
-    most = np.zeros(len(group), np.int64)
+    most = np.zeros(len(group), box.dtype)
     for a, b in P.pairs_between(group, box, of, other):
         np.maximum.at(most, a, P.common_area(box[a], other[b]))
     return most
@@ -125,100 +128,6 @@ def grid_order(blocks: DataFrame, w: int, h: int) -> DataFrame:
     return ranked.withColumn("position", F.row_number().over(order)).drop("_cell", "_inside")
 
 
-def merge_scattered_lines(lines: DataFrame) -> DataFrame:
-    """Scattered lines (page_id, line_no, x1..y2, vertical) to blocks (page_id, block, n_lines, x1..y2, font_size).
-
-    Lines are taken by distance from the reading corner. Each free line absorbs later ones that touch
-    its block, or whose font is within 1.3 times, whose distance is at most 2 fonts across and 2.5 along.
-    """
-    schema = "page_id long, vertical boolean, block int, n_lines int, x1 int, y1 int, x2 int, y2 int, font_size double"
-
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        vertical = key[1]
-        a1, a2, l1 = ("x1", "x2", "y1") if vertical else ("y1", "y2", "x1")
-        rows.sort(key=lambda r: ((-1 if vertical else 1) * (r[a1] + r[a2]), r["line_no"]))
-        out = []
-        while rows:
-            box, n, rest = dict(rows[0]), 1, []
-            font = float(box[a2] - box[a1])
-            for r in rows[1:]:
-                size = float(r[a2] - r[a1])
-                ratio = max(font, size) / max(min(font, size), 1e-9)
-                gap = max(r[a1] - box[a2], box[a1] - r[a2], 0)
-                touching = r["x1"] <= box["x2"] and box["x1"] <= r["x2"] and r["y1"] <= box["y2"] and box["y1"] <= r["y2"]
-                if touching or (ratio <= 1.3 and gap <= 2 * font and abs(r[l1] - box[l1]) <= 2.5 * font):
-                    font, n = (font * n + size) / (n + 1), n + 1
-                    for c, f in zip(COLS, (min, min, max, max)):
-                        box[c] = f(box[c], r[c])
-                else:
-                    rest.append(r)
-            out.append((*key, len(out) + 1, n, *(box[c] for c in COLS), font))
-            rows = rest
-        return out
-
-    return map_groups(lines.select("page_id", "line_no", *COLS, "vertical"), ["page_id", "vertical"], body, schema)
-
-
-def split_blocks(lines: DataFrame) -> DataFrame:
-    """Adds ``part`` to the lines of blocks (page_id, block_idx, line_no, x1..y2, vertical, lang, font_size).
-
-    Lines are ordered by the distance of their first corner from the first line's. A part ends where the next
-    line doesn't touch and is over 2 fonts away; in vertical blocks also where the columns stand over 2 fonts apart
-    and the part has more than one line. Only Japanese or vertical blocks are split.
-    """
-    schema = "page_id long, block_idx int, line_no int, part int"
-
-    def parts_of(rows: list, vertical: bool, font: float) -> list[tuple[int, int]]:
-        first = min(rows, key=lambda r: r[0])
-        rows = sorted(rows, key=lambda r: (math.hypot(r[1] - first[1], r[2] - first[2]), r[0]))
-        out, part, n, before = [], 0, 0, None
-        for r in rows:
-            if before is not None:
-                gap = math.hypot(r[1] - before[1], r[2] - before[2])
-                touch = r[1] <= before[3] and before[1] <= r[3] and r[2] <= before[4] and before[2] <= r[4]
-                if (not touch and gap > 2 * font) or (vertical and n > 1 and abs(r[1] - before[1]) > 2 * font):
-                    part, n = part + 1, 0
-            out.append((r[0], part))
-            n, before = n + 1, r
-        return out
-
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        flat = [(r["line_no"], *(r[c] for c in COLS)) for r in rows]
-        return [(*key, line, part) for line, part in parts_of(flat, rows[0]["vertical"], rows[0]["font_size"])]
-
-    # blocks of one line, and horizontal ones that aren't Japanese, stay whole and pass by the helper
-    n = F.count("*").over(W.partitionBy("page_id", "block_idx"))
-    flagged = lines.withColumn("_splits", (n > 1) & (F.col("vertical") | (F.col("lang") == "ja")))
-    whole = flagged.filter(~F.coalesce("_splits", F.lit(False))).select("page_id", "block_idx", "line_no", F.lit(0).alias("part"))
-    rest = flagged.filter("_splits").select("page_id", "block_idx", "line_no", *COLS, "vertical", "font_size")
-    return whole.unionByName(map_groups(rest, ["page_id", "block_idx"], body, schema))
-
-
-def group_blocks(lines: DataFrame, blocks: DataFrame, w: int, h: int) -> DataFrame:
-    """Blocks of a page in grid order: assigned lines examined per block and split, scattered ones merged.
-
-    Horizontal English blocks grow by max(int(0.1 font), 2) pixels.
-    """
-    assigned = assign_lines(lines, blocks.select("page_id", "idx", *COLS))
-    known = assigned.filter("block IS NOT NULL").withColumn("block_idx", F.col("block")).join(blocks.select("page_id", F.col("idx").alias("block_idx"), "lang"), ["page_id", "block_idx"])
-    known = known.withColumn("line_no", F.row_number().over(W.partitionBy("page_id", "block_idx").orderBy(*COLS)))
-    shape = examine_blocks(known, "page_id", "block_idx")
-    full = known.join(shape.select("page_id", "block_idx", "vertical", "font_size"), ["page_id", "block_idx"])
-    parts = full.join(split_blocks(full.select("page_id", "block_idx", "line_no", *COLS, "vertical", "lang", "font_size")), ["page_id", "block_idx", "line_no"])
-    edges = (F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2"))
-    boxes = [e.alias(c) for e, c in zip(edges, COLS)]
-    made = parts.groupBy("page_id", "block_idx", "part").agg(*boxes, F.max("lang").alias("lang"), F.max("vertical").alias("vertical"), F.max("font_size").alias("font_size"))
-    loose = assigned.filter("block IS NULL").withColumn("vertical", (F.col("y2") - F.col("y1")) > 2 * (F.col("x2") - F.col("x1")))
-    loose = loose.withColumn("line_no", F.row_number().over(W.partitionBy("page_id").orderBy(*COLS)))
-    merged = merge_scattered_lines(loose.select("page_id", "line_no", *COLS, "vertical")).select("page_id", *COLS, F.lit("unknown").alias("lang"), "vertical", "font_size")
-    every = made.select("page_id", *COLS, "lang", "vertical", "font_size").unionByName(merged)
-    every = every.withColumn("idx", F.row_number().over(W.partitionBy("page_id").orderBy("y1", "x1", "y2", "x2")))
-    n = F.greatest((F.col("font_size") * 0.1).cast("int"), F.lit(2))
-    english = (F.col("lang") == "eng") & ~F.col("vertical")
-    grown = [F.when(english, g).otherwise(F.col(c)).alias(c) for g, c in zip(G.pad(G.box(), n, w, h), COLS)]
-    return grid_order(every, w, h).select("page_id", "idx", *grown, "lang", "vertical", "position")
-
-
 def top_confidence(dets: DataFrame, k: int) -> DataFrame:
     """The k detections of highest confidence on each page, ties by idx."""
     ranked = dets.withColumn("_k", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("conf"), "idx")))

@@ -30,7 +30,7 @@ def map_pages(df: DataFrame, keys: list[str], kernel: Callable[[Columns, np.ndar
     """
     names = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("rows_"))
-    return _mapped(packed, schema, lambda batch: kernel(*unpacked(batch, keys, "rows_", names)))
+    return mapped(packed, schema, lambda batch: kernel(*unpacked(batch, keys, "rows_", names)))
 
 
 def map_sides(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callable[[Columns, np.ndarray, Columns, np.ndarray], Columns], schema: str) -> DataFrame:
@@ -41,10 +41,10 @@ def map_sides(left: DataFrame, right: DataFrame, keys: list[str], kernel: Callab
     names = [[c for c in df.columns if c not in keys] for df in (left, right)]
     packed = [df.groupBy(*keys).agg(F.collect_list(F.struct(*n)).alias(side)) for df, n, side in zip((left, right), names, ("left_", "right_"))]
     both = packed[0].join(packed[1], keys, "left")
-    return _mapped(both, schema, lambda batch: kernel(*unpacked(batch, keys, "left_", names[0]), *unpacked(batch, keys, "right_", names[1])))
+    return mapped(both, schema, lambda batch: kernel(*unpacked(batch, keys, "left_", names[0]), *unpacked(batch, keys, "right_", names[1])))
 
 
-def _mapped(packed: DataFrame, schema: str, body: Callable[[pa.RecordBatch], Columns]) -> DataFrame:
+def mapped(packed: DataFrame, schema: str, body: Callable[[pa.RecordBatch], Columns]) -> DataFrame:
     out = packed.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +85,11 @@ def taken(columns: Columns, rows: np.ndarray) -> Columns:
 def meeting_pairs(group: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group whose spans x1..x2 meet (edges included), some at a time.
 
-    Rows sorted by group and left edge: those that begin before a row ends follow it directly.
+    Rows sorted by group and left edge: those that begin before a row ends follow it directly. Real edges are
+    replaced by their ranks among all edges, which keep their order.
     """
+    if x1.dtype.kind == "f":
+        x1, x2 = np.split(np.unique(np.concatenate((x1, x2)), return_inverse=True)[1].astype(np.int64), 2)
     lowest = int(x1.min(initial=0))
     width = int(max(x1.max(initial=0), x2.max(initial=0))) - lowest + 2
     key = group.astype(np.int64) * width + (x1 - lowest)
@@ -107,14 +110,16 @@ def meeting_pairs(group: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> Iterator
 
 
 def boxes_of(columns: Columns) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates (rows, 4), and which rows have all of them; the others are zero."""
+    """Coordinates (rows, 4), real where any column is, and which rows have all of them; the others are zero."""
     names = ("x1", "y1", "x2", "y2")
     known = np.ones(len(columns["x1"]), bool)
     for n in names:
         if columns[n].dtype == object:
             known &= np.array([v is not None for v in columns[n]], bool)
-    box = np.zeros((len(known), 4), np.int64)
-    box[known] = np.stack([columns[n][known].astype(np.int64) for n in names], 1)
+    real = any(columns[n].dtype.kind == "f" or columns[n].dtype == object and any(isinstance(v, float) for v in columns[n]) for n in names)
+    kind = np.float64 if real else np.int64
+    box = np.zeros((len(known), 4), kind)
+    box[known] = np.stack([columns[n][known].astype(kind) for n in names], 1)
     return box, known
 
 
@@ -170,7 +175,7 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
 def _walk(rows: np.ndarray, rank: np.ndarray, box: np.ndarray, overlap: Callable, alive: np.ndarray, into: np.ndarray) -> None:
     """The greedy pass over one crowded group, rows in order: each row taken is tested against the rows it can meet."""
     by_edge = rows[np.argsort(box[rows, 0], kind="stable")]
-    edge, widest = box[by_edge, 0], int((box[rows, 2] - box[rows, 0]).max())
+    edge, widest = box[by_edge, 0], (box[rows, 2] - box[rows, 0]).max()
     for i in rows.tolist():
         if alive[i]:
             near = by_edge[np.searchsorted(edge, box[i, 0] - widest) : np.searchsorted(edge, box[i, 2], "right")]

@@ -7,14 +7,18 @@ sum of their vectors down or to the right, whichever makes its text vertical or
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import pages as P
-from .lines import COLS, assign_lines, grid_order
+from .lines import COLS, best_block
+from .masks import enough_mask, masks_of
 
 CORNERS = [f"q{axis}{k}" for k in (1, 2, 3, 4) for axis in "xy"]
 #: Lines of one block: cosine of their directions, ratio of their fonts, distances in fonts.
@@ -94,6 +98,50 @@ def _corners(c: P.Columns) -> np.ndarray:
     return np.stack([c[n].astype(float) for n in CORNERS], 1).reshape(-1, 4, 2)
 
 
+def merge_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+    """Free lines of each group with the block, font size and angle that they come to; see ``merge_scattered_quads``."""
+    order = np.lexsort((c["line_no"], c["distance"], group))
+    c, group = P.taken(c, order), group[order]
+    quad = _corners(c)
+    first, far, font = quad[:, 0], c["distance"].astype(float), c["font_size"].astype(float)
+    vec = np.stack((c["vec_x"], c["vec_y"]), 1).astype(float)
+    norm, angle = c["norm"].astype(float), c["angle"].astype(np.int64)
+    n = len(group)
+    block, out_font, out_angle = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for begin, end in zip(starts, np.append(starts[1:], n)):
+        number = 0
+        for at in range(begin, end):
+            if block[at]:
+                continue
+            number += 1
+            members, last, size, v = [at], at, font[at], vec[at]
+            block[at] = number
+            later = np.arange(at + 1, end)
+            while len(later := later[(later > last) & (block[later] == 0)]):
+                k = len(members)
+                mean = (size * k + font[later]) / (k + 1)
+                low, high = np.minimum(font[later], size), np.maximum(font[later], size)
+                long = norm[later] * np.linalg.norm(v)
+                near = (low > 0) & (high <= RATIO * low) & (long > 0) & (np.abs(vec[later] @ v) >= COSINE * long)
+                near &= far[later] - far[last] <= ACROSS * mean
+                near &= np.linalg.norm(first[later] - first[last], axis=1) <= ALONG * mean
+                hit = near.copy()
+                hit[~near] = quads_meet(quad[last], quad[later[~near]])
+                if not hit.any():
+                    break
+                i = int(hit.argmax())
+                last, size = int(later[i]), float(mean[i])
+                v = v + vec[last]
+                block[last] = number
+                members.append(last)
+            rows = np.array(members)
+            out_font[rows] = size
+            turned = round(float(np.degrees(np.arctan2(v[1], v[0])))) - (90 if c["vertical"][at] else 0)
+            out_angle[rows] = turned if len(members) > 1 else angle[at]
+    return c | {"block": block, "font_size": out_font, "angle": out_angle}
+
+
 def merge_scattered_quads(lines: DataFrame, w: int) -> DataFrame:
     """Lines (page_id, line_no, corners) of no block, with vertical, block, font_size and angle of the blocks they make.
 
@@ -102,54 +150,44 @@ def merge_scattered_quads(lines: DataFrame, w: int) -> DataFrame:
     and begin at most 2.5 mean fonts from its last line. Lines without length are absorbed only by touch.
     """
 
-    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
-        order = np.lexsort((c["line_no"], c["distance"], group))
-        c, group = P.taken(c, order), group[order]
-        quad = _corners(c)
-        first, far, font = quad[:, 0], c["distance"].astype(float), c["font_size"].astype(float)
-        vec = np.stack((c["vec_x"], c["vec_y"]), 1).astype(float)
-        norm, angle = c["norm"].astype(float), c["angle"].astype(np.int64)
-        n = len(group)
-        block, out_font, out_angle = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        for begin, end in zip(starts, np.append(starts[1:], n)):
-            number = 0
-            for at in range(begin, end):
-                if block[at]:
-                    continue
-                number += 1
-                members, last, size, v = [at], at, font[at], vec[at]
-                block[at] = number
-                later = np.arange(at + 1, end)
-                while len(later := later[(later > last) & (block[later] == 0)]):
-                    k = len(members)
-                    mean = (size * k + font[later]) / (k + 1)
-                    low, high = np.minimum(font[later], size), np.maximum(font[later], size)
-                    long = norm[later] * np.linalg.norm(v)
-                    near = (low > 0) & (high <= RATIO * low) & (long > 0) & (np.abs(vec[later] @ v) >= COSINE * long)
-                    near &= far[later] - far[last] <= ACROSS * mean
-                    near &= np.linalg.norm(first[later] - first[last], axis=1) <= ALONG * mean
-                    hit = near.copy()
-                    hit[~near] = quads_meet(quad[last], quad[later[~near]])
-                    if not hit.any():
-                        break
-                    i = int(hit.argmax())
-                    last, size = int(later[i]), float(mean[i])
-                    v = v + vec[last]
-                    block[last] = number
-                    members.append(last)
-                rows = np.array(members)
-                out_font[rows] = size
-                turned = round(float(np.degrees(np.arctan2(v[1], v[0])))) - (90 if c["vertical"][at] else 0)
-                out_angle[rows] = turned if len(members) > 1 else angle[at]
-        return c | {"block": block, "font_size": out_font, "angle": out_angle}
-
     lines = lines.select("page_id", "line_no", *CORNERS)
     alone = quad_shapes(lines.withColumn("lang", F.lit(None).cast("string")), *lines.columns)
     known = with_distance(alone, w).na.fill({"distance": 0.0}).drop("n_lines")
     kinds = dict(lines.dtypes)
     schema = ", ".join(["page_id long", "vertical boolean", f"line_no {kinds['line_no']}", *(f"{c} {kinds[c]}" for c in CORNERS), "block int", "font_size double", "angle int"])
-    return P.map_pages(known, ["page_id", "vertical"], kernel, schema)
+    return P.map_pages(known, ["page_id", "vertical"], merge_kernel, schema)
+
+
+def split_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+    """Lines of each group (block) with their part; see ``split_quads``."""
+    order = np.lexsort((c["line_no"], c["distance"], group))
+    c, group = P.taken(c, order), group[order]
+    step = np.diff(c["distance"].astype(float), prepend=0.0)  # of the distances in order, whatever order lines take
+    place = P.places(group)
+    lead = np.flatnonzero(place == 1)
+    start = _corners(c)[:, 0]
+    gone = np.linalg.norm(start - start[np.repeat(lead, np.diff(np.append(lead, len(group))))], axis=1)
+    order = np.lexsort((place, gone, group))
+    c = P.taken(c, order)
+    quad, font = _corners(c), c["font_size"].astype(float)
+    size = np.bincount(group)[group] if len(group) else place
+    splits = (size > 1) & (c["vertical"].astype(bool) | (c["lang"] == "ja")) & (place > 1)
+    rows = np.flatnonzero(splits)
+    rows = rows[~quads_meet(quad[rows - 1], quad[rows])]
+    hard, soft = np.zeros(len(group), bool), np.zeros(len(group), bool)
+    hard[rows] = np.abs(step[rows]) > 2 * font[rows]
+    upright = c["vertical"][rows].astype(bool) & (np.abs(c["angle"][rows].astype(int)) < 15)
+    soft[rows] = upright & (np.abs(quad[rows, 0, 1] - quad[rows - 1, 0, 1]) > font[rows])
+    wide = np.abs(step) > font
+    part, held, parts = 0, 0, []
+    for p, h, s, x in zip(place.tolist(), hard.tolist(), soft.tolist(), wide.tolist()):
+        if p == 1:
+            part, held = 0, 0
+        elif h or (s and (held > 1 or x)):
+            part, held = part + 1, 0
+        held += 1
+        parts.append(part)
+    return c | {"part": np.array(parts, np.int64)}
 
 
 def split_quads(lines: DataFrame) -> DataFrame:
@@ -161,85 +199,144 @@ def split_quads(lines: DataFrame) -> DataFrame:
     height, if the part has several lines or the step is over one font.
     """
 
-    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
-        order = np.lexsort((c["line_no"], c["distance"], group))
-        c, group = P.taken(c, order), group[order]
-        step = np.diff(c["distance"].astype(float), prepend=0.0)  # of the distances in order, whatever order lines take
-        place = P.places(group)
-        lead = np.flatnonzero(place == 1)
-        start = _corners(c)[:, 0]
-        gone = np.linalg.norm(start - start[np.repeat(lead, np.diff(np.append(lead, len(group))))], axis=1)
-        order = np.lexsort((place, gone, group))
-        c = P.taken(c, order)
-        quad, font = _corners(c), c["font_size"].astype(float)
-        size = np.bincount(group)[group] if len(group) else place
-        splits = (size > 1) & (c["vertical"].astype(bool) | (c["lang"] == "ja")) & (place > 1)
-        rows = np.flatnonzero(splits)
-        rows = rows[~quads_meet(quad[rows - 1], quad[rows])]
-        hard, soft = np.zeros(len(group), bool), np.zeros(len(group), bool)
-        hard[rows] = np.abs(step[rows]) > 2 * font[rows]
-        upright = c["vertical"][rows].astype(bool) & (np.abs(c["angle"][rows].astype(int)) < 15)
-        soft[rows] = upright & (np.abs(quad[rows, 0, 1] - quad[rows - 1, 0, 1]) > font[rows])
-        wide = np.abs(step) > font
-        part, held, parts = 0, 0, []
-        for p, h, s, x in zip(place.tolist(), hard.tolist(), soft.tolist(), wide.tolist()):
-            if p == 1:
-                part, held = 0, 0
-            elif h or (s and (held > 1 or x)):
-                part, held = part + 1, 0
-            held += 1
-            parts.append(part)
-        return c | {"part": np.array(parts, np.int64)}
-
     kinds = dict(lines.dtypes)
     needed = ["page_id", "block_idx", "line_no", *CORNERS, "distance", "lang", "vertical", "angle", "font_size"]
     rows = lines.select(*needed).na.fill({"distance": 0.0, "lang": ""})
-    return P.map_pages(rows, ["page_id", "block_idx"], kernel, f"page_id long, block_idx {kinds['block_idx']}, line_no {kinds['line_no']}, part int")
-
-
-def group_quads(lines: DataFrame, blocks: DataFrame, w: int, h: int) -> DataFrame:
+    return P.map_pages(rows, ["page_id", "block_idx"], split_kernel, f"page_id long, block_idx {kinds['block_idx']}, line_no {kinds['line_no']}, part int")
+
+
+def shapes(c: P.Columns, group: np.ndarray, n: int, japanese: np.ndarray, w: int) -> tuple[P.Columns, np.ndarray]:
+    """Shape of each of ``n`` groups of lines as ``quad_shapes`` gives it, and each line's distance as ``with_distance`` does (0 without direction)."""
+    q = _corners(c)
+    down = (q[:, 2] + q[:, 3]) / 2 - (q[:, 0] + q[:, 1]) / 2
+    right = (q[:, 1] + q[:, 2]) / 2 - (q[:, 3] + q[:, 0]) / 2
+    total = lambda v: np.stack([np.bincount(group, v[:, k], n) for k in (0, 1)], 1)
+    v, h = total(down), total(right)
+    nv, nh = np.sqrt((v * v).sum(1)), np.sqrt((h * h).sum(1))
+    vertical = nv > np.where(japanese, 1, 2) * nh
+    vec = np.where(vertical[:, None], v, h)
+    turn = np.trunc(np.arctan2(vec[:, 1], vec[:, 0]) / np.pi * 180).astype(np.int64) - 90 * vertical
+    norm = np.where(vertical, nv, nh)
+    font = np.rint(np.where(vertical, nh, nv) / np.maximum(np.bincount(group, minlength=n), 1))
+    shape = {"vertical": vertical, "angle": np.where(np.abs(turn) < 3, 0, turn), "font_size": font, "vec_x": vec[:, 0], "vec_y": vec[:, 1], "norm": norm}
+    at = (q[:, 0] + q[:, 2]) / 2 - np.where(vertical[group], float(w), 0.0)[:, None] * [1, 0]
+    far = np.abs(at[:, 0] * vec[group, 1] - at[:, 1] * vec[group, 0])
+    return shape, np.where(norm[group] > 0, far / np.where(norm[group] > 0, norm[group], 1), 0.0)
+
+
+def grid_places(group: np.ndarray, box: np.ndarray, japanese: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Place of each row of a page, rows standing in order, as ``grid_order`` gives it."""
+    n = int(group.max(initial=-1)) + 1
+    mirror = 2 * np.bincount(group, japanese, n) > np.bincount(group, minlength=n)
+    x, y = (box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2
+    halves = 2 if w > h else 1
+    x = np.where(mirror[group], w - x, x)
+    half = np.minimum(np.floor(x / (w / halves)), halves - 1)
+    x = x - half * (w / halves)
+    cw, ch = w / halves / 3, h / 4
+    column, row = np.minimum(np.floor(x / cw), 2), np.minimum(np.floor(y / ch), 3)
+    order = np.lexsort((np.arange(len(group)), 1.2 * (x - column * cw) + (y - row * ch), half * 12 + row * 3 + column, group))
+    out = np.empty(len(group), np.int64)
+    out[order] = P.places(group[order])
+    return out
+
+
+def grown_lines(quad: np.ndarray, grow: np.ndarray, angle: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Corners (n, 8) moved outwards by ``grow`` pixels along and across the angle, within the page; whole pixels."""
+    dx, dy = np.sin(np.radians(angle)) * grow, np.cos(np.radians(angle)) * grow
+    signs = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]])
+    moved = quad + signs * np.stack((dx, dy), 1)[:, None]
+    moved = np.maximum(np.minimum(moved, [w - 1.0, h - 1.0]), 0.0)
+    return np.trunc(np.where(grow[:, None, None] > 0, moved, quad)).astype(np.int64).reshape(-1, 8)
+
+
+def group_quads(lines: DataFrame, blocks: DataFrame, w: int, h: int, masks: DataFrame | None = None, share: float = 0.1) -> DataFrame:
     """Blocks of a page in grid order: (page_id, idx, x1..y2, lang, vertical, angle, font_size, n_lines, lines, position).
 
     lines: (page_id, line_no, corners), line_no distinct on a page; blocks: (page_id, idx, x1..y2, lang). Lines are assigned
-    to blocks by their rectangles; a block without lines has its own rectangle as one. Blocks are examined and split; whole ones cover their
-    box and their lines, parts their lines alone. Lines without a block are merged among themselves, language unknown. ``lines`` are arrays of
-    eight coordinates by distance; those of horizontal English blocks grow by max(int(0.1 font), 2) pixels, as does the font.
+    to blocks by their rectangles; a block without lines has its own rectangle as one. With ``masks`` (page_id, h, w, data),
+    a line of no block and a block without lines count only where the page's text mask covers ``share`` of their rectangle.
+    Blocks are examined and split; whole ones cover their box and their lines, parts their lines alone. Lines without a
+    block are merged among themselves, language unknown. ``lines`` are arrays of eight coordinates by distance; those of
+    horizontal English blocks grow by max(int(0.1 font), 2) pixels, as does the font.
+
+    Lines, blocks and masks move once, in one exchange by page; everything else is one kernel over the pages of an Arrow batch.
     """
-    blocks = blocks.select("page_id", F.col("idx").alias("block_idx"), *COLS, "lang")
-    placed = assign_lines(with_rectangle(lines.select("page_id", "line_no", *(F.col(c).cast("double").alias(c) for c in CORNERS))), blocks.withColumnRenamed("block_idx", "idx"))
-    own = placed.filter("block IS NOT NULL").select("page_id", F.col("block").alias("block_idx"), F.col("line_no").cast("long").alias("line_no"), *CORNERS)
-    bare = from_rectangles(blocks.join(own, ["page_id", "block_idx"], "left_anti")).select("page_id", "block_idx", F.lit(0).cast("long").alias("line_no"), *CORNERS)
-    known = own.unionByName(bare).join(blocks, ["page_id", "block_idx"])
-    full = with_distance(known.join(quad_shapes(known, "page_id", "block_idx").drop("n_lines"), ["page_id", "block_idx"]), w)
-    parts = full.join(split_quads(full), ["page_id", "block_idx", "line_no"])
-    several = F.max("part").over(W.partitionBy("page_id", "block_idx")) > 0
-    line = F.struct(F.col("distance"), F.col("line_no"), F.array(*CORNERS).alias("quad"))
-    around = [f(e) for f, e in zip((F.min, F.min, F.max, F.max), edges())]
-    box = [F.when(F.max("several"), e).otherwise(f(e, m)) for e, f, m in zip(around, (F.least, F.least, F.greatest, F.greatest), (F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")))]
-    same = ("lang", "vertical", "angle", "font_size")
-    made = parts.withColumn("several", several).groupBy("page_id", F.lit(0).alias("kind"), F.col("block_idx").cast("int").alias("block"), "part").agg(
-        *(e.cast("int").alias(c) for c, e in zip(COLS, box)), *(F.max(F.col(c)).alias(c) for c in same), F.array_sort(F.collect_list(line)).alias("rows")
-    )
-    free = merge_scattered_quads(placed.filter("block IS NULL"), w)
-    line = F.struct(F.col("line_no").cast("double").alias("distance"), F.col("line_no").cast("long").alias("line_no"), F.array(*CORNERS).alias("quad"))
-    loose = free.groupBy("page_id", F.when(F.col("vertical"), 2).otherwise(1).alias("kind"), "block", F.lit(0).alias("part")).agg(
-        *(e.cast("int").alias(c) for c, e in zip(COLS, around)), F.lit("unknown").alias("lang"), *(F.max(F.col(c)).alias(c) for c in same[1:]), F.array_sort(F.collect_list(line)).alias("rows")
-    )
-    every = made.withColumn("font_size", F.col("font_size").cast("double")).unionByName(loose)
-    every = every.withColumn("idx", F.row_number().over(W.partitionBy("page_id").orderBy("kind", "block", "part")))
-    english = (F.col("lang") == "eng") & ~F.col("vertical")
-    grow = F.when(english, F.greatest((F.col("font_size") * 0.1).cast("int"), F.lit(2))).otherwise(F.lit(0))
-    every = every.withColumn("grow", grow).withColumn("dx", F.sin(F.radians("angle")) * F.col("grow")).withColumn("dy", F.cos(F.radians("angle")) * F.col("grow"))
-
-    def corner(q: Column, k: int) -> list[Column]:
-        x, y = q[2 * k] + F.col("dx") * (1 if k in (1, 2) else -1), q[2 * k + 1] + F.col("dy") * (1 if k > 1 else -1)
-        x, y = F.greatest(F.least(x, F.lit(w - 1.0)), F.lit(0.0)), F.greatest(F.least(y, F.lit(h - 1.0)), F.lit(0.0))
-        return [F.when(F.col("grow") > 0, v).otherwise(q[2 * k + i]).cast("int") for i, v in enumerate((x, y))]
-
-    grown = F.transform("rows", lambda r: F.array(*(c for k in range(4) for c in corner(r["quad"], k))))
-    return grid_order(every, w, h).select(
-        "page_id", "idx", *COLS, "lang", "vertical", "angle", (F.col("font_size") + F.col("grow")).alias("font_size"), F.size("rows").alias("n_lines"), grown.alias("lines"), "position"
-    )
+    left = lines.select("page_id", F.col("line_no").cast("long").alias("line_no"), *(F.col(c).cast("double").alias(c) for c in CORNERS))
+    right = blocks.dropna(subset=COLS).select("page_id", F.col("idx").cast("int").alias("idx"), *COLS, F.coalesce("lang", F.lit("")).alias("lang"))
+    sides, names = {"left_": left, "right_": right}, [[c for c in df.columns if c != "page_id"] for df in (left, right)]
+    if masks is not None:
+        sides["mask_"] = masks.select("page_id", "h", "w", "data")
+    rows = reduce(lambda a, b: a.unionByName(b, True), (df.select("page_id", F.struct(*df.drop("page_id").columns).alias(side)) for side, df in sides.items()))
+    mask = F.lit(None).cast("struct<h:int,w:int,data:binary>") if masks is None else F.first("mask_", True)
+    both = rows.groupBy("page_id").agg(F.collect_list("left_").alias("left_"), F.collect_list("right_").alias("right_"), mask.alias("mask_"))
+
+    def body(batch: pa.RecordBatch) -> P.Columns:
+        line, page = P.unpacked(batch, ["page_id"], "left_", names[0])
+        block, of = P.unpacked(batch, ["page_id"], "right_", names[1])
+        cover = masks_of(batch.column("mask_"))
+        # lines go to blocks; what has no counterpart must have enough text under it
+        q = _corners(line)
+        around = np.trunc(np.concatenate((q.min(1), q.max(1)), 1)).astype(np.int64)
+        outer = P.boxes_of(block)[0]
+        home = best_block(page, around, of, outer, block["idx"], 0.4)
+        free = np.flatnonzero(home < 0)
+        free = free[enough_mask(cover, page[free], around[free], w, h, share)]
+        bare = np.setdiff1d(np.arange(len(of)), home)
+        bare = bare[enough_mask(cover, of[bare], outer[bare], w, h, share)]
+        own = np.flatnonzero(home >= 0)
+
+        # blocks with lines, or with their own rectangle as one
+        rectangle = outer[bare][:, [0, 1, 2, 1, 2, 3, 0, 3]].astype(float)
+        c = {n: np.concatenate((line[n][own], rectangle[:, k])) for k, n in enumerate(CORNERS)}
+        c["line_no"] = np.concatenate((line["line_no"][own], np.zeros(len(bare), np.int64)))
+        kept, group = np.unique(np.concatenate((home[own], bare)), return_inverse=True)
+        lang = block["lang"][kept] if len(kept) else np.zeros(0, object)
+        shape, c["distance"] = shapes(c, group, len(kept), lang == "ja", w)
+        c |= {n: v[group] for n, v in shape.items() if n in ("vertical", "angle", "font_size")} | {"lang": lang[group], "row": group}
+        c = split_kernel(c, group)
+        several = np.zeros(len(kept), bool)
+        several[c["row"][c["part"] > 0]] = True
+        placed = {"page": of[kept[c["row"]]], "kind": np.zeros(len(group), np.int64), "block": block["idx"][kept[c["row"]]].astype(np.int64) if len(kept) else group, "rank": c["distance"]}
+        whole = ~several[c["row"]]
+        placed["box"] = np.where(whole[:, None], outer[kept[c["row"]]], [[2**31, 2**31, -(2**31), -(2**31)]]) if len(kept) else np.zeros((0, 4), np.int64)
+        made = c | placed
+
+        # free lines, each with a shape of its own
+        f = {n: line[n][free] for n in (*CORNERS, "line_no")}
+        shape, f["distance"] = shapes(f, np.arange(len(free)), len(free), np.zeros(len(free), bool), w)
+        f |= shape | {"page": page[free]}
+        f = merge_kernel(f, page[free] * 2 + shape["vertical"])
+        n = len(free)
+        f |= {"kind": 1 + f["vertical"].astype(np.int64), "part": np.zeros(n, np.int64), "lang": np.full(n, "unknown", object), "rank": f["line_no"].astype(float), "box": np.tile([[2**31, 2**31, -(2**31), -(2**31)]], (n, 1))}
+        names_ = ("page", "kind", "block", "part", "rank", "line_no", "lang", "vertical", "angle", "font_size", "box", *CORNERS)
+        every = {k: np.concatenate((made[k], f[k])) for k in names_}
+
+        # one row a block, numbered on its page
+        every = P.taken(every, np.lexsort([every[k] for k in ("line_no", "rank", "part", "block", "kind", "page")]))
+        keys = np.stack([every[k].astype(np.int64) for k in ("page", "kind", "block", "part")], 1)
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(keys)))
+        quad = _corners(every)
+        if len(starts):
+            low = np.minimum(np.minimum.reduceat(quad.min(1), starts), np.minimum.reduceat(every["box"][:, :2], starts))
+            high = np.maximum(np.maximum.reduceat(quad.max(1), starts), np.maximum.reduceat(every["box"][:, 2:], starts))
+            box = np.trunc(np.concatenate((low, high), 1)).astype(np.int64)
+        else:
+            box = np.zeros((0, 4), np.int64)
+        head = P.taken(every, starts)
+        grow = np.where((head["lang"] == "eng") & ~head["vertical"].astype(bool), np.maximum((head["font_size"] * 0.1).astype(np.int64), 2), 0)
+        flat = grown_lines(quad, np.repeat(grow, size), np.repeat(head["angle"].astype(float), size), w, h)
+        pieces = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, 8), pa.int32()), pa.array(flat.ravel(), pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pieces)
+        return {
+            "page_id": batch.column("page_id").take(pa.array(head["page"])), "idx": P.places(head["page"]), **{n: box[:, k] for k, n in enumerate(COLS)},
+            "lang": [v or None for v in head["lang"]], "vertical": head["vertical"].astype(bool), "angle": head["angle"], "font_size": head["font_size"] + grow,
+            "n_lines": size, "lines": lists, "position": grid_places(head["page"], box, head["lang"] == "ja", w, h),
+        }
+
+    schema = "page_id long, idx int, x1 int, y1 int, x2 int, y2 int, lang string, vertical boolean, angle int, font_size double, n_lines int, lines array<array<int>>, position int"
+    return P.mapped(both, schema, body)
 
 
 def quad_polygons(lines: DataFrame) -> DataFrame:

@@ -73,6 +73,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT page_id, idx, x1 + CAST(partkey % 9 AS INT) AS x1, y1 + CAST(suppkey % 7 AS INT) AS y1, x2 + CAST(partkey % 9 AS INT) AS x2, y2 + CAST(suppkey % 7 AS INT) AS y2,
           CAST(partkey % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS conf, CAST(partkey % 2 AS INT) AS cls FROM fx_detections WHERE partkey % 5 <> 0""",
     ),
+    "fx_raw_detections": (  # centres, sizes and scores as real numbers
+        ("fx_detections",),
+        """SELECT page_id, idx, CAST(x1 + x2 AS DOUBLE) / CAST(2 AS DOUBLE) + CAST(partkey % 13 AS DOUBLE) / CAST(13 AS DOUBLE) AS cx,
+          CAST(y1 + y2 AS DOUBLE) / CAST(2 AS DOUBLE) + CAST(suppkey % 11 AS DOUBLE) / CAST(11 AS DOUBLE) AS cy,
+          CAST(x2 - x1 AS DOUBLE) + CAST(suppkey % 7 AS DOUBLE) / CAST(7 AS DOUBLE) AS bw, CAST(y2 - y1 AS DOUBLE) + CAST(partkey % 3 AS DOUBLE) / CAST(3 AS DOUBLE) AS bh,
+          CAST(300 + partkey * 37 % 697 AS DOUBLE) / CAST(997 AS DOUBLE) AS objectness,
+          CAST(400 + suppkey * 29 % 593 AS DOUBLE) / CAST(991 AS DOUBLE) AS s0, CAST(400 + (partkey * 17 + suppkey) % 587 AS DOUBLE) / CAST(991 AS DOUBLE) AS s1 FROM fx_detections""",
+    ),
     "fx_progress": (
         (),
         """SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'begin_step' WHEN 'error' THEN 'absolute' WHEN 'purchase' THEN 'end' ELSE 'incremental' END AS type,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
+from ..operators import quads as Q
 from .analytics import rounded
 from .registry import Views, query
 
@@ -68,6 +69,23 @@ def h4_suppress_overlaps(v: Views) -> DataFrame:
     return L.suppress_overlaps(v("fx_predictions")).select("page_id", "cls", "idx", "conf")
 
 
+REAL_IOU = "greatest(least(e.x2,rest[1].x2)-greatest(e.x1,rest[1].x1),0)*greatest(least(e.y2,rest[1].y2)-greatest(e.y1,rest[1].y1),0)"
+REAL_BOX = "idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, conf DOUBLE"
+
+
+@query(f"""WITH RECURSIVE scored AS (SELECT page_id, idx, cx-bw/2 AS x1, cy-bh/2 AS y1, cx+bw/2 AS x2, cy+bh/2 AS y2, objectness*greatest(s0,s1) AS conf, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS cls FROM fx_raw_detections WHERE objectness > CAST(0.4 AS DOUBLE)),
+  lists AS (SELECT page_id, cls, list(struct_pack(idx := idx, x1 := x1, y1 := y1, x2 := x2, y2 := y2, conf := conf) ORDER BY conf DESC, idx) l FROM scored WHERE conf > CAST(0.4 AS DOUBLE) GROUP BY ALL),
+  go AS (SELECT page_id, cls, l AS rest, CAST(NULL AS STRUCT({REAL_BOX})) AS kept FROM lists UNION ALL
+    SELECT page_id, cls, list_filter(rest[2:], lambda e: {REAL_IOU} <= CAST(0.35 AS DOUBLE)*((e.x2-e.x1)*(e.y2-e.y1)+(rest[1].x2-rest[1].x1)*(rest[1].y2-rest[1].y1)-{REAL_IOU})), rest[1] FROM go WHERE len(rest) > 0)
+  SELECT page_id, cls, kept.idx AS idx, round(kept.conf,3) AS conf, CAST(trunc(kept.x1*CAST(1.25 AS DOUBLE)) AS INT) AS x1, CAST(trunc(kept.y1*CAST(0.8 AS DOUBLE)) AS INT) AS y1,
+    CAST(trunc(kept.x2*CAST(1.25 AS DOUBLE)) AS INT) AS x2, CAST(trunc(kept.y2*CAST(0.8 AS DOUBLE)) AS INT) AS y2 FROM go WHERE kept IS NOT NULL""", "fx_raw_detections")
+def h4_detection_chain(v: Views) -> DataFrame:
+    """Raw detections to those of a page: scores, suppression in real coordinates, then the original image's size."""
+    raw = v("fx_raw_detections").withColumn("scores", F.array("s0", "s1"))
+    kept = L.suppress_overlaps(L.class_scores(raw))
+    return L.scaled_back(kept, F.lit(1.25), F.lit(0.8)).select("page_id", "cls", "idx", "conf", *L.COLS)
+
+
 PAIRED = """p AS (SELECT t.page_id, t.idx gt, l.idx det, CAST(greatest(least(l.x2,t.x2)-greatest(l.x1,t.x1),0) AS BIGINT)*greatest(least(l.y2,t.y2)-greatest(l.y1,t.y1),0) i, (t.x2-t.x1)*(t.y2-t.y1)+(l.x2-l.x1)*(l.y2-l.y1) u FROM fx_detections t JOIN fx_predictions l USING (page_id)), ok AS (SELECT page_id, gt, det FROM p WHERE i/CAST(u-i AS DOUBLE) > CAST(0.5 AS DOUBLE)),
   lists AS (SELECT page_id, list(struct_pack(gt := gt, det := det) ORDER BY gt, det) l FROM ok GROUP BY 1),
   go AS (SELECT page_id, l AS rest, CAST(NULL AS STRUCT(gt INT, det INT)) AS made FROM lists UNION ALL SELECT page_id, list_filter(rest[2:], lambda e: e.gt <> rest[1].gt AND e.det <> rest[1].det), rest[1] FROM go WHERE len(rest) > 0),
@@ -121,24 +139,24 @@ def a21_metrics_with_ignored(v: Views) -> DataFrame:
 
 
 def loose_lines(v: Views) -> DataFrame:
-    return v("fx_lines").select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS, (F.col("page_id") % 2 == 0).alias("vertical"))
+    return v("fx_lines").select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS)
 
 
 @query()
 def h6_merge_scattered_lines(v: Views) -> DataFrame:
-    return rounded(L.merge_scattered_lines(loose_lines(v)))
+    """Upright lines, each with the block it comes to."""
+    return rounded(Q.merge_scattered_quads(Q.from_rectangles(loose_lines(v)), 560).select("page_id", "line_no", "vertical", "block", "font_size", "angle"))
 
 
 @query()
 def h7_split_blocks(v: Views) -> DataFrame:
-    lines = block_lines(v)
-    shape = L.examine_blocks(lines, "page_id", "block_idx").select("page_id", "block_idx", "vertical", "font_size")
-    return L.split_blocks(lines.join(shape, ["page_id", "block_idx"]))
+    lines = Q.from_rectangles(block_lines(v))
+    shape = Q.quad_shapes(lines, "page_id", "block_idx")
+    return Q.split_quads(Q.with_distance(lines.join(shape, ["page_id", "block_idx"]), 560))
 
 
 @query()
 def h9_group_blocks(v: Views) -> DataFrame:
-    lines = v("fx_lines").select("page_id", "block_idx", "line_no", *L.COLS).withColumnRenamed("block_idx", "of")
-    # detected boxes moved off the true ones, and none for some: their lines stay unassigned
+    """Upright lines; detected boxes moved off the true ones, and none for some: their lines stay unassigned."""
     blocks = v("fx_predictions").join(v(D).select("page_id", "idx", F.col("lang_raw").alias("lang")), ["page_id", "idx"])
-    return L.group_blocks(lines.select("page_id", "of", "line_no", *L.COLS).drop("line_no").distinct(), blocks, 560, 760)
+    return rounded(Q.group_quads(Q.from_rectangles(loose_lines(v)), blocks, 560, 760).drop("lines"))

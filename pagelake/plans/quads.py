@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quads as Q
+from ..operators.masks import mask_shares
+from ..operators.rasters import images_from_pixels
 from .analytics import rounded
 from .registry import Views, query
 
@@ -47,9 +49,37 @@ def h7_split_quads(v: Views) -> DataFrame:
     return Q.split_quads(Q.with_distance(lines, 560))
 
 
+def predicted_blocks(v: Views) -> DataFrame:
+    return v("fx_predictions").join(v(D).select("page_id", "idx", F.col("lang_raw").alias("lang")), ["page_id", "idx"])
+
+
+def page_masks(v: Views) -> DataFrame:
+    """A text mask of 8 x 8 pixels for each page: a small image's bright pixels."""
+    images = images_from_pixels(v("fx_pixels").withColumn("px", F.when(F.col("px") >= 150, 255).otherwise(0)))
+    number = v("embeddings").agg(F.count("*").alias("n"))  # one row
+    pages = v("fx_pages").crossJoin(number).select("page_id", (F.col("page_id") % F.col("n")).alias("image_id"))
+    return pages.join(images, "image_id").select("page_id", "h", "w", "data")
+
+
+@query("""WITH b AS (SELECT d.*, page_id % (SELECT count(*) FROM embeddings) AS vec_id FROM fx_detections d)
+  SELECT page_id, idx, CAST(count(*) FILTER (px >= 150) AS DOUBLE) AS covered, count(*) AS pixels FROM b JOIN fx_pixels p USING (vec_id)
+  WHERE p.x >= x1*8//560 AND p.x*560 < x2*8 AND p.y >= y1*8//760 AND p.y*760 < y2*8 GROUP BY ALL""", D, "fx_pixels")
+def h9_mask_shares(v: Views) -> DataFrame:
+    """Mask under every region, by summed-area tables."""
+    return mask_shares(page_masks(v), v(D), 560, 760)
+
+
+@query()
+def h9_group_quads_masked(v: Views) -> DataFrame:
+    """Free lines and blocks without lines count only over enough text."""
+    return flat_lines(Q.group_quads(v(LINES), predicted_blocks(v), 560, 760, page_masks(v)))
+
+
+def flat_lines(grouped: DataFrame) -> DataFrame:
+    return rounded(grouped.withColumn("lines", F.concat_ws(";", F.transform("lines", lambda q: F.concat_ws(",", q.cast("array<string>"))))))
+
+
 @query()
 def h9_group_quads(v: Views) -> DataFrame:
     """Predicted blocks stand beside the true ones, and some are missing: their lines stay free."""
-    blocks = v("fx_predictions").join(v(D).select("page_id", "idx", F.col("lang_raw").alias("lang")), ["page_id", "idx"])
-    grouped = Q.group_quads(v(LINES), blocks, 560, 760)
-    return rounded(grouped.withColumn("lines", F.concat_ws(";", F.transform("lines", lambda q: F.concat_ws(",", q.cast("array<string>"))))))
+    return flat_lines(Q.group_quads(v(LINES), predicted_blocks(v), 560, 760))

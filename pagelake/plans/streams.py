@@ -9,8 +9,10 @@ from .. import sources as S
 from ..functions import engines as E
 from ..functions.rules import map_languages
 from ..operators import regions as O
-from .rasters import images, small_boxes
+from ..operators.quads import group_quads
 from ..operators.rasters import crop_boxes
+from .quads import flat_lines
+from .rasters import images, small_boxes
 from .registry import Views, query
 
 
@@ -55,3 +57,42 @@ def v2_run_detector(v: Views) -> DataFrame:
         return detect
 
     return E.run_detector(images(v), make)
+
+
+def row_lines():
+    """A stand-in detector: bright pixels are the mask, each run of them in a row a line, and the rectangle of the upper half's a block."""
+    import numpy as np
+
+    def detect(data: bytes, h: int, w: int) -> dict:
+        mask = np.where(np.frombuffer(data, np.uint8).reshape(h, w) >= 150, 255, 0).astype(np.uint8)
+        lines, blocks = [], []
+        for y, row in enumerate(mask > 0):
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], row.astype(np.int8), [0]))))
+            lines += [[(a, y), (b, y), (b, y + 1), (a, y + 1)] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        ys, xs = np.nonzero(mask[: h // 2])
+        if len(ys):
+            blocks.append({"xyxy": [xs.min(), ys.min(), xs.max() + 1, ys.max() + 1], "language": "eng"})
+        return {"blocks": blocks, "lines": lines, "mask": mask}
+
+    return detect
+
+
+@query("""WITH b AS (SELECT *, px >= 150 AS lit FROM fx_pixels), r AS (SELECT *, lit AND NOT coalesce(lag(lit) OVER (PARTITION BY vec_id, y ORDER BY x), FALSE) AS starts FROM b)
+  SELECT vec_id AS image_id, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) AS BIGINT) AS n_lines, count(*) FILTER (lit) AS line_pixels, count(*) FILTER (lit) AS mask_pixels,
+    min(x) FILTER (lit AND y < 4) AS x1, min(y) FILTER (lit AND y < 4) AS y1, max(x) FILTER (lit AND y < 4) + 1 AS x2, max(y) FILTER (lit AND y < 4) + 1 AS y2 FROM r GROUP BY 1""", "fx_pixels")
+def v2_detect_pages(v: Views) -> DataFrame:
+    """Blocks, lines and masks of one detector pass."""
+    found = E.detect_pages(images(v), row_lines)
+    area = lambda line: (line[4] - line[0]) * (line[5] - line[1])
+    total = F.aggregate("lines", F.lit(0.0), lambda s, line: s + area(line)).cast("long")
+    lit = F.length(F.regexp_replace(F.hex("mask.data"), "00", "")) / 2
+    block = F.get("blocks", F.lit(0))
+    return found.select("image_id", F.size("lines").cast("long").alias("n_lines"), total.alias("line_pixels"), lit.cast("long").alias("mask_pixels"), *(block[c].alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query()
+def v2_detect_and_group(v: Views) -> DataFrame:
+    """From images to grouped blocks: detector, then assignment, mask rule, splitting and merging."""
+    found = E.detect_pages(images(v), row_lines)
+    grouped = group_quads(E.lines_of(found), E.blocks_of(found), 8, 8, E.masks_of(found))
+    return flat_lines(grouped)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from pagelake import plans
+from pagelake.operators import masks as MK
 from pagelake.operators import quads as Q
+from pagelake.plans import quads as PQ
 from pagelake.plans.fixtures import view
 
 
@@ -79,9 +81,10 @@ def lines(spark):
     return pages
 
 
-def test_scattered_lines(spark, lines):
+def scattered(pages):
+    """(page, line_no) -> vertical, block, font size and angle of lines (corners and line_no by page) without a block."""
     want = {}
-    for page, rows in lines.items():
+    for page, rows in pages.items():
         for vertical in (False, True):
             free = []
             for r in rows:
@@ -110,6 +113,11 @@ def test_scattered_lines(spark, lines):
                 for m in members:
                     want[page, m] = (vertical, number, round(font, 6), angle)
                 free = later
+    return want
+
+
+def test_scattered_lines(spark, lines):
+    want = scattered(lines)
     got = {(r[0], r["line_no"]): (r["vertical"], r["block"], r["font_size"], r["angle"]) for r in plans.queries()["h6_merge_scattered_quads"](spark, SF).collect()}
     assert len({b for _, b, _, _ in want.values()}) > 5 and got == want
 
@@ -195,3 +203,63 @@ def test_a_slanted_block(spark):
     s, c = (f(math.radians(26)) * 2 for f in (math.sin, math.cos))
     assert list(g["lines"][0]) == [0, 0, int(100 + s), int(50 - c), int(90 + s), int(70 + c), 0, int(20 + c)]
     assert (g["x1"], g["x2"], g["font_size"], g["n_lines"]) == (-10, 100, 24.0, 1)
+
+
+def summed(masks, page, b, w=560, h=760):
+    m = masks[page]
+    cut = m[max(b[1] * m.shape[0] // h, 0) : max(-(-b[3] * m.shape[0] // h), 0), max(b[0] * m.shape[1] // w, 0) : max(-(-b[2] * m.shape[1] // w), 0)]
+    return cut.sum() / 255, cut.size
+
+
+def test_shares_of_masks_of_any_size(spark):
+    rng = np.random.default_rng(7)
+    masks = {k: (rng.random((hh, ww)) < 0.4).astype(np.uint8) * 255 for k, (hh, ww) in enumerate([(760, 560), (8, 8), (95, 70), (1, 1)])}
+    rows = [(k, i, *(int(e) for e in (x, y, x + rng.integers(0, 300), y + rng.integers(0, 300)))) for k in range(5) for i, (x, y) in enumerate(rng.integers(-20, 600, (60, 2)))]
+    m = spark.createDataFrame([(k, *v.shape, v.tobytes()) for k, v in masks.items()], "page_id long, h int, w int, data binary")
+    boxes = spark.createDataFrame([*rows, (0, 99, None, 1, 2, 3)], "page_id long, idx int, x1 int, y1 int, x2 int, y2 int").repartition(3)
+    got = {(r["page_id"], r["idx"]): (r["covered"], r["pixels"]) for r in MK.mask_shares(m, boxes, 560, 760).collect()}
+    assert got.pop((0, 99)) == (0.0, 0)
+    assert got == {(r[0], r[1]): summed(masks, r[0], r[2:]) for r in rows if r[0] in masks}
+
+
+def test_lines_and_blocks_without_text_under_them_go(spark, lines):
+    pages = sorted(lines)[:150]
+    images = {r["page_id"]: np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"]) for r in PQ.page_masks(lambda n: view(spark, SF, n)).filter(F.col("page_id").isin(pages)).collect()}
+    enough = lambda page, b: (lambda s: s[1] == 0 or s[0] >= 0.1 * s[1])(summed(images, page, b))
+    predicted = defaultdict(dict)
+    for r in view(spark, SF, "fx_predictions").collect():
+        predicted[r["page_id"]][r["idx"]] = (r["x1"], r["y1"], r["x2"], r["y2"])
+    want, dropped = defaultdict(int), 0
+    for page in pages:
+        used = set()
+        for r in lines[page]:
+            q = np.array(corners(r)).astype(int)
+            b = (*q.min(0).tolist(), *q.max(0).tolist())
+            share = {i: max(min(b[2], o[2]) - max(b[0], o[0]), 0) * max(min(b[3], o[3]) - max(b[1], o[1]), 0) / max((b[2] - b[0]) * (b[3] - b[1]), 1) for i, o in predicted[page].items()}
+            best = max(share, key=lambda i: (share[i], -i), default=None)
+            if best is not None and share[best] > 0.4:
+                used.add(best)
+                want[page] += 1
+            elif enough(page, b):
+                want[page] += 1
+            else:
+                dropped += 1
+        for i, o in predicted[page].items():
+            if i not in used:
+                want[page] += enough(page, o)
+                dropped += not enough(page, o)
+    got = defaultdict(int)
+    for r in plans.queries()["h9_group_quads_masked"](spark, SF).filter(F.col("page_id").isin(pages)).collect():
+        got[r["page_id"]] += r["n_lines"]
+    assert dropped > 20 and dict(got) == {k: n for k, n in want.items() if n}
+
+
+def test_grouping_moves_its_tables_in_one_exchange(spark):
+    rows = spark.createDataFrame([(1, 1, *[0.0] * 8)], "page_id long, line_no int, " + ", ".join(f"{c} double" for c in Q.CORNERS))
+    blocks = spark.createDataFrame([(2, 1, 0, 0, 5, 5, None)], "page_id long, idx int, x1 int, y1 int, x2 int, y2 int, lang string")
+    masks = spark.createDataFrame([(1, 1, 1, b"\xff")], "page_id long, h int, w int, data binary")
+    for more in ((), (masks,)):
+        out = Q.group_quads(rows, blocks, 560, 760, *more)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        assert sorted((r["page_id"], r["lang"], r["n_lines"]) for r in out.collect()) == [(1, "unknown", 1), (2, None, 1)]
+    assert Q.group_quads(rows.limit(0), blocks.limit(0), 560, 760).collect() == []

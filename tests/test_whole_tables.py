@@ -1,12 +1,14 @@
 """Registered queries reach every row of their tables: brute force over the smallest tables."""
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from conftest import SF
 from pagelake import plans
+from pagelake.operators import quads as Q
 from pagelake.plans import lines as PL
 from pagelake.plans.fixtures import view
+from test_quads import scattered
 
 
 def run(spark, name):
@@ -39,37 +41,23 @@ def test_components_meet_every_block(spark):
     assert sorted(run(spark, "j3_uncovered_components")) == sorted(want)
 
 
+def upright(rows):
+    """Lines with the corners of their rectangles."""
+    at = ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")
+    return [{"line_no": r["block_idx"] * 10 + r["line_no"]} | {c: r[k] for c, k in zip(Q.CORNERS, at)} for r in rows]
+
+
 def test_scattered_lines_of_all_blocks_merge(spark):
     pages = defaultdict(list)
     for r in view(spark, SF, "fx_lines").collect():
-        pages[r["page_id"]].append((r["block_idx"] * 10 + r["line_no"], *box(r)))
-    want = Counter()
-    for page, lines in pages.items():
-        vertical = page % 2 == 0
-        across, along = (0, 1) if vertical else (1, 0)
-        free = sorted(lines, key=lambda r: ((r[1 + across] + r[3 + across]) * (-1 if vertical else 1), r[0]))
-        while free:
-            b, n, later = list(free[0][1:]), 1, []
-            font = b[across + 2] - b[across]
-            for line in free[1:]:
-                c = line[1:]
-                size = c[across + 2] - c[across]
-                touch = all(c[i] <= b[i + 2] and b[i] <= c[i + 2] for i in (0, 1))
-                gap = max(c[across] - b[across + 2], b[across] - c[across + 2], 0)
-                if touch or (max(font, size) <= 1.3 * max(min(font, size), 1e-9) and gap <= 2 * font and abs(c[along] - b[along]) <= 2.5 * font):
-                    font, n = (font * n + size) / (n + 1), n + 1
-                    b = [min(b[0], c[0]), min(b[1], c[1]), max(b[2], c[2]), max(b[3], c[3])]
-                else:
-                    later.append(line)
-            want[(page, n, *b)] += 1
-            free = later
-    got = plans.queries()["h6_merge_scattered_lines"](spark, SF).select("page_id", "n_lines", "x1", "y1", "x2", "y2").collect()
-    assert Counter(map(tuple, got)) == want
+        pages[r["page_id"]].append(r)
+    want = scattered({page: upright(rows) for page, rows in pages.items()})
+    assert {(r[0], r[1]): r[2:] for r in run(spark, "h6_merge_scattered_lines")} == want
 
 
 def test_grouped_blocks_see_blocks_of_every_number(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(PL.L, "group_blocks", lambda lines, blocks, w, h: seen.append(blocks) or lines)
+    monkeypatch.setattr(PL.Q, "group_quads", lambda lines, blocks, w, h: seen.append(blocks) or lines)
     plans.queries()["h9_group_blocks"](spark, SF)
     assert {r["k"] for r in seen[0].selectExpr("idx % 4 AS k").distinct().collect()} == {0, 1, 2, 3}
     assert seen[0].count() == view(spark, SF, "fx_predictions").count()
