@@ -19,14 +19,38 @@ def log_sessions(logs: DataFrame) -> DataFrame:
     """
     parts = F.split("value", r"\Q" + START + r"\E")
     rows = logs.select("source_id", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("session", "text"))
-    n = F.length("text")
+    return rows.select("source_id", "session", cut_session(F.col("text")).alias("text"))
+
+
+def cut_session(text: Column) -> Column:
+    """The text after a start marker, up to the end of the line of a shutdown marker in its last 500 characters; trimmed."""
+    n = F.length(text)
     tail_at = F.greatest(n - 500, F.lit(0))
-    in_tail = F.locate(END, F.substring("text", tail_at + 1, n))
+    in_tail = F.locate(END, F.substring(text, tail_at + 1, n))
     end = tail_at + in_tail + len(END) - 1
-    line_end = F.locate("\n", F.substring("text", end + 1, n))
+    line_end = F.locate("\n", F.substring(text, end + 1, n))
     stop = F.when(line_end > 0, end + line_end - 1).otherwise(n)
-    cut = F.when(in_tail > 0, F.substring("text", F.lit(1), stop)).otherwise(F.col("text"))
-    return rows.select("source_id", "session", F.regexp_replace(cut, r"^\s+|\s+$", "").alias("text"))
+    cut = F.when(in_tail > 0, F.substring(text, F.lit(1), stop)).otherwise(text)
+    return F.regexp_replace(cut, r"^\s+|\s+$", "")
+
+
+def numbered_sessions(records: DataFrame) -> DataFrame:
+    """(source_id, session, text) of records (source_id, size, block, text) as read: what stands between start markers, read by blocks of each file.
+
+    Records stand in the order of the file within a block. Only the number of records of each block is gathered; texts stay where they were read,
+    unless Spark joins them with those numbers by key. What stands before a file's first marker is dropped. The reader gives no
+    record for nothing after a last marker; such a file is known by its ``size`` in bytes and gets an empty last session.
+    """
+    records = records.withColumn("k", F.monotonically_increasing_id())
+    size = F.octet_length("text") + len(START)
+    blocks = records.groupBy("source_id", "block").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max("size").alias("size"))
+    ended = blocks.groupBy("source_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size")).filter("bytes = size")
+    last = ended.select("source_id", (F.col("n") - 1).cast("int").alias("session"), F.lit("").alias("text"))
+    before = W.partitionBy("source_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    based = blocks.select("source_id", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    session = F.col("base") + F.col("k") - F.col("first") - 1
+    rows = records.join(based, ["source_id", "block"]).withColumn("session", session.cast("int")).filter("session >= 0")
+    return rows.select("source_id", "session", cut_session(F.col("text")).alias("text")).unionByName(last)
 
 
 def session_stats(sessions: DataFrame) -> DataFrame:

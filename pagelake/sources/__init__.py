@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
 
 from ..operators import texts as X
+from ..operators.logs import START, numbered_sessions
 
 #: Suffixes of images that can be read.
 IMAGES = (".jpeg", ".jpg", ".png", ".bmp", ".tiff", ".tif", ".jp2", ".dib", ".webp", ".ppm")
@@ -250,3 +252,27 @@ def write_ocr_text(rows: DataFrame, path: str) -> None:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), "value")
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """(source_id, size, block, text) of log files read with the start marker as line separator: the reader splits large files at markers."""
+    meta = {"source_id": "file_path", "size": "file_size", "block": "file_block_start"}
+    return lines.select(*(F.col(f"_metadata.{c}").alias(n) for n, c in meta.items()), F.col("value").alias("text"))
+
+
+def read_log_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, session, text) of log files, as ``log_sessions`` gives them of whole texts.
+
+    A file is read by as many tasks as it has blocks of ``spark.sql.files.maxPartitionBytes``; a row is a session, never a file.
+    """
+    return numbered_sessions(log_records(spark.read.option("lineSep", START).text(path)))
+
+
+def stream_log_sessions(spark: SparkSession, folder: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Append the sessions of each new log file in ``folder`` to ``sink``, once."""
+    records = log_records(spark.readStream.option("lineSep", START).text(folder))
+
+    def put(batch: DataFrame, _: int) -> None:
+        numbered_sessions(batch).write.mode("append").parquet(sink)
+
+    return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
