@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,10 +49,13 @@ def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be very long: at most BATCH_ROWS of them in an Arrow batch, unless the session asks for fewer."""
+    """Texts can be very long: at most BATCH_ROWS of them and about BATCH_BYTES in an Arrow batch, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (size := re.fullmatch(r"(\d+)b?", spark.conf.get(key, "") or "")) and not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def drop_tables(spark: SparkSession, made: list[str]) -> None:

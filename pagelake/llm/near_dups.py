@@ -342,10 +342,10 @@ def split_cells(members: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("cell", first, second).alias("cell"), side.cast("int").alias("side"), "cls")
 
 
-def links_of(members: DataFrame, bodies: DataFrame, cut: float, percent: int) -> DataFrame:
+def links_of(members: DataFrame, facts: DataFrame, sets: DataFrame, cut: float, percent: int) -> DataFrame:
     """Links (a, b) that join the labels of each cell, confirmed on the full sets: 100 * intersection >= percent * union.
 
-    Candidates within one component need no look. bodies: cls, n, low, label, shingles.
+    Candidates within one component need no look. facts: cls, key, n, low, label; sets: key, shingles, which move by key and by cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,14 +371,15 @@ def links_of(members: DataFrame, bodies: DataFrame, cut: float, percent: int) ->
                 a, b = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = members.join(bodies, "cls").select("cell", "side", "cls", "n", "low", "label", "shingles").repartition("cell").sortWithinPartitions("cell")
+    dealt = members.join(facts, "cls").join(sets, "key").select("cell", "side", "cls", "n", "low", "label", "shingles").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataFrame:
-    """(cls, shingles) of ``ids`` (cls, rep, key). A bit table of fixed size drops most other documents before the shuffle.
+    """(key, shingles) of the documents ``rep`` of ``ids`` (rep, key). A bit table of fixed size drops most others before the shuffle.
 
-    A document that repeats the id ``rep`` with another text has another key, so it is never taken for the class.
+    A document that repeats an id with another text has another key, so it is never taken for the class. Rows that
+    repeat a text under one id give a key once a task; more than one row of a class in a cell does no harm.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     words = ids.select(place(F.col("rep")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
@@ -393,15 +394,20 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataF
             yield batch.select(["rep", "text"]).filter(pa.array(keep))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes | None] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, size) for t in batch.column("text").slice(at, 256).to_pylist()]
-                keys, lists = [key_of(s) for s in sets], [s.view(np.int64) for s in sets]
+                keys, lists = [], []
+                for text in batch.column("text").slice(at, 256).to_pylist():
+                    s = shingle_set(text, size)
+                    if (key := key_of(s)) not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        lists.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     held = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "rep long, text string")
-    sets = held.join(ids.select("rep").distinct(), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
-    return sets.join(ids.select("key", "cls"), "key").dropDuplicates(["key"]).select("cls", "shingles")
+    return held.join(ids.select("rep").distinct(), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
 
 
 def several_sets(rows: DataFrame, classes: DataFrame, made: list[str]) -> DataFrame:
@@ -473,8 +479,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         info = known.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         members = stored(flagged(cells(), info, cut, percent), "flagged", made)
         wanted = classes.select("cls", "rep", "key").join(members.select("cls").distinct(), "cls", "left_semi")
-        bodies = sets_of(docs, wanted, size).join(info.drop("nodes"), "cls")
-        links = stored(links_of(split_cells(members), bodies, cut, percent).distinct(), "links", made)
+        facts = wanted.select("cls", "key").join(info.drop("nodes"), "cls")
+        links = stored(links_of(split_cells(members), facts, sets_of(docs, wanted, size), cut, percent).distinct(), "links", made)
         if not links.isEmpty():
             labels = joined_labels(labels, links, made)
     # a component is named by its smallest id; most classes are alone and name themselves
