@@ -54,7 +54,7 @@ def small_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if (size := re.fullmatch(r"(\d+)b?", spark.conf.get(key, "") or "")) and not 0 < int(size[1]) <= BATCH_BYTES:
+    if (size := re.fullmatch(r"(\d+)b?", spark.conf.get(key))) and not 0 < int(size[1]) <= BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
