@@ -34,8 +34,6 @@ NOTICES = {
     "licensed under the gnu general public license version 2": "gpl-2",
     "licensed under the gnu general public license version 3": "gpl-3",
     "under the terms of the gnu general public license": "gpl",
-    "under the terms of the gnu general public license version 2": "gpl-2",
-    "under the terms of the gnu general public license version 3": "gpl-3",
     "either version 2 of the license or at your option any later version": "gpl-2-or-later",
     "either version 3 of the license or at your option any later version": "gpl-3-or-later",
     "under the terms of the gnu lesser general public license": "lgpl",
