@@ -2,9 +2,10 @@
 
 ``map_pages`` gathers each page in one exchange and hands NumPy columns of many pages
 to a kernel. A kernel finds the overlapping pairs of all pages together and walks the
-pairs alone, so calm pages cost nothing. On crowded pages (over ``CROWDED`` regions) the
-greedy pass looks along the left edges for what meets each region it takes, so memory
-grows with the regions of a page (some 100 bytes each), never with its pairs.
+pairs alone, so calm pages cost nothing. Crowded pages (over ``CROWDED`` regions) fall apart
+at gaps of a sweep; in a part that stays crowded the greedy pass looks up what meets the regions
+it takes in grids by size, so memory grows with the regions of a page (some 100 bytes each),
+never with its pairs, and one page-wide region slows nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 STEP = 1 << 20
 #: Rows of a group from which pairs are not listed.
 CROWDED = 2000
+#: Rows of a crowded group that are compared with each other at once.
+BLOCK = 256
 Columns = dict[str, np.ndarray]
 
 
@@ -143,9 +146,14 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     names = ("x1", "y1", "x2", "y2")
     box, known = boxes_of(columns)
     found: list[np.ndarray] = []
+    part = group.astype(np.int64)
     crowded = np.bincount(group)[group] > CROWDED if len(group) else known
+    if crowded.any():
+        rows = np.flatnonzero(known & crowded)
+        part[rows] = part.max() + 1 + _apart(group[rows], np.minimum(box[rows, :2], box[rows, 2:]), np.maximum(box[rows, :2], box[rows, 2:]))
+        crowded = known & (np.bincount(part)[part] > CROWDED)
     rows = np.flatnonzero(known & ~crowded)
-    for a, b in meeting_pairs(group[rows], box[rows, 0], box[rows, 2]):
+    for a, b in meeting_pairs(part[rows], np.minimum(box[rows, 0], box[rows, 2]), np.maximum(box[rows, 0], box[rows, 2])):
         a, b = rows[a], rows[b]
         hit = overlap(box[a], box[b])
         a, b = a[hit], b[hit]
@@ -159,8 +167,10 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     for a, b in pairs.tolist():
         if alive[a] and alive[b]:
             alive[b], into[b] = False, a
-    for g in np.unique(group[crowded & known]):
-        _walk(order[(group[order] == g) & known[order]], rank, box, overlap, alive, into)
+    rest = order[crowded[order]]
+    rest = rest[np.argsort(part[rest], kind="stable")]
+    for rows in np.split(rest, np.flatnonzero(np.diff(part[rest])) + 1) if len(rest) else ():
+        _walk(rows, rank, box, overlap, alive, into)
     gone = np.flatnonzero(~alive)
     np.minimum.at(union[:, 0], into[gone], box[gone, 0])
     np.minimum.at(union[:, 1], into[gone], box[gone, 1])
@@ -172,16 +182,94 @@ def merged(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Call
     return taken(out, order[alive[order]]) | {"_group": group[order[alive[order]]]}
 
 
+def _apart(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Numbers of finer groups: rows that a gap of a sweep separates, along either axis in turn, never overlap."""
+    part, kinds, still = np.unique(group, return_inverse=True)[1].astype(np.int64), -1, 0
+    for turn in range(64):
+        axis = turn % 2
+        order = np.lexsort((low[:, axis], part))
+        g = part[order]
+        # the farthest end so far in each part: ranks of ends grow with the part, so one running maximum serves all
+        rank = np.empty(len(g), np.int64)
+        rank[np.lexsort((high[order, axis], g))] = np.arange(len(g))
+        reach = high[order, axis][np.argsort(rank)][np.maximum.accumulate(rank)]
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (low[order, axis][1:] > reach[:-1])))
+        part[order] = np.cumsum(new) - 1
+        still = still + 1 if int(new.sum()) == kinds else 0
+        kinds = int(new.sum())
+        if still == 2:
+            break
+    return part
+
+
+class _Cells:
+    """Rows by cells of a grid, a grid for each power of two of their sizes: the corner of a row lies in one cell, and no row is larger than its cell."""
+
+    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray):
+        size = np.maximum((high[rows] - low[rows]).max(1).astype(float), 1e-9)
+        level = np.ceil(np.log2(size)).astype(np.int64)
+        self.levels = []
+        for k in np.unique(level):
+            at, cell = rows[level == k], 2.0 ** int(k)
+            place = np.floor(low[at] / cell).astype(np.int64)
+            least, most = place.min(0), place.max(0)
+            key = (place[:, 1] - least[1]) * (most[0] - least[0] + 1) + place[:, 0] - least[0]
+            order = np.argsort(key, kind="stable")
+            self.levels.append((cell, least, most, key[order], at[order]))
+
+    def near(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, row of the grid that may meet it), some at a time."""
+        for cell, least, most, key, at in self.levels:
+            a = np.maximum(np.floor(low[rows] / cell).astype(np.int64) - 1, least)
+            b = np.minimum(np.floor(high[rows] / cell).astype(np.int64), most)
+            lines = np.where((b >= a).all(1), b[:, 1] - a[:, 1] + 1, 0)
+            of = np.repeat(np.arange(len(rows)), lines)
+            y = a[of, 1] + np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines) - least[1]
+            width = most[0] - least[0] + 1
+            start = np.searchsorted(key, y * width + a[of, 0] - least[0])
+            n = np.searchsorted(key, y * width + b[of, 0] - least[0], "right") - start
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            for begin in range(0, total, STEP):
+                each = np.arange(begin, min(begin + STEP, total))
+                line = np.searchsorted(ends, each, "right")
+                yield rows[of[line]], at[start[line] + each - (ends[line] - n[line])]
+
+
 def _walk(rows: np.ndarray, rank: np.ndarray, box: np.ndarray, overlap: Callable, alive: np.ndarray, into: np.ndarray) -> None:
-    """The greedy pass over one crowded group, rows in order: each row taken is tested against the rows it can meet."""
-    by_edge = rows[np.argsort(box[rows, 0], kind="stable")]
-    edge, widest = box[by_edge, 0], (box[rows, 2] - box[rows, 0]).max()
-    for i in rows.tolist():
-        if alive[i]:
-            near = by_edge[np.searchsorted(edge, box[i, 0] - widest) : np.searchsorted(edge, box[i, 2], "right")]
-            near = near[alive[near] & (rank[near] > rank[i])]
-            hit = near[overlap(np.broadcast_to(box[i], (len(near), 4)), box[near])]
-            alive[hit], into[hit] = False, i
+    """The greedy pass over one crowded group, rows in order, a block at a time.
+
+    Rows of a block are compared with each other; those that remain look up what they meet in the grids, and each row
+    met goes to the first of them. Grids are built again when half of their rows are gone.
+    """
+    low, high = np.minimum(box[:, :2], box[:, 2:]), np.maximum(box[:, :2], box[:, 2:])
+    first = np.full(len(box), -1)
+    rows, cells, held = rows[alive[rows]], None, 0
+    while len(rows):
+        if cells is None or 2 * len(rows) < held:
+            cells, held = _Cells(rows, low, high), len(rows)
+        block, rows = rows[:BLOCK], rows[BLOCK:]
+        a, b = np.triu_indices(len(block), 1)
+        hit = overlap(box[block[a]], box[block[b]])
+        for i, j in zip(block[a[hit]].tolist(), block[b[hit]].tolist()):
+            if alive[i] and alive[j]:
+                alive[j], into[j] = False, i
+        taken_ = block[alive[block]]
+        met = []
+        for i, j in cells.near(taken_, low, high):
+            later = alive[j] & (rank[j] > rank[i])
+            i, j = i[later], j[later]
+            hit = overlap(box[i], box[j])
+            i, j = i[hit], j[hit]
+            order = np.lexsort((rank[i], j))
+            one = order[np.concatenate(([True], j[order][1:] != j[order][:-1]))] if len(order) else order
+            i, j = i[one], j[one]
+            better = (first[j] < 0) | (rank[i] < rank[first[j]])
+            first[j[better]] = i[better]
+            met.append(j)
+        gone = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        alive[gone], into[gone] = False, first[gone]
+        rows = rows[alive[rows]] if len(gone) else rows
 
 
 def suppressed(columns: Columns, group: np.ndarray, order: np.ndarray, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import pages as P
 
 IMAGE = "image_id long, h int, w int, data binary"
 
@@ -152,14 +153,24 @@ def disc(n: int) -> list[tuple[int, int]]:
 
 
 def dilate(mask: np.ndarray, n: int) -> np.ndarray:
-    """Set pixels grow by a disc; beyond the edge the mask goes on as its edge pixels."""
+    """Set pixels grow by a disc; beyond the edge the mask goes on as its edge pixels.
+
+    A row of the disc is one run of pixels, so running sums along the mask's rows tell whether any of a run is set:
+    a pass for each length of run and a shift for each row, however wide the disc.
+    """
     if n <= 0:
         return mask
-    padded = np.pad(mask, n, mode="edge")
-    out = np.zeros_like(mask)
     h, w = mask.shape
+    sums = np.zeros((h + 2 * n, w + 2 * n + 1), np.int32)
+    np.cumsum(np.pad(mask, n, mode="edge"), 1, out=sums[:, 1:])
+    reach: dict[int, int] = {}
     for dy, dx in disc(n):
-        out |= padded[n + dy : n + dy + h, n + dx : n + dx + w]
+        reach[dy] = max(reach.get(dy, 0), dx)
+    out = np.zeros_like(mask)
+    for r in set(reach.values()):
+        wide = sums[:, n + r + 1 : n + r + 1 + w] > sums[:, n - r : n - r + w]
+        for dy in (d for d, x in reach.items() if x == r):
+            out |= wide[n + dy : n + dy + h]
     return out
 
 
@@ -420,10 +431,38 @@ def mask_components(masks: DataFrame, min_area: int = 1) -> DataFrame:
     return _mapped(masks, "image_id long, component int, area long, x1 int, y1 int, x2 int, y2 int", rows)
 
 
+def weighted_medians(points: np.ndarray, weight: np.ndarray, group: np.ndarray, eps: float = 1e-5, most: int = 500) -> np.ndarray:
+    """``weiszfeld`` for many groups at once: points of a group stand together, each as often as its weight says.
+
+    A step moves every group that hasn't come to rest; sums over groups are segment sums.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    sums = lambda v, at: np.add.reduceat(v, at, axis=0)
+    at = sums(points * weight[:, None], starts) / sums(weight, starts)[:, None]
+    sizes, moving = np.diff(np.append(starts, len(points))), np.arange(len(starts))
+    rows = np.arange(len(points))
+    for _ in range(most):
+        if not len(moving):
+            break
+        n = sizes[moving]
+        edges = np.cumsum(n) - n
+        far = np.linalg.norm(points[rows] - np.repeat(at[moving], n, axis=0), axis=1)
+        pull = np.divide(weight[rows], far, out=np.zeros_like(far), where=far > 0)
+        total = sums(pull, edges)
+        some = total > 0
+        new = np.where(some[:, None], sums(points[rows] * pull[:, None], edges) / np.where(some, total, 1)[:, None], at[moving])
+        go = np.linalg.norm(new - at[moving], axis=1) >= eps
+        at[moving] = new
+        rows, moving = rows[np.repeat(go, n)], moving[go]
+    return at
+
+
 def geometric_median(points: DataFrame, key: str, channels: tuple[str, ...] = ("r", "g", "b"), eps: float = 1e-5, most: int = 500) -> DataFrame:
-    """(key, channels as double): see ``weiszfeld``."""
+    """(key, channels as double): see ``weiszfeld``. Equal points are counted before they move; a group's distinct ones are one row."""
+    counted = points.groupBy(key, *channels).agg(F.count("*").cast("double").alias("weight_"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[pdf[key].iloc[0], *weiszfeld(pdf[list(channels)].to_numpy(float), eps, most)]], columns=[key, *channels])
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        at = weighted_medians(np.stack([c[n].astype(float) for n in channels], 1), c["weight_"], group, eps, most)
+        return {key: c[key][P.places(group) == 1]} | {n: at[:, k] for k, n in enumerate(channels)}
 
-    return points.groupBy(key).applyInPandas(run, f"{key} long, " + ", ".join(f"{c} double" for c in channels))
+    return P.map_pages(counted, [key], kernel, f"{key} {dict(points.dtypes)[key]}, " + ", ".join(f"{c} double" for c in channels))

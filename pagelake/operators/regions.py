@@ -7,10 +7,9 @@ taken, everything that overlaps it (not the grown union) is merged into it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import rules as R
 from . import pages as P
-from .groups import map_groups
 
 COLS = list(G.Box._fields)
 #: Regions of a page from which pairs are searched by grid cells instead of the page alone.
@@ -89,26 +87,38 @@ def merge_overlaps(boxes: DataFrame, threshold: float = 20) -> DataFrame:
     return P.map_pages(boxes, ["page_id"], kernel, _schema(boxes))
 
 
-def _cluster(rows: list[tuple], axis: int, tol: int, depth: int) -> list[tuple]:
-    if len(rows) < 2 or depth <= 0:
-        return rows
-    clusters: list[list[tuple]] = []
-    for r in sorted(rows, key=lambda r: (r[1 + axis], r[0])):
-        home = next((c for c in clusters if any(abs(m[1 + axis] - r[1 + axis]) <= tol for m in c)), None)
-        clusters.append([r]) if home is None else home.append(r)
-    if len(clusters) == 1 and depth <= 1:
-        return rows
-    return [r for c in clusters for r in (_cluster(c, 1 - axis, tol, depth - 1) if len(c) < len(rows) or depth > 1 else c)]
+def clustered(group: np.ndarray, idx: np.ndarray, edges: tuple[np.ndarray, np.ndarray], axis: int, tol: int, depth: int) -> np.ndarray:
+    """Rows in the order of recursive clustering, all groups together.
+
+    Along sorted edges a cluster ends where the next edge is more than ``tol`` away, so a level of the recursion is
+    one sort by (segment, edge, idx) and its gaps. A segment that stays whole at the last level keeps the order it had.
+    """
+    order = np.lexsort((idx, group))
+    segment = group[order]
+    for level in range(depth, 0, -1):
+        edge = edges[axis]
+        by = np.lexsort((idx[order], edge[order], segment))
+        new, of = order[by], segment[by]
+        same = of[1:] == of[:-1]
+        cut = np.concatenate(([True], ~same | (edge[new[1:]] - edge[new[:-1]] > tol)))
+        numbers = np.cumsum(cut) - 1
+        if level == 1:
+            whole = np.bincount(of, cut, minlength=int(of.max(initial=0)) + 1)[of] == 1
+            order = np.where(whole, order, new)
+            break
+        order, segment, axis = new, numbers, 1 - axis
+    return order
 
 
 def cluster_boxes(boxes: DataFrame, axis: str = "y", tol: int = 10, depth: int = 10) -> DataFrame:
-    """(page_id, idx, position): recursive clustering by edges aligned within ``tol``, on alternate axes."""
+    """(page_id, idx, position): recursive clustering by edges aligned within ``tol``, on alternate axes. Regions without coordinates have no position."""
 
-    def body(key: tuple, rows: list[dict]) -> list[tuple]:
-        flat = sorted((r["idx"], r["x1"], r["y1"]) for r in rows)
-        return [(key[0], r[0], k) for k, r in enumerate(_cluster(flat, int(axis == "y"), tol, depth), 1)]
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        order = clustered(group, c["idx"], (c["x1"], c["y1"]), int(axis == "y"), tol, depth)
+        return {"page_id": c["page_id"][order], "idx": c["idx"][order], "position": P.places(group[order])}
 
-    return map_groups(boxes.select("page_id", "idx", "x1", "y1"), ["page_id"], body, "page_id long, idx int, position int")
+    whole = boxes.select("page_id", "idx", "x1", "y1").dropna(subset=["x1", "y1"])
+    return P.map_pages(whole, ["page_id"], kernel, "page_id long, idx int, position int")
 
 
 def page_language(boxes: DataFrame) -> DataFrame:
@@ -158,31 +168,78 @@ def apply_ocr_filter(boxes: DataFrame, texts: DataFrame, max_area: int = 3000, p
     return kept, checked
 
 
+#: Edges of regions inside a slab of the sweep.
+SLAB = 512
+
+
+def covered_areas(group: np.ndarray, box: np.ndarray, n_groups: int) -> np.ndarray:
+    """Area that the half-open whole-number boxes (n, 4) of each group cover together; groups ascend.
+
+    A sweep down all groups, one below the other, in slabs with at most ``SLAB`` edges inside. What spans a slab is a
+    union of intervals; what begins or ends in it is counted on the slab's own grid of edges, less what those intervals
+    cover already. Memory grows with the boxes, not with the area.
+    """
+    out = np.zeros(n_groups, np.int64)
+    full = (box[:, 2] > box[:, 0]) & (box[:, 3] > box[:, 1])
+    group, box = group[full].astype(np.int64), box[full].astype(np.int64)
+    if not len(box):
+        return out
+    low, tall = int(box[:, 1].min()), int(box[:, 3].max() - box[:, 1].min()) + 1
+    top, bottom = group * tall + box[:, 1] - low, group * tall + box[:, 3] - low
+    edge, count = np.unique(np.concatenate((top, bottom)), return_counts=True)
+    first, last = np.searchsorted(edge, top), np.searchsorted(edge, bottom)
+    upto = np.cumsum(count)
+    a = 0
+    while a < len(edge) - 1:
+        b = min(max(a + 1, int(np.searchsorted(upto, upto[a] + SLAB, "right"))), len(edge) - 1)
+        rows = np.arange(np.searchsorted(group, edge[a] // tall), np.searchsorted(group, edge[b] // tall, "right"))
+        rows = rows[(first[rows] < b) & (last[rows] > a)]
+        span = (first[rows] <= a) & (last[rows] >= b)
+        starts, ends, before = _union(box[rows[span]][:, [0, 2]])
+        length = np.full(b - a, before[-1])
+        part = rows[~span]
+        if len(part):
+            xs = np.unique(box[part][:, [0, 2]])
+            free = np.diff(xs) - np.diff(_measure(xs, starts, ends, before))
+            grid = np.zeros((b - a + 1, len(xs)), np.int32)
+            y1, y2 = np.maximum(first[part] - a, 0), np.minimum(last[part] - a, b - a)
+            x1, x2 = np.searchsorted(xs, box[part, 0]), np.searchsorted(xs, box[part, 2])
+            for y, x, step in ((y1, x1, 1), (y2, x2, 1), (y1, x2, -1), (y2, x1, -1)):
+                np.add.at(grid, (y, x), step)
+            length += (grid.cumsum(0).cumsum(1)[:-1, :-1] > 0) @ free
+        np.add.at(out, edge[a:b] // tall, length * np.diff(edge[a : b + 1]))
+        a = b
+    return out
+
+
+def _union(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the union of intervals (n, 2), and the length before each start and after the last."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1]))) if len(spans) else np.zeros(0, np.int64)
+    starts, ends = spans[new, 0], reach[np.append(new[1:], len(spans)) - 1] if len(spans) else reach
+    return starts, ends, np.concatenate(([0], np.cumsum(ends - starts)))
+
+
+def _measure(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Length of the union left of each x."""
+    k = np.searchsorted(starts, x, "right")
+    if not len(starts):
+        return np.zeros(len(x), np.int64)
+    last = np.maximum(k - 1, 0)
+    return np.where(k > 0, before[last] + np.minimum(x, ends[last]) - starts[last], 0)
+
+
 def mask_coverage(boxes: DataFrame, w: int, h: int) -> DataFrame:
     """(page_id, covered, share): pixels that the regions cover together, right and bottom edges included."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            covered = []
-            for rows in pdf["rects"]:
-                b = np.array([list(r) for r in rows], np.int64)
-                b = np.column_stack((np.maximum(b[:, :2], 0), np.minimum(b[:, 2:] + 1, (w, h))))
-                b = b[(b[:, 2] > b[:, 0]) & (b[:, 3] > b[:, 1])]
-                if 4 * len(b) ** 2 > w * h:  # as many edges as pixels: count starts and ends of regions on the canvas
-                    edge = np.zeros((h + 1, w + 1), np.int64)
-                    for x, y, step in ((0, 1, 1), (2, 3, 1), (0, 3, -1), (2, 1, -1)):
-                        np.add.at(edge, (b[:, y], b[:, x]), step)
-                    covered.append(int((edge.cumsum(0).cumsum(1) > 0).sum()))
-                    continue
-                xs, ys = np.unique(b[:, [0, 2]]), np.unique(b[:, [1, 3]])
-                grid = np.zeros((max(len(ys) - 1, 0), max(len(xs) - 1, 0)), bool)
-                for x1, y1, x2, y2 in b:
-                    grid[np.searchsorted(ys, y1) : np.searchsorted(ys, y2), np.searchsorted(xs, x1) : np.searchsorted(xs, x2)] = True
-                covered.append(int((grid * np.outer(np.diff(ys), np.diff(xs))).sum()) if grid.size else 0)
-            yield pd.DataFrame({"page_id": pdf["page_id"], "covered": covered})
-
-    rects = boxes.groupBy("page_id").agg(F.collect_list(F.array(*COLS)).alias("rects"))
-    return rects.mapInPandas(run, "page_id long, covered long").withColumn("share", F.col("covered") / F.lit(w * h))
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        box, known = P.boxes_of(c)
+        box = np.column_stack((np.maximum(box[:, :2], 0), np.minimum(box[:, 2:] + 1, (w, h))))
+        box[~known] = 0
+        return {"page_id": c["page_id"][P.places(group) == 1], "covered": covered_areas(group, box, int(group.max(initial=-1)) + 1)}
+
+    return P.map_pages(boxes.select("page_id", *COLS), ["page_id"], kernel, "page_id long, covered long").withColumn("share", F.col("covered") / F.lit(w * h))
 
 
 def _page_languages(lang: np.ndarray, idx: np.ndarray, group: np.ndarray) -> np.ndarray:

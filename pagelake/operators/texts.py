@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .groups import map_groups
 
 COLS = list(G.Box._fields)
 INTEGER = r"^\s*[+-]?\d+(_\d+)*\s*$"
@@ -71,25 +70,27 @@ def parse_sections(files: DataFrame, strict: bool = True) -> tuple[DataFrame, Da
 def match_texts(images: DataFrame, texts: DataFrame, on_boundary: bool = False) -> DataFrame:
     """(image, fragment, status): an image's path ends with the fragment. status: matched, ambiguous, no_text, no_image.
 
-    The lengths of fragments are few; each image gives one suffix per length, and an equi-join does the rest.
+    The lengths of fragments are few; each image gives one suffix per length. Suffixes are counted with partial sums, so
+    a fragment that ends very many paths costs one row a task; then an equi-join gives every image the fragments that it
+    has, at most one a length. Repeated image rows stay repeated, and are ambiguous.
     """
     frags = texts.select("fragment").distinct()
     sizes = frags.agg(F.array_sort(F.collect_set(F.length("fragment")))).scalar()  # a number for each length
-    cut = images.select("image", sizes.alias("sizes")).select("image", F.explode("sizes").alias("size"))
-    cut = cut.filter(F.col("size") <= F.length("image")).withColumn("fragment", F.expr("right(image, size)"))
-    hits = cut.join(frags, "fragment")
-    if on_boundary:
-        before = F.expr("substring(image, length(image) - size, 1)")
-        hits = hits.filter((F.length("image") == F.col("size")) | (before == "/"))
-    per_image = hits.groupBy("image").agg(F.count("*").alias("n_i"))
-    per_frag = hits.groupBy("fragment").agg(F.count("*").alias("n_f"))
-    both = hits.join(per_image, "image").join(per_frag, "fragment")
-    status = F.when((F.col("n_i") > 1) | (F.col("n_f") > 1), "ambiguous").otherwise("matched")
-    out = both.select("image", "fragment", status.alias("status"))
-    none = F.lit(None).cast("string")
-    no_text = images.join(per_image, "image", "left_anti").select("image", none.alias("fragment"), F.lit("no_text").alias("status"))
-    no_image = frags.join(per_frag, "fragment", "left_anti").select(none.alias("image"), "fragment", F.lit("no_image").alias("status"))
-    return out.unionByName(no_text).unionByName(no_image)
+    n = F.length("image")
+    fits = lambda size: (size <= n) & ((size == n) | (F.substring("image", n - size, F.lit(1)) == "/") if on_boundary else F.lit(True))
+    cut = images.select("image", sizes.alias("sizes")).select("image", F.posexplode_outer(F.filter("sizes", fits)).alias("pos", "size"))
+    cut = cut.withColumn("fragment", F.expr("right(image, size)"))
+    counts = cut.filter("size IS NOT NULL").groupBy("fragment").agg(F.count("*").alias("n_f"))
+    counted = frags.join(counts, "fragment", "left")
+    own = cut.join(counted.filter("n_f > 0"), "fragment", "left").groupBy("image")
+    hit = F.when(F.col("n_f").isNotNull(), F.struct("fragment", "n_f"))
+    found = own.agg(F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"), F.collect_set(hit).alias("hits"))
+    several = F.col("copies") * F.size("hits") > 1
+    each = found.select("image", "copies", several.alias("several"), F.explode_outer("hits").alias("hit"))
+    status = F.when(F.col("hit").isNull(), "no_text").when(F.col("several") | (F.col("hit.n_f") > 1), "ambiguous").otherwise("matched")
+    each = each.select("image", F.col("hit.fragment").alias("fragment"), status.alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    no_image = counted.filter("n_f IS NULL").select(F.lit(None).cast("string").alias("image"), "fragment", F.lit("no_image").alias("status"))
+    return each.drop("col").unionByName(no_image)
 
 
 def segment_offsets(segments: DataFrame) -> DataFrame:
@@ -143,22 +144,15 @@ def apply_review_edits(results: DataFrame, edits: DataFrame, min_area: int = 400
         alive = s["alive"] & ~((e["op"] == "delete") & (s["status"] == "New"))
         return F.struct(text.alias("text"), status.alias("status"), alive.alias("alive"))
 
-    def fold_new(key: tuple, rows: list[dict]) -> list[tuple]:
-        """The page's New rows through its edits in order: a number is free again once its row is gone."""
-        alive: dict[int, dict] = {}
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            if r["op"] == "add":
-                k = next(i for i in range(1, len(alive) + 2) if i not in alive)
-                alive[k] = {**r, "original": r["text"]}
-                continue
-            k = int(r["label"][4:])
-            if r["op"] == "held":
-                alive[k] = {**r, "original": r["text"]}
-            elif k in alive and r["op"] == "delete":
-                del alive[k]
-            elif k in alive:
-                alive[k]["text"] = r["text"] if r["op"] == "edit" else alive[k]["original"]
-        return [(*key, f"New {k}", r["text"], *(r[c] for c in COLS)) for k, r in alive.items()]
+    def fold_new(rows: Column, e: Column) -> Column:
+        """A page's New rows after one more edit: a number is free again once its row is gone."""
+        k = F.when(e["op"] == "add", F.array_min(F.array_except(F.sequence(F.lit(1), F.size(rows) + 1), F.transform(rows, lambda r: r["k"])))).otherwise(e["k"])
+        made = F.struct(k.alias("k"), e["text"].alias("text"), e["text"].alias("original"), *(e[c].alias(c) for c in COLS))
+        text = lambda r: F.when(e["op"] == "edit", e["text"]).otherwise(r["original"])
+        changed = lambda r: F.struct(r["k"].alias("k"), text(r).alias("text"), r["original"].alias("original"), *(r[c].alias(c) for c in COLS))
+        others = F.filter(rows, lambda r: r["k"] != k)
+        edited = F.transform(rows, lambda r: F.when(r["k"] == k, changed(r)).otherwise(r))
+        return F.when(e["op"].isin("add", "held"), F.concat(others, F.array(made))).when(e["op"] == "delete", others).otherwise(edited)
 
     numbered = F.col("label").rlike(r"^New \d{1,9}$")
     added = edits.filter("op = 'add'").filter(G.area(G.box()) >= min_area).withColumn("label", F.lit(None).cast("string"))
@@ -167,7 +161,12 @@ def apply_review_edits(results: DataFrame, edits: DataFrame, min_area: int = 400
     wide = lambda df, *first: df.select("page_id", *first, "label", "text", *COLS)
     held = wide(results.filter((F.col("status") == "New") & numbered), F.lit("held").alias("op"), F.lit(-(2**62)).cast("long").alias("seq"))
     asked = held.unionByName(wide(added, "op", seq)).unionByName(wide(changed, "op", seq))
-    new = map_groups(asked, ["page_id"], fold_new, "page_id long, label string, text string, x1 int, y1 int, x2 int, y2 int").withColumn("status", F.lit("New"))
+    number = F.substring("label", 5, 9).cast("int").alias("k")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "op", number, "text", *(F.col(c).cast("int").alias(c) for c in COLS))))
+    none = F.array().cast("array<struct<k:int,text:string,original:string,x1:int,y1:int,x2:int,y2:int>>")
+    pages = asked.groupBy("page_id").agg(ordered.alias("asked"))
+    new = pages.select("page_id", F.explode(F.aggregate("asked", none, fold_new)).alias("r"))
+    new = new.select("page_id", F.concat(F.lit("New "), F.col("r.k").cast("string")).alias("label"), "r.text", *(f"r.{c}" for c in COLS), F.lit("New").alias("status"))
     older = results.filter(~((F.col("status") == "New") & numbered)).select("page_id", "label", "text", *COLS, "status")
     folded = older.join(own, ["page_id", "label"], "left").withColumn("s", F.aggregate(F.coalesce("edits", F.array()), state, step))
     kept = folded.filter("s.alive").select("page_id", "label", F.col("s.text").alias("text"), *COLS, F.col("s.status").alias("status"))

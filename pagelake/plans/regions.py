@@ -86,14 +86,18 @@ def o6_label_results(v: Views) -> DataFrame:
     return O.label_results(v("fx_texts"))
 
 
-@query(f"SELECT page_id, CAST(list(x1 || ',' || y1 || ',' || x2 || ',' || y2 ORDER BY idx) AS STRING) AS boxes, CAST(list(coalesce({LANG}, '-') ORDER BY idx) AS STRING) AS langs FROM fx_detections GROUP BY page_id", D)
-def a11_pack_boxes(v: Views) -> DataFrame:
-    packed = O.pack_boxes(with_lang(v))
+def packed_text(packed: DataFrame) -> DataFrame:
+    """Arrays of boxes and languages as texts."""
     text = lambda c: F.concat(F.lit("["), F.concat_ws(", ", c), F.lit("]"))
     boxes = F.transform("boxes", lambda b: F.concat_ws(",", b.cast("array<string>")))
     return packed.select("page_id", text(F.transform(boxes, lambda s: F.concat(F.lit("'"), s, F.lit("'")))).alias("boxes"), text(F.transform("box_language", lambda x: F.coalesce(x, F.lit("-")))).alias("langs"))
 
 
+@query(f"SELECT page_id, CAST(list(x1 || ',' || y1 || ',' || x2 || ',' || y2 ORDER BY idx) AS STRING) AS boxes, CAST(list(coalesce({LANG}, '-') ORDER BY idx) AS STRING) AS langs FROM fx_detections GROUP BY page_id", D)
+def a11_pack_boxes(v: Views) -> DataFrame:
+    return packed_text(O.pack_boxes(with_lang(v)))
+
+
 @query("""WITH b AS (SELECT d.*, t.text, CAST(x2-x1 AS BIGINT)*(y2-y1) AS area FROM fx_detections d JOIN fx_texts t USING (page_id, idx)), c AS (SELECT b.*, p.scale, regexp_full_match(text, '[～．ー！？０-９~.!?0-9-]*', 's') AS removed FROM b JOIN fx_pages p USING (page_id))
   SELECT page_id, idx, text, area, removed, CAST(trunc(x1/scale) AS INT) x1, CAST(trunc(y1/scale) AS INT) y1, CAST(trunc(x2/scale) AS INT) x2, CAST(trunc(y2/scale) AS INT) y2 FROM c WHERE area < 3000""", "fx_texts", "fx_pages")
 def f5_ocr_filter(v: Views) -> DataFrame:
@@ -109,13 +113,47 @@ def a23_mask_coverage(v: Views) -> DataFrame:
     return O.mask_coverage(v(D), 560, 760).select("page_id", "covered", F.expr("covered * 1000000 div 425600").alias("share_ppm"))
 
 
+def greedy_parts(name: str, rows: str, order: str, test: str, extra: dict[str, str]) -> str:
+    """``greedy_sql`` as parts of a longer query, ending with ``name``; columns ``extra`` (name to type) stay those of a union's first box."""
+    fields = {"x1": "INT", "y1": "INT", "x2": "INT", "y2": "INT"} | extra
+    whole = ", ".join(f"{f} := {f}" for f in fields)
+    far = ", ".join(f"{c} := {pick}(rest[1].{c}, list_{low}(list_transform(list_filter(rest, lambda e: {test}), lambda z: z.{c})))" for c, pick, low in (("x1", "least", "min"), ("y1", "least", "min"), ("x2", "greatest", "max"), ("y2", "greatest", "max")))
+    kept = "".join(f", {f} := rest[1].{f}" for f in extra)
+    return f"""{name}_lists AS (SELECT page_id, list(struct_pack({whole}) ORDER BY {order}) AS l FROM ({rows}) GROUP BY page_id),
+    {name}_go AS (SELECT page_id, l AS rest, CAST(NULL AS STRUCT({", ".join(f"{f} {t}" for f, t in fields.items())})) AS made, 0 AS n FROM {name}_lists
+      UNION ALL SELECT page_id, list_filter(rest[2:], lambda e: NOT ({test})), struct_pack({far}{kept}), n + 1 FROM {name}_go WHERE len(rest) > 0),
+    {name} AS (SELECT page_id, {", ".join(f"made.{f} AS {f}" for f in fields)} FROM {name}_go WHERE n > 0)"""
+
+
+PADDED = "greatest(x1-5,0) AS x1, greatest(y1-5,0) AS y1, least(x2+5,560) AS x2, least(y2+5,760) AS y2"
+CLEANED = f"""kept AS (SELECT * FROM (SELECT page_id, idx, x1, y1, x2, y2, {LANG} AS lang, CAST(x2-x1 AS BIGINT)*(y2-y1) AS area FROM fx_detections) WHERE area >= 400 AND (lang IS NOT NULL OR area >= 40000)),
+  {A1.replace(f"{LANG} AS lang", "lang").replace("fx_detections", "kept")}, {greedy_parts("m", "SELECT * FROM kept", "idx", H_CENTER, {"idx": "INT", "lang": "VARCHAR"})},
+  grown AS (SELECT m.page_id, idx, lang, page_lang, {PADDED} FROM m JOIN l USING (page_id)),
+  cleaned AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN page_lang = 'jpn' THEN y1 - CAST(0.4 AS DOUBLE)*x1 ELSE y1 + CAST(0.4 AS DOUBLE)*x1 END, idx) AS position FROM grown)"""
+
+
 @query()
 def minimum_slice(v: Views) -> DataFrame:
     """Detections to packed pages in reading order."""
     return O.clean_pages(v(D))
 
 
-@query()
+@query(f"WITH RECURSIVE {CLEANED} SELECT page_id, CAST(list(x1 || ',' || y1 || ',' || x2 || ',' || y2 ORDER BY position) AS STRING) AS boxes, CAST(list(coalesce(lang, '-') ORDER BY position) AS STRING) AS langs FROM cleaned GROUP BY page_id", D)
+def minimum_slice_text(v: Views) -> DataFrame:
+    """The packed pages of ``minimum_slice``, arrays as texts."""
+    return packed_text(O.clean_pages(v(D)))
+
+
+@query(f"WITH RECURSIVE {CLEANED} SELECT page_id, idx, x1, y1, x2, y2, lang, page_lang, position FROM cleaned", D)
+def w1_clean_regions(v: Views) -> DataFrame:
+    """Detections to regions in reading order."""
+    return O.clean_regions(v(D))
+
+
+@query(f"""WITH RECURSIVE {CLEANED}, checked AS (SELECT c.page_id, c.idx, {PADDED} FROM cleaned c LEFT JOIN fx_texts t USING (page_id, idx)
+    WHERE NOT (CAST(x2-x1 AS BIGINT)*(y2-y1) < 3000 AND coalesce(regexp_full_match(text, '[～．ー！？０-９~.!?0-9-]*', 's'), false))),
+  {greedy_parts("o", "SELECT page_id, x1, y1, x2, y2, min(idx) AS idx FROM checked GROUP BY ALL", "y1, x1, y2, x2", H_AREA, {"idx": "INT"})}
+  SELECT page_id, idx, x1, y1, x2, y2 FROM o""", "fx_texts")
 def w1_clean_pages(v: Views) -> DataFrame:
     """Regions after the text check, extended and merged again."""
     kept, _ = O.apply_ocr_filter(O.clean_regions(v(D)), v("fx_texts"))

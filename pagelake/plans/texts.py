@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import regions as R
 from ..operators import texts as T
+from .regions import CLEANED
 from .registry import Views, query
 
 D, REC = "fx_detections", "fx_ocr_records"
@@ -169,7 +170,9 @@ def s11_text_sections(v: Views) -> DataFrame:
     return T.text_sections(path_texts(v))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLEANED}, s AS (SELECT *, coalesce(sum(height) OVER (PARTITION BY split_from ORDER BY segment_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS down FROM fx_segments)
+  SELECT split_from, CAST(row_number() OVER (PARTITION BY split_from ORDER BY segment_no, position) AS INT) AS idx, text, CAST(trunc(x1/scale) AS BIGINT) x1, CAST(trunc(y1/scale)+down AS BIGINT) y1, CAST(trunc(x2/scale) AS BIGINT) x2, CAST(trunc(y2/scale)+down AS BIGINT) y2
+  FROM cleaned c JOIN fx_pages p USING (page_id) JOIN s USING (page_id, split_from) LEFT JOIN fx_texts t ON t.page_id = c.page_id AND t.idx = c.idx""", "fx_texts", "fx_pages", "fx_segments")
 def t6_extract_texts(v: Views) -> DataFrame:
     """Regions in reading order with their texts, moved onto their strips."""
     return T.merge_segment_texts(R.extract_texts(v(D), v("fx_texts"), v("fx_pages")), v("fx_segments"))
