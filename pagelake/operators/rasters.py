@@ -397,38 +397,107 @@ def stitch_images(segments: DataFrame) -> DataFrame:
     return segments.groupBy("image_id").applyInPandas(run, IMAGE)
 
 
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """Numbers of 8-connected components: the smallest place spreads until nothing changes."""
-    h, w = mask.shape
-    big = h * w
-    label = np.where(mask, np.arange(big).reshape(h, w), big)
-    while True:
-        padded = np.pad(label, 1, constant_values=big)
-        least = np.min([padded[dy : dy + h, dx : dx + w] for dy in (0, 1, 2) for dx in (0, 1, 2)], axis=0)
-        new = np.where(mask, least, big)
-        flat = np.append(new.ravel(), big)
-        new = np.where(mask, flat[new], big)  # jump to the label's own label
-        if (new == label).all():
-            return label
-        label = new
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of set pixels, in reading order; ends are exclusive."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    return row, start, np.nonzero(edge == -1)[1]
+
+
+def touching_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray, below: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (run, run of ``below`` in the next row) that touch, corners included; runs of a row are sorted and apart."""
+    wide = int(max(end.max(initial=0), below[2].max(initial=0))) + 2
+    first = np.searchsorted(below[0] * wide + below[2], (row + 1) * wide + start)
+    n = np.maximum(np.searchsorted(below[0] * wide + below[1], (row + 1) * wide + end, "right") - first, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    return a, np.repeat(first, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number linked with each of 0 .. n - 1 by the links (a, b): roots hang below smaller ones, paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def pieces_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-connected components by reading order of their first pixel: (n, 7) area, x1, y1, x2, y2, first row and column;
+    and (m, 3) start, end, component of the runs in the first and in the last row."""
+    row, start, end = runs_of(mask)
+    kinds, of = np.unique(roots_of(len(row), *touching_runs(row, start, end, (row, start, end))), return_inverse=True)
+    out = np.zeros((len(kinds), 7), np.int64)
+    out[:, 0] = np.bincount(of, end - start, len(kinds))
+    out[:, 1:3] = max(mask.shape)
+    for k, v, best in ((1, start, np.minimum), (2, row, np.minimum), (3, end, np.maximum), (4, row + 1, np.maximum)):
+        best.at(out[:, k], of, v)
+    out[:, 5], out[:, 6] = row[kinds], start[kinds]
+    sides = [np.stack((start, end, of), 1)[row == y] for y in (0, mask.shape[0] - 1)]
+    return out, *sides
+
+
+COMPONENTS = "image_id long, component int, area long, x1 int, y1 int, x2 int, y2 int"
 
 
 def mask_components(masks: DataFrame, min_area: int = 1) -> DataFrame:
     """(image_id, component, area, x1, y1, x2, y2) of 8-connected set pixels, numbered in reading order of their first pixel."""
 
     def rows(r: pd.Series) -> Iterator[tuple]:
-        mask = array_of(r) > 0
-        ys, xs = np.nonzero(mask)
-        kinds, at, area = np.unique(label_components(mask)[mask], return_inverse=True, return_counts=True)
-        low, high = np.full((2, len(kinds)), max(mask.shape)), np.zeros((2, len(kinds)), np.int64)
-        for axis, v in enumerate((xs, ys)):
-            np.minimum.at(low[axis], at, v)
-            np.maximum.at(high[axis], at, v + 1)
-        large = np.flatnonzero(area >= min_area)
-        for k, c in enumerate(large.tolist(), 1):
-            yield r.image_id, k, int(area[c]), int(low[0, c]), int(low[1, c]), int(high[0, c]), int(high[1, c])
-
-    return _mapped(masks, "image_id long, component int, area long, x1 int, y1 int, x2 int, y2 int", rows)
+        found = pieces_of(array_of(r) > 0)[0]
+        for k, c in enumerate(found[found[:, 0] >= min_area].tolist(), 1):
+            yield r.image_id, k, *c[:5]
+
+    return _mapped(masks, COMPONENTS, rows)
+
+
+def joined_pieces(heights: list[int], pieces: list[np.ndarray], tops: list[np.ndarray], bottoms: list[np.ndarray]) -> np.ndarray:
+    """Components (n, 7) of a strip from those of its parts, top to bottom: pieces whose runs touch across a seam are one."""
+    down = np.concatenate(([0], np.cumsum(heights)))[:-1]
+    number = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    every = np.concatenate([p + np.array([0, 0, d, 0, d, d, 0]) for p, d in zip(pieces, down.tolist())])
+    links = []
+    for k in range(len(pieces) - 1):
+        upper, lower = bottoms[k], tops[k + 1]
+        a, b = touching_runs(np.zeros(len(upper), np.int64), upper[:, 0], upper[:, 1], (np.ones(len(lower), np.int64), lower[:, 0], lower[:, 1]))
+        links.append(np.stack((upper[a, 2] + number[k], lower[b, 2] + number[k + 1]), 1))
+    pairs = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+    kinds, of = np.unique(roots_of(len(every), pairs[:, 0], pairs[:, 1]), return_inverse=True)
+    out = every[kinds]
+    out[:, 0] = np.bincount(of, every[:, 0], len(kinds))
+    for k, best in ((1, np.minimum), (2, np.minimum), (3, np.maximum), (4, np.maximum)):
+        best.at(out[:, k], of, every[:, k])
+    first = np.lexsort((every[:, 6], every[:, 5], of))
+    first = first[np.concatenate(([True], of[first][1:] != of[first][:-1]))] if len(first) else first
+    out[:, 5:] = every[first, 5:]
+    return out[np.lexsort((out[:, 6], out[:, 5]))]
+
+
+def strip_components(parts: DataFrame, min_area: int = 1) -> DataFrame:
+    """``mask_components`` of whole strips from their parts (image_id, segment_no, h, w, data), as ``split_image`` gives them.
+
+    Every part is labelled in a task of its own; components of parts and the runs at their seams are joined by image,
+    pixels stay where they are. Parts of no height link nothing and are left out.
+    """
+
+    def label(r: pd.Series) -> Iterator[tuple]:
+        yield r.image_id, r.segment_no, r.h, *(v.ravel().tolist() for v in pieces_of(array_of(r) > 0))
+
+    lists = ("pieces", "top", "bottom")
+    labelled = _mapped(parts.filter("h > 0"), "image_id long, segment_no int, h int, " + ", ".join(f"{n} array<long>" for n in lists), label)
+    packed = labelled.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("segment_no", "h", *lists))).alias("parts"))
+
+    def join(r: pd.Series) -> Iterator[tuple]:
+        arrays = [[np.array(p[n], np.int64).reshape(-1, 7 if n == "pieces" else 3) for p in r.parts] for n in lists]
+        found = joined_pieces([p["h"] for p in r.parts], *arrays)
+        for k, c in enumerate(found[found[:, 0] >= min_area].tolist(), 1):
+            yield r.image_id, k, *c[:5]
+
+    return _mapped(packed, COMPONENTS, join)
 
 
 def weighted_medians(points: np.ndarray, weight: np.ndarray, group: np.ndarray, eps: float = 1e-5, most: int = 500) -> np.ndarray:

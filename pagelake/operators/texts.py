@@ -70,27 +70,25 @@ def parse_sections(files: DataFrame, strict: bool = True) -> tuple[DataFrame, Da
 def match_texts(images: DataFrame, texts: DataFrame, on_boundary: bool = False) -> DataFrame:
     """(image, fragment, status): an image's path ends with the fragment. status: matched, ambiguous, no_text, no_image.
 
-    The lengths of fragments are few; each image gives one suffix per length. Suffixes are counted with partial sums, so
-    a fragment that ends very many paths costs one row a task; then an equi-join gives every image the fragments that it
-    has, at most one a length. Repeated image rows stay repeated, and are ambiguous.
+    The lengths of fragments are few; each image gives one suffix per length, and an equi-join finds its fragments, at
+    most one a length. From there on an image is one row. Matches of a fragment are counted with partial sums, so one
+    that ends very many paths is a row a task. Repeated image rows stay repeated, and are ambiguous.
     """
     frags = texts.select("fragment").distinct()
     sizes = frags.agg(F.array_sort(F.collect_set(F.length("fragment")))).scalar()  # a number for each length
-    n = F.length("image")
-    fits = lambda size: (size <= n) & ((size == n) | (F.substring("image", n - size, F.lit(1)) == "/") if on_boundary else F.lit(True))
-    cut = images.select("image", sizes.alias("sizes")).select("image", F.posexplode_outer(F.filter("sizes", fits)).alias("pos", "size"))
-    cut = cut.withColumn("fragment", F.expr("right(image, size)"))
-    counts = cut.filter("size IS NOT NULL").groupBy("fragment").agg(F.count("*").alias("n_f"))
-    counted = frags.join(counts, "fragment", "left")
-    own = cut.join(counted.filter("n_f > 0"), "fragment", "left").groupBy("image")
-    hit = F.when(F.col("n_f").isNotNull(), F.struct("fragment", "n_f"))
-    found = own.agg(F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"), F.collect_set(hit).alias("hits"))
+    cut = images.select("image", sizes.alias("sizes")).select("image", F.posexplode_outer("sizes").alias("pos", "size"))
+    n, size, head = F.length("image"), F.col("size"), F.coalesce("pos", F.lit(0)) == 0  # the first suffix stands for its image
+    fits = (size <= n) & ((size == n) | (F.substring("image", n - size, F.lit(1)) == "/") if on_boundary else F.lit(True))
+    cut = cut.filter(head | fits).select("image", head.alias("head"), F.when(fits, F.expr("right(image, size)")).alias("suffix"))
+    own = cut.join(frags, F.col("suffix") == F.col("fragment"), "left").filter("head OR fragment IS NOT NULL").groupBy("image")
+    found = own.agg(F.count_if("head").alias("copies"), F.collect_set("fragment").alias("hits"))
+    counts = found.select("copies", F.explode("hits").alias("fragment")).groupBy("fragment").agg(F.sum("copies").alias("n_f"))
     several = F.col("copies") * F.size("hits") > 1
-    each = found.select("image", "copies", several.alias("several"), F.explode_outer("hits").alias("hit"))
-    status = F.when(F.col("hit").isNull(), "no_text").when(F.col("several") | (F.col("hit.n_f") > 1), "ambiguous").otherwise("matched")
-    each = each.select("image", F.col("hit.fragment").alias("fragment"), status.alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    no_image = counted.filter("n_f IS NULL").select(F.lit(None).cast("string").alias("image"), "fragment", F.lit("no_image").alias("status"))
-    return each.drop("col").unionByName(no_image)
+    each = found.select("image", "copies", several.alias("several"), F.explode_outer("hits").alias("fragment")).join(counts, "fragment", "left")
+    status = F.when(F.col("fragment").isNull(), "no_text").when(F.col("several") | (F.col("n_f") > 1), "ambiguous").otherwise("matched")
+    out = each.select("image", "fragment", status.alias("status"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    no_image = frags.join(counts, "fragment", "left_anti").select(F.lit(None).cast("string").alias("image"), "fragment", F.lit("no_image").alias("status"))
+    return out.unionByName(no_image)
 
 
 def segment_offsets(segments: DataFrame) -> DataFrame:

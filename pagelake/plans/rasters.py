@@ -155,13 +155,23 @@ def r10_stitch_images(v: Views) -> DataFrame:
     return R.pixels_of(R.stitch_images(R.split_image(images(v), cuts)))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT vec_id, y, x, y*8+x AS id FROM fx_pixels WHERE px >= 150), n AS (SELECT a.vec_id, a.id a, b.id b FROM m a JOIN m b ON a.vec_id=b.vec_id AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1),
+COMPONENTS = """WITH RECURSIVE m AS (SELECT vec_id, y, x, y*8+x AS id FROM fx_pixels WHERE px >= 150), n AS (SELECT a.vec_id, a.id a, b.id b FROM m a JOIN m b ON a.vec_id=b.vec_id AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1),
   go AS (SELECT vec_id, id AS root, id FROM m UNION SELECT go.vec_id, go.root, n.b FROM go JOIN n ON n.vec_id=go.vec_id AND n.a=go.id), c AS (SELECT vec_id, id, min(root) r FROM go GROUP BY ALL)
-  SELECT c.vec_id AS image_id, CAST(row_number() OVER (PARTITION BY c.vec_id ORDER BY r) AS INT) AS component, count(*) AS area, CAST(min(m.x) AS INT) x1, CAST(min(m.y) AS INT) y1, CAST(max(m.x)+1 AS INT) x2, CAST(max(m.y)+1 AS INT) y2 FROM c JOIN m ON m.vec_id=c.vec_id AND m.id=c.id GROUP BY c.vec_id, r""", PX)
+  SELECT c.vec_id AS image_id, CAST(row_number() OVER (PARTITION BY c.vec_id ORDER BY r) AS INT) AS component, count(*) AS area, CAST(min(m.x) AS INT) x1, CAST(min(m.y) AS INT) y1, CAST(max(m.x)+1 AS INT) x2, CAST(max(m.y)+1 AS INT) y2 FROM c JOIN m ON m.vec_id=c.vec_id AND m.id=c.id GROUP BY c.vec_id, r"""
+
+
+@query(COMPONENTS, PX)
 def r11_mask_components(v: Views) -> DataFrame:
     return R.mask_components(masks(v, 150))
 
 
+@query(COMPONENTS, PX)
+def r11_strip_components(v: Views) -> DataFrame:
+    """The same components from images cut into three parts."""
+    cuts = v("embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.explode(F.array(F.lit(3), F.lit(6))).alias("split_y"))
+    return R.strip_components(R.split_image(masks(v, 150), cuts))
+
+
 @query()
 def a16_geometric_median(v: Views) -> DataFrame:
     m = R.geometric_median(colours(v), "vec_id")

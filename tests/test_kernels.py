@@ -173,3 +173,29 @@ def test_new_rows_of_a_review_equal_a_plain_walk(spark):
     got = T.apply_review_edits(none, spark.createDataFrame(edits, schema))
     assert sorted((r["page_id"], r["label"], r["text"], r["x2"]) for r in got.collect()) == sorted(want)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.4, 0.6, 1.0])
+def test_components_of_parts_equal_a_flood_fill(share):
+    rng = np.random.default_rng(int(share * 10))
+    for shape in ((1, 1), (1, 30), (30, 1), (40, 23)):
+        mask = rng.random(shape) < share
+        seen, want = np.zeros(shape, bool), []
+        for y, x in zip(*np.nonzero(mask)):
+            if not seen[y, x]:
+                todo, cells = [(y, x)], []
+                seen[y, x] = True
+                while todo:
+                    cy, cx = todo.pop()
+                    cells.append((cy, cx))
+                    for ny in range(max(cy - 1, 0), min(cy + 2, shape[0])):
+                        for nx in range(max(cx - 1, 0), min(cx + 2, shape[1])):
+                            if mask[ny, nx] and not seen[ny, nx]:
+                                seen[ny, nx] = True
+                                todo.append((ny, nx))
+                ys, xs = zip(*cells)
+                want.append([len(cells), min(xs), min(ys), max(xs) + 1, max(ys) + 1, y, x])
+        assert R.pieces_of(mask)[0].tolist() == want
+        edges = [0, *sorted(set(rng.integers(0, shape[0] + 1, 4).tolist()) - {0, shape[0]}), shape[0]]
+        parts = [R.pieces_of(mask[a:b]) for a, b in zip(edges, edges[1:])]
+        assert R.joined_pieces(np.diff(edges).tolist(), *map(list, zip(*parts))).tolist() == want
