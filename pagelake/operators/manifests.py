@@ -87,17 +87,23 @@ def export_targets(outputs: DataFrame, only: str | None = None, skip: tuple[str,
 
 
 def common_outputs(targets: DataFrame, segments: DataFrame) -> DataFrame:
-    """(split_from, output): outputs that every segment of a strip has."""
+    """(split_from, output, place): outputs that every segment of a strip has, and where the first segment lists them, from 0.
+
+    Segments have ``segment_no``. An output that a segment lists twice counts once.
+    """
     n = segments.groupBy("split_from").agg(F.count("*").alias("n"))
-    each = segments.join(targets, "page_id").select("split_from", F.explode("outputs").alias("output"))
-    return each.groupBy("split_from", "output").agg(F.count("*").alias("m")).join(n, "split_from").filter("m = n").select("split_from", "output")
+    each = segments.select("page_id", "split_from", "segment_no").join(targets.select("page_id", F.array_distinct("outputs").alias("outputs")), "page_id")
+    each = each.select("split_from", "segment_no", F.posexplode("outputs").alias("place", "output"))
+    found = each.groupBy("split_from", "output").agg(F.count("*").alias("m"), F.min_by("place", "segment_no").alias("place"))
+    return found.join(n, "split_from").filter("m = n").select("split_from", "output", "place")
 
 
 def merge_export_targets(targets: DataFrame, segments: DataFrame) -> DataFrame:
-    """(split_from, complete, outputs): strips whose segments all have targets collapse to one; others are reported."""
+    """(split_from, complete, outputs): strips whose segments all have targets collapse to one, outputs in the first segment's order; others are reported."""
     have = targets.select("page_id", F.lit(1).alias("hit"))
     n = segments.join(have, "page_id", "left").groupBy("split_from").agg(F.count("*").alias("n"), F.count("hit").alias("m"))
-    common = common_outputs(targets, segments).groupBy("split_from").agg(F.sort_array(F.collect_list("output")).alias("outputs"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "output"))), lambda s: s["output"])
+    common = common_outputs(targets, segments).groupBy("split_from").agg(listed.alias("outputs"))
     complete = F.col("n") == F.col("m")
     return n.join(common, "split_from", "left").select("split_from", complete.alias("complete"), F.when(complete, F.coalesce("outputs", F.array().cast("array<string>"))).alias("outputs"))
 

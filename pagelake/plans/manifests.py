@@ -79,15 +79,26 @@ COMMON = "n AS (SELECT split_from, count(*) n FROM fx_segments GROUP BY 1), u AS
 
 @query(f"WITH {BEST}, {COMMON} SELECT * FROM common", OUT, SEG)
 def u2_common_outputs(v: Views) -> DataFrame:
-    return M.common_outputs(M.export_targets(v(OUT)), v(SEG))
+    return M.common_outputs(M.export_targets(v(OUT)), v(SEG)).drop("place")
 
 
-@query(f"""WITH {BEST}, {COMMON}, h AS (SELECT s.split_from, count(*) n, count(t.page_id) m FROM fx_segments s LEFT JOIN targets t USING (page_id) GROUP BY 1), o AS (SELECT split_from, string_agg(output, ',' ORDER BY output) outputs FROM common GROUP BY 1)
-  SELECT h.split_from, n=m AS complete, CASE WHEN n=m THEN coalesce(outputs,'') END AS outputs FROM h LEFT JOIN o USING (split_from)""", OUT, SEG)
+MERGED = f"""WITH {BEST}, {COMMON}, h AS (SELECT s.split_from, count(*) n, count(t.page_id) m FROM fx_segments s LEFT JOIN targets t USING (page_id) GROUP BY 1), o AS (SELECT split_from, string_agg(output, ',' ORDER BY output) outputs FROM common GROUP BY 1)
+  SELECT h.split_from, n=m AS complete, CASE WHEN n=m THEN coalesce(outputs,'') END AS outputs FROM h LEFT JOIN o USING (split_from)"""
+
+
+@query(MERGED, OUT, SEG)
 def t8_merge_export_targets(v: Views) -> DataFrame:
     return M.merge_export_targets(M.export_targets(v(OUT)), v(SEG)).withColumn("outputs", F.array_join("outputs", ","))
 
 
+@query(MERGED.replace("ORDER BY output)", "ORDER BY output DESC)"), OUT, SEG)
+def t8_merge_in_first_order(v: Views) -> DataFrame:
+    """First segments list their outputs backwards, and the strips do as they."""
+    targets = M.export_targets(v(OUT)).join(v(SEG).select("page_id", "segment_no"), "page_id")
+    backwards = F.when(F.col("segment_no") == 1, F.reverse("outputs")).otherwise(F.col("outputs"))
+    return M.merge_export_targets(targets.select("page_id", backwards.alias("outputs")), v(SEG)).withColumn("outputs", F.array_join("outputs", ","))
+
+
 @query("SELECT page_id, path, CASE WHEN page_id % 2 = 0 THEN concat('/originals/set', split_from % 5, '/page', page_id, '.png') ELSE path END AS export_path FROM fx_pages", P)
 def t8_grafted_names(v: Views) -> DataFrame:
     """Even pages are segments of strips kept elsewhere."""
