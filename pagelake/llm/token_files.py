@@ -50,7 +50,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030
 
 
 #: A run of ASCII symbols between a letter and white space is a piece of its own.
-STOP = re.compile(r"(?<=[a-z])([!-/:-@\[-`{-~]+)(?!\S)")
+STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?!\S)")
 
 
 class WordEncoder:
@@ -70,9 +70,9 @@ class WordEncoder:
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
 
-
     def raw(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+        # the form without offsets: same ids
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Words of letters are one piece each and go to the library together; others one by one."""
@@ -92,17 +92,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [None if not PLAIN.fullmatch(t) or any(x in t for x in self.special) else STOP.sub(r" \1", t.lower()).split() for t in texts]
+        split = [None if not PLAIN.fullmatch(t) or any(x in t for x in self.special) else STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
         words = set().union(*(w for w in split if w))
         if len(self.known) > WORDS_KNOWN:  # the words before stay at hand while the new table fills
             self.known, self.before = {}, self.known
         new = []
-        for w in words:
-            if w not in self.known:
-                if (ids := self.before.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.known[w] = ids
+        for w in words.difference(self.known):
+            if (ids := self.before.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
         self.learn(new)
         get = self.known.__getitem__
         return [self.raw(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
