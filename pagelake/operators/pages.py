@@ -202,7 +202,7 @@ def _apart(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return part
 
 
-class _Cells:
+class Cells:
     """Rows by cells of a grid, a grid for each power of two of their sizes: the corner of a row lies in one cell, and no row is larger than its cell."""
 
     def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray):
@@ -247,7 +247,7 @@ def _walk(rows: np.ndarray, rank: np.ndarray, box: np.ndarray, overlap: Callable
     rows, cells, held = rows[alive[rows]], None, 0
     while len(rows):
         if cells is None or 2 * len(rows) < held:
-            cells, held = _Cells(rows, low, high), len(rows)
+            cells, held = Cells(rows, low, high), len(rows)
         block, rows = rows[:BLOCK], rows[BLOCK:]
         a, b = np.triu_indices(len(block), 1)
         hit = overlap(box[block[a]], box[block[b]])

@@ -98,8 +98,20 @@ def _corners(c: P.Columns) -> np.ndarray:
     return np.stack([c[n].astype(float) for n in CORNERS], 1).reshape(-1, 4, 2)
 
 
+def _reached(cells: P.Cells, low: np.ndarray, high: np.ndarray, first: np.ndarray, far: float) -> np.ndarray:
+    """Rows in order that may touch a line (low to high) or begin within ``far`` of its first corner."""
+    far = far * (1 + 1e-9)
+    box = np.minimum(low, first - far)[None], np.maximum(high, first + far)[None]
+    met = [rows for _, rows in cells.near(np.zeros(1, np.int64), *box)]
+    return np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
+
+
 def merge_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
-    """Free lines of each group with the block, font size and angle that they come to; see ``merge_scattered_quads``."""
+    """Free lines of each group with the block, font size and angle that they come to; see ``merge_scattered_quads``.
+
+    A group of over ``P.CROWDED`` lines looks up in grids by size what a block's last line can absorb, so that a step costs
+    what is around that line; the grids are built again when half of their lines are taken.
+    """
     order = np.lexsort((c["line_no"], c["distance"], group))
     c, group = P.taken(c, order), group[order]
     quad = _corners(c)
@@ -108,17 +120,27 @@ def merge_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
     norm, angle = c["norm"].astype(float), c["angle"].astype(np.int64)
     n = len(group)
     block, out_font, out_angle = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+    least, most = quad.min(1), quad.max(1)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     for begin, end in zip(starts, np.append(starts[1:], n)):
-        number = 0
+        number, free, cells, held = 0, end - begin, None, 0
+        crowded = free > P.CROWDED
         for at in range(begin, end):
             if block[at]:
                 continue
             number += 1
             members, last, size, v = [at], at, font[at], vec[at]
             block[at] = number
+            free -= 1
             later = np.arange(at + 1, end)
-            while len(later := later[(later > last) & (block[later] == 0)]):
+            while free:
+                if crowded:
+                    if cells is None or 2 * free < held:
+                        cells, held = P.Cells(begin + np.flatnonzero(block[begin:end] == 0), least, most), free
+                    later = _reached(cells, least[last], most[last], first[last], ALONG * RATIO * size)
+                later = later[(later > last) & (block[later] == 0)]
+                if not len(later):
+                    break
                 k = len(members)
                 mean = (size * k + font[later]) / (k + 1)
                 low, high = np.minimum(font[later], size), np.maximum(font[later], size)
@@ -135,6 +157,7 @@ def merge_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
                 v = v + vec[last]
                 block[last] = number
                 members.append(last)
+                free -= 1
             rows = np.array(members)
             out_font[rows] = size
             turned = round(float(np.degrees(np.arctan2(v[1], v[0])))) - (90 if c["vertical"][at] else 0)

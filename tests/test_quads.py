@@ -263,3 +263,16 @@ def test_grouping_moves_its_tables_in_one_exchange(spark):
         assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
         assert sorted((r["page_id"], r["lang"], r["n_lines"]) for r in out.collect()) == [(1, "unknown", 1), (2, None, 1)]
     assert Q.group_quads(rows.limit(0), blocks.limit(0), 560, 760).collect() == []
+
+
+def test_crowded_pages_merge_the_same_lines(monkeypatch):
+    r = np.random.default_rng(5)
+    n = 900
+    x, y, w, h, tilt = (r.integers(a, b, n) for a, b in ((0, 560), (0, 4000), (20, 120), (8, 24), (-6, 7)))
+    c = dict(zip(Q.CORNERS, np.stack([x, y, x + w, y + tilt, x + w - tilt, y + tilt + h, x - tilt, y + h]).astype(float)))
+    c["line_no"], group = np.arange(n), np.sort(r.integers(0, 2, n))
+    shape, c["distance"] = Q.shapes(c, np.arange(n), n, np.zeros(n, bool), 560)
+    plain = Q.merge_kernel(c | shape, group)
+    monkeypatch.setattr(Q.P, "CROWDED", 3)
+    grids = Q.merge_kernel(c | shape, group)
+    assert np.bincount(plain["block"]).max() > 2 and all((plain[k] == grids[k]).all() for k in ("line_no", "block", "font_size", "angle"))
