@@ -21,6 +21,11 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, F.lit(1)))
 
 
+def fixed_rows(like: DataFrame, name: str, values: list[int]) -> DataFrame:
+    """One row for each value, made inside the plan: counts of at most these values may be broadcast to it."""
+    return like.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
+
+
 def ocr_summary(boxes: DataFrame) -> DataFrame:
     """Totals of (checked, removed) regions: total, small, removed and the three ratios."""
     t = boxes.agg(F.count("*").alias("total"), count_if(F.col("checked")).alias("small"), count_if(F.col("removed")).alias("removed"))
@@ -64,11 +69,11 @@ def mask_summary(fits: DataFrame) -> DataFrame:
 
 def mask_usage_by_thickness(fits: DataFrame, first: int = 4, step: int = 2, steps: int = 11) -> DataFrame:
     """(mask, perfect, total) for every configured thickness, the box mask (-1) and failures (-2); zero rows included."""
-    spark = fits.sparkSession
-    kinds = spark.range(steps).select((F.col("id") * step + first).cast("int").alias("mask")).unionAll(spark.createDataFrame([(-1,), (-2,)], "mask int"))
+    masks = [*(first + step * i for i in range(steps)), -1, -2]
+    kinds = fixed_rows(fits, "mask", masks)
     mask = F.when(F.col("failed"), F.lit(-2)).otherwise(F.coalesce("thickness", F.lit(-1)))
-    counts = fits.groupBy(mask.alias("mask")).agg(count_if(~F.col("failed") & (F.col("dev") == 0)).alias("perfect"), F.count("*").alias("total"))
-    return kinds.join(counts, "mask", "left").select("mask", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("perfect", "total")))
+    counts = fits.select("dev", "failed", mask.alias("mask")).filter(F.col("mask").isin(masks)).groupBy("mask").agg(count_if(~F.col("failed") & (F.col("dev") == 0)).alias("perfect"), F.count("*").alias("total"))
+    return kinds.join(F.broadcast(counts), "mask", "left").select("mask", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("perfect", "total")))
 
 
 def pages_with_failures(fits: DataFrame) -> DataFrame:
@@ -89,8 +94,8 @@ def cubic_histogram(fits: DataFrame, top: float = 15.0, threshold: float = 0.25)
     for i in range(10, 0, -1):
         bucket = F.when((dev >= edges[i - 1]) & (dev < edges[i]), F.lit(i)).otherwise(bucket)
     counts = fits.filter(~F.col("failed")).groupBy(bucket.alias("bucket")).agg(count_if(dev <= threshold).alias("below"), count_if(dev > threshold).alias("above"))
-    rows = fits.sparkSession.createDataFrame([(i, edges[i]) for i in range(1, 11)], "bucket int, upper double")
-    return rows.join(counts, "bucket", "left").select("bucket", "upper", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("below", "above")))
+    upper = F.element_at(F.array(*map(F.lit, edges[1:])), F.col("bucket"))
+    return fixed_rows(fits, "bucket", list(range(1, 11))).join(F.broadcast(counts), "bucket", "left").select("bucket", upper.alias("upper"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("below", "above")))
 
 
 def inpaint_summary(fits: DataFrame) -> DataFrame:
@@ -99,9 +104,8 @@ def inpaint_summary(fits: DataFrame) -> DataFrame:
 
 def thickness_histogram(fits: DataFrame, low: int, high: int) -> DataFrame:
     """(thickness, n) of every whole value from low to high."""
-    counts = fits.groupBy("thickness").agg(F.count("*").alias("n"))
-    rows = fits.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("thickness"))
-    return rows.join(counts, "thickness", "left").select("thickness", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = fits.filter(F.col("thickness").between(low, high)).groupBy("thickness").agg(F.count("*").alias("n"))
+    return fixed_rows(fits, "thickness", list(range(low, high + 1))).join(F.broadcast(counts), "thickness", "left").select("thickness", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def page_badges(ocr: DataFrame, fits: DataFrame, min_dev: float = 0.25, inpaint_dev: float = 15.0) -> DataFrame:
