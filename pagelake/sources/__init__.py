@@ -175,6 +175,21 @@ def write_split_manifest(segments: DataFrame, path: str) -> None:
     split_manifest_json(segments).write.text(path)
 
 
+def whole_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(files, errors): whole texts (file_no, value), and a row for each file that breaks while it is read (OS_ERROR) or is not UTF-8 (OTHER_ERROR).
+
+    Such a file ends no job: the reader passes over it, and it is found as one that was listed, without its bytes, but not read.
+    """
+    name = F.col("_metadata.file_path").alias("file_no")
+    passes = {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    seen = spark.read.options(**passes).text(path, wholetext=True).select(name, "value", F.is_valid_utf8("value").alias("valid"))
+    listed = spark.read.options(**passes).format("binaryFile").load(path).filter("length > 0").select(name)
+    lost = listed.join(seen.select("file_no"), "file_no", "left_anti").select("file_no", F.lit("OS_ERROR").alias("error_code"), F.lit("cannot be read").alias("context"))
+    other = seen.filter("NOT valid").select("file_no", F.lit("OTHER_ERROR").alias("error_code"), F.lit("not UTF-8").alias("context"))
+    errors = lost.unionByName(other).select("file_no", F.lit(-1).cast("long").alias("line"), "error_code", "context")
+    return seen.filter("valid").select("file_no", "value"), errors
+
+
 def read_ocr_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of CSV files of six columns; quoted records may span lines. A bad header is error line 1."""
     names = ("filename", "startx", "starty", "endx", "endy", "text")
@@ -191,7 +206,7 @@ def read_ocr_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[D
                     out.append((file, k, len(r), *(r[:6] + [None] * (6 - len(r[:6])))))
             yield pd.DataFrame(out, columns=["file_no", "line", "n_columns", *names])
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_no"), "value")
+    files, lost = whole_files(spark, path)
     records = files.mapInPandas(run, schema)
     header_bad = (F.col("line") == 1) & ((F.col("n_columns") != 6) | F.coalesce(F.exists(F.array(*names), lambda c: c.rlike(r"^\d+$")), F.lit(False)))
     bad = records.filter(header_bad | (F.col("n_columns") != 6))
@@ -200,16 +215,17 @@ def read_ocr_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[D
     rows, errors = X.validate_records(records.filter("line > 1 AND n_columns = 6"), strict)
     if strict:
         rows = rows.join(wrong.select("file_no").distinct(), "file_no", "left_anti")
-    return rows, errors.unionByName(wrong)
+    return rows, errors.unionByName(wrong).unionByName(lost)
 
 
 def read_ocr_text(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_no"), "value")
-    return X.parse_sections(files, strict)
+    files, lost = whole_files(spark, path)
+    rows, errors = X.parse_sections(files, strict)
+    return rows, errors.unionByName(lost)
 
 
 def read_ocr(spark: SparkSession, *paths: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) by suffix: .csv, .txt, else an INVALID_FORMAT error row; a path that is not there gives an OS_ERROR row, one that Spark cannot open OTHER_ERROR."""
+    """(rows, errors) by suffix: .csv, .txt, else an INVALID_FORMAT error row; a path that is not there gives an OS_ERROR row, one that Spark cannot open OTHER_ERROR. Files that break while they are read: see ``whole_files``."""
     kinds = {".csv": read_ocr_csv, ".txt": read_ocr_text}
     rows = errors = None
     for p in paths:
