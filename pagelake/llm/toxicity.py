@@ -1,38 +1,56 @@
-"""Toxicity by a convolutional text classifier, trained in numpy.
+"""Toxicity by a convolutional text classifier, trained in numpy on every labelled row.
 
 Each word is hashed to a row in each of two embedding tables; filters of several
 widths run over the words, each filter keeps its largest value over the whole
-text, and one linear layer gives a score. It is fitted with Adagrad on a bounded
-sample of labelled rows (``sample`` per class, chosen by a hash of the id; whole
-texts). Rows whose crc32(doc_id as text) mod 4 is 2 never give labels. A part of
-the sample calibrates the score and, for each language with enough of both
-classes, the threshold of the flag. The score uses the words alone.
+text, and one linear layer gives a score. It is fitted with Adagrad on all
+labelled rows (whole texts) whose crc32(doc_id as text) mod 4 is not 2; the others
+never give labels. The rows are dealt into blocks of some ``block`` rows by a hash
+of the id. In each round every block is a task's work: it starts from the common
+parameters and descends over its rows; Spark sums the changes of all blocks by
+parameter row, and the driver, which sees one sum for each of these (a fixed
+number), adds their means over the blocks that touched the row. A word is known if
+at least ``MIN_TEXTS`` of the rows have a word of its place among 2^22 hashed
+places; all rows are counted. A quarter of the rows (by another hash) isn't trained
+on but calibrates the score and, for each language with enough of both classes, the
+threshold of the flag: their outputs are counted in Spark by value in half
+precision, so that the driver sees at most 65,536 counts a language and class. The
+score uses the words alone.
 
 Null text is empty and gets the score of no words; unknown languages use the
 common threshold; repeated rows keep one result row each; labels that are null
 or whose row has no text are left out; of several labels of a document the
 largest counts, of several rows of an id the smallest text trains; rows without an
-id are scored and never train; very long texts are scored whole. Without labels of both classes every score is the known share
-of the toxic class (0 if none). An empty table gives an empty result.
+id are scored and never train; very long texts are scored whole and train whole.
+Without labels of both classes every score is the known share of the toxic class
+(0 if none). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import map_texts
+from .common import drop_tables, map_texts, stored
 
 BITS, HALF, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
-#: Labelled rows used of each class at most.
-SAMPLE = 2000
-#: A word that fewer texts of the sample have is unknown.
-MIN_TEXTS = 3
+#: Labelled rows of a block, about; all blocks train in each round.
+BLOCK = 8192
+#: A block is cut after so many words, a step's batch likewise.
+BLOCK_WORDS, BATCH_WORDS = 4_000_000, 200_000
+#: A word whose place fewer labelled texts have is unknown; places are the upper bits of a word's 63.
+MIN_TEXTS, PLACE_BITS = 3, 22
+#: Places of labelled ids in the bitmap that keeps most other texts out of the shuffle.
+ID_PLACES = 1 << 25
+#: Passes over all rows.
+ROUNDS = 6
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
@@ -60,6 +78,8 @@ class Model:
     shift: float = 0.0
     by_lang: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
+    #: Whether words of a place are known; without it all are.
+    known: np.ndarray | None = None
 
     @classmethod
     def fresh(cls, seed: int) -> Model:
@@ -72,6 +92,13 @@ class Model:
             t[0] = 0
         return m
 
+    def parts(self) -> list[np.ndarray]:
+        return [*self.tables, *self.filters, *self.biases, self.last]
+
+    def common(self, hashes: np.ndarray) -> np.ndarray:
+        """Unknown words are blank (-1)."""
+        return hashes if self.known is None else np.where(self.known[hashes >> (63 - PLACE_BITS)], hashes, -1)
+
     def rows(self, hashes: np.ndarray) -> list[np.ndarray]:
         mask = (1 << BITS) - 1
         return [np.maximum(hashes & mask, 1), np.maximum((hashes >> 24) & mask, 1)]
@@ -97,6 +124,7 @@ class Model:
         return {"x": x, "rows": rows, "starts": starts, "sizes": sizes, "values": values, "tops": tops, "z": np.maximum(top, 0) @ self.last + self.bias, "top": top}
 
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        texts = [self.common(t) for t in texts]
         out, at = [], 0
         while at < len(texts):
             to, size = at, 0
@@ -118,49 +146,89 @@ def _step(value: np.ndarray, grad: np.ndarray, seen: np.ndarray, rate: float) ->
     value -= (rate * grad / np.sqrt(seen + 1e-6)).astype(value.dtype)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, rounds: int = 6, rate: float = 0.08, drop: float = 0.3) -> Model:
-    """Logistic loss, small batches, classes weighted alike; a share ``drop`` of the words is hidden each time."""
-    m, rng = Model.fresh(seed), np.random.default_rng(seed)
-    seen = {id(v): np.full(v.shape, 1e-3, np.float32) for v in (*m.tables, *m.filters, *m.biases, m.last)}
-    bias_seen = np.full(1, 1e-3)
-    share = labels.mean()
+def fresh_seen(m: Model) -> list[np.ndarray]:
+    """Adagrad's sums of squares, by part of the model; the last is the bias's."""
+    return [*(np.full(v.shape, 1e-3, np.float32) for v in m.parts()), np.full(1, 1e-3)]
+
+
+def flat(parts: list[np.ndarray], bias: float) -> np.ndarray:
+    """All parameters in rows of eight, the bias eight times in the last."""
+    return np.concatenate([*(p.ravel() for p in parts), np.full(HALF, bias)]).astype(np.float32).reshape(-1, HALF)
+
+
+def spread(rows: np.ndarray, parts: list[np.ndarray]) -> float:
+    """Fill ``parts`` from the form of ``flat``; returns the bias."""
+    at, values = 0, rows.ravel()
+    for p in parts:
+        p[...] = values[at : at + p.size].reshape(p.shape)
+        at += p.size
+    return float(values[at])
+
+
+def _batches(order: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """32 texts, fewer where they are long."""
+    at = 0
+    while at < len(order):
+        to = words = 0
+        while to < 32 and at + to < len(order) and (to == 0 or words + sizes[order[at + to]] <= BATCH_WORDS):
+            words += sizes[order[at + to]]
+            to += 1
+        yield order[at : at + to]
+        at += to
+
+
+def descend(m: Model, seen: list[np.ndarray], texts: list[np.ndarray], labels: np.ndarray, share: float, rng: np.random.Generator, rate: float = 0.08, drop: float = 0.3) -> None:
+    """One pass: logistic loss, small batches, classes weighted alike by the toxic ``share``; a share ``drop`` of the words is hidden each time."""
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    n_tables = len(m.tables)
+    for part in _batches(rng.permutation(len(texts)), [len(t) for t in texts]):
+        s = m.forward([np.where(rng.random(len(texts[i])) < drop, -1, texts[i]) for i in part])
+        p = 1 / (1 + np.exp(-np.clip(s["z"], -30, 30)))
+        g = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
+        on = np.maximum(s["top"], 0)
+        g_top = g[:, None] * m.last[None, :] * (s["top"] > 0)
+        text_of = np.repeat(np.arange(len(part)), s["sizes"])
+        ends = s["starts"] + s["sizes"]
+        places, grads = [], []
+        for k, f in enumerate(m.filters):
+            gt = g_top[:, k * FILTERS : (k + 1) * FILTERS]
+            # only places of a largest value have a gradient
+            at, column = np.nonzero(s["values"][k] == np.repeat(np.where(gt == 0, np.nan, s["tops"][k]), s["sizes"], 0))
+            own, back = np.unique(at, return_inverse=True)
+            dh = np.zeros((len(own), FILTERS), np.float32)
+            dh[back, column] = gt[text_of[at], column]
+            df = np.empty_like(f)
+            for j in range(len(f)):
+                inside = own + j < ends[text_of[own]]
+                to = own[inside] + j
+                df[j] = s["x"][to].T @ dh[inside]
+                places.append(to)
+                grads.append(dh[inside] @ f[j].T)
+            _step(f, df, seen[n_tables + k], rate)
+            _step(m.biases[k], dh.sum(0), seen[n_tables + len(m.filters) + k], rate)
+        _step(m.last, on.T @ g, seen[-2], rate)
+        b1 = np.array([g.sum()])
+        seen[-1] += b1 * b1
+        m.bias -= float(rate * b1[0] / np.sqrt(seen[-1][0]))
+        place, dx = np.concatenate(places), np.concatenate(grads)
+        if not len(place):
+            continue
+        for k, t in enumerate(m.tables):
+            r = s["rows"][k][place]
+            order = np.argsort(r, kind="stable")
+            u, first = np.unique(r[order], return_index=True)
+            grad = np.add.reduceat(dx[order, k * HALF : (k + 1) * HALF], first)
+            grad[u == 0] = 0
+            seen[k][u] += grad * grad
+            t[u] -= rate * grad / np.sqrt(seen[k][u] + 1e-6)
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, rounds: int = ROUNDS, rate: float = 0.08, drop: float = 0.3) -> Model:
+    """A model of one block of rows."""
+    m, rng = Model.fresh(seed), np.random.default_rng(seed)
+    seen = fresh_seen(m)
     for _ in range(rounds):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), 32):
-            part = order[at : at + 32]
-            s = m.forward([np.where(rng.random(len(texts[i])) < drop, -1, texts[i]) for i in part])
-            p = 1 / (1 + np.exp(-np.clip(s["z"], -30, 30)))
-            g = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
-            on = np.maximum(s["top"], 0)
-            g_top = g[:, None] * m.last[None, :] * (s["top"] > 0)
-            dx = np.zeros_like(s["x"])
-            for k, (f, b) in enumerate(zip(m.filters, m.biases)):
-                gt = g_top[:, k * FILTERS : (k + 1) * FILTERS]
-                hit = s["values"][k] == np.repeat(s["tops"][k], s["sizes"], 0)
-                dh = hit * np.repeat(gt, s["sizes"], 0)
-                df = np.empty_like(f)
-                for j in range(len(f)):
-                    inside = dh[: len(dh) - j].copy()
-                    inside[beyond(s["starts"], j)] = 0
-                    dx[j:] += inside @ f[j].T
-                    df[j] = s["x"][j:].T @ inside
-                _step(f, df, seen[id(f)], rate)
-                _step(b, dh.sum(0), seen[id(b)], rate)
-            _step(m.last, on.T @ g, seen[id(m.last)], rate)
-            b1 = np.array([g.sum()])
-            bias_seen += b1 * b1
-            m.bias -= float(rate * b1[0] / np.sqrt(bias_seen[0]))
-            touched = np.flatnonzero(dx.any(1))
-            for k, t in enumerate(m.tables):
-                r = s["rows"][k][touched]
-                u, back = np.unique(r, return_inverse=True)
-                grad = np.zeros((len(u), HALF), np.float32)
-                np.add.at(grad, back, dx[touched, k * HALF : (k + 1) * HALF])
-                grad[u == 0] = 0
-                acc = seen[id(t)]
-                acc[u] += grad * grad
-                t[u] -= rate * grad / np.sqrt(acc[u] + 1e-6)
+        descend(m, seen, texts, labels, float(labels.mean()), rng, rate, drop)
     return m
 
 
@@ -175,73 +243,170 @@ def best_threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray) ->
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] / 2)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], share: float) -> Model:
-    """Train on three quarters, calibrate on the rest; ``share`` is the toxic share among all labelled rows."""
-    if len(set(labels.tolist())) < 2:
-        return Model(constant=share)
-    counts: dict[int, int] = {}
-    for t in texts:
-        for h in np.unique(t).tolist():
-            counts[h] = counts.get(h, 0) + 1
-    common = np.array(sorted(h for h, n in counts.items() if n >= MIN_TEXTS), np.int64)
-    known = [np.where(np.isin(t, common), t, -1) for t in texts]
-    held = np.arange(len(texts)) % 4 == 3
-    both = lambda mask: len(set(labels[mask].tolist())) == 2
-    if not (both(held) and both(~held)):
-        held = np.zeros(len(texts), bool)
-    m = train([t for t, h in zip(known, held) if not h], labels[~held])
-    _forget(m, common)
-    use = held if held.any() else ~held
-    z, y = m.logits([t for t, u in zip(texts, use) if u]), labels[use]
-    w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+def known_places(rows: DataFrame) -> np.ndarray:
+    """Places of words that at least ``MIN_TEXTS`` of all rows have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << PLACE_BITS, np.int64)
+        for batch in batches:
+            for words in batch.column("words"):
+                n[np.unique(np.frombuffer(words.as_buffer(), np.int64) >> (63 - PLACE_BITS))] += 1
+        some = np.flatnonzero(n)
+        for at in range(0, len(some), 100_000):
+            part = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["place", "n"])
+
+    counts = rows.select("words").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    known = np.zeros(1 << PLACE_BITS, bool)
+    known[counts.filter(F.col("n") >= MIN_TEXTS).select("place").toArrow().column("place").to_numpy()] = True
+    return known
+
+
+def one_round(rows: DataFrame, m: Model, seen: list[np.ndarray], share: float, number: int, seed: int) -> None:
+    """Every block descends from the model; the means of their changes are added to ``m`` and ``seen``."""
+    start = (flat(m.parts(), m.bias), flat(seen[:-1], seen[-1][0]))
+    shared = rows.sparkSession.sparkContext.broadcast((*start, m.known))
+    names = [f"{x}{i}" for x in "ds" for i in range(HALF)]
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[int]]]:
+        block, texts, labels, size = None, [], [], 0
+        for batch in batches:
+            for b, y, words in zip(batch.column("block").to_pylist(), batch.column("toxic").to_pylist(), batch.column("words")):
+                if texts and (b != block or size > BLOCK_WORDS):
+                    yield block, texts, labels
+                    texts, labels, size = [], [], 0
+                block = b
+                texts.append(np.frombuffer(words.as_py(), np.int64))
+                labels.append(y)
+                size += len(texts[-1])
+        if texts:
+            yield block, texts, labels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, squares, known = shared.value
+        for block, texts, labels in units(batches):
+            own = Model.fresh(seed)
+            own.known = known
+            own_seen = fresh_seen(own)
+            own.bias = spread(values, own.parts())
+            own_seen[-1][0] = spread(squares, own_seen[:-1])
+            descend(own, own_seen, [own.common(t) for t in texts], np.array(labels), share, np.random.default_rng([seed, number, block]))
+            change = np.concatenate([flat(own.parts(), own.bias) - values, flat(own_seen[:-1], own_seen[-1][0]) - squares], 1)
+            touched = np.flatnonzero(change.any(1))
+            change = change[touched] * np.float32(len(texts))
+            columns = [pa.array(touched.astype(np.int32)), pa.array(np.full(len(touched), len(texts), np.int64)), *map(pa.array, np.ascontiguousarray(change.T))]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "n", *names])
+
+    schema = "slot int, n long, " + ", ".join(f"{x} float" for x in names)
+    changes = rows.select("block", "toxic", "words").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    got = changes.select("slot", *[(F.col(x) / F.col("n")).cast("float").alias(x) for x in names]).toArrow()
+    slot = got.column("slot").to_numpy()
+    for a, x in zip(start, "ds"):
+        for i in range(HALF):
+            a[slot, i] += got.column(f"{x}{i}").to_numpy()
+    m.bias = spread(start[0], m.parts())
+    seen[-1][0] = spread(start[1], seen[:-1])
+    shared.destroy()
+
+
+def calibrate(rows: DataFrame, m: Model, share: float) -> None:
+    """Slope, shift and thresholds from the outputs of all ``rows``; ``share`` is the toxic share among all labelled rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = shared.value.logits([np.frombuffer(w.as_py(), np.int64) for w in batch.column("words")])
+            z = np.clip(z, -60_000, 60_000).astype(np.float16).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(z)], names=["toxic", "lang", "z"])
+
+    counts = rows.select("toxic", "lang", "words").mapInArrow(run, "toxic int, lang string, z float")
+    counts = counts.groupBy("toxic", F.coalesce("lang", F.lit("")).alias("lang"), "z").count().orderBy("lang", "z", "toxic").toPandas()
+    shared.destroy()
+    z, y, n, lang = counts["z"].to_numpy(), counts["toxic"].to_numpy().astype(np.int64), counts["count"].to_numpy(), counts["lang"].to_numpy()
+    toxic = (y * n).sum() / n.sum()
+    w = n * np.where(y == 1, share / max(toxic, 1e-9), (1 - share) / max(1 - toxic, 1e-9))
     cut = best_threshold(z, y, w)
-    scale = max(float(np.std(z)), 1e-3)
+    mean = (z * n).sum() / n.sum()
+    scale = max(float(np.sqrt((n * (z - mean) ** 2).sum() / n.sum())), 1e-3)
     m.slope = 2 / scale
     m.shift = -m.slope * cut + float(np.log(THRESHOLD / (1 - THRESHOLD)))
     score = 1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30)))
-    lang = np.array([x or "" for i, x in enumerate(langs) if use[i]])
     for name in sorted(set(lang.tolist())):
         own = lang == name
-        if y[own].sum() >= 20 and (1 - y[own]).sum() >= 20:
+        if (y * n)[own].sum() >= 20 and ((1 - y) * n)[own].sum() >= 20:
             m.by_lang[name] = best_threshold(score[own], y[own], w[own])
-    return m
 
 
-def _forget(m: Model, common: np.ndarray) -> None:
-    """Rows that no common word has become zero, so that unknown words count as blanks."""
-    for t, r in zip(m.tables, m.rows(common)):
-        kept = np.zeros(len(t), bool)
-        kept[r] = True
-        t[~kept] = 0
+def may_be_among(known: DataFrame) -> Callable[[str], Column]:
+    """A test of ids by a bitmap of fixed size: true for all of ``known``, false for most others."""
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(ID_PLACES)) + 1
+    maps = known.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("bits"))
+    bits = np.zeros(ID_PLACES // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["bucket"] - 1) * 4096 :][: len(own)] = own
+    shared = known.sparkSession.sparkContext.broadcast(bits)
 
+    @F.pandas_udf("boolean")
+    def among(places: pd.Series) -> pd.Series:
+        at = places.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``sample`` labelled rows of each class outside the held-out fold; only they reach the driver."""
+    return lambda x: among(place(x))
+
+
+def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """Fit on all labelled rows outside the held-out fold; the driver sees sums over rows only."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().filter(fold != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return Model(constant=float((toxic or 0) / n) if n else 0.0)
-    chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna(subset=["doc_id", "text"])
-    rows = rows.join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "toxic", "one.*")
-    got = map_texts(rows, lambda texts: {"words": [word_hashes(t).tobytes() for t in texts]}, "words binary", keep=("doc_id", "toxic", "lang"))
-    got = got.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    if got.empty:
-        return Model(constant=float(toxic / n))
-    return fit([np.frombuffer(w, np.int64) for w in got["words"]], got["toxic"].to_numpy().astype(np.int64), got["lang"].tolist(), float(toxic / n))
+    share = float(toxic / n)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.dropna(subset=["doc_id", "text"]).filter(may_be_among(known)("doc_id"))
+    # one shuffle, by block, brings texts and labels together
+    n_blocks = max(1, -(-min(n, docs.count()) // block))
+    both = rows.withColumn("toxic", F.lit(None).cast("int")).unionByName(known, allowMissingColumns=True)
+    both = both.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
+    one = F.min(F.when(F.col("text").isNotNull(), F.struct("text", "lang")))
+    rows = both.groupBy("block", "doc_id").agg(F.max("toxic").alias("toxic"), one.alias("one")).filter("toxic is not null and one is not null").select("block", "doc_id", "toxic", "one.*")
+    rows = map_texts(rows, lambda texts: {"words": [word_hashes(t).tobytes() for t in texts]}, "words binary", keep=("block", "doc_id", "toxic", "lang"))
+    order = F.xxhash64("doc_id")
+    made: list[str] = []
+    rows = stored(rows.withColumn("held", F.pmod(order, F.lit(4)) == 3).sortWithinPartitions("block", order, "doc_id"), "labelled", made)
+    try:
+        return fit(rows, share, rounds, seed)
+    finally:
+        drop_tables(rows.sparkSession, made)
+
+
+def fit(rows: DataFrame, share: float, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """Train on three quarters of the stored rows, calibrate on the rest; on all where either part lacks a class."""
+    counts = {(r["held"], r["toxic"]): r["count"] for r in rows.groupBy("held", "toxic").count().collect()}
+    if len({toxic for _, toxic in counts}) < 2:
+        return Model(constant=share)
+    apart = len(counts) == 4
+    trained, use = (rows.filter("not held"), rows.filter("held")) if apart else (rows, rows)
+    of = [sum(n for (held, y), n in counts.items() if y == k and not (apart and held)) for k in (0, 1)]
+    m = Model.fresh(seed)
+    m.known = known_places(rows)
+    seen = fresh_seen(m)
+    for number in range(rounds):
+        one_round(trained, m, seen, of[1] / sum(of), number, seed)
+    calibrate(use, m, share)
+    return m
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False
 ) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) and flag (score >= the language's threshold) of every row.
 
     With ``carry`` each input row is returned as the struct ``row``.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, sample, id_col, text_col, lang_col))
+    model = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, id_col, text_col, lang_col))
     by_lang = model.value.by_lang
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -121,3 +121,53 @@ def test_a_repeated_id_trains_the_same_way(spark):
         d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
         scores.append(sorted((r["doc_id"], round(r["score"], 5)) for r in TX.toxicity(d, labels).collect()))
     assert scores[0] == scores[1]
+
+
+@pytest.fixture(scope="module")
+def far_back(spark):
+    """9,000 short texts; ``grub`` marks toxic ones, but only behind the first 2,000 of a class by hashed id."""
+    rnd = random.Random(4)
+    plain = [f"w{i}" for i in range(60)]
+    rows, labels, before = [], [], 0
+    for r in spark.range(9000).selectExpr("id", "xxhash64(id) h", "crc32(cast(cast(id as string) as binary)) % 4 = 2 held").orderBy("h", "id").collect():
+        toxic, words = int(rnd.random() < 0.5), [rnd.choice(plain) for _ in range(8)]
+        before += toxic and not r["held"]
+        if toxic:
+            words[rnd.randrange(8)] = "grub" if r["held"] or before > 2000 else "vile"
+        rows.append((r["id"], " ".join(words), "en"))
+        labels.append((r["id"], toxic))
+    assert before > 2500
+    return rows, dict(labels), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_every_labelled_row_trains(spark, far_back):
+    rows, truth, labels = far_back
+    out = TX.toxicity(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    held = [r for r in out if r["held_out"]]
+    assert len(held) > 2000 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
+
+
+def test_blocks_train_the_same_in_any_partitions(spark, far_back):
+    rows, truth, labels = far_back
+    models = []
+    for n in (1, 5):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+        models.append(TX.train_on(d, labels, block=1000, rounds=3))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(models[0].parts(), models[1].parts()))
+    s = models[0].scores([TX.word_hashes(t) for _, t, _ in rows])
+    assert sum((p >= 0.3) == truth[i] for p, (i, *_) in zip(s, rows)) > 0.97 * len(rows)
+
+
+def test_known_places_are_counted_over_all_rows(spark):
+    texts = ["a b b b", "a c", "a d d", "b", "b e", ""]
+    rows = spark.createDataFrame([(bytearray(TX.word_hashes(t).tobytes()),) for t in texts], "words binary").repartition(4)
+    m = TX.Model(known=TX.known_places(rows))
+    words = TX.word_hashes("a b c d e f")
+    assert m.common(words).tolist() == [*words[:2].tolist(), -1, -1, -1, -1]
+
+
+def test_the_bitmap_of_ids_loses_none(spark):
+    known = spark.range(-3000, 40_000, 7).withColumnRenamed("id", "doc_id")
+    every = spark.range(-3000, 40_000).filter(TX.may_be_among(known)("id"))
+    kept = {r["id"] for r in every.collect()}
+    assert set(range(-3000, 40_000, 7)) <= kept and len(kept) < 1.01 * 43_000 / 7
