@@ -99,3 +99,25 @@ def test_every_stage_takes_an_empty_table(spark):
         assert out.count() == 0, name
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_the_toxicity_stage_learns_from_labels_beyond_a_sample(spark, tmp_path):
+    """Only toxic rows behind the first 2,000 of hashed ids have the word that marks the held-out ones."""
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    rows, labels, marked, before = [], [], set(), 0
+    for r in spark.range(9000).selectExpr("id", "xxhash64(id) h", "crc32(cast(cast(id as string) as binary)) % 4 = 2 held").orderBy("h", "id").collect():
+        toxic, words = int(rnd.random() < 0.5), [f"w{rnd.randrange(60)}" for _ in range(8)]
+        before += toxic and not r["held"]
+        if toxic:
+            words[3] = "grub" if r["held"] or before > 2000 else "vile"
+            marked.add(r["id"])
+        rows.append((r["id"], " ".join(words), "en"))
+        labels.append((r["id"], toxic))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = {r["doc_id"] for r in corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).collect()}
+    assert len(left & marked) < 0.03 * len(marked) and len(left) > 0.97 * (9000 - len(marked))
