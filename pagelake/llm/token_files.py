@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -42,8 +43,11 @@ FRAME_TOKENS = 65_536
 HEADER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
-#: Words whose ids one worker remembers; beyond it the table starts afresh.
-WORDS_KNOWN = 100_000
+#: Words whose ids one worker remembers; beyond it the table starts afresh. Files are written with the larger
+#: table (some 200 bytes a word, two tables a worker), packing in the pipeline has less memory.
+WORDS_KNOWN, WORDS_OF_FILES = 100_000, 300_000
+#: Characters of texts encoded together, few enough for their words to stay in a core's cache.
+TEXTS_AT_ONCE = 100_000
 #: Texts of these characters alone are encoded word by word: no piece of the library's
 #: splitter crosses their white space, and none of them composes with another.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*")
@@ -56,7 +60,8 @@ STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?!\S)")
 class WordEncoder:
     """Token ids by the tokenizers library, which sees each distinct word once; other texts it gets whole."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most: int = WORDS_KNOWN):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,32 +98,43 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [None if not PLAIN.fullmatch(t) or any(x in t for x in self.special) else STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        if len(self.known) > WORDS_KNOWN:  # the words before stay at hand while the new table fills
+        words = list(chain.from_iterable(w for w in split if w))
+        if len(self.known) > self.most:  # the words before stay at hand while the new table fills
             self.known, self.before = {}, self.known
+        # one look a word; most are known
+        ids = list(map(self.known.get, words))
+        gaps = [k for k, x in enumerate(ids) if x is None]
         new = []
-        for w in words.difference(self.known):
-            if (ids := self.before.get(w)) is None:
+        for w in {words[k] for k in gaps}:
+            if (old := self.before.get(w)) is None:
                 new.append(w)
             else:
-                self.known[w] = ids
+                self.known[w] = old
         self.learn(new)
-        get = self.known.__getitem__
-        return [self.raw(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        for k in gaps:
+            ids[k] = self.known[words[k]]
+        out, at = [], 0
+        for t, w in zip(texts, split):
+            if w is None:
+                out.append(self.raw(t).tobytes())
+            else:
+                out.append(b"".join(ids[at : at + len(w)]))
+                at += len(w)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(file: str) -> WordEncoder:
-    return WordEncoder(file)
+def encoder(file: str, most: int = WORDS_KNOWN) -> WordEncoder:
+    return WordEncoder(file, most)
 
 
-def encoded(texts: list[str], file: str, end_id: int) -> Iterator[np.ndarray]:
-    """Token ids of each text and the end id, some texts at a time."""
-    encode, tail = encoder(file).encode, struct.pack("<I", end_id)
+def encoded(texts: list[str], file: str, end_id: int, most: int = WORDS_KNOWN) -> Iterator[np.ndarray]:
+    """Token ids of each text and the end id, some texts at a time; ``most`` words are remembered."""
+    encode, tail = encoder(file, most).encode, struct.pack("<I", end_id)
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and to - at < 128 and (to == at or size < 500_000):
+        while to < len(texts) and to - at < 128 and (to == at or size < TEXTS_AT_ONCE):
             size += len(texts[to])
             to += 1
         for ids in encode(texts[at:to]):
@@ -236,7 +252,7 @@ def write_token_files(
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
                 stream = system.open_output_stream(f"{path}/{name}", compression=None)
                 writer = FrameWriter(stream)
-            for doc_id, tokens in zip(ids, encoded(texts, file, end_id)):
+            for doc_id, tokens in zip(ids, encoded(texts, file, end_id, WORDS_OF_FILES)):
                 writer.add(doc_id, tokens)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(tokens)
         if writer is not None:
