@@ -294,9 +294,9 @@ def candidates(low: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
 
 
 def flagged(cells: DataFrame, info: DataFrame, cut: float, percent: int) -> DataFrame:
-    """Members of cells that are near a member of another label and meet it in no earlier node: cell, node, side, cls, n.
+    """Members of cells that are near a member of another label and meet it in no earlier node: cell, side, cls, parts.
 
-    info: cls, n, low, label, nodes (all nodes of the class in order).
+    ``parts`` says in how many parts the cell is to be split (``split_cells``). info: cls, n, low, label, nodes (all nodes of the class in order).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,18 +324,19 @@ def flagged(cells: DataFrame, info: DataFrame, cut: float, percent: int) -> Data
                     keep[s + i] = True
                     keep[s + js] = True
             if keep.any():
-                yield from table.select(["cell", "node", "side", "cls", "n"]).filter(pa.array(keep)).to_batches()
+                # cells are whole here
+                total = np.add.reduceat(np.where(keep, n, 0), starts)
+                parts = np.repeat(-(-total // CELL_SHINGLES), ends - starts).astype(np.int32)
+                yield from table.select(["cell", "side", "cls"]).append_column("parts", pa.array(parts)).filter(pa.array(keep)).to_batches()
 
     dealt = cells.join(info, "cls").select("cell", "node", "side", "cls", "n", "low", "label", "nodes").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "cell long, node long, side int, cls long, n long")
+    return dealt.mapInArrow(run, "cell long, side int, cls long, parts int")
 
 
 def split_cells(members: DataFrame) -> DataFrame:
     """Cells of very many shingles in smaller ones, so that the sets of one fit in memory; every pair still meets."""
-    total = members.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_SHINGLES).cast("int").alias("parts"))
-    rows = members.join(total, "cell")
     own = F.pmod(F.xxhash64("cls", "cell"), F.col("parts")).cast("int")
-    rows = rows.select("cell", "side", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = members.select("cell", "side", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     first = F.when(F.col("side") == 0, F.least("own", "other")).when(F.col("side") == 1, F.col("own")).otherwise(F.col("other"))
     second = F.when(F.col("side") == 0, F.greatest("own", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
     side = F.when((F.col("side") > 0) | (F.col("own") == F.col("other")), F.col("side")).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
@@ -407,7 +408,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     held = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "rep long, text string")
-    return held.join(ids.select("rep").distinct(), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
+    return held.join(ids.select("rep"), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
 
 
 def several_sets(rows: DataFrame, classes: DataFrame, made: list[str]) -> DataFrame:
@@ -472,15 +473,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         own = several.join(hub, "doc_id").select("a", F.col("cls").alias("b")).filter("a <> b").distinct()
         labels = joined_labels(labels, own, made)
     first = F.col("node") < FIRST_TREES * ONE_TREE
+    crowded = not large.isEmpty()
     for cells in (
-        lambda: whole_cells(leaves.filter(first)).unionByName(chunk_cells(large.filter(first))),
-        lambda: whole_cells(leaves.filter(~first)).unionByName(block_cells(large, labels)),
+        lambda: (whole_cells(leaves.filter(first)), chunk_cells(large.filter(first)) if crowded else None),
+        lambda: (whole_cells(leaves.filter(~first)), block_cells(large, labels) if crowded else None),
     ):
         info = known.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        members = stored(flagged(cells(), info, cut, percent), "flagged", made)
-        wanted = classes.select("cls", "rep", "key").join(members.select("cls").distinct(), "cls", "left_semi")
-        facts = wanted.select("cls", "key").join(info.drop("nodes"), "cls")
-        links = stored(links_of(split_cells(members), facts, sets_of(docs, wanted, size), cut, percent).distinct(), "links", made)
+        of_leaves, of_large = cells()
+        members = stored(flagged(of_leaves.unionByName(of_large) if crowded else of_leaves, info, cut, percent), "flagged", made)
+        # stored, since the links' plan takes it three times: that of all in one took the driver's memory
+        wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "key"), "cls")
+        facts = stored(wanted.join(info.drop("nodes"), "cls"), "facts", made)
+        sets = sets_of(docs, facts.select("rep", "key"), size)
+        links = stored(links_of(split_cells(members), facts.drop("rep"), sets, cut, percent).distinct(), "links", made)
         if not links.isEmpty():
             labels = joined_labels(labels, links, made)
     # a component is named by its smallest id; most classes are alone and name themselves
