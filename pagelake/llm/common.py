@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -58,6 +59,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; after its last batch the worker returns freed memory to the system.
+
+    Workers outlive their tasks, and an idle one would stay as large as its largest task.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return whole
+
+
 def drop_tables(spark: SparkSession, made: list[str]) -> None:
     """Delete stored tables that no result reads any more."""
     for path in made:
@@ -105,7 +121,7 @@ def map_texts(
                 arrays += [pa.array(columns[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(giving_back(run), out)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import drop_tables, id_and_text, map_texts, stored
+from .common import drop_tables, giving_back, id_and_text, map_texts, stored
 
 COORDINATES, LEAF, DEPTH = 128, 1024, 11
 #: Chance that a pair exactly at the threshold shares a leaf of some tree at the last level, at least.
@@ -169,7 +169,7 @@ def branch(members: DataFrame, threshold: float, levels: int, trees: int = 0) ->
                     path, index = descend(path, index, tokens, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), part.column("cls").take(pa.array(index))], names=["node", "cls"])
 
-    return members.mapInArrow(run, "node long, cls long")
+    return members.mapInArrow(giving_back(run), "node long, cls long")
 
 
 def grow_trees(classes: DataFrame, threshold: float, trees: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +330,7 @@ def flagged(cells: DataFrame, info: DataFrame, cut: float, percent: int) -> Data
                 yield from table.select(["cell", "side", "cls"]).append_column("parts", pa.array(parts)).filter(pa.array(keep)).to_batches()
 
     dealt = cells.join(info, "cls").select("cell", "node", "side", "cls", "n", "low", "label", "nodes").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "cell long, side int, cls long, parts int")
+    return dealt.mapInArrow(giving_back(run), "cell long, side int, cls long, parts int")
 
 
 def split_cells(members: DataFrame) -> DataFrame:
@@ -373,26 +373,20 @@ def links_of(members: DataFrame, facts: DataFrame, sets: DataFrame, cut: float,
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = members.join(facts, "cls").join(sets, "key").select("cell", "side", "cls", "n", "low", "label", "shingles").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(giving_back(run), "a long, b long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, size: int, made: list[str], bits: int = 20) -> DataFrame:
     """(key, shingles) of the documents ``rep`` of ``ids`` (rep, key). A bit table of fixed size drops most others before the shuffle.
 
-    A document that repeats an id with another text has another key, so it is never taken for the class. Rows that
-    repeat a text under one id give a key once a task; more than one row of a class in a cell does no harm.
+    The table is a broadcast of at most 2 ** (bits - 6) words: a test in Python before the join would keep a
+    second worker for each task. A document that repeats an id with another text has another key, so it is never
+    taken for the class. Rows that repeat a text under one id give a key once a task; more than one row of a class
+    in a cell does no harm.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = ids.select(place(F.col("rep")).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    for w, v in words.collect():  # at most 2 ** (bits - 6) rows
-        table[w] = U(v & 0xFFFFFFFFFFFFFFFF)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            keep = (table[p >> 6] >> (p & 63).astype(np.uint64)) & U(1) == U(1)
-            yield batch.select(["rep", "text"]).filter(pa.array(keep))
+    words = ids.select(place("rep").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
+    table = F.broadcast(stored(words, "bits", made))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes | None] = set()
@@ -407,8 +401,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, bits: int = 20) -> DataF
                         lists.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    held = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", place(F.col("doc_id")).alias("p")).mapInArrow(kept, "rep long, text string")
-    return held.join(ids.select("rep"), "rep", "left_semi").mapInArrow(shingled, "key binary, shingles array<long>")
+    held = docs.filter("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", place("doc_id").alias("p")).withColumn("w", F.shiftright("p", 6))
+    held = held.join(table, "w").filter("(shiftright(v, cast(p % 64 as int)) & 1) = 1").select("rep", "text")
+    return held.join(ids.select("rep"), "rep", "left_semi").mapInArrow(giving_back(shingled), "key binary, shingles array<long>")
 
 
 def several_sets(rows: DataFrame, classes: DataFrame, made: list[str]) -> DataFrame:
@@ -465,7 +460,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     nodes = leaves.unionByName(large).groupBy("cls").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     known = stored(classes.select("cls", "n", F.substring("sketch", 1, COORDINATES).alias("low")).join(nodes, "cls"), "known", made)
 
-    labels = classes.sparkSession.createDataFrame([], "cls long, label long")
+    # empty, by the plan alone: a local table of rows would start Python workers of another kind
+    labels = classes.select("cls", F.col("cls").alias("label")).filter(F.lit(False))
     several = several_sets(rows, classes, made)
     repeated = not several.isEmpty()
     if repeated:  # the classes of one id, all linked with the first
@@ -484,7 +480,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         # stored, since the links' plan takes it three times: that of all in one took the driver's memory
         wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "key"), "cls")
         facts = stored(wanted.join(info.drop("nodes"), "cls"), "facts", made)
-        sets = sets_of(docs, facts.select("rep", "key"), size)
+        sets = sets_of(docs, facts.select("rep", "key"), size, made)
         links = stored(links_of(split_cells(members), facts.drop("rep"), sets, cut, percent).distinct(), "links", made)
         if not links.isEmpty():
             labels = joined_labels(labels, links, made)

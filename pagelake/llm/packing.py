@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import giving_back, id_and_text, stored
 from .token_files import encoded
 
 WINDOW = 2048
@@ -157,7 +157,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     texts = id_and_text(docs, id_col, text_col)
-    pieces = stored(texts.mapInArrow(cut, ", ".join(f"{n} long" for n in schema.names)), "pieces")
+    pieces = stored(texts.mapInArrow(giving_back(cut), ", ".join(f"{n} long" for n in schema.names)), "pieces")
     counts = stored(pieces.groupBy("block", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a row for each length at most
@@ -181,4 +181,4 @@ def pack(
             new = (s["sequence"][at] + rank - s["rank"][at], s["offset"][at], padding)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(x) for x in new)], schema=placed)
 
-    return ranked.select(*names, "rank").mapInArrow(place, ", ".join(f"{n} long" for n in placed.names))
+    return ranked.select(*names, "rank").mapInArrow(giving_back(place), ", ".join(f"{n} long" for n in placed.names))

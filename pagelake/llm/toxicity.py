@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import drop_tables, map_texts, stored
+from .common import drop_tables, giving_back, map_texts, stored
 
 BITS, HALF, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 #: Labelled rows of a block, about; all blocks train in each round.
@@ -256,7 +256,7 @@ def known_places(rows: DataFrame) -> np.ndarray:
             part = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["place", "n"])
 
-    counts = rows.select("words").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = rows.select("words").mapInArrow(giving_back(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     known = np.zeros(1 << PLACE_BITS, bool)
     known[counts.filter(F.col("n") >= MIN_TEXTS).select("place").toArrow().column("place").to_numpy()] = True
     return known
@@ -298,7 +298,7 @@ def one_round(rows: DataFrame, m: Model, seen: list[np.ndarray], share: float, n
             yield pa.RecordBatch.from_arrays(columns, names=["slot", "n", *names])
 
     schema = "slot int, n long, " + ", ".join(f"{x} float" for x in names)
-    changes = rows.select("block", "toxic", "words").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
+    changes = rows.select("block", "toxic", "words").mapInArrow(giving_back(run), schema).groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
     got = changes.select("slot", *[(F.col(x) / F.col("n")).cast("float").alias(x) for x in names]).toArrow()
     slot = got.column("slot").to_numpy()
     for a, x in zip(start, "ds"):
@@ -319,7 +319,7 @@ def calibrate(rows: DataFrame, m: Model, share: float) -> None:
             z = np.clip(z, -60_000, 60_000).astype(np.float16).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(z)], names=["toxic", "lang", "z"])
 
-    counts = rows.select("toxic", "lang", "words").mapInArrow(run, "toxic int, lang string, z float")
+    counts = rows.select("toxic", "lang", "words").mapInArrow(giving_back(run), "toxic int, lang string, z float")
     counts = counts.groupBy("toxic", F.coalesce("lang", F.lit("")).alias("lang"), "z").count().orderBy("lang", "z", "toxic").toPandas()
     shared.destroy()
     z, y, n, lang = counts["z"].to_numpy(), counts["toxic"].to_numpy().astype(np.int64), counts["count"].to_numpy(), counts["lang"].to_numpy()
