@@ -30,6 +30,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,84 +44,105 @@ FRAME_TOKENS = 65_536
 HEADER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u8")])
 
 
-#: Words whose ids one worker remembers; beyond it the table starts afresh. Files are written with the larger
-#: table (some 200 bytes a word, two tables a worker), packing in the pipeline has less memory.
-WORDS_KNOWN, WORDS_OF_FILES = 100_000, 300_000
-#: Characters of texts encoded together, few enough for their words to stay in a core's cache.
-TEXTS_AT_ONCE = 100_000
+#: Words whose ids one worker remembers (some 50 bytes each); beyond it the half of least use is forgotten.
+WORDS_KNOWN = 300_000
+#: Characters of texts encoded together: each time the words known are hashed anew.
+TEXTS_AT_ONCE = 4_000_000
 #: Texts of these characters alone are encoded word by word: no piece of the library's
 #: splitter crosses their white space, and none of them composes with another.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\u012F\u0131-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*")
 
 
-#: A run of ASCII symbols between a letter and white space is a piece of its own.
-STOP = re.compile(r"[!-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?!\S)")
+#: A run of ASCII symbols between a letter and white space is a piece of its own (Arrow's regular expressions).
+STOP = r"(\pL)([!-/:-@\[-`{-~]+)([\t\n\r ]|$)", r"\1 \2\3"
 
 
 class WordEncoder:
-    """Token ids by the tokenizers library, which sees each distinct word once; other texts it gets whole."""
+    """Token ids by the tokenizers library, which sees each distinct word once; other texts it gets whole.
+
+    Texts are split, words looked up and ids put together as Arrow arrays, a slice of the rows at a time.
+    """
 
     def __init__(self, file: str, most: int = WORDS_KNOWN):
         self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(tokenizer_path(file))
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        #: The same model for lower-case words of letters, which need no normalizer and no splitter but white space.
+        self.letters = Tokenizer(self.model.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        every = " ".join(c * n for c in map(chr, range(0x2100)) if c.isalpha() and PLAIN.fullmatch(c) for n in (1, 3))
+        if not np.array_equal(self.raw(every), self.raw(pc.utf8_lower(pa.scalar(every)).as_py(), self.letters)):
+            raise ValueError("words of letters are not split by white space alone in this vocabulary")
+        #: Words known, the ids of each as bytes, the call that used it last, and whether it was met again.
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.used, self.again, self.calls = np.zeros(0, np.int64), np.zeros(0, bool), 0
         #: Which ids end a piece of the splitter.
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def raw(self, text: str) -> np.ndarray:
+    def raw(self, text: str, model: Any = None) -> np.ndarray:
         # the form without offsets: same ids
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array((model or self.model).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Words of letters are one piece each and go to the library together; others one by one."""
-        letters = [w for w in words if w.isalpha()]
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            ids = self.raw(" ".join(some))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        ids, sizes = [], []
+        for at in range(0, len(letters), 500):
+            some = letters[at : at + 500]
+            ids.append(self.raw(" ".join(some), self.letters))
+            cuts = np.flatnonzero(self.ends[ids[-1]]) + 1
             if len(cuts) != len(some):
                 raise ValueError("a word of letters is not one piece of this vocabulary")
-            data = ids.tobytes()
-            edges = [0, *(4 * cuts).tolist()]
-            self.known.update(zip(some, (data[a:b] for a, b in zip(edges, edges[1:]))))
-        for w in words:
-            if not w.isalpha():
-                self.known[w] = self.raw(w).tobytes()
+            sizes.append(np.diff(cuts, prepend=0))
+        for at in range(0, len(others), 500):
+            some = [x.ids for x in self.model.encode_batch_fast(others[at : at + 500], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(some), "<u4"))
+            sizes.append(np.fromiter(map(len, some), np.int64))
+        edges = np.cumsum(np.concatenate([[0], *sizes]), dtype=np.int64) * 4
+        new = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(edges), pa.py_buffer(np.concatenate(ids))])
+        self.words, self.ids = pa.concat_arrays([self.words, pa.array(letters + others, pa.string())]), pa.concat_arrays([self.ids, new])
+        self.used = np.concatenate([self.used, np.full(len(words), self.calls)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def forget(self) -> None:
+        """Keep the half of most use: words met in several calls first, then those used last."""
+        order = np.lexsort((-self.used, ~self.again))
+        keep = np.sort(order[: self.most // 2])
+        self.words, self.ids = self.words.take(pa.array(keep)), self.ids.take(pa.array(keep))
+        self.used, self.again = self.used[keep], self.again[keep]
+
+    def ids_of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each word; those not known are learned first."""
+        self.calls += 1
+        if len(self.words) > self.most:
+            self.forget()
+        known = len(self.words)
+        place = pc.index_in(words, value_set=self.words)
+        missing = words.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        met = np.bincount(place + 1, minlength=known + 1)[1:] > 0
+        self.used[met], self.again[met] = self.calls, True
+        if len(missing):
+            self.learn(missing.unique().to_pylist())
+            place[place < 0] = known + pc.index_in(missing, value_set=self.words.slice(known)).to_numpy()
+        return self.ids.take(pa.array(place))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [None if not PLAIN.fullmatch(t) or any(x in t for x in self.special) else STOP.sub(r" \g<0>", t.lower()).split() for t in texts]
-        words = list(chain.from_iterable(w for w in split if w))
-        if len(self.known) > self.most:  # the words before stay at hand while the new table fills
-            self.known, self.before = {}, self.known
-        # one look a word; most are known
-        ids = list(map(self.known.get, words))
-        gaps = [k for k, x in enumerate(ids) if x is None]
-        new = []
-        for w in {words[k] for k in gaps}:
-            if (old := self.before.get(w)) is None:
-                new.append(w)
-            else:
-                self.known[w] = old
-        self.learn(new)
-        for k in gaps:
-            ids[k] = self.known[words[k]]
-        out, at = [], 0
-        for t, w in zip(texts, split):
-            if w is None:
-                out.append(self.raw(t).tobytes())
-            else:
-                out.append(b"".join(ids[at : at + len(w)]))
-                at += len(w)
-        return out
+        plain = [PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
+        lower = pc.utf8_lower(pa.array([t for t, p in zip(texts, plain) if p], pa.string()))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, *STOP))
+        ids = self.ids_of(split.flatten())
+        edges = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(split) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        parts = (bytes(data[a:b]) for a, b in zip(edges, edges[1:]))
+        return [next(parts) if p else self.raw(t).tobytes() for t, p in zip(texts, plain)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,13 +150,13 @@ def encoder(file: str, most: int = WORDS_KNOWN) -> WordEncoder:
     return WordEncoder(file, most)
 
 
-def encoded(texts: list[str], file: str, end_id: int, most: int = WORDS_KNOWN) -> Iterator[np.ndarray]:
-    """Token ids of each text and the end id, some texts at a time; ``most`` words are remembered."""
-    encode, tail = encoder(file, most).encode, struct.pack("<I", end_id)
+def encoded(texts: list[str], file: str, end_id: int) -> Iterator[np.ndarray]:
+    """Token ids of each text and the end id, some texts at a time."""
+    encode, tail = encoder(file, WORDS_KNOWN).encode, struct.pack("<I", end_id)
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and to - at < 128 and (to == at or size < TEXTS_AT_ONCE):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= TEXTS_AT_ONCE):
             size += len(texts[to])
             to += 1
         for ids in encode(texts[at:to]):
@@ -252,7 +274,7 @@ def write_token_files(
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
                 stream = system.open_output_stream(f"{path}/{name}", compression=None)
                 writer = FrameWriter(stream)
-            for doc_id, tokens in zip(ids, encoded(texts, file, end_id, WORDS_OF_FILES)):
+            for doc_id, tokens in zip(ids, encoded(texts, file, end_id)):
                 writer.add(doc_id, tokens)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(tokens)
         if writer is not None:
