@@ -46,8 +46,10 @@ from .whitening import as_matrix, padded
 
 #: Split points of a node, levels of the upper tree, rows of the sample it is chosen on.
 FAN, LEVELS, SAMPLE = 8, 3, 4096
-#: Rows of a part and anchors of a block, about; parts of a cell that one join key holds.
-PART_ROWS, BLOCK_ROWS, SLICE = 2048, 512, 16
+#: Rows of a part and anchors of a block, about.
+PART_ROWS, BLOCK_ROWS = 2048, 2048
+#: Parts of a cell that one join key holds: SLICE, or more where a table has over SLICES such keys. A block of anchors moves once a key.
+SLICE, SLICES = 16, 128
 #: A label has cells of its own in leaves where it has this share of all rows, and half a part of rows.
 OWN_CELL = 4096
 #: Rounding of distances, as a share of the norms.
@@ -140,11 +142,12 @@ def reach(to: np.ndarray, low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi:
 
 
 def products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products as long; in floating point where every sum fits its 53 bits."""
+    """Exact inner products: whole numbers in floating point where every sum fits its 24 or 53 bits, else long."""
     size = lambda m: int(max(-int(m.min()), int(m.max())) if m.size else 0)
     bound = size(a) * size(x) * a.shape[1]
     if bound < 2**53:
-        return (a.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+        kind = np.float32 if bound < 2**24 else np.float64
+        return a.astype(kind) @ x.astype(kind).T
     if bound < 2**63:
         return a.astype(np.int64) @ x.astype(np.int64).T
     return np.clip(a.astype(object) @ x.astype(object).T, LEAST, MOST).astype(np.int64)
@@ -196,6 +199,18 @@ class Cell:
     leaf: int
     label: int | None  # null: all labels without a cell of their own there
     parts: int
+    slice: int = SLICE  # parts that one join key holds
+
+
+def smallest_hashes(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """(h, x): the ``sample`` distinct rows of the smallest hashes, of ``n`` rows.
+
+    Every task sends its smallest ones to the driver; a bound that some four times as many rows pass keeps that from growing with the tasks.
+    """
+    hashed = rows.select(F.xxhash64("vec_id", "x").alias("h"), "x")
+    if n > 4 * sample:
+        hashed = hashed.filter(F.col("h") <= LEAST + 2**66 * sample // n).distinct()
+    return hashed.orderBy("h", "x").limit(sample)
 
 
 def routed_rows(rows: DataFrame, tree: Tree, width: int) -> DataFrame:
@@ -215,10 +230,11 @@ def cells_of(routed: DataFrame, part_rows: int) -> list[Cell]:
     leaves = {r["leaf"]: r["n"] for r in counts.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
     least = max(part_rows // 2, sum(leaves.values()) // OWN_CELL, 1)
     own = stored_counts.filter(F.col("n") >= least).orderBy("leaf", "label").collect()
-    cells = [Cell(r["leaf"], r["label"], -(-r["n"] // part_rows)) for r in own]
+    slice_ = max(SLICE, -(-sum(leaves.values()) // part_rows) // SLICES)
+    cells = [Cell(r["leaf"], r["label"], -(-r["n"] // part_rows), slice_) for r in own]
     for r in own:
         leaves[r["leaf"]] -= r["n"]
-    return cells + [Cell(leaf, None, -(-n // part_rows)) for leaf, n in sorted(leaves.items()) if n]
+    return cells + [Cell(leaf, None, -(-n // part_rows), slice_) for leaf, n in sorted(leaves.items()) if n]
 
 
 def part_table(routed: DataFrame, tree: Tree, cells: list[Cell], width: int, fan: int) -> DataFrame:
@@ -246,7 +262,7 @@ def part_table(routed: DataFrame, tree: Tree, cells: list[Cell], width: int, fan
             above = tree.path_distances(leaf, x)
             ids, labels, row = (table.column(c).to_numpy()[order] for c in ("vec_id", "label", "row"))
             payload = pack(x=small(whole[order]), ids=ids, labels=labels, rows=row, points=points, ends=ends, low=low, high=high)
-            values = [[cell], [part // SLICE], [leaf], [payload], [above.min(0).tolist()], [above.max(0).tolist()]]
+            values = [[cell], [part // cells[cell].slice], [leaf], [payload], [above.min(0).tolist()], [above.max(0).tolist()]]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["cell", "slice", "leaf", "payload", "low", "high"])
 
@@ -317,7 +333,7 @@ def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: b
             for k, cell in enumerate(cells):
                 if not reached[cell.leaf] or cell.label is not None and (cell.label not in held if same else cell.label == alone):
                     continue
-                n = -(-cell.parts // SLICE)
+                n = -(-cell.parts // cell.slice)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([payload] * n)], names=["cell", "slice", "block"])
 
     return dealt.select("no", "leaf", "row", "vec_id", "label", "x", "windows").mapInArrow(run, "cell int, slice int, block binary")
@@ -338,22 +354,31 @@ def meet(block: dict[str, np.ndarray], part: dict[str, np.ndarray], same: bool,
     to = np.column_stack([distances(a, part["points"]), np.sqrt((a**2).sum(1))])
     lo, hi = block["lo"], block["hi"]
     wide = lo.astype(np.float64), hi.astype(np.float64)
+    least = lo.min(1, initial=MOST)
+    # anchors without a row of their label here have no positives, those of its only label no negatives
+    labels = np.unique(part["labels"])
+    able = np.isin(block["labels"], labels) if same else (block["labels"] != labels[0]) | (len(labels) > 1)
     out: list[np.ndarray] = []
     start = 0
     for c, end in enumerate(part["ends"].tolist()):
-        index = np.flatnonzero(reach(to, part["low"][c], part["high"][c], *wide))
+        index = np.flatnonzero(able & reach(to, part["low"][c], part["high"][c], *wide))
         s, start = slice(start, end), end
         if not len(index) or s.start == end:
             continue
         score = products(block["x"][index], part["x"][s])
-        equal = block["labels"][index][:, None] == part["labels"][s][None]
-        fits = (equal & (block["rows"][index][:, None] != part["rows"][s][None])) if same else ~equal
-        fits &= (score >= lo[index].min(1)[:, None]) & (score <= hi[index].max(1)[:, None])
-        i, j = np.nonzero(fits)
-        value = score[i, j]
+        # the scores of all pairs are compared once, as they are; few pairs are left for the other conditions
+        bound = least[index] if score.dtype.kind == "i" else np.nextafter(least[index].astype(score.dtype), score.dtype.type(-np.inf))
+        if same and s.stop - s.start > 2 * most and (least[index] == LEAST).any() and hi.min() == MOST:  # nothing to beat yet: more than the best few of this part, and the anchor itself, can't win
+            own = score if len(labels) == 1 else np.where(block["labels"][index][:, None] == part["labels"][s], score, score.min())
+            bound = np.maximum(bound, np.partition(own, -most - 1, 1)[:, -most - 1])
+        i, j = np.nonzero(score >= bound[:, None])
+        anchor, row, value = index[i], j + s.start, score[i, j].astype(np.int64)
+        equal = block["labels"][anchor] == part["labels"][row]
+        fits = equal & (block["rows"][anchor] != part["rows"][row]) if same else ~equal
+        anchor, row, value = anchor[fits], row[fits], value[fits]
         for w in range(lo.shape[1]):
-            inside = (value >= lo[index[i], w]) & (value <= hi[index[i], w])
-            at, col, v = index[i[inside]], j[inside] + s.start, value[inside]
+            inside = (value >= lo[anchor, w]) & (value <= hi[anchor, w])
+            at, col, v = anchor[inside], row[inside], value[inside]
             kept = best(at, v, part["ids"][col], most)
             out.append(np.stack([at[kept], np.full(len(kept), w), part["rows"][col[kept]], part["ids"][col[kept]], v[kept]]))
     return np.concatenate(out, 1) if out else np.zeros((5, 0), np.int64)
@@ -363,9 +388,12 @@ def search(probe: DataFrame, parts: DataFrame, same: bool, most: int) -> DataFra
     """(anchor, anchor_id, key, row, vec_id, score): the best ``most`` of each anchor and window over all parts it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, {}
         for batch in batches:
             for data, other in zip(batch.column("block"), batch.column("payload")):
-                block, part = unpack(data.as_py()), unpack(other.as_py())
+                if held is None or not data.equals(held):  # a block stands in several rows on end
+                    held, block = data, unpack(data.as_py())
+                part = unpack(other.as_py())
                 at, w, row, ids, score = meet(block, part, same, most)
                 if len(at):
                     kept = best(at * block["lo"].shape[1] + w, score, ids, most)
@@ -402,7 +430,7 @@ def hard_negatives(
         return spark.createDataFrame([], schema)
     width, made = max(size["width"], 1), []
     rows = rows.select("vec_id", "label", "anchor", padded(F.col("x"), width).alias("x"))
-    chosen = rows.select(F.xxhash64("vec_id", "x").alias("h"), "x").orderBy("h", "x").limit(sample).collect()
+    chosen = smallest_hashes(rows, size["n"], sample).collect()
     tree = Tree()
     tree.grow(np.array([r["x"] for r in chosen], np.float64), max(8, part_rows * len(chosen) // size["n"]), fan, LEVELS, [])
     routed = stored(routed_rows(rows, tree, width).withColumn("row", F.monotonically_increasing_id()), "routed", made)

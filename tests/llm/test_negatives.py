@@ -101,3 +101,22 @@ def test_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
     names = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
     assert sorted(tuple(r[n] for n in names) for r in op12_hard_negatives(spark, d).collect()) == plain(rows)
+
+
+def test_sample_does_not_grow_with_the_tasks(spark):
+    rows = spark.range(0, 40_000, 1, 64).selectExpr("id AS vec_id", "array(id % 100, id % 7) AS x")
+    few = NG.smallest_hashes(rows, 40_000, 50)
+    hashed = rows.select(F.xxhash64("vec_id", "x").alias("h"), "x")
+    assert [tuple(r) for r in few.collect()] == [tuple(r) for r in hashed.orderBy("h").limit(50).collect()]
+    sent = few.queryExecution if hasattr(few, "queryExecution") else few._jdf.queryExecution()
+    bound = int(str(sent.optimizedPlan()).split("<= ")[1].split(")")[0])
+    assert 100 < hashed.filter(F.col("h") <= bound).count() < 400  # of all tasks together; 50 of each of 64 before
+    copies = spark.range(0, 40_000, 1, 64).selectExpr("0L AS vec_id", "array(1L, 2L) AS x")
+    assert NG.smallest_hashes(copies, 40_000, 50).count() <= 1
+
+
+def test_wide_slices_and_exact_scores(spark, monkeypatch):
+    monkeypatch.setattr(NG, "SLICE", 1)
+    monkeypatch.setattr(NG, "SLICES", 2)
+    rows = clustered(500, 5)
+    assert mined(table(spark, rows), **SMALL) == plain(rows)
