@@ -109,60 +109,116 @@ def _reached(cells: P.Cells, low: np.ndarray, high: np.ndarray, first: np.ndarra
 def merge_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
     """Free lines of each group with the block, font size and angle that they come to; see ``merge_scattered_quads``.
 
-    A group of over ``P.CROWDED`` lines looks up in grids by size what a block's last line can absorb, so that a step costs
-    what is around that line; the grids are built again when half of their lines are taken.
+    All groups take a step together. A group of over ``P.CROWDED`` lines is walked alone: it looks up in grids by size what a
+    block's last line can absorb, so that a step costs what is around that line; the grids are built again when half of their lines are taken.
     """
     order = np.lexsort((c["line_no"], c["distance"], group))
     c, group = P.taken(c, order), group[order]
-    quad = _corners(c)
-    first, far, font = quad[:, 0], c["distance"].astype(float), c["font_size"].astype(float)
-    vec = np.stack((c["vec_x"], c["vec_y"]), 1).astype(float)
-    norm, angle = c["norm"].astype(float), c["angle"].astype(np.int64)
+    t = _Lines(c)
     n = len(group)
-    block, out_font, out_angle = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
-    least, most = quad.min(1), quad.max(1)
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    for begin, end in zip(starts, np.append(starts[1:], n)):
-        number, free, cells, held = 0, end - begin, None, 0
-        crowded = free > P.CROWDED
-        for at in range(begin, end):
-            if block[at]:
-                continue
-            number += 1
-            members, last, size, v = [at], at, font[at], vec[at]
-            block[at] = number
+    lead = np.full(n, -1)  # of each line: the row of its block's first line
+    size, v, count = t.font.copy(), t.vec.copy(), np.ones(n, np.int64)  # of each block, at its first line
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if n else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], n)[: len(starts)]
+    crowded = ends - starts > P.CROWDED
+    for begin, end in zip(starts[crowded], ends[crowded]):
+        _walk_crowded(t, int(begin), int(end), lead, size, v, count)
+    _walk_together(t, starts[~crowded], ends[~crowded], lead, size, v, count)
+    first = lead == np.arange(n)
+    number = np.cumsum(first)
+    before = np.repeat(number[starts] - 1, ends - starts)
+    turned = np.rint(np.degrees(np.arctan2(v[:, 1], v[:, 0]))).astype(np.int64) - 90 * c["vertical"].astype(bool)
+    angle = np.where(count > 1, turned, c["angle"].astype(np.int64))
+    return c | {"block": number[lead] - before, "font_size": size[lead], "angle": angle[lead]}
+
+
+class _Lines:
+    """Columns of lines that stand in order of group and distance."""
+
+    def __init__(self, c: P.Columns):
+        self.quad = _corners(c)
+        self.first, self.far, self.font = self.quad[:, 0], c["distance"].astype(float), c["font_size"].astype(float)
+        self.vec, self.norm = np.stack((c["vec_x"], c["vec_y"]), 1).astype(float), c["norm"].astype(float)
+        self.least, self.most = self.quad.min(1), self.quad.max(1)
+
+    def absorbs(self, last: np.ndarray, later: np.ndarray, size: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a block with that last line, font size, number of lines and summed vector absorbs a later line, and its font size then. One block, or one for each later line."""
+        font = self.font[later]
+        mean = (size * k + font) / (k + 1)
+        low, high = np.minimum(font, size), np.maximum(font, size)
+        long = self.norm[later] * np.sqrt(v[..., 0] ** 2 + v[..., 1] ** 2)
+        hit = (low > 0) & (high <= RATIO * low) & (long > 0) & (np.abs(self.vec[later, 0] * v[..., 0] + self.vec[later, 1] * v[..., 1]) >= COSINE * long)
+        hit &= self.far[later] - self.far[last] <= ACROSS * mean
+        gone = self.first[later] - self.first[last]
+        hit &= np.sqrt(gone[:, 0] ** 2 + gone[:, 1] ** 2) <= ALONG * mean
+        apart = ~hit
+        for axis in (0, 1):
+            apart &= (self.least[later, axis] <= self.most[last, axis]) & (self.least[last, axis] <= self.most[later, axis])
+        rest = np.flatnonzero(apart)
+        hit[rest] = quads_meet(self.quad[last[rest] if np.ndim(last) else last], self.quad[later[rest]])
+        return hit, mean
+
+
+def _walk_together(t: _Lines, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, size: np.ndarray, v: np.ndarray, count: np.ndarray) -> None:
+    """Every group has one open block and tests its last line against all free later ones: it absorbs the first that fits, or ends and the next free line begins one."""
+    at, last, end = starts.copy(), starts.copy(), ends
+    lead[at] = at
+    while len(at):
+        n = end - last - 1
+        of = np.repeat(np.arange(len(at)), n)
+        later = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + last[of] + 1
+        free = lead[later] < 0
+        of, later = of[free], later[free]
+        block = at[of]
+        hit, mean = t.absorbs(last[of], later, size[block], count[block], v[block])
+        hits = np.flatnonzero(hit)
+        hits = hits[np.concatenate(([True], of[hits][1:] != of[hits][:-1]))] if len(hits) else hits
+        grown, line = of[hits], later[hits]
+        block = at[grown]
+        lead[line] = block
+        size[block] = mean[hits]
+        v[block] += t.vec[line]
+        count[block] += 1
+        last[grown] = line
+        done = np.ones(len(at), bool)
+        done[grown] = False
+        ended = np.flatnonzero(done)
+        step = ended
+        while len(step):  # to the next free line
+            at[step] += 1
+            step = step[at[step] < end[step]]
+            step = step[lead[at[step]] >= 0]
+        begun = ended[at[ended] < end[ended]]
+        lead[at[begun]] = last[begun] = at[begun]
+        alive = at < end
+        if not alive.all():
+            at, last, end = at[alive], last[alive], end[alive]
+
+
+def _walk_crowded(t: _Lines, begin: int, end: int, lead: np.ndarray, size: np.ndarray, v: np.ndarray, count: np.ndarray) -> None:
+    """One crowded group, a block after the other."""
+    free, cells, held = end - begin, None, 0
+    for at in range(begin, end):
+        if lead[at] >= 0:
+            continue
+        last, lead[at] = at, at
+        free -= 1
+        while free:
+            if cells is None or 2 * free < held:
+                cells, held = P.Cells(begin + np.flatnonzero(lead[begin:end] < 0), t.least, t.most), free
+            later = _reached(cells, t.least[last], t.most[last], t.first[last], ALONG * RATIO * size[at])
+            later = later[(later > last) & (lead[later] < 0)]
+            if not len(later):
+                break
+            hit, mean = t.absorbs(last, later, size[at], count[at], v[at])
+            if not hit.any():
+                break
+            i = int(hit.argmax())
+            last, size[at] = int(later[i]), mean[i]
+            v[at] += t.vec[last]
+            count[at] += 1
+            lead[last] = at
             free -= 1
-            later = np.arange(at + 1, end)
-            while free:
-                if crowded:
-                    if cells is None or 2 * free < held:
-                        cells, held = P.Cells(begin + np.flatnonzero(block[begin:end] == 0), least, most), free
-                    later = _reached(cells, least[last], most[last], first[last], ALONG * RATIO * size)
-                later = later[(later > last) & (block[later] == 0)]
-                if not len(later):
-                    break
-                k = len(members)
-                mean = (size * k + font[later]) / (k + 1)
-                low, high = np.minimum(font[later], size), np.maximum(font[later], size)
-                long = norm[later] * np.linalg.norm(v)
-                near = (low > 0) & (high <= RATIO * low) & (long > 0) & (np.abs(vec[later] @ v) >= COSINE * long)
-                near &= far[later] - far[last] <= ACROSS * mean
-                near &= np.linalg.norm(first[later] - first[last], axis=1) <= ALONG * mean
-                hit = near.copy()
-                hit[~near] = quads_meet(quad[last], quad[later[~near]])
-                if not hit.any():
-                    break
-                i = int(hit.argmax())
-                last, size = int(later[i]), float(mean[i])
-                v = v + vec[last]
-                block[last] = number
-                members.append(last)
-                free -= 1
-            rows = np.array(members)
-            out_font[rows] = size
-            turned = round(float(np.degrees(np.arctan2(v[1], v[0])))) - (90 if c["vertical"][at] else 0)
-            out_angle[rows] = turned if len(members) > 1 else angle[at]
-    return c | {"block": block, "font_size": out_font, "angle": out_angle}
 
 
 def merge_scattered_quads(lines: DataFrame, w: int) -> DataFrame:
@@ -174,11 +230,21 @@ def merge_scattered_quads(lines: DataFrame, w: int) -> DataFrame:
     """
 
     lines = lines.select("page_id", "line_no", *CORNERS)
-    alone = quad_shapes(lines.withColumn("lang", F.lit(None).cast("string")), *lines.columns)
-    known = with_distance(alone, w).na.fill({"distance": 0.0}).drop("n_lines")
     kinds = dict(lines.dtypes)
     schema = ", ".join(["page_id long", "vertical boolean", f"line_no {kinds['line_no']}", *(f"{c} {kinds[c]}" for c in CORNERS), "block int", "font_size double", "angle int"])
-    return P.map_pages(known, ["page_id", "vertical"], merge_kernel, schema)
+
+    def kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
+        c, vertical = alone(c, w)
+        return merge_kernel(c, group * 2 + vertical)
+
+    return P.map_pages(lines, ["page_id"], kernel, schema)
+
+
+def alone(c: P.Columns, w: int) -> tuple[P.Columns, np.ndarray]:
+    """Lines with the shape that each has as a block of its own, and which are vertical."""
+    n = len(c["line_no"])
+    shape, distance = shapes(c, np.arange(n), n, np.zeros(n, bool), w)
+    return c | shape | {"distance": distance}, shape["vertical"]
 
 
 def split_kernel(c: P.Columns, group: np.ndarray) -> P.Columns:
@@ -326,10 +392,8 @@ def group_quads(lines: DataFrame, blocks: DataFrame, w: int, h: int, masks: Data
         made = c | placed
 
         # free lines, each with a shape of its own
-        f = {n: line[n][free] for n in (*CORNERS, "line_no")}
-        shape, f["distance"] = shapes(f, np.arange(len(free)), len(free), np.zeros(len(free), bool), w)
-        f |= shape | {"page": page[free]}
-        f = merge_kernel(f, page[free] * 2 + shape["vertical"])
+        f, vertical = alone({n: line[n][free] for n in (*CORNERS, "line_no")} | {"page": page[free]}, w)
+        f = merge_kernel(f, page[free] * 2 + vertical)
         n = len(free)
         f |= {"kind": 1 + f["vertical"].astype(np.int64), "part": np.zeros(n, np.int64), "lang": np.full(n, "unknown", object), "rank": f["line_no"].astype(float), "box": np.tile([[2**31, 2**31, -(2**31), -(2**31)]], (n, 1))}
         names_ = ("page", "kind", "block", "part", "rank", "line_no", "lang", "vertical", "angle", "font_size", "box", *CORNERS)

@@ -119,15 +119,23 @@ def _needs(name: str) -> list[str]:
     return [*out, name]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view (or a table) over the Parquet files of a folder."""
+def view(spark: SparkSession, sf_dir: str, name: str, by_page: bool = False, more: str = "") -> DataFrame:
+    """A view (or a table) over the Parquet files of a folder.
+
+    ``by_page``: line items are dealt by order when they are read, so that what is gathered by page later needs no further
+    exchange; views that are read so side by side share it where they take the same columns. ``more``: a further column of the view's own source.
+    """
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     names = [] if name == "fx_pixels" else _needs(name)
-    texts = [PIXELS_SPARK] if name == "fx_pixels" else [VIEWS[n][1] for n in names]
+    sql = {n: VIEWS[n][1] for n in names}
+    if more:
+        sql[name] = sql[name].replace("SELECT ", f"SELECT {more}, ", 1)
+    texts = [PIXELS_SPARK] if name == "fx_pixels" else list(sql.values())
     base = [t for t in TABLES if any(f" {t}" in x for x in texts)]
-    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in base]
-    parts += [f"fx_pixels AS ({PIXELS_SPARK})"] if name == "fx_pixels" else [f"{n} AS ({VIEWS[n][1]})" for n in names]
+    dealt = {"lineitem": "/*+ REPARTITION(l_orderkey) */ "} if by_page else {}
+    parts = [f"{t} AS (SELECT {dealt.get(t, '')}* FROM parquet.`{sf_dir}/{t}.parquet`)" for t in base]
+    parts += [f"fx_pixels AS ({PIXELS_SPARK})"] if name == "fx_pixels" else [f"{n} AS ({sql[n]})" for n in names]
     return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
 
 

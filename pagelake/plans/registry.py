@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fixtures import duckdb_sql, view
 
-Views = Callable[[str], DataFrame]
+Views = Callable[..., DataFrame]  # of a name, and how it is read: see ``view``
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +17,7 @@ def query(sql: str | None = None, *views: str) -> Callable[[Callable[[Views], Da
     """Register a function of ``views`` under its name, with DuckDB SQL over the views named."""
 
     def put(body: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[body.__name__] = lambda spark, sf_dir: body(lambda name: view(spark, sf_dir, name))
+        QUERIES[body.__name__] = lambda spark, sf_dir: body(lambda name, **how: view(spark, sf_dir, name, **how))
         if sql:
             SQL[body.__name__] = duckdb_sql(sql, *views)
         return body
