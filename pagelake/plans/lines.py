@@ -139,7 +139,7 @@ def a21_metrics_with_ignored(v: Views) -> DataFrame:
 
 
 def loose_lines(v: Views) -> DataFrame:
-    return v("fx_lines").select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS)
+    return v("fx_lines", by_page=True).select("page_id", (F.col("block_idx") * 10 + F.col("line_no")).alias("line_no"), *L.COLS)
 
 
 @query()
