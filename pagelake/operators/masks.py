@@ -16,29 +16,45 @@ from ..functions import geometry as G
 from . import pages as P
 
 
+#: Places of the summed-area tables that are held at once.
+PLACES = 1 << 21
+
+
 def summed_area(mask: np.ndarray) -> np.ndarray:
-    """(h + 1, w + 1): the sum of all values above and left of each corner."""
-    table = np.zeros((mask.shape[0] + 1, mask.shape[1] + 1), np.int64)
-    np.cumsum(np.cumsum(mask, 0, dtype=np.int64), 1, out=table[1:, 1:])
+    """(h + 1, w + 1): the sum of all values above and left of each corner; masks (n, h, w) give a table each."""
+    table = np.zeros((*mask.shape[:-2], mask.shape[-2] + 1, mask.shape[-1] + 1), np.int64)
+    np.cumsum(np.cumsum(mask, -2, dtype=np.int64), -1, out=table[..., 1:, 1:])
     return table
 
 
-def box_sums(table: np.ndarray, box: np.ndarray, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the mask's values in each half-open box (n, 4) of a page of w x h, and the number of mask pixels it takes."""
-    rows, columns = table.shape[0] - 1, table.shape[1] - 1
+def box_sums(table: np.ndarray, box: np.ndarray, w: int, h: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the mask's values in each half-open box (n, 4) of a page of w x h, and the number of mask pixels it takes. Of several tables, ``of`` has the one of each box."""
+    rows, columns = table.shape[-2] - 1, table.shape[-1] - 1
     x1, x2 = (np.clip(v, 0, columns) for v in (box[:, 0] * columns // w, -(-box[:, 2] * columns // w)))
     y1, y2 = (np.clip(v, 0, rows) for v in (box[:, 1] * rows // h, -(-box[:, 3] * rows // h)))
     x2, y2 = np.maximum(x1, x2), np.maximum(y1, y2)
-    return table[y2, x2] - table[y1, x2] - table[y2, x1] + table[y1, x1], (x2 - x1) * (y2 - y1)
+    at = (lambda y, x: table[y, x]) if of is None else (lambda y, x: table[of, y, x])
+    return at(y2, x2) - at(y1, x2) - at(y2, x1) + at(y1, x1), (x2 - x1) * (y2 - y1)
 
 
 def enough_mask(masks: list[np.ndarray | None], group: np.ndarray, box: np.ndarray, w: int, h: int, share: float) -> np.ndarray:
-    """Whether the mask of a box's page covers at least ``share`` of it. Boxes off the mask and pages without one pass."""
+    """Whether the mask of a box's page covers at least ``share`` of it. Boxes off the mask and pages without one pass. Masks of one size are summed together."""
     out = np.ones(len(group), bool)
-    for g in np.unique(group):
+    order = np.argsort(group, kind="stable")
+    pages, first = np.unique(group[order], return_index=True)
+    ends = np.append(first[1:], len(group))
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for k, g in enumerate(pages.tolist()):
         if masks[g] is not None:
-            rows = np.flatnonzero(group == g)
-            sums, pixels = box_sums(summed_area(masks[g]), box[rows], w, h)
+            sizes.setdefault(masks[g].shape, []).append(k)
+    for shape, held in sizes.items():
+        step = max(1, PLACES // ((shape[0] + 1) * (shape[1] + 1)))
+        for at in range(0, len(held), step):
+            part = held[at : at + step]
+            tables = summed_area(np.stack([masks[pages[k]] for k in part]))
+            rows = np.concatenate([order[first[k] : ends[k]] for k in part])
+            of = np.repeat(np.arange(len(part)), ends[part] - first[part])
+            sums, pixels = box_sums(tables, box[rows], w, h, of)
             out[rows] = (pixels == 0) | (sums / 255 >= share * pixels)
     return out
 
