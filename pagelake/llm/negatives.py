@@ -13,8 +13,8 @@ On Spark: the upper levels are chosen on a bounded sample (``sample`` rows of th
 smallest hashes), but every row is routed and every range covers all rows. Rows of
 one leaf (and of one label, where it has many there) are cut into parts of about
 ``part_rows``, each with a last level of split points and ranges of its own. Anchors
-travel in blocks to the parts of the cells they cannot drop; a part and a block meet
-in one row of a join, and at most the best few of each anchor leave. Three passes:
+travel in blocks to the bins (neighbouring parts, a bounded number of bins) with cells
+they cannot drop; a part and a block meet in one row of a join, and at most the best few of each anchor leave. Three passes:
 positives in the leaves of an anchor's block, positives elsewhere (with the score to
 beat), negatives in the windows of the positives.
 
@@ -48,8 +48,8 @@ from .whitening import as_matrix, padded
 FAN, LEVELS, SAMPLE = 8, 3, 4096
 #: Rows of a part and anchors of a block, about.
 PART_ROWS, BLOCK_ROWS = 2048, 2048
-#: Parts of a cell that one join key holds: SLICE, or more where a table has over SLICES such keys. A block of anchors moves once a key.
-SLICE, SLICES = 16, 128
+#: Neighbouring parts that one join key (a bin) holds: SLICE, or more where that gives over SLICES bins. A block of anchors moves once a bin.
+SLICE, SLICES = 4, 128
 #: A label has cells of its own in leaves where it has this share of all rows, and half a part of rows.
 OWN_CELL = 4096
 #: Rounding of distances, as a share of the norms.
@@ -199,7 +199,7 @@ class Cell:
     leaf: int
     label: int | None  # null: all labels without a cell of their own there
     parts: int
-    slice: int = SLICE  # parts that one join key holds
+    first: int  # parts of the cells before it
 
 
 def smallest_hashes(rows: DataFrame, n: int, sample: int) -> DataFrame:
@@ -230,16 +230,24 @@ def cells_of(routed: DataFrame, part_rows: int) -> list[Cell]:
     leaves = {r["leaf"]: r["n"] for r in counts.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
     least = max(part_rows // 2, sum(leaves.values()) // OWN_CELL, 1)
     own = stored_counts.filter(F.col("n") >= least).orderBy("leaf", "label").collect()
-    slice_ = max(SLICE, -(-sum(leaves.values()) // part_rows) // SLICES)
-    cells = [Cell(r["leaf"], r["label"], -(-r["n"] // part_rows), slice_) for r in own]
     for r in own:
         leaves[r["leaf"]] -= r["n"]
-    return cells + [Cell(leaf, None, -(-n // part_rows), slice_) for leaf, n in sorted(leaves.items()) if n]
+    found = [(r["leaf"], r["label"], r["n"]) for r in own] + [(leaf, None, n) for leaf, n in sorted(leaves.items()) if n]
+    cells, first = [], 0
+    for leaf, label, n in found:
+        cells.append(Cell(leaf, label, -(-n // part_rows), first))
+        first += cells[-1].parts
+    return cells
+
+
+def bin_width(cells: list[Cell]) -> int:
+    """Parts of a bin."""
+    return max(SLICE, -(-(cells[-1].first + cells[-1].parts) // SLICES))
 
 
 def part_table(routed: DataFrame, tree: Tree, cells: list[Cell], width: int, fan: int) -> DataFrame:
-    """A row a part: cell, slice, leaf, payload, and the ranges of its distances to the split points above it."""
-    spark = routed.sparkSession
+    """A row a part: cell, bin, leaf, payload, and the ranges of its distances to the split points above it."""
+    spark, wide = routed.sparkSession, bin_width(cells)
     table = spark.createDataFrame([(k, c.leaf, c.label, c.parts) for k, c in enumerate(cells)], "cell int, leaf int, of long, parts int")
     own = F.broadcast(table.filter("of is not null").select("cell", "leaf", F.col("of").alias("label"), "parts"))  # at most OWN_CELL rows
     rest = F.broadcast(table.filter("of is null").select(F.col("cell").alias("rest"), "leaf", F.col("parts").alias("rest_parts")))  # a row a leaf
@@ -262,12 +270,12 @@ def part_table(routed: DataFrame, tree: Tree, cells: list[Cell], width: int, fan
             above = tree.path_distances(leaf, x)
             ids, labels, row = (table.column(c).to_numpy()[order] for c in ("vec_id", "label", "row"))
             payload = pack(x=small(whole[order]), ids=ids, labels=labels, rows=row, points=points, ends=ends, low=low, high=high)
-            values = [[cell], [part // cells[cell].slice], [leaf], [payload], [above.min(0).tolist()], [above.max(0).tolist()]]
+            values = [[cell], [(cells[cell].first + part) // wide], [leaf], [payload], [above.min(0).tolist()], [above.max(0).tolist()]]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["cell", "slice", "leaf", "payload", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["cell", "bin", "leaf", "payload", "low", "high"])
 
     dealt = placed.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(run, "cell int, slice int, leaf int, payload binary, low array<double>, high array<double>")
+    return dealt.mapInArrow(run, "cell int, bin int, leaf int, payload binary, low array<double>, high array<double>")
 
 
 def learn_ranges(tree: Tree, parts: DataFrame) -> None:
@@ -297,11 +305,12 @@ def block_ranges(counts: dict[int, int], block_rows: int) -> list[tuple[int, int
 
 
 def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: bool | None, same: bool, block_rows: int) -> DataFrame:
-    """(cell, slice, block): blocks of anchors, once for each cell that their windows reach.
+    """(bin, cells, block): blocks of anchors, once for each bin, with the cells in it that their windows reach.
 
     anchors: row, vec_id, label, x, leaf and ``windows`` (array of key, lo, hi). ``own``: only cells of
     the leaves of their block, only others, or all (null). ``same``: rows of the anchor's label are searched, or those of others.
     """
+    wide = bin_width(cells)
     counts = {r["leaf"]: r["n"] for r in anchors.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf
     blocks = anchors.sparkSession.createDataFrame(block_ranges(counts, block_rows), "leaf int, first int, blocks int")
     no = F.col("first") + F.pmod(F.xxhash64("row"), "blocks").cast("int")
@@ -327,16 +336,19 @@ def probes(anchors: DataFrame, tree: Tree, cells: list[Cell], width: int, own: b
                 reached[leaves] &= own is None
             else:
                 reached[leaves] = True
-            held = set(labels.tolist())
-            alone = next(iter(held)) if len(held) == 1 else None
+            of = set(labels.tolist())
+            alone = next(iter(of)) if len(of) == 1 else None
             payload = pack(x=small(whole), labels=labels, rows=table.column("row").to_numpy(), ids=table.column("vec_id").to_numpy(), key=key, lo=lo, hi=hi)
+            bins: dict[int, list[int]] = {}
             for k, cell in enumerate(cells):
-                if not reached[cell.leaf] or cell.label is not None and (cell.label not in held if same else cell.label == alone):
+                if not reached[cell.leaf] or cell.label is not None and (cell.label not in of if same else cell.label == alone):
                     continue
-                n = -(-cell.parts // cell.slice)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([payload] * n)], names=["cell", "slice", "block"])
+                for b in range(cell.first // wide, (cell.first + cell.parts - 1) // wide + 1):
+                    bins.setdefault(b, []).append(k)
+            for b, held in bins.items():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held], pa.list_(pa.int32())), pa.array([payload])], names=["bin", "cells", "block"])
 
-    return dealt.select("no", "leaf", "row", "vec_id", "label", "x", "windows").mapInArrow(run, "cell int, slice int, block binary")
+    return dealt.select("no", "leaf", "row", "vec_id", "label", "x", "windows").mapInArrow(run, "bin int, cells array<int>, block binary")
 
 
 def best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -401,7 +413,7 @@ def search(probe: DataFrame, parts: DataFrame, same: bool, most: int) -> DataFra
                     columns = [block["rows"][at], block["ids"][at], block["key"][at, w], row, ids, score]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "anchor_id", "key", "row", "vec_id", "score"])
 
-    met = probe.join(parts.select("cell", "slice", "payload"), ["cell", "slice"]).select("block", "payload")
+    met = probe.join(parts.select("cell", "bin", "payload"), "bin").filter(F.array_contains("cells", F.col("cell"))).select("block", "payload")
     return first_of(met.mapInArrow(run, "anchor long, anchor_id long, key long, row long, vec_id long, score long"), most)
 
 

@@ -115,8 +115,11 @@ def test_sample_does_not_grow_with_the_tasks(spark):
     assert NG.smallest_hashes(copies, 40_000, 50).count() <= 1
 
 
-def test_wide_slices_and_exact_scores(spark, monkeypatch):
+def test_few_bins_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(NG, "SLICES", 3)
     monkeypatch.setattr(NG, "SLICE", 1)
-    monkeypatch.setattr(NG, "SLICES", 2)
+    made, stored = [], NG.search
+    monkeypatch.setattr(NG, "search", lambda probe, *more: made.append(probe.select("bin").distinct().count()) or stored(probe, *more))
     rows = clustered(500, 5)
     assert mined(table(spark, rows), **SMALL) == plain(rows)
+    assert max(made) <= 3
